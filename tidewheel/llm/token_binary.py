@@ -1,8 +1,7 @@
 """Token-ID / binary output: Arrow IPC files of fixed-size-list batches.
 
-A shard is one Arrow file with the columns `tokens`, fixed_size_list<uint32>[seq_len], and `mask`,
-fixed_size_list<uint8>[seq_len]: 0 for padding, 1 for a token, 2 for the last token of a document. Every sequence has
-the same length, so batch k, row r and offset o are found by arithmetic from the footer, and a memory-mapped file gives
+A shard is one Arrow file with the columns `tokens`, fixed_size_list<uint16 or uint32>[seq_len] (the narrower one where
+the vocabulary fits), and `mask`, fixed_size_list<bool>[seq_len], false for padding. Every sequence has the same length, so batch k, row r and offset o are found by arithmetic from the footer, and a memory-mapped file gives
 arrays without a copy. A shard's sequences are full but for the last, which is padded. Beside it lies an index file
 (doc_id, start, n_tokens; start counts the shard's tokens).
 
@@ -104,12 +103,22 @@ class WordEncoder:
         return b"".join(out)
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder; Spark reuses workers, and so the words of earlier tasks are known."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def shard_schema(seq_len: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+def shard_schema(seq_len: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("tokens", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -118,22 +127,19 @@ INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tok
 class ShardWriter:
     """Cuts a stream of documents' ids into sequences and writes a shard and its index."""
 
-    def __init__(self, tokens_sink, index_sink, seq_len: int = SEQ_LEN, seqs_per_batch: int = SEQS_PER_BATCH):
+    def __init__(self, tokens_sink, index_sink, seq_len: int = SEQ_LEN, seqs_per_batch: int = SEQS_PER_BATCH, vocabulary: int = 1 << 32):
         self.seq_len, self.room = seq_len, seq_len * seqs_per_batch
-        self.schema = shard_schema(seq_len)
+        self.kind = pa.uint16() if vocabulary <= 1 << 16 else pa.uint32()
+        self.schema = shard_schema(seq_len, self.kind)
         self.tokens = pa.ipc.new_file(tokens_sink, self.schema)
         self.index = pa.ipc.new_file(index_sink, INDEX_SCHEMA)
         self.ids: list[np.ndarray] = []
-        self.marks: list[np.ndarray] = []
         self.held, self.total = 0, 0
         self.rows: list[tuple[int | None, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1:] = 2
         self.rows.append((doc_id, self.total, len(ids)))
         self.ids.append(ids)
-        self.marks.append(mask)
         self.held += len(ids)
         self.total += len(ids)
         if self.held >= self.room:
@@ -142,16 +148,17 @@ class ShardWriter:
             self._flush_index()
 
     def _flush(self, n: int) -> None:
-        ids, mask = np.concatenate(self.ids), np.concatenate(self.marks)
+        ids = np.concatenate(self.ids)
         for at in range(0, n, self.room):
-            self._batch(ids[at : min(n, at + self.room)], mask[at : min(n, at + self.room)])
-        self.ids, self.marks, self.held = [ids[n:]], [mask[n:]], len(ids) - n
+            self._batch(ids[at : min(n, at + self.room)])
+        self.ids, self.held = [ids[n:]], len(ids) - n
 
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
+    def _batch(self, ids: np.ndarray) -> None:
         pad = -len(ids) % self.seq_len
-        ids, mask = np.pad(ids, (0, pad)), np.pad(mask, (0, pad))
-        make = lambda a, kind: pa.FixedSizeListArray.from_arrays(pa.array(a, kind), self.seq_len)
-        self.tokens.write_batch(pa.record_batch([make(ids, pa.uint32()), make(mask, pa.uint8())], schema=self.schema))
+        mask = np.arange(len(ids) + pad) < len(ids)
+        ids = np.pad(ids, (0, pad)).astype(self.kind.to_pandas_dtype())
+        make = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a), self.seq_len)
+        self.tokens.write_batch(pa.record_batch([make(ids), make(mask)], schema=self.schema))
 
     def _flush_index(self) -> None:
         if self.rows:
@@ -187,7 +194,7 @@ class ShardReader:
         """(tokens, mask) of sequence n."""
         batch = self.file.get_batch(n // self.per_batch)
         at = slice(n % self.per_batch * self.seq_len, (n % self.per_batch + 1) * self.seq_len)
-        return tuple(batch.column(c).values.to_numpy(zero_copy_only=True)[at] for c in (0, 1))
+        return batch.column(0).values.to_numpy(zero_copy_only=True)[at], batch.column(1).values.to_numpy(zero_copy_only=False)[at]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n tokens of the shard from `start` on; a view where they lie in one batch."""
@@ -231,11 +238,11 @@ def write_tokens(
         for batch in batches:
             for part in slices(batch, "t"):
                 if writer is None and part.num_rows:
-                    encoder = WordEncoder(tokenizer)
+                    encoder = encoder_of(tokenizer)
                     fs, at = _file_system(name)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     sinks = [fs.open_output_stream(f"{at}.{attempt}{x}") for x in (".arrow", ".index.arrow")]
-                    writer = ShardWriter(*sinks, seq_len)
+                    writer = ShardWriter(*sinks, seq_len, vocabulary=max(end_id + 1, encoder.tokenizer.get_vocab_size()))
                 for i, t in zip(part.column("id").to_pylist(), text_bytes(part.column("t"))):
                     writer.add(i, np.frombuffer(encoder.encode(t or b"") + end, "<u4"))
                     n += 1
