@@ -156,7 +156,7 @@ def mix(
     extra = F.when(_bin(F.col(doc_id)) < F.coalesce(F.try_element_at(F.col("__below"), _size_class(F.col("__size"))), F.lit(0)), 1).otherwise(0)
     copies = (F.floor("__rate") + extra).cast("int")
     return joined.withColumn("__copies", copies).select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col(c) for c in docs.columns if c != out],
         F.struct(
             F.col("__size").alias("size"),
             F.col("__source_size").alias("source_size"),

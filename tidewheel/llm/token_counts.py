@@ -58,6 +58,16 @@ class PieceCounter:
         return total
 
 
+_counters: dict[tuple[str, str], PieceCounter] = {}
+
+
+def counter_of(ranks_path: str, pattern: str) -> PieceCounter:
+    """The worker's counter; Spark reuses workers, and so the pre-tokens of earlier tasks are known."""
+    if (ranks_path, pattern) not in _counters:
+        _counters[ranks_path, pattern] = PieceCounter(ranks_path, pattern)
+    return _counters[ranks_path, pattern]
+
+
 class TokenTree:
     """Leaves of a text with sums of characters and tokens; node 1 is the root."""
 
@@ -165,7 +175,7 @@ def edit_counts(
     schema = T.StructType([*fields, T.StructField(out, T.StructType([T.StructField(n, T.LongType()) for n in names]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = PieceCounter(ranks_path, pattern)
+        count = counter_of(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, text):
                 rows = []

@@ -34,9 +34,13 @@ SHARED = 2
 #: Log-likelihood (nats) by which a word must favour a class to count; noise of rare letters stays below it.
 MARGIN = 3.0
 SAMPLE = 3000
+#: Neutral words added to a text's length, so that one odd word doesn't decide a very short text.
+PRIOR_WORDS = 20
 MAX_CHARS = 20_000
 CACHE = 1 << 20
 THRESHOLD = 0.3
+#: Differences beyond these say no more than the bounds; a few odd texts so don't bend the curve.
+BOUNDS = (-0.2, 1.0)
 _ALNUM = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
@@ -139,7 +143,7 @@ class ToxicityModel:
         return x
 
     def difference(self, text: bytes | None) -> tuple[float, int]:
-        """(toxic less ordinary log-likelihood for each word, the number of words)."""
+        """(toxic less ordinary log-likelihood by length in words, the number of words)."""
         words = words_of(text or b"")
         if not words:
             return 0.0, 0
@@ -148,11 +152,11 @@ class ToxicityModel:
         for w in words:
             s = known.get(w)
             total += score(w) if s is None else s
-        return total / len(words), len(words)
+        return total / (len(words) + PRIOR_WORDS), len(words)
 
     def calibrate(self, texts: list[bytes], labels: list[int], weights: list[float]) -> None:
         """Weighted logistic regression of the label on the difference, by Newton's method."""
-        x = np.array([self.difference(t)[0] for t in texts])
+        x = np.clip([self.difference(t)[0] for t in texts], *BOUNDS)
         y, w = np.array(labels, float), np.array(weights)
         scale = x.std() or 1.0
         a = np.stack([x / scale, np.ones_like(x)], axis=1)
@@ -167,7 +171,7 @@ class ToxicityModel:
         self.slope, self.offset = beta[0] / scale, beta[1]
 
     def score(self, text: bytes | None) -> float:
-        z = self.slope * self.difference(text)[0] + self.offset
+        z = self.slope * min(max(self.difference(text)[0], BOUNDS[0]), BOUNDS[1]) + self.offset
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 

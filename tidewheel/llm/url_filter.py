@@ -165,7 +165,7 @@ def url_filter(
     tables = materialize(cascades(universe, shards), "cascades")
     total = tables.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     kind = pages.withColumn("__host", host).schema
-    fields = [c for c in pages.columns]
+    fields = [c for c in pages.columns if c != out]
     with_host = pages.withColumn("__host", host).withColumn("__shard", F.pmod(F.xxhash64("__host"), F.lit(shards)).cast("int"))
 
     if total <= broadcast_limit:
