@@ -7,16 +7,20 @@ reaches by links.
 
 1. Documents with equal sets form a class (one aggregation on a 128-bit set hash, partly done before the shuffle, so
    thousands of copies cost one row a task). All else runs on classes.
-2. Shingles are ordered rare first: by a document frequency that is counted within tasks and merged, for the FREQUENT
-   most frequent shingles, then by hash. Any fixed order gives exact results; only the cost depends on it.
+2. Shingles are ordered rare first: by how common their words are, from the WORDS most frequent words; the FREQUENT
+   most frequent shingles, counted within tasks and merged, come last; then by hash. Any fixed order gives exact
+   results; only the cost depends on it.
 3. A class's prefix is so long that linked classes share a prefix shingle. Prefix shingles of one class only are
    dropped after counting; what is left, the index, is small.
-4. In each bucket (classes that share a prefix shingle) all members are paired with one pivot, the class with the
-   fewest shingles of its own in its prefix: the centre of a group of near copies. Pairs pass the length and positional
-   filters, are made distinct, and are verified once each: a suffix filter, then the exact intersection. So a
-   group of g near copies costs g pairs, not g * g. A second round takes the best pivot outside the first's component.
-5. What is still exact to do: members of one bucket that are in different components. They alone are joined, under the
-   same filters, and verified. Pairs within one component can't change the result and are skipped.
+4. A bucket holds the classes that share a prefix shingle. In buckets of at most SMALL classes all pairs are formed,
+   made distinct, and held against what their whole prefixes allow; few but true near copies pass. They are verified once
+   each: length and suffix filters, then the exact intersection.
+5. In larger buckets all members are paired with one pivot, the class with the fewest shingles of its own in its prefix:
+   the centre of a group of near copies. Pairs in one component already are skipped, the others pass the length and
+   positional filters and are verified. So a group of g near copies costs g pairs, not g * g. A second round takes the
+   best pivot outside the first's component.
+6. What is then left to do exactly: members of one bucket that are in different components. They alone are joined, under
+   the same filters, and verified. Pairs within one component can't change the result.
 
 Components are found by alternating large-star and small-star rounds over edge tables in the shared folder. Sets of
 index classes only are kept, 6 bytes a shingle (48 of the 64 hash bits).
@@ -40,30 +44,44 @@ from .common import discard, hash_texts, materialize, mix64, slices, text_bytes
 
 SHINGLE = 4
 PERCENT = 85
-#: Shingles that the rare-first order knows by frequency: 16 bytes each in a broadcast.
+#: Shingles and words that the rare-first order knows by frequency: 16 bytes each in a broadcast.
 FREQUENT = 200_000
+WORDS = 65_536
 #: Class ids up to which they are broadcast to pick the texts whose sets are kept; beyond it, a join does it.
 BROADCAST_IDS = 2_000_000
+#: Classes in a bucket up to which all its pairs are formed, so at most SMALL - 1 for a row of the index; larger buckets
+#: take the way over pivots.
+SMALL = 16
 _LOCAL = 4_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
-def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[bytes | None], k: int = SHINGLE, words: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted distinct shingle hashes, their commonness by words) of each text. The latter sums the levels of a shingle's
+    words in the table `words` (hashes, ascending; level), 0 for words that it lacks."""
     factors = [mix64(np.arange(1, k + 1, dtype=np.uint64))[i] | np.uint64(1) for i in range(k)]
     for _, parts in hash_texts([(t or b"").lower() for t in texts]):
         for h in parts:
             if len(h) >= k:
-                s = h[: len(h) - k + 1] * factors[0]
+                n = len(h) - k + 1
+                s = h[:n] * factors[0]
                 for i in range(1, k):
-                    s = s + h[i : len(h) - k + 1 + i] * factors[i]
-                s = mix64(s)
+                    s = s + h[i : n + i] * factors[i]
+                s, first = np.unique(mix64(s), return_index=True)
+                level = _looked_up(h, words)
+                yield s, sum(level[i : n + i] for i in range(k))[first]
             elif len(h):
-                s = mix64(np.array([sum(int(x) * int(f) for x, f in zip(h, factors)) % (1 << 64)], np.uint64) ^ np.uint64(len(h)))
+                one = mix64(np.array([sum(int(x) * int(f) for x, f in zip(h, factors)) % (1 << 64)], np.uint64) ^ np.uint64(len(h)))
+                yield one, np.zeros(1, np.int64)
             else:
-                yield h
-                continue
-            yield np.unique(s)
+                yield h, np.zeros(0, np.int64)
+
+
+def _looked_up(keys: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    if known is None or not len(known[0]):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+    return np.where(known[0][at] == keys, known[1][at], 0)
 
 
 def needed(n_a: int, n_b: int, percent: int) -> int:
@@ -75,45 +93,51 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ascending; frequency) of the most frequent. A task counts over runs of _LOCAL shingles and gives those
-    that a run has three times or more."""
+def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
+    """((frequent shingles, level), (frequent words, level)), hashes ascending and levels as logarithms of counts. A task
+    counts over runs of _LOCAL shingles and gives those that a run has three times or more, and words found 16 times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, heard, size = [], [], 0
 
         def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts >= 3
-            return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], names=["s", "c"])
+            out = []
+            for kind, parts, least in ((0, held, 3), (1, heard, 16)):
+                values, counts = np.unique(np.concatenate(parts), return_counts=True)
+                many = counts >= least
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), kind, np.int32)), pa.array(values[many].view(np.int64)), pa.array(counts[many])], names=["kind", "s", "c"]))
+            return out
 
         for batch in batches:
             for part in slices(batch, text):
-                for s in shingle_sets(list(text_bytes(part.column(text))), k):
+                texts = [(t or b"").lower() for t in text_bytes(part.column(text))]
+                for _, hashes in hash_texts(texts):
+                    heard += hashes
+                for s, _ in shingle_sets(texts, k):
                     held.append(s)
                     size += len(s)
                 if size >= _LOCAL:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+                    yield from flush()
+                    held, heard, size = [], [], 0
+        if held:
+            yield from flush()
 
-    counted = docs.select(text).mapInArrow(count, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
-    rows = counted.orderBy(F.desc("c"), "s").limit(most).toPandas()
-    shingles, counts = rows["s"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], counts[order]
+    counted = docs.select(text).mapInArrow(count, "kind int, s long, c long").groupBy("kind", "s").agg(F.sum("c").alias("c"))
+    counted = materialize(counted, "frequencies")
+    out = []
+    for kind, most in ((0, shingles), (1, words)):
+        rows = counted.where(F.col("kind") == kind).orderBy(F.desc("c"), "s").limit(most).toPandas()
+        keys = rows["s"].to_numpy(np.int64).view(np.uint64)
+        levels = np.log2(rows["c"].to_numpy(np.float64)).astype(np.int64)
+        order = np.argsort(keys)
+        out.append((keys[order], levels[order]))
+    return tuple(out)
 
 
-def _ranker(shared):
-    def frequency(s: np.ndarray) -> np.ndarray:
-        shingles, counts = shared.value
-        if not len(shingles):
-            return np.zeros(len(s), np.int64)
-        at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
-        return np.where(shingles[at] == s, counts[at], 0)
-
-    return frequency
+def _rank(s: np.ndarray, common: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rare-first rank: by commonness of words, and the shingles known as frequent after all others."""
+    level = _looked_up(s, known)
+    return np.where(level > 0, 1000 + level, common)
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -122,31 +146,34 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, shared) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, prefix): prefix in rare-first order."""
+    """(doc_id, n, sig_a, sig_b, last_f, last_h, prefix): prefix in rare-first order, and the rank of its last shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = _ranker(shared)
+        known, words = shared.value
         for batch in batches:
             for part in slices(batch, "t"):
-                sizes, one, two, prefixes = [], [], [], []
-                for s in shingle_sets(list(text_bytes(part.column("t"))), k):
+                sizes, one, two, prefixes, last_f, last_h = [], [], [], [], [], []
+                for s, common in shingle_sets(list(text_bytes(part.column("t"))), k, words):
                     a, b = _signature(s)
                     sizes.append(len(s))
                     one.append(a)
                     two.append(b)
-                    order = np.lexsort((s, frequency(s)))[: prefix_length(len(s), percent)] if len(s) else []
+                    f = _rank(s, common, known)
+                    order = np.lexsort((s, f))[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, np.int64)
                     prefixes.append(s[order].view(np.int64))
+                    last_f.append(int(f[order[-1]]) if len(s) else 0)
+                    last_h.append(int((s[order[-1]] ^ np.uint64(1 << 63)).view(np.int64)) if len(s) else 0)
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-                arrays = [part.column("id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sig_a", "sig_b", "prefix"])
+                arrays = [part.column("id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(last_f, pa.int64()), pa.array(last_h, pa.int64()), flat]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sig_a", "sig_b", "last_f", "last_h", "prefix"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return source.mapInArrow(run, "doc_id long, n int, sig_a long, sig_b long, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, n int, sig_a long, sig_b long, last_f long, last_h long, prefix array<long>")
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int, shared) -> DataFrame:
-    """(sig_a, sig_b, bytes): the sets of the documents whose id is wanted, in rare-first order."""
+def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """(sig_a, sig_b, bytes): the sets of the documents whose id is wanted."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     few = wanted.count() <= BROADCAST_IDS
@@ -157,18 +184,17 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: i
         source = source.join(wanted.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), "id", "left_semi").unionByName(source.where("id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = _ranker(shared)
         for batch in batches:
             if ids is not None:
                 column = batch.column("id")
                 batch = batch.filter(pa.compute.or_(pa.compute.is_null(column), pa.compute.is_in(column, value_set=pa.array(ids.value))))
             for part in slices(batch, "t"):
                 one, two, sets = [], [], []
-                for s in shingle_sets(list(text_bytes(part.column("t"))), k):
+                for s, _ in shingle_sets(list(text_bytes(part.column("t"))), k):
                     a, b = _signature(s)
                     one.append(a)
                     two.append(b)
-                    low = (s[np.lexsort((s, frequency(s)))] & _LOW48).astype("<u8")
+                    low = (s & _LOW48).astype("<u8")
                     sets.append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.binary())], names=["sig_a", "sig_b", "s"])
 
@@ -182,7 +208,7 @@ def unpack48(data: bytes) -> np.ndarray:
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets, both in rare-first order, link. The suffix filter splits both by a middle shingle's hash: what
+    """Whether two sets link. The suffix filter splits both by a middle shingle's hash: what
     the halves could share at most must reach the bound before they are intersected."""
     need = needed(len(a), len(b), percent)
     if min(len(a), len(b)) < need:
@@ -245,6 +271,23 @@ def _with_labels(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return index.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
+def _small_pairs(index: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs that share a prefix shingle of a bucket of at most SMALL classes, as far as their prefixes allow a
+    link. Of the prefix that ends first in the shingle order, every shingle that the other prefix lacks is missing from the
+    other set, so the intersection is at most the set less those. Shared shingles of larger buckets count as common."""
+    small = index.where(F.col("g") <= SMALL)
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "big", "last_f", "last_h")]
+    both = small.select("token", *side("a")).join(small.select("token", *side("b")), "token").where("cls_a < cls_b")
+    both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    per = both.groupBy("cls_a", "cls_b").agg(
+        F.count("*").alias("c"), *[F.first(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "big", "last_f", "last_h") for s in "ab"]
+    )
+    missing = lambda s: f"(n_{s} - ceil({percent} * n_{s} / 100) + 1 - c - least(big_a, big_b))"
+    first = "(last_f_a < last_f_b or (last_f_a = last_f_b and last_h_a <= last_h_b))"
+    most = f"least(n_a, n_b, if({first}, n_a - {missing('a')}, n_b - {missing('b')}))"
+    return per.where(f"{most} * {100 + percent} >= {percent} * (n_a + n_b)").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+
 def _star(index: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of each bucket's members with the bucket's pivot among the members outside `seen` components."""
     pivot = index.groupBy("token").agg(
@@ -286,31 +329,42 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of docs."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_shingles(docs, text, k, frequent))
+    shared = spark.sparkContext.broadcast(frequencies(docs, text, k, frequent, WORDS))
     sets = materialize(document_sets(docs, doc_id, text, k, percent, shared), "sets")
-    classes = sets.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    same = [F.first(c).alias(c) for c in ("last_f", "last_h", "prefix")]
+    classes = sets.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("doc_id"), *same)
+    full = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     members = materialize(sets.select("doc_id", "n", "sig_a", "sig_b"), "members")
+    classes = materialize(full.drop("prefix"), "classes")
     discard(sets)
 
-    entries = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    several = entries.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
-    index = entries.join(several.select("token"), "token")
+    # Counted by half of the hash, so that less is moved; a shingle whose half is shared by chance stays and does no harm.
+    entries = full.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+    half = entries.select(F.shiftright("token", 32).cast("int").alias("half"))
+    several = half.groupBy("half").agg(F.count("*").alias("g")).where("g > 1").select("half")
+    index = entries.join(several, F.shiftright("token", 32).cast("int") == F.col("half"), "left_semi")
     index = materialize(index, "index")
-    # `own`: the shingles of a class's prefix that no other class has in its prefix.
-    own = index.groupBy("cls").agg(F.count("*").alias("common"), F.first("n").alias("size")).select(
-        "cls", (F.expr(f"size - ceil({percent} * size / 100) + 1") - F.col("common")).cast("int").alias("own")
-    )
-    index = materialize(index.join(own, "cls"), "index")
-    wanted = classes.join(own.select("cls"), "cls", "left_semi").select("cls", "doc_id", "sig_a", "sig_b")
-    wanted = materialize(wanted, "wanted")
-    found = wanted_sets(docs, wanted.select("doc_id").distinct(), doc_id, text, k, shared)
+    discard(full)
+    sizes = index.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
+    index = index.join(sizes, "token")
+    # big: a class's prefix shingles in large buckets; own: those that no other class has in its prefix.
+    per = index.groupBy("cls").agg(F.count_if(F.col("g") > SMALL).alias("big"), F.count("*").alias("common"), F.first("n").alias("size"))
+    per = per.withColumn("own", (F.expr(f"size - ceil({percent} * size / 100) + 1") - F.col("common")).cast("int"))
+    index = index.join(per.select("cls", "big", "own"), "cls").join(classes.select("cls", "last_f", "last_h"), "cls")
+    index = materialize(index, "index")
+    small = materialize(_small_pairs(index, percent), "pairs")
+    large = materialize(index.where(F.col("g") > SMALL).select("token", "cls", "n", "pos", "own"), "large")
+    ids = small.select(F.col("a").alias("cls")).unionByName(small.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
+    wanted = materialize(classes.join(ids, "cls", "left_semi").select("cls", "doc_id", "sig_a", "sig_b"), "wanted")
+    found = wanted_sets(docs, wanted.select("doc_id").distinct(), doc_id, text, k)
     kept = found.join(wanted.select("cls", "sig_a", "sig_b"), ["sig_a", "sig_b"]).groupBy("cls").agg(F.first("s").alias("s"))
     kept = materialize(kept, "kept")
 
-    linked, labels = [], None
-    for step in range(3):
-        labelled = _with_labels(index, labels)
+    edges = materialize(verify(small, kept, percent), "links")
+    labels = materialize(components(edges), "labels")
+    some = large.limit(1).count() > 0
+    for step in range(3 if some else 0):
+        labelled = _with_labels(large, labels)
         if step == 0:
             pairs = _star(labelled.withColumn("seen", F.lit(False)), percent)
         elif step == 1:
@@ -318,10 +372,7 @@ def near_duplicates(
             pairs = _star(labelled.join(main, "token").withColumn("seen", F.col("label") == F.col("main")), percent)
         else:
             pairs = _rest(labelled, percent)
-        linked.append(materialize(verify(pairs, kept, percent), "links"))
-        edges = linked[0]
-        for more in linked[1:]:
-            edges = edges.unionByName(more)
+        edges = edges.unionByName(materialize(verify(pairs, kept, percent), "links"))
         labels = materialize(components(edges), "labels")
 
     of_class = classes.select("cls", "sig_a", "sig_b", "n", "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
