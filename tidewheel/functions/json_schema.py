@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 _KINDS = {"string": ("STRING",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once per row however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @dataclass(frozen=True)
 class JsonSchema:
     """Required keys, and the JSON type of properties. Unknown type names accept everything."""
@@ -21,9 +26,14 @@ class JsonSchema:
 
     def error(self, payload: Column) -> Column:
         """Null for a valid payload, else what is wrong. A null value is present, but fails a typed check."""
-        parsed = F.try_parse_json(payload)
+        facts = F.struct(
+            F.try_parse_json(payload).alias("parsed"),
+            F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")).alias("keys"),
+        )
+        return _let(facts, lambda f: self._error(f["parsed"], f["keys"]))
+
+    def _error(self, parsed: Column, keys: Column) -> Column:
         kind = F.schema_of_variant(parsed)
-        keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
         out = F.when(parsed.isNull(), F.lit("invalid json")).when(
             ~(kind.startswith("OBJECT") | (kind == "VOID")), F.lit("not an object")
         )
@@ -53,25 +63,27 @@ class FieldMapper:
 
     def upcast(self, payload: Column) -> Column:
         fields = F.from_json(F.to_json(F.try_parse_json(payload)), "map<string,variant>")
-        entries = F.map_entries(fields)
-        renamed = entries
-        if self.renames:
-            pairs = [F.lit(x) for kv in self.renames.items() for x in kv]
-            names = F.create_map(*pairs)
-            moved = F.filter(entries, lambda e: F.map_contains_key(names, e["key"]))
-            targets = F.transform(moved, lambda e: F.element_at(names, e["key"]))
-            kept = F.filter(entries, lambda e: ~F.map_contains_key(names, e["key"]) & ~F.array_contains(targets, e["key"]))
-            renamed = F.concat(kept, F.transform(moved, lambda e: F.struct(F.element_at(names, e["key"]).alias("key"), e["value"].alias("value"))))
+        return _let(F.map_entries(fields), lambda entries: _let(self._renamed(entries), self._completed))
+
+    def _renamed(self, entries: Column) -> Column:
+        if not self.renames:
+            return entries
+        names = F.create_map(*[F.lit(x) for kv in self.renames.items() for x in kv])
+        targets = F.transform(F.filter(entries, lambda e: F.map_contains_key(names, e["key"])), lambda e: F.element_at(names, e["key"]))
+        kept = F.filter(entries, lambda e: F.map_contains_key(names, e["key"]) | ~F.array_contains(targets, e["key"]))
+        return F.transform(kept, lambda e: F.struct(F.coalesce(F.try_element_at(names, e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
+
+    def _completed(self, renamed: Column) -> Column:
         out = renamed
         for key, value in self.defaults.items():
             missing = ~F.array_contains(F.transform(renamed, lambda e: e["key"]), key)
             extra = F.array(F.struct(F.lit(key).alias("key"), F.parse_json(F.lit(value)).alias("value")))
-            out = F.when(missing, F.concat(out, extra)).otherwise(out)
+            out = F.concat(out, F.when(missing, extra).otherwise(F.filter(extra, lambda e: F.lit(False))))
         if self.removals:
             out = F.filter(out, lambda e: ~e["key"].isin(*self.removals))
-        texts = F.transform(F.array_sort(F.transform(out, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))), lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), e["value"]))
-        texts = F.transform(texts, lambda t: F.regexp_replace(t, r"^\[(.*?)\]:", "$1:"))
-        return F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+        texts = F.transform(out, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value")))
+        quoted = F.transform(F.array_sort(texts), lambda e: F.concat(F.regexp_extract(F.to_json(F.array(e["key"])), r"^\[(.*)\]$", 1), F.lit(":"), e["value"]))
+        return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
 
 
 def upcast_to_latest(payload: Column, version: Column, steps: list[FieldMapper]) -> tuple[Column, Column]:
@@ -99,6 +111,22 @@ def decode_envelope(data: Column) -> Column:
     return F.when(got["version"].isNotNull() & got["payload"].isNotNull(), F.struct(got["version"].alias("version"), got["event"].alias("event"), F.to_json(got["payload"]).alias("payload")))
 
 
+def versioned_decode(data: Column, steps: list[FieldMapper], latest: JsonSchema) -> Column:
+    """struct(payload, version, error) of stored data: what is no envelope stays as it is; an envelope's payload is brought
+    to the last version and must then be valid."""
+
+    def judged(up: Column) -> Column:
+        found = F.coalesce(up["error"], latest.error(up["payload"]))
+        return _let(found, lambda e: F.struct(F.when(e.isNull(), up["payload"]).alias("payload"), F.lit(latest.version).alias("version"), e.alias("error")))
+
+    def opened(got: Column) -> Column:
+        out, error = upcast_to_latest(got["payload"], got["version"], steps)
+        raw = F.struct(data.alias("payload"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("error"))
+        return F.when(got.isNull(), raw).otherwise(_let(F.struct(out.alias("payload"), error.alias("error")), judged))
+
+    return _let(decode_envelope(data), opened)
+
+
 def encode_wire(row_id: Column, source: Column, payload: Column, retry_count: Column, metadata: Column | None = None) -> Column:
     """The JSON of a message on the wire; binary as base64, empty parts left out, no timestamp."""
     parts = [row_id.alias("id"), source.alias("source"), F.base64(payload).alias("payload")]

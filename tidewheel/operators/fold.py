@@ -100,6 +100,17 @@ def fixed_window(limit: int, window_us: int) -> Fold:
     return Fold((None, 0), step, gap_us=window_us)
 
 
+def fixed_window_remaining(limit: int, window_us: int) -> Fold:
+    """What the window allows after each row, 0 at least."""
+    inner = fixed_window(limit, window_us)
+
+    def step(state, t, ok):
+        state, _ = inner.step(state, t, ok)
+        return state, max(0, limit - state[1])
+
+    return Fold(inner.init, step, "bigint")
+
+
 def sliding_window(limit: int, window_us: int) -> Fold:
     """At most limit accepted rows in any window; only accepted ones are held."""
 

@@ -76,6 +76,14 @@ add(
         "r.s AS p_s, r.n AS p_n",
     ),
 )
+add(
+    "limiter_remaining", "subscriber", O.fixed_window_remaining(3, DAY),
+    _simple(
+        "subscriber", "NULL::BIGINT AS p_s, 0 AS p_n",
+        f"CASE WHEN p_s IS NULL OR t >= p_s + {DAY} THEN t ELSE p_s END AS s, CASE WHEN p_s IS NULL OR t >= p_s + {DAY} THEN 1 ELSE p_n + 1 END AS n, greatest(0, 3 - CASE WHEN p_s IS NULL OR t >= p_s + {DAY} THEN 1 ELSE p_n + 1 END)::BIGINT AS o",
+        "r.s AS p_s, r.n AS p_n",
+    ),
+)
 _KEPT = f"list_filter(p_l, lambda x: x > t - {DAY})"
 add(
     "fold_sliding_window", "subscriber", O.sliding_window(3, DAY),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..derive import view, with_views
 from ..functions import text as X
-from ..functions.json_schema import FieldMapper, JsonSchema, content_route, decode_envelope, decode_wire, encode_envelope, encode_wire, upcast_to_latest
+from ..functions.json_schema import FieldMapper, JsonSchema, content_route, decode_envelope, decode_wire, encode_envelope, encode_wire, upcast_to_latest, versioned_decode
 from ..operators import routing as R
 
 QUERIES: dict = {}
@@ -192,3 +192,30 @@ def _(m):
 def _(m):
     kind = F.when(F.col("seq") % 3 == 0, F.create_map(F.lit("Content-Type"), F.lit("application/json"))).when(F.col("seq") % 3 == 1, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("Content-Type"), F.lit("text/plain")))
     return m.groupBy(content_route(kind).alias("route")).agg(F.count("*").alias("n"))
+
+
+_LATEST = JsonSchema(3, "user", ("fullName", "email"), {"fullName": "string", "email": "string"})
+
+
+@query("versioned_decode", ("envelopes",), """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN payload WHEN version = 1 THEN concat('{"email":"unknown@example.com","fullName":"', json_extract_string(payload, '$.name'), '"}')
+ ELSE concat('{"email":"u@x.io","fullName":"', coalesce(json_extract_string(payload, '$.name'), json_extract_string(payload, '$.fullName')), '"}') END AS payload,
+ CASE WHEN event_id % 5 <> 0 THEN 3 END AS version, CAST(NULL AS VARCHAR) AS error FROM envelopes""")
+def _(e):
+    data = F.when(F.col("event_id") % 5 == 0, F.col("payload")).otherwise(encode_envelope(F.col("version"), F.lit("user"), F.col("payload")))
+    return e.select("event_id", versioned_decode(data, _STEPS, _LATEST).alias("d")).select("event_id", "d.payload", "d.version", "d.error")
+
+
+@query("schema_gating", ("messages",), """SELECT id, CASE event_name WHEN 'view' THEN true WHEN 'click' THEN false ELSE true END AS run_monitor, CASE event_name WHEN 'view' THEN false WHEN 'click' THEN true ELSE false END AS run_poison FROM messages""")
+def _(m):
+    from ..operators.pipeline import gated
+
+    schemas = m.sparkSession.createDataFrame([("view", 1, True, True, False), ("click", 2, False, False, True)], "name string, version int, enable_monitor boolean, enable_idempotency boolean, enable_poison boolean")
+    return gated(m.select("id", "event_name"), schemas, {"monitor": True}).select("id", "run_monitor", "run_poison")
+
+
+@query("outbox_routing", ("messages",), "SELECT CASE WHEN seq % 4 = 0 THEN 'outbox' ELSE 'transport' END AS target, count(*) AS n FROM messages GROUP BY 1")
+def _(m):
+    from ..sources.transport import outbox_split
+
+    inside, outside = outbox_split(m, F.col("seq") % 4 == 0)
+    return inside.agg(F.lit("outbox").alias("target"), F.count("*").alias("n")).unionByName(outside.agg(F.lit("transport").alias("target"), F.count("*").alias("n")))
