@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,19 +196,19 @@ def fit(rows: list[tuple[bytes, int]], counts: dict[int, int]) -> ToxicityModel
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, label: str, sample: int) -> tuple[list, dict[int, int]]:
     known = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id))
-    chosen = known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample)
+    # A top-k per class keeps at most `sample` rows of each task, so the larger class never meets in one.
+    hashed = known.withColumn("h", F.xxhash64(F.col(doc_id)))
+    chosen = [hashed.where(F.col("y") == y).orderBy("h", doc_id).limit(sample) for y in (0, 1)]
     rows = (
         docs.select(F.col(doc_id), F.col(text).alias("t"))
         .where(F.char_length("t") <= MAX_CHARS)
-        .join(F.broadcast(chosen), doc_id)  # at most 2 * sample ids
-        .select("rn", "y", doc_id, "t")
+        .join(F.broadcast(chosen[0].unionByName(chosen[1])), doc_id)  # at most 2 * sample ids
+        .select("h", "y", doc_id, "t")
         .collect()
     )
-    rows = sorted(rows, key=lambda r: (r["rn"], r["y"], r["t"]))
     per: Counter = Counter()
     out = []
-    for r in rows:  # repeated ids don't widen the bound
+    for r in sorted(rows, key=lambda r: (r["h"], r[doc_id], r["t"])):  # repeated ids don't widen the bound
         per[r["y"]] += 1
         if per[r["y"]] <= sample:
             out.append((r["t"].encode(), r["y"]))
