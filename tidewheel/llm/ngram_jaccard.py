@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, hash_texts, materialize, mix64, slices, text_bytes
@@ -145,8 +145,14 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix64(s ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (0x5BD1E995, 0xC2B2AE3D27D4EB4F))
 
 
+def _text_key(text: str) -> list[Column]:
+    """96 bits of a text; with doc_id, the key of a row."""
+    return [F.xxhash64(text).alias("text_a"), F.hash(text).alias("text_b")]
+
+
 def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, shared) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, last_f, last_h, prefix): prefix in rare-first order, and the rank of its last shingle."""
+    """(doc_id, text_a, text_b, n, sig_a, sig_b, last_f, last_h, prefix): the text's hashes, prefix in rare-first order, and
+    the rank of its last shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = shared.value
@@ -165,11 +171,11 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int,
                     last_h.append(int((s[order[-1]] ^ np.uint64(1 << 63)).view(np.int64)) if len(s) else 0)
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-                arrays = [part.column("id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(last_f, pa.int64()), pa.array(last_h, pa.int64()), flat]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sig_a", "sig_b", "last_f", "last_h", "prefix"])
+                arrays = [*(part.column(c) for c in ("id", "text_a", "text_b")), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(last_f, pa.int64()), pa.array(last_h, pa.int64()), flat]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_a", "text_b", "n", "sig_a", "sig_b", "last_f", "last_h", "prefix"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return source.mapInArrow(run, "doc_id long, n int, sig_a long, sig_b long, last_f long, last_h long, prefix array<long>")
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), *_text_key(text))
+    return source.mapInArrow(run, "doc_id long, text_a long, text_b int, n int, sig_a long, sig_b long, last_f long, last_h long, prefix array<long>")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -319,22 +325,32 @@ def _rest(index: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **given) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per row of docs."""
+    members, of_class = labelled_classes(docs, doc_id, text, **given)
+    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of_class = of_class.join(least, "label").select("sig_a", "sig_b", F.col("n").alias("n_set"), "component_id")
+    joined = members.join(of_class, (members.sig_a == of_class.sig_a) & (members.sig_b == of_class.sig_b) & (members.n == of_class.n_set), "left")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def labelled_classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     k: int = SHINGLE,
     percent: int = PERCENT,
     frequent: int = FREQUENT,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of docs."""
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_a, text_b, n, sig_a, sig_b), a row per row of docs, and (sig_a, sig_b, n, doc_id, label), a row per
+    class with its least doc_id; classes of one component have one label. Rows without shingles have no class."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequencies(docs, text, k, frequent, WORDS))
     sets = materialize(document_sets(docs, doc_id, text, k, percent, shared), "sets")
     same = [F.first(c).alias(c) for c in ("last_f", "last_h", "prefix")]
     classes = sets.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("doc_id"), *same)
     full = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    members = materialize(sets.select("doc_id", "n", "sig_a", "sig_b"), "members")
+    members = materialize(sets.select("doc_id", "text_a", "text_b", "n", "sig_a", "sig_b"), "members")
     classes = materialize(full.drop("prefix"), "classes")
     discard(sets)
 
@@ -376,19 +392,22 @@ def near_duplicates(
         labels = materialize(components(edges), "labels")
 
     of_class = classes.select("cls", "sig_a", "sig_b", "n", "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    of_class = of_class.withColumn("label", F.coalesce("label", "cls"))
-    least = of_class.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.join(least, "label").select("sig_a", "sig_b", F.col("n").alias("n_set"), "component_id")
-    joined = members.join(of_class, (members.sig_a == of_class.sig_a) & (members.sig_b == of_class.sig_b) & (members.n == of_class.n_set), "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return members, of_class.select("sig_a", "sig_b", "n", "doc_id", F.coalesce("label", "cls").alias("label"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **given) -> DataFrame:
-    """docs without the documents that another of their component stands for: the least doc_id stays, of equal ids the
-    row that is first by its text."""
-    found = near_duplicates(docs, doc_id, text, **given)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    name = "__kept"
-    stay = docs.join(kept.withColumnRenamed("doc_id", name), F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text), text))
-    return stay.withColumn(name, nth).where(f"{name} = 1").drop(name)
+    """docs without the rows that another of their component stands for: the row with the least doc_id stays (null is the
+    last), of equal ids the first by the text's hashes. Components are those of texts, so unlinked texts all stay, whether
+    their ids are null, repeated or neither. Of rows without shingles one of equal id and text stays."""
+    members, of_class = labelled_classes(docs, doc_id, text, **given)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    firsts = members.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min(key).alias("key"))
+    firsts = firsts.join(of_class.drop("doc_id"), ["sig_a", "sig_b", "n"]).groupBy("label").agg(F.min("key").alias("key"))
+    kept = firsts.select("key.*").unionByName(members.where("n = 0").select(key.alias("key")).select("key.*"))
+    names = ["__none", "__id", "__text_a", "__text_b"]
+    keys = lambda i: [i.isNull().alias(names[0]), F.coalesce(i.cast("long"), F.lit(0)).alias(names[1])]
+    kept = kept.select(*keys(F.col("doc_id")), F.col("text_a").alias(names[2]), F.col("text_b").alias(names[3])).distinct()
+    # Rows of one key become one within their tasks, before the shuffle.
+    rows = docs.select(*keys(F.col(doc_id)), *[c.alias(n) for c, n in zip(_text_key(text), names[2:])], F.struct(*docs.columns).alias("__row"))
+    rows = rows.groupBy(*names).agg(F.min("__row").alias("__row"))
+    return rows.join(kept, names, "left_semi").select("__row.*")
