@@ -7,8 +7,8 @@ words are an occurring window; items of fewer words count as a whole, and are fo
 any occurring window are hit. A word that no item has resets the automaton, so only runs of item words, at least as long
 as the shortest window, are walked; all other words cost one dictionary lookup.
 
-The operator then removes the hit spans of at least `min_span` words from the text, and drops documents of which more
-than `max_coverage` of the words are hit.
+The operator then removes the hit spans of at least `min_span` words from the text, and every whole item of fewer words,
+however short; and drops documents of which more than `max_coverage` of the words are hit.
 
 Items are dealt in shards of at most SHARD_WORDS words (one item at least) and each shard has an automaton of at most
 twice as many states. All of them are broadcast while the items together have at most BROADCAST_WORDS words; a larger
@@ -45,10 +45,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """A generalised suffix automaton over word numbers, with the items of each window."""
+    """A generalised suffix automaton over word numbers, with the items of each window. Items of fewer than
+    `min_span` words are also found as a whole."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, min_span: int = MIN_SPAN):
         self.window = window
+        self.limit = max(window, min_span)
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -103,7 +105,7 @@ class SuffixAutomaton:
                 state, length = self._step(state, length, w)
                 if length >= window:
                     self.owners.setdefault(self._window_state(state), set()).add(k)
-            if len(words) < window:
+            if len(words) < self.limit:
                 whole.setdefault(state, []).append((len(words), k))
         self.short: list[tuple[tuple[int, int], ...]] = [()] * n
         for s in sorted(range(n), key=self.length.__getitem__):
@@ -127,9 +129,10 @@ class SuffixAutomaton:
         state = edges[state].get(w, -1)
         return (state, length + 1) if state >= 0 else (0, 0)
 
-    def scan(self, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
-        """(hit words, numbers of the items with occurring windows) of a text, given its words' numbers."""
-        hit, found = np.zeros(len(ids) + 1, np.int64), set()
+    def scan(self, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """(hit words, words of whole short items, numbers of the items with occurring windows) of a text, given its
+        words' numbers."""
+        hit, short, found = np.zeros(len(ids) + 1, np.int64), np.zeros(len(ids) + 1, np.int64), set()
         inside = np.concatenate(([0], (ids >= 0).astype(np.int8), [0]))
         edges = np.flatnonzero(np.diff(inside))
         for a, b in edges.reshape(-1, 2)[np.diff(edges.reshape(-1, 2), axis=1)[:, 0] >= self.shortest]:
@@ -142,26 +145,27 @@ class SuffixAutomaton:
                     found |= self.owners.get(self._window_state(state), set())
                 for size, k in self.short[state]:
                     if size <= length:
-                        hit[pos + 1 - size] += 1
-                        hit[pos + 1] -= 1
+                        short[pos + 1 - size] += 1
+                        short[pos + 1] -= 1
                         found.add(k)
-        return np.cumsum(hit[:-1]) > 0, found
+        whole = np.cumsum(short[:-1]) > 0
+        return (np.cumsum(hit[:-1]) > 0) | whole, whole, found
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.vocab.get
         return np.array([get(w, -1) for w in words], np.int64)
 
 
-def automata(rows: list[tuple[str, bytes | None]], window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list[SuffixAutomaton]:
+def automata(rows: list[tuple[str, bytes | None]], window: int = WINDOW, shard_words: int = SHARD_WORDS, min_span: int = MIN_SPAN) -> list[SuffixAutomaton]:
     out, held, size = [], [], 0
     for name, text in rows:
         words = words_of(text or b"")
         if held and size + len(words) > shard_words:
-            out.append(SuffixAutomaton(held, window))
+            out.append(SuffixAutomaton(held, window, min_span))
             held, size = [], 0
         held.append((name, words))
         size += len(words)
-    return [*out, SuffixAutomaton(held, window)] if held else out
+    return [*out, SuffixAutomaton(held, window, min_span)] if held else out
 
 
 def hits_of(text: bytes, parts: list[SuffixAutomaton]) -> tuple[list[bytes], np.ndarray, list[str]]:
@@ -171,16 +175,20 @@ def hits_of(text: bytes, parts: list[SuffixAutomaton]) -> tuple[list[bytes], np.
     for automaton in parts:
         ids = automaton.numbers(words)
         if len(words) >= automaton.shortest and (ids >= 0).any():
-            more, found = automaton.scan(words, ids)
+            more, _, found = automaton.scan(words, ids)
             hit |= more
             items.update(automaton.items[k][0] for k in found)
     return words, hit, sorted(items)
 
 
-def remove_spans(text: str, words: list[bytes], hit: np.ndarray, min_span: int = MIN_SPAN) -> str:
-    """text without its hit spans of at least min_span words (and the gap up to the next word)."""
+def remove_spans(text: str, words: list[bytes], hit: np.ndarray, whole: np.ndarray, min_span: int = MIN_SPAN) -> str:
+    """text without its hit spans of at least min_span words and the words of whole short items (and the gap up to the
+    next word)."""
     if not hit.any():
         return text
+    gone, edges = whole.copy(), np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
+    for a, b in edges:
+        gone[a:b] |= b - a >= min_span
     raw = text.encode()
     clean = raw.translate(_WORD)
     starts, at = [], 0
@@ -189,12 +197,10 @@ def remove_spans(text: str, words: list[bytes], hit: np.ndarray, min_span: int =
         starts.append(at)
         at += len(w)
     starts.append(len(raw))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
     kept, at = [], 0
-    for a, b in edges:
-        if b - a >= min_span:
-            kept.append(raw[at : starts[a]])
-            at = starts[b]
+    for a, b in np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2):
+        kept.append(raw[at : starts[a]])
+        at = starts[b]
     return b"".join([*kept, raw[at:]]).decode()
 
 
@@ -225,7 +231,7 @@ def scan(
     with_clean: bool = True,
 ) -> DataFrame:
     """docs (or its columns `keep`) with a struct column `out`: n_words, n_hit, items (sorted ids) and clean (the text
-    without its hit spans; null without with_clean).
+    without its hit spans and whole short items; null without with_clean).
 
     A benchmark of several passes scans all passes within one map: a pass's automata follow the last one's, each broadcast
     on its own and dropped by the worker before the next is built, and the hits of a document are united."""
@@ -236,30 +242,31 @@ def scan(
     schema = T.StructType([*fields, T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = automata(passes[0].value, window) if len(passes) == 1 else None
+        held = automata(passes[0].value, window, min_span=min_span) if len(passes) == 1 else None
         for batch in batches:
             for part in slices(batch, text):
                 texts = list(text_bytes(part.column(text)))
                 found = [(words_of(t or b""), None, set()) for t in texts]
-                hits = [np.zeros(len(w), bool) for w, _, _ in found]
+                hits, wholes = ([np.zeros(len(w), bool) for w, _, _ in found] for _ in range(2))
                 for one in passes:
-                    parts = held if held is not None else automata(one.value, window)
+                    parts = held if held is not None else automata(one.value, window, min_span=min_span)
                     for n, (words, _, items) in enumerate(found):
                         for automaton in parts:
                             if len(words) >= automaton.shortest:
                                 ids = automaton.numbers(words)
                                 if (ids >= 0).any():
-                                    more, ks = automaton.scan(words, ids)
+                                    more, whole, ks = automaton.scan(words, ids)
                                     hits[n] |= more
+                                    wholes[n] |= whole
                                     items.update(automaton.items[k][0] for k in ks)
                 rows = [
                     {
                         "n_words": len(words),
                         "n_hit": int(hit.sum()),
                         "items": sorted(items),
-                        "clean": None if t is None or not with_clean else t.decode() if not items else remove_spans(t.decode(), words, hit, min_span),
+                        "clean": None if t is None or not with_clean else t.decode() if not items else remove_spans(t.decode(), words, hit, whole, min_span),
                     }
-                    for t, (words, _, items), hit in zip(texts, found, hits)
+                    for t, (words, _, items), hit, whole in zip(texts, found, hits, wholes)
                 ]
                 struct = pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean", pa.string())]))
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [struct], names=schema.fieldNames())
