@@ -1,10 +1,12 @@
-"""Toxicity: class-conditional Kneser-Ney models over the letters of words.
+"""Toxicity: class-conditional Kneser-Ney models over the letters of words, and discounted shares of whole words.
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary text, give every word a log-likelihood; a text is
 judged by the difference of the two, normalised by its length in words. Contexts stay inside a word, so insults are
 found in inflections that were never seen. Orders up to SHARED use counts pooled over both classes: a rare expression
-falls back to the same shared distribution in both, and so says nothing. A logistic curve, fitted on texts that the
-counts don't hold, turns the length-normalised difference into a score.
+falls back to the same shared distribution in both, and so says nothing. Letters alone miss the rarer languages, whose
+insults are made of common letter sequences; so whole words give a second difference, from the shares of each class's texts
+that hold them, with the same kind of shared back-off. A logistic curve, fitted on texts that the counts don't hold, turns
+the two length-normalised differences into a score.
 
 Training texts: at most SAMPLE documents of each class, first in hash order among the labelled ones for which `learn`
 holds, each of at most MAX_CHARS characters; that is the only bound, and it also bounds the model that is broadcast.
@@ -33,6 +35,10 @@ ORDER = 6
 SHARED = 2
 #: Log-likelihood (nats) by which a word must favour a class to count; noise of rare letters stays below it.
 MARGIN = 3.0
+#: The same for whole words; the texts that a word needs, and the part of all texts that a word's share of both weighs.
+WORD_MARGIN = 1.0
+WORD_TEXTS = 3
+BACKOFF = 0.3
 SAMPLE = 3000
 #: Neutral words added to a text's length, so that one odd word doesn't decide a very short text.
 PRIOR_WORDS = 20
@@ -109,11 +115,29 @@ class KneserNey:
         return p
 
 
+def word_differences(toxic: Counter, ordinary: Counter, texts: tuple[int, int]) -> dict[bytes, float]:
+    """What a whole word adds to the word difference: the log-ratio of its shares of the toxic and the ordinary texts (of
+    which there are `texts`), each discounted by one and backed off to its share of both, beyond WORD_MARGIN. Words of
+    fewer than WORD_TEXTS texts say nothing."""
+    out, (n_toxic, n_ordinary) = {}, texts
+    for word in toxic.keys() | ordinary.keys():
+        t, c = toxic[word], ordinary[word]
+        if t + c < WORD_TEXTS:
+            continue
+        prior = BACKOFF * (t + c)
+        weight = BACKOFF * (n_toxic + n_ordinary)
+        x = math.log((max(t - 1, 0) + prior) / (n_toxic + weight)) - math.log((max(c - 1, 0) + prior) / (n_ordinary + weight))
+        if abs(x) > WORD_MARGIN:
+            out[word] = math.copysign(abs(x) - WORD_MARGIN, x)
+    return out
+
+
 class ToxicityModel:
-    def __init__(self, toxic: Counter, ordinary: Counter):
+    def __init__(self, toxic: Counter, ordinary: Counter, whole: dict[bytes, float] | None = None):
         shared = toxic + ordinary
+        self.whole = whole or {}
         self.models = (KneserNey(toxic, shared), KneserNey(ordinary, shared))
-        self.slope, self.offset = 1.0, 0.0
+        self.slopes, self.offset = (1.0, 1.0), 0.0
         self._grams: dict[bytes, float] = {}
         self._words: dict[bytes, float] = {}
 
@@ -142,36 +166,36 @@ class ToxicityModel:
         self._words[word] = x
         return x
 
-    def difference(self, text: bytes | None) -> tuple[float, int]:
-        """(toxic less ordinary log-likelihood by length in words, the number of words)."""
+    def differences(self, text: bytes | None) -> tuple[float, float]:
+        """Toxic less ordinary log-likelihood by length in words, of letters and of whole words, within BOUNDS."""
         words = words_of(text or b"")
-        if not words:
-            return 0.0, 0
-        known, score = self._words, self._counted
-        total = 0.0
+        known, score, whole = self._words, self._counted, self.whole
+        letters = total = 0.0
         for w in words:
             s = known.get(w)
-            total += score(w) if s is None else s
-        return total / (len(words) + PRIOR_WORDS), len(words)
+            letters += score(w) if s is None else s
+            total += whole.get(w, 0.0)
+        size = len(words) + PRIOR_WORDS
+        return tuple(min(max(x / size, BOUNDS[0]), BOUNDS[1]) for x in (letters, total))
 
     def calibrate(self, texts: list[bytes], labels: list[int], weights: list[float]) -> None:
-        """Weighted logistic regression of the label on the difference, by Newton's method."""
-        x = np.clip([self.difference(t)[0] for t in texts], *BOUNDS)
+        """Weighted logistic regression of the label on the differences, by Newton's method."""
+        x = np.array([self.differences(t) for t in texts])
         y, w = np.array(labels, float), np.array(weights)
-        scale = x.std() or 1.0
-        a = np.stack([x / scale, np.ones_like(x)], axis=1)
-        beta = np.array([1.0, math.log(max(1e-9, (w * y).sum()) / max(1e-9, (w * (1 - y)).sum()))])
-        ridge = np.diag([1e-3, 1e-6]) * w.sum()
+        scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+        a = np.concatenate((x / scale, np.ones((len(x), 1))), axis=1)
+        beta = np.array([1.0, 1.0, math.log(max(1e-9, (w * y).sum()) / max(1e-9, (w * (1 - y)).sum()))])
+        ridge = np.diag([1e-3, 1e-3, 1e-6]) * w.sum()
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
             step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (w * (y - p)) - ridge @ beta)
             beta = beta + np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-9:
                 break
-        self.slope, self.offset = beta[0] / scale, beta[1]
+        self.slopes, self.offset = tuple(beta[:2] / scale), beta[2]
 
     def score(self, text: bytes | None) -> float:
-        z = self.slope * min(max(self.difference(text)[0], BOUNDS[0]), BOUNDS[1]) + self.offset
+        z = sum(a * x for a, x in zip(self.slopes, self.differences(text))) + self.offset
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -179,17 +203,27 @@ def fit(rows: list[tuple[bytes, int]], counts: dict[int, int]) -> ToxicityModel
     """A model of (text, label) rows in a fixed order; counts: labelled rows of each class in the corpus. Every fifth
     text calibrates, the others are counted."""
     words: tuple[Counter, Counter] = (Counter(), Counter())
+    texts: tuple[Counter, Counter] = (Counter(), Counter())
+    seen: Counter = Counter()
     held: list[tuple[bytes, int]] = []
     for n, (text, label) in enumerate(rows):
         if n % 5 == 4:
             held.append((text, label))
         else:
-            words[label].update(words_of(text))
+            found = words_of(text)
+            words[label].update(found)
+            texts[label].update(set(found))
+            seen[label] += 1
     if not words[0] or not words[1] or len({y for _, y in held}) < 2:
         return None
-    model = ToxicityModel(words[1], words[0])
+    model = ToxicityModel(words[1], words[0], word_differences(texts[1], texts[0], (seen[1], seen[0])))
     taken = Counter(y for _, y in held)
     model.calibrate([t for t, _ in held], [y for _, y in held], [counts[y] / taken[y] / sum(counts.values()) for _, y in held])
+    # With the curve fitted, the calibration texts' words count too: a rare language has no texts to spare.
+    for text, label in held:
+        texts[label].update(set(words_of(text)))
+        seen[label] += 1
+    model.whole = word_differences(texts[1], texts[0], (seen[1], seen[0]))
     return model
 
 
