@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -26,14 +27,36 @@ def build_session(name: str = "tidewheel", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; local sessions without that setting get a folder of their own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode without it, an own one."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        given = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidewheel-"))
-    return f"{given.rstrip('/')}/tidewheel/{name}-{uuid.uuid4().hex}"
+    if given:
+        return given.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tidewheel-")
+    return _own[app]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that clashes with none of taken, whatever its case."""
+    low = {c.lower() for c in taken}
+    while base.lower() in low:
+        base += "_"
+    return base
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
