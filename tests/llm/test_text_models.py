@@ -117,11 +117,31 @@ def test_url_edges(spark):
     rows = [(1, "HTTP://WWW.Example.ORG/en/1?x"), (2, None), (3, "no scheme"), (4, "a://b://c/d"), (5, "x://spam-farm.net/"), (6, "x://spam-farm.com/fr/"), (7, "x://h?p/q"), (8, ""), (5, "x://spam-farm.net/"), (9, "x://com/de/")]
     pages = spark.createDataFrame([(i, u, "h") for i, u in rows], "page_id bigint, url string, host string")
     want = {1: ("www.example.org", "/en/1", "example.org/en/1", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("b:", "//c/d", None, "allow"), 5: ("spam-farm.net", "/", None, "block"), 6: ("spam-farm.com", "/fr/", "com/fr/", "allow"), 7: ("h", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("com", "/de/", "com/de/", "block")}
+    listed = spark.createDataFrame([("Spam-Farm.net",), ("spam-farm.com",), ("m-farm.net",), (None,)], "host string")
     for limit in (1 << 20, 0):  # broadcast, and the way beyond the limit
-        for r in url_filter.url_filter(pages, broadcast_limit=limit, shard_keys=3).collect():
+        rows = url_filter.url_filter(pages, listed, broadcast_limit=limit, shard_keys=3).collect()
+        assert len(rows) == 10
+        for r in rows:
             f = r["filter"]
             assert (f["host"], f["path"], f["rule"], f["verdict"]) == want[r["page_id"]], r
-    assert url_filter.url_filter(pages.limit(0)).count() == 0
+        assert url_filter.url_filter(pages.limit(0), listed, broadcast_limit=limit).count() == 0
+        assert not any(r["filter"]["listed"] for r in url_filter.url_filter(pages, listed.limit(0), broadcast_limit=limit).collect())
+
+
+def test_list_membership_equals_a_join(spark):
+    """Random hosts and lists, subdomains included, against plain Python; hot hosts and both ways."""
+    rng = np.random.default_rng(4)
+    names = [".".join(rng.choice(list("abcdef"), rng.integers(1, 5))) for _ in range(400)]
+    urls = [f"http://{names[i]}/p" for i in rng.integers(0, 400, 1500)] + ["http://a.b/hot"] * 800
+    listed = [names[i] for i in rng.integers(0, 400, 60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").repartition(5)
+    table_ = spark.createDataFrame([(h,) for h in listed], "name string")
+    for limit in (1 << 20, 0):
+        found = url_filter.url_filter(pages, table_, host="name", rules=(), broadcast_limit=limit, shard_keys=50)
+        for r in found.collect():
+            host = r["url"][7:].split("/")[0]
+            want = any(host == x or host.endswith("." + x) for x in listed)
+            assert (r["filter"]["listed"], r["filter"]["verdict"]) == (want, "block" if want else "allow"), r
 
 
 def test_tree_equals_counting_anew():

@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import column, free_name, shared_path as fresh_path, table  # noqa: F401
 
 #: White space of the word contracts: \x20 and \x09-\x0D, which is also what bytes.split() splits on.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode without it, an own one."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="tidewheel-")
-    return _own_dirs[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
-
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage, and a lost executor loses nothing of it."""
@@ -52,29 +30,37 @@ def fold_of(doc_id: Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def free_name(base: str, taken: list[str]) -> str:
-    """A column name that clashes with none of taken, whatever its case."""
-    low = {c.lower() for c in taken}
-    while base.lower() in low:
-        base += "_"
-    return base
+def others(docs: DataFrame, outputs: list[str], keep: list[str] | None = None) -> list[T.StructField]:
+    """The fields of docs (or those named in keep) that no output replaces; names are compared without case, as Spark does."""
+    gone, kept = {o.lower() for o in outputs}, None if keep is None else {k.lower() for k in keep}
+    return [f for f in docs.schema.fields if f.name.lower() not in gone and (kept is None or f.name.lower() in kept)]
+
+
+def columns_of(fields: list[T.StructField]) -> list[Column]:
+    return [column(f.name) for f in fields]
+
+
+def carried(docs: DataFrame, text: str, fields: list[T.StructField]) -> tuple[DataFrame, list[int]]:
+    """(text and the fields, text first and each column once; the fields' places in that)."""
+    names = [text, *[f.name for f in fields if f.name != text]]
+    return docs.select(*map(column, names)), [names.index(f.name) for f in fields]
 
 
-def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
+def text_bytes(texts: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of an Arrow string column, without decoding them."""
-    if pa.types.is_string(column.type):
-        column = column.cast(pa.binary())
-    elif pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_binary())
-    yield from column.to_pylist()
+    if pa.types.is_string(texts.type):
+        texts = texts.cast(pa.binary())
+    elif pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.large_binary())
+    yield from texts.to_pylist()
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int = 0, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of batch in pieces of about `most` bytes of text (one row at least), so that memory is bounded
     by that and the longest text."""
-    column = batch.column(text)
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column.cast(kind)), 0).to_numpy(zero_copy_only=False)
+    texts = batch.column(text)
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts.cast(kind)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(sizes):

@@ -6,14 +6,17 @@ filter is max-pooled over the window, rectified, and a softmax layer maps the po
 probabilities are the mean of its windows' weighted by their bytes; consecutive windows overlap by the widest filter
 less one, so every position of a whole text is seen, once.
 
-Training rows: at most SAMPLE_PER_LANG documents of each of the MAX_LANGS languages first in hash order, each with
-one WINDOW * 2 character piece at a hashed position. That bound is the only sample; prediction covers all rows.
+Training rows: at most SAMPLE_PER_LANG documents of each of the MAX_LANGS languages with the most rows, first by hash;
+of each a piece of PIECE characters at a hashed position anywhere in the text. That sample is bounded by these three
+parameters and taken without a window: counts by language, a hash threshold for each, and a cut of the few rows left.
+Prediction covers all rows and whole texts.
 Inference is a scan and a batched map, without a shuffle. Memory: a slice of texts (4 MB or one text) and blocks of
 windows.
 
 Null text, or text without a letter, is `und` with score 0. An empty table, or one without labelled rows, gives `und`
-everywhere. Repeated rows are predicted one by one; ties go to the language first in code point order. Extra columns
-stay.
+everywhere. Repeated rows are predicted one by one (in training, rows of one id and piece are one); ties go to the
+language first in code point order. Extra columns stay; one named like an output, in whatever case, is replaced by it.
+Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -22,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import carried, column, free_name, others, slices, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE_PER_LANG = 600
 MAX_LANGS = 64
+PIECE = 2 * WINDOW
 UNKNOWN = "und"
 BLOCK = 64
 _STEP = WINDOW - max(WIDTHS) + 1
@@ -149,27 +153,37 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def training_sample(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_lang: int, max_langs: int) -> list:
-    """The bounded sample: rows of each language first by hash; the row limit is applied before the shuffle too."""
-    piece = F.expr(
-        f"substring(`{text}`, cast(pmod(xxhash64(1, `{doc_id}`), greatest(char_length(`{text}`) - {WINDOW}, 1)) as int) + 1, {2 * WINDOW})"
-    )
-    rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), piece.alias("piece"), F.xxhash64(F.lit(2), F.col(doc_id)).alias("h")
-    )
-    rows = rows.where(F.col("piece").rlike(r"\p{L}"))
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("rn") <= per_lang)
-    return ranked.orderBy("rn", "lang").limit(per_lang * max_langs).collect()
-
-
-def fit(rows: list) -> ByteConvNet | None:
-    rows = sorted(rows, key=lambda r: (r["lang"], r["rn"]))
-    langs = sorted({r["lang"] for r in rows})
+def training_sample(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_lang: int, max_langs: int) -> list[tuple[str, str]]:
+    """(language, piece), in hash order within a language. A language's rows pass if their hash lies under a threshold that
+    lets somewhat more than per_lang through; these, a bounded number, are cut on the driver."""
+    known = docs.select(column(lang).alias("lang"), column(text).alias("t"), column(doc_id).alias("id"), learn.alias("learn"))
+    known = known.where("learn and lang is not null and t is not null").where(F.col("t").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not counts:
+        return []
+    share = {r["lang"]: min(1.0, (per_lang + 6 * per_lang**0.5 + 20) / r["n"]) for r in counts}
+    names, shares = F.array(*map(F.lit, share)), F.array(*map(F.lit, share.values()))
+    under = F.coalesce(F.get(shares, (F.array_position(names, F.col("lang")) - 1).cast("int")), F.lit(0.0))
+    piece = F.expr(f"substring(t, cast(pmod(xxhash64(1, id), greatest(char_length(t) - {WINDOW}, 1)) as int) + 1, {PIECE})")
+    hashed = known.withColumn("h", F.xxhash64(F.lit(2), F.col("id")))
+    few = hashed.where(F.pmod("h", F.lit(1 << 30)) < under * (1 << 30)).select("lang", "h", piece.alias("piece"))
+    few = few.where(F.col("piece").rlike(r"\p{L}")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))  # a repeated id is one
+    taken: dict[str, int] = {}
+    out = []
+    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["h"] % (1 << 30), r["h"])):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= per_lang:
+            out.append((r["lang"], r["piece"]))
+    return out
+
+
+def fit(rows: list[tuple[str, str]]) -> ByteConvNet | None:
+    langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     net = ByteConvNet(langs)
-    windows, owner, sizes = windows_of([r["piece"].encode().lower() for r in rows])
-    labels = np.array([langs.index(r["lang"]) for r in rows])[owner]
+    windows, owner, sizes = windows_of([piece.encode().lower() for _, piece in rows])
+    labels = np.array([langs.index(lang) for lang, _ in rows])[owner]
     keep = (sizes >= WINDOW // 2) | (np.diff(owner, prepend=-1) > 0)
     net.train(windows[keep], labels[keep])
     return net
@@ -192,25 +206,24 @@ def detect(
     which `learn` holds."""
     net = fit(training_sample(docs if train_docs is None else train_docs, learn, doc_id, text, lang, per_lang, max_langs))
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    fields = [f for f in docs.schema.fields if f.name not in (pred, score) and (keep is None or f.name in keep)]
+    fields = others(docs, [pred, score], keep)
     schema = T.StructType([*fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    frame, places = carried(docs, text, fields)
+    letters = F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False))
+    frame = frame.withColumn(free_name("letters", frame.columns), letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, text):
-                letters = part.column("__letters").to_pylist()
+            for part in slices(batch):
                 names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                rows = [i for i, x in enumerate(letters) if x and model is not None]
+                rows = [i for i, x in enumerate(part.column(part.num_columns - 1).to_pylist()) if x and model is not None]
                 if rows:
-                    column = part.column(text).take(pa.array(rows))
-                    best, value = model.predict(list(text_bytes(column)))
+                    best, value = model.predict(list(text_bytes(part.column(0).take(pa.array(rows)))))
                     for i, b in zip(rows, best):
                         names[i] = model.langs[b]
                     scores[rows] = value
-                arrays = [part.column(f.name) for f in fields] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                arrays = [part.column(i) for i in places] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    needed = docs.select(text, *[f.name for f in fields if f.name != text])
-    marked = needed.withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return marked.mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)

@@ -6,7 +6,8 @@ n_repeat_words, the words in 3-word windows found twice or more in the text, the
 
 Every count is an array expression within the row, so the plan is one scan and one projection: no shuffle, and a
 row's cost is n log n in its words (one sort of primitive longs). A null text has no words and fails. An empty table
-gives an empty result; extra input columns are ignored; repeated rows are judged one by one.
+gives an empty result; repeated rows are judged one by one. Extra columns stay; one named like the output, in whatever case, is
+replaced by it.
 
 Windows are compared by 64-bit hashes of three 64-bit word hashes. Sorting needs hash and position together; they are
 packed in one long (40 bits of hash, 23 of position), and every pair of neighbours with equal 40 bits is compared by
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, columns_of, free_name, others
+
 #: Frequent function words of the four languages that the rules know.
 STOP_WORDS = (
     "the of and to in is it that for on with as was at by be this from are have "
@@ -148,9 +151,8 @@ def verdict(c: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, Column]
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "quality") -> DataFrame:
     """docs with a struct column `out`: the counts, base_failed, failed_rules and kept."""
-    c = F.col("__counts")
+    held = free_name("counts", [*docs.columns, out])
+    c = column(held)
     base, failed = verdict(c, rules)
-    return docs.withColumn("__counts", counts(F.col(text))).withColumn(
-        out,
-        F.struct(*[c[f].alias(f) for f in COUNTS], base.alias("base_failed"), failed.alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept")),
-    ).drop("__counts")
+    judged = F.struct(*[c[f].alias(f) for f in COUNTS], base.alias("base_failed"), failed.alias("failed_rules"), (~base & (F.size(failed) == 0)).alias("kept"))
+    return docs.withColumn(held, counts(column(text))).select(*columns_of(others(docs, [out])), judged.alias(out))

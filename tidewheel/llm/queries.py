@@ -9,6 +9,14 @@ from . import decontamination, language_id, lm_scoring, mixture, ngram_jaccard,
 from .common import fold_of, table
 
 
+#: The block list of the registered query: hosts, each with its subdomains.
+LISTED_HOSTS = tuple(
+    f"{name}.example.{top}"
+    for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for top in ("com", "net", "org")
+)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -34,7 +42,8 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
+    listed = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "host string")
+    found = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
     return found.select("page_id", *[F.col(f"filter.{n}").alias(n) for n in ("host", "path", "rule", "verdict")])
 
 
@@ -108,7 +117,7 @@ def _rule_case(value: str) -> str:
     return f"CASE {fits} END"
 
 
-_LISTED = " OR ".join(f"list_contains(string_split(host, '.'), '{x}')" for x in url_filter.LISTED_LABELS)
+_LIST = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
 
 ORACLE_SQL = {
     "op2_quality_rules": rf"""
@@ -132,8 +141,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     "op4_url_filter": rf"""
 WITH h AS (SELECT page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+b(name) AS (VALUES {_LIST}),
+l AS (SELECT DISTINCT host AS listed FROM h JOIN b ON host = name OR ends_with(host, '.' || name)),
 r AS (SELECT *, {_rule_case("name")} AS rule, {_rule_case("verdict")} AS ruled FROM h)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN {_LISTED} THEN 'block' ELSE 'allow' END) AS verdict FROM r
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN l ON host = listed
 """,
     "op8_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

@@ -11,17 +11,19 @@ so a repeated attempt leaves the same file. A task holds a batch of documents an
 row per shard, gives the tokens before each shard; shards ascend with doc_id. Files lie in the folder that driver and
 executors share, through pyarrow's file systems.
 
-Encoding is that of the tokenizers library, add_special_tokens=False. Words between white space never share a token
-here (the tokenizer's pre-tokens end at white space), so each distinct word is encoded once per worker and its bytes are
-kept, at most CACHE of them. Words of ASCII and plain Latin letters go to the library's model by pre-token; all others
-through its whole pipeline.
+Encoding is the tokenizers library's own, add_special_tokens=False. Where the tokenizer's file says that pre-tokens never
+hold white space (`cuts_at_space`), words between ASCII white space never share a token, so each distinct word goes through
+the library's whole pipeline once per worker and its ids are kept, at most CACHE words; for any other tokenizer whole texts
+go through it.
 
 Null text counts as empty: only the end token. Null ids come first. Equal ids are ordered by text hash and text. An
-empty table gives no shard and an empty result. Extra columns are ignored.
+empty table gives no shard and an empty result. Extra columns are ignored. Ids are integers (others must be cast before).
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,73 +36,75 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, slices, text_bytes
+from .common import column, fresh_path, materialize, slices, text_bytes
 
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 64
 END_ID = 1
 CACHE = 1_000_000
-SHARD_BYTES = 16 << 20
-MAX_SHARDS = 10_000
+SHARD_BYTES = 64 << 20
 TOKENIZER = "word_bpe_49k.json"
 
-_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įı-ɏ]+")
-_PIECES = re.compile("[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ɏ]+")
+#: Steps of a tokenizer's file that keep white space where it is.
+_KEEP_SPACE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
 
 
-def byte_letters() -> list[str]:
-    """The printable stand-in of each byte in byte-level BPE: itself if printable Latin-1, else the next from U+0100."""
-    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in kept else next(spare)) for b in range(256)]
+def cuts_at_space(spec: dict) -> bool:
+    """Whether a tokenizer (its file's JSON) certainly treats words between ASCII white space one by one: the normaliser
+    leaves white space white, and the first pre-tokenizer drops it."""
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    for step in steps(spec.get("normalizer"), "normalizers"):
+        to_space = step["type"] == "Replace" and step["pattern"].get("Regex") == r"\s+" and step["content"] == " "
+        if step["type"] not in _KEEP_SPACE and not to_space:
+            return False
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or []):
+        return False
+    first = next(iter(steps(spec.get("pre_tokenizer"), "pretokenizers")), None)
+    if first is None or spec.get("post_processor") is not None:
+        return False
+    if first["type"] == "Split":
+        # Only what the pattern matches is kept, and no alternative of it can match white space.
+        kept = first["behavior"] == "Removed" and first["invert"]
+        parts = [r"\[\^\\s[^\]]*\]\+?", r"\[?\\p\{[LN]\}\]?\+?", r"'[a-z]+"]
+        return kept and re.fullmatch("|".join([f"(?:(?:{'|'.join(parts)})\\|?)+"]), first["pattern"].get("Regex", "")) is not None
+    return first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
 
 
 class WordEncoder:
-    """ids of a text as little-endian uint32 bytes; the same as tokenizer.encode(text, add_special_tokens=False)."""
+    """ids of texts as little-endian uint32 bytes; the same as tokenizer.encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
+        with open(path, encoding="utf-8") as f:
+            self.by_word = cuts_at_space(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = cache
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.letters = byte_letters()
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            form = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(form)], "<u4").tobytes()
-            if len(self.pieces) >= self.cache:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            low = text.lower()
-            return b"".join([self._piece(p) for p in _PIECES.findall(low)])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) >= self.cache:
-            known.clear()
-        out = []
-        for w in words:
-            got = known.get(w)
-            if got is None:
-                got = self._word(w)
-                if len(known) < self.cache or w in known:
-                    known[w] = got
-            out.append(got)
-        return b"".join(out)
+
+    def _library(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            return self._library(texts)
+        if len(self.words) >= self.cache:
+            self.words.clear()
+        known, split = self.words, [t.split() for t in texts]
+        fresh = list({w for words in split for w in words if w not in known})
+        room = self.cache - len(known)
+        extra: dict[bytes, bytes] = {}
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            (known if at + len(part) <= room else extra).update(zip(part, self._library(part)))
+        if extra:
+            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -219,11 +223,11 @@ def write_tokens(
     """Writes docs as shards; gives the manifest (shard, path, n_docs, n_tokens), a row per shard."""
     spark = docs.sparkSession
     out = directory or fresh_path(spark, "tokens")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = int(min(MAX_SHARDS, max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))))
+    size = docs.agg(F.sum(F.octet_length(column(text)))).first()[0] or 0
+    shards = int(max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES)))
     tie = F.xxhash64(F.col("t"))
     dealt = (
-        docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+        docs.select(column(doc_id).cast("long").alias("id"), column(text).alias("t"))
         .withColumn("tie", tie)
         .repartitionByRange(shards, "id", "tie")
         .sortWithinPartitions("id", "tie", "t")
@@ -243,8 +247,9 @@ def write_tokens(
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     sinks = [fs.open_output_stream(f"{at}.{attempt}{x}") for x in (".arrow", ".index.arrow")]
                     writer = ShardWriter(*sinks, seq_len, vocabulary=max(end_id + 1, encoder.tokenizer.get_vocab_size()))
-                for i, t in zip(part.column("id").to_pylist(), text_bytes(part.column("t"))):
-                    writer.add(i, np.frombuffer(encoder.encode(t or b"") + end, "<u4"))
+                texts = [t or b"" for t in text_bytes(part.column("t"))]
+                for i, ids in zip(part.column("id").to_pylist(), encoder.encode(texts)):
+                    writer.add(i, np.frombuffer(ids + end, "<u4"))
                     n += 1
         if writer is None:
             return
@@ -266,7 +271,7 @@ def write_tokens(
 def read_tokens(spark: SparkSession, manifest: DataFrame, digest: bool = True) -> DataFrame:
     """The documents of the shards, read back: doc_id, start (tokens before it), n_tokens, ids_crc32 and, without
     `digest`, ids (array of long)."""
-    rows = manifest.orderBy("shard").collect()  # a row per shard, MAX_SHARDS at most
+    rows = manifest.orderBy("shard").collect()  # some 100 bytes for each SHARD_BYTES of text
     before, parts = 0, []
     for r in rows:
         parts.append((r["path"], before))

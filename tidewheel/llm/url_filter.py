@@ -5,14 +5,19 @@ level 1 one of the universe's other keys that level 0 accepts; level 2 one of th
 and so on until a level has no false positives. A key is listed if the first level that rejects it is odd, or, if none
 does, if the number of levels is odd. Every key of the universe is answered exactly, without a join.
 
-Here keys are hosts and the universe is every distinct host of the corpus, by one aggregation (a hot host is one row
-per task). The universe is cut in shards by key hash, sized so that one shard has about SHARD_KEYS keys, and each shard's
-cascade is built in its own group; a cascade takes about ten bits per listed key and a few per falsely accepted one.
-The packed cascades are broadcast only after their total size was summed and found at most BROADCAST_LIMIT bytes;
-beyond it, pages are dealt by (shard, salt) and each page meets its shard's cascade in a cogroup with the salted copy.
-
-Null urls, or urls without `://`, have an empty host and path; the empty host is listed only if the list has it.
-Repeated rows are judged one by one; an empty table gives an empty result.
+Here keys are hosts, and the list is a table: `listed` has a host a row, which stands for itself and all its subdomains.
+The universe is every distinct host of the corpus, by one aggregation (a hot host is one row per task). It is marked by the
+list at the scale of distinct hosts, where each host meets the list with its parent domains, and cut in shards by key hash,
+sized so that one has about SHARD_KEYS keys; each shard's cascade is built in its own group. A cascade takes about ten bits
+per listed key and a few per falsely accepted one.
+The packed cascades are broadcast only after their total size was summed and found at most `broadcast_limit` bytes. Beyond
+it, each shard's distinct hosts meet their cascade in a cogroup, and the listed ones among them are joined to the pages, of
+which only host and key columns are wide; a hot host's pages are split by adaptive execution.
+
+Null urls, or urls without `://`, have an empty host and path; the empty host is listed only if the list has it. Null rows
+of the list are ignored, and its hosts compare in lower case (A-Z). An empty list blocks nothing by membership. Repeated
+rows are judged one by one; an empty table gives an empty result. Extra columns stay; one named like the output, in
+whatever case, is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,11 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, free_name, materialize, others
 
 SHARD_KEYS = 1 << 18
 BROADCAST_LIMIT = 64 << 20
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -46,7 +50,7 @@ class UrlRule:
         return self.host + self.path
 
 
-#: The rules of the contract, and the labels of listed hosts.
+#: The rules of the contract.
 RULES = (
     UrlRule("allow", "org", "/"),
     UrlRule("block", "example.org", "/es/"),
@@ -54,12 +58,15 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-LISTED_LABELS = ("spam-farm", "cheap-pills")
+
+
+def lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def host_of(url: Column) -> Column:
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lower(rest)
 
 
 def path_of(url: Column) -> Column:
@@ -146,66 +153,78 @@ def cascades(universe: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(build, "shard int, level int, hashes int, bits binary")
 
 
+def marked_hosts(hosts: DataFrame, listed: DataFrame, host: str = "host") -> DataFrame:
+    """(key, listed) of distinct keys: listed if the key or a parent domain of it is a row of the list."""
+    labels = F.split("key", "\\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = listed.select(lower(column(host)).alias("name")).where("name is not null").distinct()
+    found = hosts.select("key", F.explode(parents).alias("name")).join(names, "name", "left_semi").select("key")
+    return hosts.withColumn("listed", F.lit(False)).unionByName(found.withColumn("listed", F.lit(True))).groupBy("key").agg(F.max("listed").alias("listed"))
+
+
 def url_filter(
     pages: DataFrame,
+    listed: DataFrame,
     url: str = "url",
+    host: str = "host",
     rules: Iterable[UrlRule] = RULES,
-    labels: tuple[str, ...] = LISTED_LABELS,
     out: str = "filter",
     broadcast_limit: int = BROADCAST_LIMIT,
     shard_keys: int = SHARD_KEYS,
 ) -> DataFrame:
-    """pages with a struct column `out`: host, path, rule, listed and verdict (allow or block)."""
+    """pages with a struct column `out`: host, path, rule, listed and verdict (allow or block). listed: the block list, its
+    hosts in the column `host`."""
     spark = pages.sparkSession
-    host = host_of(F.col(url))
-    listed = F.exists(F.split("key", "\\."), lambda x: x.isin(*labels))
-    universe = pages.select(host.alias("key")).groupBy("key").agg(listed.alias("listed"))
-    universe = materialize(universe, "hosts")
+    universe = materialize(marked_hosts(pages.select(host_of(column(url)).alias("key")).distinct(), listed, host), "hosts")
     shards = max(1, math.ceil(universe.count() / shard_keys))
     tables = materialize(cascades(universe, shards), "cascades")
     total = tables.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    kind = pages.withColumn("__host", host).schema
-    fields = [c for c in pages.columns if c != out]
-    with_host = pages.withColumn("__host", host).withColumn("__shard", F.pmod(F.xxhash64("__host"), F.lit(shards)).cast("int"))
+    fields = [f.name for f in others(pages, [out])]
+    key, shard, member_of = (free_name(n, [*pages.columns, out]) for n in ("host_key", "host_shard", "host_listed"))
+    dealt = pages.withColumn(key, host_of(column(url)))
 
     if total <= broadcast_limit:
         held: dict[int, list] = {}
         for r in tables.collect():
-            held.setdefault(r["shard"], []).append(r)
-        shared = spark.sparkContext.broadcast({k: [r.asDict() for r in v] for k, v in held.items()})
+            held.setdefault(r["shard"], []).append(r.asDict())
+        shared = spark.sparkContext.broadcast(held)
 
         @F.pandas_udf("boolean")
         def member(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             levels = {k: unpack(v) for k, v in shared.value.items()}
-            for hosts, shard in parts:
-                keys = [k.encode() for k in hosts]
-                found = np.zeros(len(keys), bool)
-                for s in shard.unique():
-                    at = np.flatnonzero(shard.to_numpy() == s)
-                    found[at] = in_cascade(levels.get(int(s), []), [keys[i] for i in at])
-                yield pd.Series(found)
-
-        marked = with_host.withColumn("__listed", member("__host", "__shard"))
+            for hosts, places in parts:
+                names, inverse = np.unique(hosts.to_numpy(), return_inverse=True)
+                place = np.zeros(len(names), np.int64)
+                place[inverse] = places.to_numpy()
+                found = np.zeros(len(names), bool)
+                for s in np.unique(place):
+                    at = np.flatnonzero(place == s)
+                    found[at] = in_cascade(levels.get(int(s), []), [names[i].encode() for i in at])
+                yield pd.Series(found[inverse])
+
+        dealt = dealt.withColumn(shard, F.pmod(F.xxhash64(column(key)), F.lit(shards)).cast("int"))
+        marked = dealt.withColumn(member_of, member(column(key), column(shard)))
     else:
-        salted = with_host.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), F.col(url)), F.lit(SALTS)).cast("int"))
-        copied = tables.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
         def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-            found = in_cascade(unpack(right.select(["level", "hashes", "bits"]).to_pylist()), [k.encode() for k in left["__host"].to_pylist()])
-            return left.drop_columns(["__salt", "__shard"]).append_column("__listed", pa.array(found))
+            keys = left["key"].combine_chunks()
+            found = in_cascade(unpack(right.select(["level", "hashes", "bits"]).to_pylist()), [k.encode() for k in keys.to_pylist()])
+            return pa.table({key: keys.filter(pa.array(found, pa.bool_()))})
 
-        schema = kind.add("__listed", "boolean")
-        marked = salted.groupBy("__shard", "__salt").cogroup(copied.groupBy("shard", "__salt")).applyInArrow(judge, schema)
+        sharded = universe.select("key", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+        blocked = sharded.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(judge, f"`{key}` string")
+        marked = dealt.join(blocked.withColumn(member_of, F.lit(True)), key, "left")
 
-    path = path_of(F.col(url))
-    rule, ruled = rule_of(F.col("__host"), path, rules)
+    path = path_of(column(url))
+    rule, ruled = rule_of(column(key), path, rules)
+    on_list = F.coalesce(column(member_of), F.lit(False))
     return marked.select(
-        *fields,
+        *map(column, fields),
         F.struct(
-            F.col("__host").alias("host"),
+            column(key).alias("host"),
             path.alias("path"),
             rule.alias("rule"),
-            F.col("__listed").alias("listed"),
-            F.coalesce(ruled, F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"),
+            on_list.alias("listed"),
+            F.coalesce(ruled, F.when(on_list, "block").otherwise("allow")).alias("verdict"),
         ).alias(out),
     )
