@@ -1,26 +1,33 @@
-"""Toxicity: class-conditional Kneser-Ney models over the letters of words, and discounted shares of whole words.
+"""Toxicity: class-conditional Kneser-Ney models over the letters of words, and over whole words and pairs of words.
 
 Two interpolated Kneser-Ney models, one of toxic and one of ordinary text, give every word a log-likelihood; a text is
-judged by the difference of the two, normalised by its length in words. Contexts stay inside a word, so insults are
+judged by the difference of the two, normalised by its length in words. Letter contexts stay inside a word, so insults are
 found in inflections that were never seen. Orders up to SHARED use counts pooled over both classes: a rare expression
-falls back to the same shared distribution in both, and so says nothing. Letters alone miss the rarer languages, whose
-insults are made of common letter sequences; so whole words give a second difference, from the shares of each class's texts
-that hold them, with the same kind of shared back-off. A logistic curve, fitted on texts that the counts don't hold, turns
-the two length-normalised differences into a score.
+falls back to the same shared distribution in both, and so says nothing. Letters alone miss insults made of common letter
+sequences; so whole words give a second difference and pairs of neighbouring words a third, from the shares of each class's
+texts that hold them, discounted by one and backed off to the shared share. A logistic curve, fitted on texts that the
+counts don't hold, turns the length-normalised differences into a score.
 
-Training texts: at most SAMPLE documents of each class, first in hash order among the labelled ones for which `learn`
-holds, each of at most MAX_CHARS characters; that is the only bound, and it also bounds the model that is broadcast.
-Scoring is one scan and a batched map over whole texts, without a shuffle; a worker keeps at most CACHE word scores.
+Noise of rare letters and words adds up in long texts, so a word counts only beyond a margin, and neutral words are added
+to a text's length, so that one odd word doesn't decide a very short text. Both are learned: of the grid MARGINS x
+WORD_MARGINS x PRIORS the point with the least cross-validated log loss on the calibration texts is taken.
+
+Training texts: at most SAMPLE different (id, text) rows of each class, first in hash order among the labelled ones for
+which `learn` holds, whole, however long. That row bound is the only one; it also bounds the model that is broadcast.
+Their words are counted where they lie, so no text reaches the driver; every fifth text calibrates. Scoring is one scan and
+a batched map over whole texts, without a shuffle; a worker keeps at most CACHE word scores.
 
 Words are the runs of ASCII letters, digits and all other code points beyond ASCII, in lower case (A-Z). A null or empty
-text, or one without words, has a difference of 0 and gets the score of that. Without labelled rows of both classes the
-score is 0 everywhere. Repeated rows are scored one by one; of repeated labels the greatest counts; extra columns stay.
+text, or one without words, has differences of 0 and gets the score of that. Without labelled rows of both classes in the
+counted and in the calibrating part the score is 0 everywhere. Repeated rows are scored one by one; of repeated labels the
+greatest counts; extra columns stay, but one named like the output, in whatever case, is replaced by it.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,24 +36,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import carried, column, others, slices, text_bytes
 
 ORDER = 6
 SHARED = 2
-#: Log-likelihood (nats) by which a word must favour a class to count; noise of rare letters stays below it.
-MARGIN = 3.0
-#: The same for whole words; the texts that a word needs, and the part of all texts that a word's share of both weighs.
-WORD_MARGIN = 1.0
+#: Log-likelihoods (nats) by which a word's letters, and a whole word or pair, may have to favour a class to count.
+MARGINS = (0.0, 1.0, 2.0, 3.0, 4.0)
+WORD_MARGINS = (0.0, 0.5, 1.0, 2.0)
+#: Neutral words that may be added to a text's length.
+PRIORS = (1, 5, 20, 50)
+#: The texts that a whole word or pair needs, and the part of all texts that its share of both classes weighs.
 WORD_TEXTS = 3
 BACKOFF = 0.3
 SAMPLE = 3000
-#: Neutral words added to a text's length, so that one odd word doesn't decide a very short text.
-PRIOR_WORDS = 20
-MAX_CHARS = 20_000
 CACHE = 1 << 20
 THRESHOLD = 0.3
-#: Differences beyond these say no more than the bounds; a few odd texts so don't bend the curve.
-BOUNDS = (-0.2, 1.0)
 _ALNUM = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
 )
@@ -56,197 +60,312 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_ALNUM).split()
 
 
-def _padded(word: bytes) -> bytes:
-    return b" " + word + b" "
+class Grams:
+    """The grams of padded words. A gram of up to 7 bytes is a number: its bytes, the last one lowest."""
+
+    def __init__(self, words: list[bytes]):
+        data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.uint64)
+        lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        self.word = np.repeat(np.arange(len(words)), lengths)
+        self.place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.keys = [np.zeros(len(data), np.uint64), data]  # keys[n]: the n bytes that end here
+        for n in range(1, ORDER):
+            back = np.concatenate((np.zeros(n, np.uint64), data[:-n])) if len(data) > n else np.zeros(len(data), np.uint64)
+            self.keys.append(self.keys[-1] | (back << np.uint64(8 * n)))
+
+    def at(self, order: int) -> np.ndarray:
+        """Places with a gram of that order: not before the word's pad, and not the pad itself."""
+        return np.flatnonzero((self.place >= max(1, order - 1)))
+
+
+class Sorted:
+    """Sums of weights by key."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray | None = None):
+        self.keys, inverse = np.unique(keys, return_inverse=True)
+        self.sums = np.bincount(inverse, weights, len(self.keys)).astype(np.float32)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.sums[at], 0).astype(np.float64)
 
 
 class KneserNey:
     """Interpolated Kneser-Ney over bytes: raw counts at the highest order, continuation counts below, one discount an
-    order. `shared` has the grams of both classes; orders up to SHARED are counted in it."""
+    order. `shared` has the words of both classes; orders up to SHARED are counted in it."""
 
     def __init__(self, words: Counter, shared: Counter):
-        self.top: list[dict[bytes, float]] = []
-        self.total: list[dict[bytes, float]] = []
-        self.kinds: list[dict[bytes, int]] = []
+        self.grams: list[Sorted] = []
+        self.total: list[Sorted] = []
+        self.kinds: list[Sorted] = []
         self.discount: list[float] = []
+        own, pooled = Grams(list(words)), Grams(list(shared))
+        counts = np.fromiter(words.values(), np.float64, len(words))
         for order in range(1, ORDER + 1):
-            counts = self._counts(shared if order <= SHARED else words, order)
-            total: dict[bytes, float] = defaultdict(float)
-            kinds: dict[bytes, int] = defaultdict(int)
-            for gram, c in counts.items():
-                total[gram[:-1]] += c
-                kinds[gram[:-1]] += 1
-            once = sum(c == 1 for c in counts.values())
-            twice = sum(c == 2 for c in counts.values())
-            self.top.append(dict(counts))
-            self.total.append(dict(total))
-            self.kinds.append(dict(kinds))
+            g = pooled if order <= SHARED else own
+            at = g.at(order)
+            if order == ORDER:
+                grams = Sorted(g.keys[order][at], counts[g.word[at]])
+            else:
+                # Distinct left neighbours; the start of a word is one of its own, and no gram of a pad alone occurs.
+                first = g.place[at] == order - 1
+                left = np.where(first, g.keys[order][at], g.keys[order + 1][at])
+                distinct = np.unique(np.stack([g.keys[order][at], left, first.astype(np.uint64)], 1), axis=0) if len(at) else np.zeros((0, 3), np.uint64)
+                grams = Sorted(distinct[:, 0])
+            once, twice = int((grams.sums == 1).sum()), int((grams.sums == 2).sum())
+            self.grams.append(grams)
+            self.total.append(Sorted(grams.keys >> np.uint64(8), grams.sums))
+            self.kinds.append(Sorted(grams.keys >> np.uint64(8)))
             self.discount.append(min(0.95, max(0.3, once / (once + 2 * twice))) if once else 0.5)
 
-    @staticmethod
-    def _counts(words: Counter, order: int) -> Counter:
-        out: Counter = Counter()
-        if order == ORDER:
-            for word, c in words.items():
-                p = _padded(word)
-                for i in range(1, len(p)):
-                    if i >= order - 1:
-                        out[p[i - order + 1 : i + 1]] += c
-            return out
-        left: set[bytes] = set()
-        for word in words:
-            p = _padded(word)
-            for i in range(1, len(p)):
-                if i >= order - 1:
-                    left.add(p[max(0, i - order) : i + 1])
-        for gram in left:
-            out[gram[-order:]] += 1
-        return out
-
-    def probability(self, context: bytes, byte: bytes) -> float:
-        p = 1 / 256
-        for order in range(1, min(ORDER, len(context) + 1) + 1):
-            h = context[len(context) - order + 1 :]
-            total = self.total[order - 1].get(h)
-            if total is None:
-                break
+    def probabilities(self, keys: list[np.ndarray], longest: np.ndarray) -> np.ndarray:
+        """Of the last byte of grams, given the bytes before: keys[n] are their last n bytes, longest how many there are."""
+        p = np.full(len(longest), 1 / 256)
+        open_ = np.ones(len(longest), bool)
+        for order in range(1, ORDER + 1):
+            context = keys[order] >> np.uint64(8)
+            total = self.total[order - 1](context)
+            open_ &= (longest >= order) & (total > 0)
             d = self.discount[order - 1]
-            p = (max(self.top[order - 1].get(h + byte, 0) - d, 0) + d * self.kinds[order - 1][h] * p) / total
+            top = np.maximum(self.grams[order - 1](keys[order]) - d, 0) + d * self.kinds[order - 1](context) * p
+            p = np.where(open_, top / np.maximum(total, 1e-9), p)
         return p
 
+    def probability(self, context: bytes, byte: bytes) -> float:
+        """Of one byte after a context that starts with a word's pad."""
+        g = (context + byte)[-ORDER:]
+        keys = [np.array([int.from_bytes(g[len(g) - min(n, len(g)) :], "big")], np.uint64) for n in range(ORDER + 1)]
+        return float(self.probabilities(keys, np.array([len(g)]))[0])
+
 
-def word_differences(toxic: Counter, ordinary: Counter, texts: tuple[int, int]) -> dict[bytes, float]:
-    """What a whole word adds to the word difference: the log-ratio of its shares of the toxic and the ordinary texts (of
-    which there are `texts`), each discounted by one and backed off to its share of both, beyond WORD_MARGIN. Words of
-    fewer than WORD_TEXTS texts say nothing."""
+def differences_by_share(toxic: Counter, ordinary: Counter, texts: tuple[int, int]) -> dict:
+    """What a word or pair adds to its difference: the log-ratio of its shares of the toxic and the ordinary texts (of
+    which there are `texts`), each discounted by one and backed off to its share of both. What fewer than WORD_TEXTS texts
+    hold says nothing."""
     out, (n_toxic, n_ordinary) = {}, texts
-    for word in toxic.keys() | ordinary.keys():
-        t, c = toxic[word], ordinary[word]
-        if t + c < WORD_TEXTS:
-            continue
-        prior = BACKOFF * (t + c)
-        weight = BACKOFF * (n_toxic + n_ordinary)
-        x = math.log((max(t - 1, 0) + prior) / (n_toxic + weight)) - math.log((max(c - 1, 0) + prior) / (n_ordinary + weight))
-        if abs(x) > WORD_MARGIN:
-            out[word] = math.copysign(abs(x) - WORD_MARGIN, x)
+    weight = BACKOFF * (n_toxic + n_ordinary)
+    for key in toxic.keys() | ordinary.keys():
+        t, c = toxic[key], ordinary[key]
+        if t + c >= WORD_TEXTS:
+            prior = BACKOFF * (t + c)
+            out[key] = math.log((max(t - 1, 0) + prior) / (n_toxic + weight)) - math.log((max(c - 1, 0) + prior) / (n_ordinary + weight))
     return out
 
 
+def beyond(x: np.ndarray | float, margin: float):
+    return np.sign(x) * np.maximum(np.abs(x) - margin, 0.0)
+
+
 class ToxicityModel:
-    def __init__(self, toxic: Counter, ordinary: Counter, whole: dict[bytes, float] | None = None):
+    """Letters, whole words and pairs of words; margins, prior and curve are set by calibrate."""
+
+    def __init__(self, toxic: Counter, ordinary: Counter, words: dict[bytes, float] | None = None, pairs: dict[bytes, float] | None = None):
         shared = toxic + ordinary
-        self.whole = whole or {}
         self.models = (KneserNey(toxic, shared), KneserNey(ordinary, shared))
-        self.slopes, self.offset = (1.0, 1.0), 0.0
-        self._grams: dict[bytes, float] = {}
-        self._words: dict[bytes, float] = {}
+        self.words, self.pairs = words or {}, pairs or {}
+        self.margin, self.word_margin, self.prior = 0.0, 0.0, 1
+        self.slopes, self.offset = np.ones(3), 0.0
+        self._reset()
+
+    def _reset(self) -> None:
+        self._known: dict[bytes, float] = {}
+        self._whole: tuple[dict, dict, set] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_grams": {}, "_words": {}}
-
-    def _word(self, word: bytes) -> float:
-        p, total = _padded(word), 0.0
-        for i in range(1, len(p)):
-            gram = p[max(0, i - ORDER + 1) : i + 1]
-            part = self._grams.get(gram)
-            if part is None:
-                toxic, ordinary = (m.probability(gram[:-1], gram[-1:]) for m in self.models)
-                if len(self._grams) >= CACHE:
-                    self._grams.clear()
-                part = self._grams[gram] = math.log(toxic / ordinary)
-            total += part
-        return total
-
-    def _counted(self, word: bytes) -> float:
-        """A word's difference beyond MARGIN; within it the two models don't tell classes apart, only samples."""
-        x = self._word(word)
-        x = math.copysign(max(abs(x) - MARGIN, 0.0), x)
-        if len(self._words) >= CACHE:
-            self._words.clear()
-        self._words[word] = x
-        return x
-
-    def differences(self, text: bytes | None) -> tuple[float, float]:
-        """Toxic less ordinary log-likelihood by length in words, of letters and of whole words, within BOUNDS."""
-        words = words_of(text or b"")
-        known, score, whole = self._words, self._counted, self.whole
-        letters = total = 0.0
-        for w in words:
-            s = known.get(w)
-            letters += score(w) if s is None else s
-            total += whole.get(w, 0.0)
-        size = len(words) + PRIOR_WORDS
-        return tuple(min(max(x / size, BOUNDS[0]), BOUNDS[1]) for x in (letters, total))
-
-    def calibrate(self, texts: list[bytes], labels: list[int], weights: list[float]) -> None:
-        """Weighted logistic regression of the label on the differences, by Newton's method."""
-        x = np.array([self.differences(t) for t in texts])
+        return self.__dict__ | {"_known": {}, "_whole": None}
+
+    def letters(self, words: list[bytes]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word by its letters."""
+        g = Grams(words)
+        at = g.at(1)
+        longest = np.minimum(g.place[at] + 1, ORDER)
+        full = np.where(longest < ORDER, g.keys[ORDER][at] & ((np.uint64(1) << (longest.astype(np.uint64) * np.uint64(8))) - np.uint64(1)), g.keys[ORDER][at])
+        distinct, first, inverse = np.unique(full | (longest.astype(np.uint64) << np.uint64(56)), return_index=True, return_inverse=True)
+        places, sizes = at[first], longest[first]
+        keys = [g.keys[n][places] for n in range(ORDER + 1)]
+        toxic, ordinary = (m.probabilities(keys, sizes) for m in self.models)
+        return np.bincount(g.word[at], np.log(toxic / ordinary)[inverse], len(words))
+
+    def _ready(self) -> tuple[dict, dict, set]:
+        """Words and pairs that count at the margin chosen."""
+        if self._whole is None:
+            words, pairs = ({k: float(beyond(v, self.word_margin)) for k, v in d.items() if abs(v) > self.word_margin} for d in (self.words, self.pairs))
+            self._whole = words, pairs, {p.split(b" ")[0] for p in pairs}
+        return self._whole
+
+    def differences(self, texts: list[bytes | None]) -> np.ndarray:
+        """(letters, words, pairs) by length in words, of each text."""
+        split = [words_of(t or b"") for t in texts]
+        if len(self._known) > CACHE:
+            self._known.clear()
+        known, (whole, pairs, starts) = self._known, self._ready()
+        fresh = list({w for words in split for w in words if w not in known})
+        for at in range(0, len(fresh), 50_000):
+            part = fresh[at : at + 50_000]
+            known.update(zip(part, beyond(self.letters(part), self.margin).tolist()))
+        out = np.zeros((len(texts), 3))
+        for n, words in enumerate(split):
+            both = sum(pairs.get(words[i] + b" " + words[i + 1], 0.0) for i in range(len(words) - 1) if words[i] in starts) if starts else 0.0
+            out[n] = sum(map(known.__getitem__, words)), sum(whole.get(w, 0.0) for w in words), both
+            out[n] /= len(words) + self.prior
+        return out
+
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        z = self.differences(texts) @ self.slopes + self.offset
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def grid(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[float], list[float], list[float]]]:
+        """(words, letters by MARGINS, whole words and pairs by WORD_MARGINS) of each text, not normalised."""
+        for t in texts:
+            words = words_of(t or b"")
+            counts = Counter(words)
+            x, c = self.letters(list(counts)) if counts else np.zeros(0), np.fromiter(counts.values(), float, len(counts))
+            sums = [[float((beyond(x, m) * c).sum()) for m in MARGINS]]
+            for d, keys in ((self.words, words), (self.pairs, [a + b" " + b for a, b in zip(words, words[1:])])):
+                v = np.array([d[k] for k in keys if k in d])
+                sums.append([float(beyond(v, m).sum()) for m in WORD_MARGINS])
+            yield len(words), *sums
+
+    def calibrate(self, rows: list[tuple[int, list[float], list[float], list[float]]], labels: list[int], weights: list[float]) -> None:
+        """Picks margins and prior by three-fold cross-validated log loss, and fits the curve there."""
         y, w = np.array(labels, float), np.array(weights)
-        scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-        a = np.concatenate((x / scale, np.ones((len(x), 1))), axis=1)
-        beta = np.array([1.0, 1.0, math.log(max(1e-9, (w * y).sum()) / max(1e-9, (w * (1 - y)).sum()))])
-        ridge = np.diag([1e-3, 1e-3, 1e-6]) * w.sum()
+        size = np.array([r[0] for r in rows], float)
+        tables = [np.array([r[k] for r in rows]) for k in (1, 2, 3)]
+        part = np.arange(len(y)) % 3
+        best = None
+        for (a, _), (b, _), prior in itertools.product(enumerate(MARGINS), enumerate(WORD_MARGINS), PRIORS):
+            x = np.stack([tables[0][:, a], tables[1][:, b], tables[2][:, b]], 1) / (size + prior)[:, None]
+            loss = 0.0
+            for k in range(3):
+                inside = part != k
+                z = np.clip(_curve_values(x[~inside], *_curve(x[inside], y[inside], w[inside])), -30, 30)
+                loss += float((w[~inside] * (np.log1p(np.exp(z)) - y[~inside] * z)).sum())
+            if best is None or loss < best[0] - 1e-12:
+                best = loss, MARGINS[a], WORD_MARGINS[b], prior, x
+        _, self.margin, self.word_margin, self.prior, x = best
+        self.slopes, self.offset = _curve(x, y, w)
+        self._reset()
+
+
+def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """(slopes, offset) of a weighted logistic regression, by Newton's method with a small ridge. Slopes aren't negative,
+    as a difference that favours a class can't speak against it: a column that would have one is left out."""
+    spread = x.std(axis=0)
+    use = np.flatnonzero(spread > 1e-4)
+    while True:
+        a = np.concatenate((x[:, use] / spread[use], np.ones((len(x), 1))), axis=1)
+        beta = np.zeros(a.shape[1])
+        beta[-1] = math.log(max(1e-9, (w * y).sum()) / max(1e-9, (w * (1 - y)).sum()))
+        ridge = np.diag([1e-3] * len(use) + [1e-6]) * w.sum()
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
             step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (w * (y - p)) - ridge @ beta)
             beta = beta + np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-9:
+            if np.abs(step).max() < 1e-7:
                 break
-        self.slopes, self.offset = tuple(beta[:2] / scale), beta[2]
-
-    def score(self, text: bytes | None) -> float:
-        z = sum(a * x for a, x in zip(self.slopes, self.differences(text))) + self.offset
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-
-
-def fit(rows: list[tuple[bytes, int]], counts: dict[int, int]) -> ToxicityModel | None:
-    """A model of (text, label) rows in a fixed order; counts: labelled rows of each class in the corpus. Every fifth
-    text calibrates, the others are counted."""
-    words: tuple[Counter, Counter] = (Counter(), Counter())
-    texts: tuple[Counter, Counter] = (Counter(), Counter())
-    seen: Counter = Counter()
-    held: list[tuple[bytes, int]] = []
-    for n, (text, label) in enumerate(rows):
-        if n % 5 == 4:
-            held.append((text, label))
-        else:
-            found = words_of(text)
-            words[label].update(found)
-            texts[label].update(set(found))
-            seen[label] += 1
-    if not words[0] or not words[1] or len({y for _, y in held}) < 2:
-        return None
-    model = ToxicityModel(words[1], words[0], word_differences(texts[1], texts[0], (seen[1], seen[0])))
-    taken = Counter(y for _, y in held)
-    model.calibrate([t for t, _ in held], [y for _, y in held], [counts[y] / taken[y] / sum(counts.values()) for _, y in held])
-    # With the curve fitted, the calibration texts' words count too: a rare language has no texts to spare.
-    for text, label in held:
-        texts[label].update(set(words_of(text)))
-        seen[label] += 1
-    model.whole = word_differences(texts[1], texts[0], (seen[1], seen[0]))
-    return model
+        if not len(use) or beta[:-1].min() >= 0:
+            slopes = np.zeros(x.shape[1])
+            slopes[use] = beta[:-1] / spread[use]
+            return slopes, float(beta[-1])
+        use = np.delete(use, beta[:-1].argmin())
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, label: str, sample: int) -> tuple[list, dict[int, int]]:
-    known = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).cast("int").alias("y"))
+def _curve_values(x: np.ndarray, slopes: np.ndarray, offset: float) -> np.ndarray:
+    return x @ slopes + offset
+
+
+def sampled_rows(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str, text: str, label: str, sample: int) -> tuple[DataFrame | None, dict[int, int]]:
+    """((t, y, held) of the training rows, labelled ids of each class). The rows are chosen by slim keys, at most `sample` of
+    a class; a top-k per class keeps that many rows of each task, so the larger class never meets in one."""
+    known = labels.where(learn & column(label).isin(0, 1) & column(doc_id).isNotNull())
+    known = known.groupBy(column(doc_id).alias("id")).agg(F.max(column(label)).cast("int").alias("y")).withColumn("h", F.xxhash64("id"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # A top-k per class keeps at most `sample` rows of each task, so the larger class never meets in one.
-    hashed = known.withColumn("h", F.xxhash64(F.col(doc_id)))
-    chosen = [hashed.where(F.col("y") == y).orderBy("h", doc_id).limit(sample) for y in (0, 1)]
-    rows = (
-        docs.select(F.col(doc_id), F.col(text).alias("t"))
-        .where(F.char_length("t") <= MAX_CHARS)
-        .join(F.broadcast(chosen[0].unionByName(chosen[1])), doc_id)  # at most 2 * sample ids
-        .select("h", "y", doc_id, "t")
-        .collect()
-    )
-    per: Counter = Counter()
-    out = []
-    for r in sorted(rows, key=lambda r: (r["h"], r[doc_id], r["t"])):  # repeated ids don't widen the bound
-        per[r["y"]] += 1
-        if per[r["y"]] <= sample:
-            out.append((r["t"].encode(), r["y"]))
-    return out, counts
+    ids = [known.where(F.col("y") == y).orderBy("h", "id").limit(sample) for y in (0, 1)]
+    texts = docs.select(column(doc_id).alias("id"), column(text).alias("t")).withColumn("key", F.xxhash64("t"))
+    keys = texts.drop("t").join(F.broadcast(ids[0].unionByName(ids[1])), "id").distinct()  # at most 2 * sample ids
+    chosen = []
+    for y in (0, 1):
+        rows = keys.where(F.col("y") == y).orderBy("h", "id", "key").limit(sample).collect()
+        chosen += [(r["id"], r["key"], y, n % 5 == 4) for n, r in enumerate(rows)]
+    if not chosen:
+        return None, counts
+    kind = T.StructType([T.StructField("id", known.schema["id"].dataType), *T.StructType.fromDDL("key long, y int, held boolean").fields])
+    picked = docs.sparkSession.createDataFrame(chosen, kind)
+    return texts.join(F.broadcast(picked), ["id", "key"]).select("t", "y", "held"), counts
+
+
+def counted(rows: DataFrame) -> tuple[list, list, dict]:
+    """((word, y, held, occurrences, texts), (pair, y, held, texts) of pairs in WORD_TEXTS texts or more, texts by (y, held)).
+    As many words as `sample` texts hold reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                seen: dict = {}
+                for t, y, held in zip(text_bytes(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    words = words_of(t or b"")
+                    for kind, counts in ((0, Counter(words)), (1, Counter(a + b" " + b for a, b in zip(words, words[1:]))), (2, Counter([b""]))):
+                        for k, c in counts.items():
+                            got = seen.setdefault((kind, k, y, held), [0, 0])
+                            got[0] += c
+                            got[1] += 1
+                keys, sums = zip(*seen) if seen else ((),) * 4, zip(*seen.values()) if seen else ((),) * 2
+                arrays = [pa.array(c, k) for c, k in zip([*keys, *sums], (pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "k", "y", "held", "c", "n"])
+
+    found = rows.mapInArrow(run, "kind int, k binary, y int, held boolean, c long, n long")
+    found = found.groupBy("kind", "k", "y", "held").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    several = found.where("kind = 1").groupBy("k").agg(F.collect_list(F.struct("y", "held", "n")).alias("g"), F.sum("n").alias("n"))
+    pairs = several.where(F.col("n") >= WORD_TEXTS).select("k", F.inline("g"))
+    words = [(bytes(r["k"]), r["y"], r["held"], r["c"], r["n"]) for r in found.where("kind = 0").collect()]
+    texts = {(r["y"], r["held"]): r["n"] for r in found.where("kind = 2").collect()}
+    return sorted(words), sorted((bytes(r["k"]), r["y"], r["held"], r["n"]) for r in pairs.collect()), texts
+
+
+def fit(rows: DataFrame | None, counts: dict[int, int], sample: int = SAMPLE) -> ToxicityModel | None:
+    """A model of training rows (t, y, held); counts: labelled rows of each class in the corpus."""
+    if rows is None:
+        return None
+    words, pairs, texts = counted(rows)
+
+    def shares(found: list, all_texts: bool) -> dict:
+        per: tuple[Counter, Counter] = (Counter(), Counter())
+        for k, y, held, *_, n in found:
+            if all_texts or not held:
+                per[y][k] += n
+        seen = [sum(n for (y, held), n in texts.items() if y == label and (all_texts or not held)) for label in (1, 0)]
+        return differences_by_share(per[1], per[0], tuple(seen))
+
+    own: tuple[Counter, Counter] = (Counter(), Counter())
+    for k, y, held, c, _ in words:
+        if not held:
+            own[y][k] += c
+    if not own[0] or not own[1] or not all(texts.get((y, True)) for y in (0, 1)):
+        return None
+    model = ToxicityModel(own[1], own[0], shares(words, False), shares(pairs, False))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                columns = zip(*shared.value.grid(list(text_bytes(part.column(0)))))
+                kinds = (pa.int64(), *[pa.list_(pa.float64())] * 3)
+                arrays = [part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)], part.column(2)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["y", "size", "letters", "words", "pairs", "h"])
+
+    kind = "y int, size long, letters array<double>, words array<double>, pairs array<double>, h long"
+    held = rows.where("held").select("t", "y", F.xxhash64("t").alias("h")).mapInArrow(run, kind).distinct()
+    held = held.orderBy("h", "y", "size").limit(2 * sample).collect()
+    taken = Counter(r["y"] for r in held)
+    if len(taken) == 2:
+        weights = [counts[r["y"]] / taken[r["y"]] / sum(counts.values()) for r in held]
+        model.calibrate([(r["size"], r["letters"], r["words"], r["pairs"]) for r in held], [r["y"] for r in held], weights)
+    # With the curve fitted, the calibration texts' words count too: a rare language has no texts to spare.
+    model.words, model.pairs = shares(words, True), shares(pairs, True)
+    model._reset()
+    return model
 
 
 def score_toxicity(
@@ -261,16 +380,17 @@ def score_toxicity(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs (or its columns `keep`) with the column `out`; learns from the labels for which `learn` (of the labels' columns) holds."""
-    model = fit(*training_sample(docs, labels, learn, doc_id, text, label, sample))
+    model = fit(*sampled_rows(docs, labels, learn, doc_id, text, label, sample), sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name != out and (keep is None or f.name in keep)]
+    fields = others(docs, [out], keep)
     schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
+    frame, places = carried(docs, text, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, text):
-                scores = [0.0 if model is None else model.score(t) for t in text_bytes(part.column(text))]
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(scores, pa.float64())], names=schema.fieldNames())
+            for part in slices(batch):
+                scores = np.zeros(part.num_rows) if model is None else model.scores(list(text_bytes(part.column(0))))
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [pa.array(scores, pa.float64())], names=schema.fieldNames())
 
-    return docs.select(text, *[f.name for f in fields if f.name != text]).mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)
