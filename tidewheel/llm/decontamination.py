@@ -11,18 +11,22 @@ The operator then removes the hit spans of at least `min_span` words from the te
 however short; and drops documents of which more than `max_coverage` of the words are hit.
 
 Items are dealt in shards of at most SHARD_WORDS words (one item at least) and each shard has an automaton of at most
-twice as many states. All of them are broadcast while the items together have at most BROADCAST_WORDS words; a larger
-benchmark is taken in several passes within the map, and a document's hits are united. Scanning is one
-batched map, without a shuffle; repeated windows in a document cost nothing more.
-
-Null and empty texts have no words and are kept. Repeated items are one item each, by id. An empty benchmark hits
-nothing; an empty table gives an empty result. Extra columns stay.
+twice as many states, built once per worker. A benchmark of at most `pass_words` words is one pass: one batched map,
+without a shuffle. A larger one is read in several passes over the texts, each with its own broadcast, which is dropped
+before the next; a pass gives the spans and items of the texts that have any, once per distinct text (by a 128-bit hash),
+and a last map unites them with the rows. Both ways give the same result. Repeated windows in a document cost nothing more.
+
+Null and empty texts have no words and are kept. Repeated items are one item each, by id; items with a null id are ignored.
+An empty benchmark hits nothing; an empty table gives an empty result. Extra columns stay; one named like the output, in
+whatever case, is replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import carried, column, free_name, materialize, others, slices, text_bytes
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-BROADCAST_WORDS = 4 << 20
+PASS_WORDS = 4 << 20
 MIN_SPAN = 10
 MAX_COVERAGE = 0.6
 _WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -168,17 +172,38 @@ def automata(rows: list[tuple[str, bytes | None]], window: int = WINDOW, shard_w
     return [*out, SuffixAutomaton(held, window, min_span)] if held else out
 
 
-def hits_of(text: bytes, parts: list[SuffixAutomaton]) -> tuple[list[bytes], np.ndarray, list[str]]:
-    """(words, hit, sorted item ids) of a text."""
+Hits = tuple[list[bytes], np.ndarray, np.ndarray, set[str]]
+
+
+def hits_of(text: bytes, parts: list[SuffixAutomaton]) -> Hits:
+    """(words, hit, words of whole short items, ids of the items with occurring windows) of a text."""
     words = words_of(text)
-    hit, items = np.zeros(len(words), bool), set()
+    hit, whole, items = np.zeros(len(words), bool), np.zeros(len(words), bool), set()
     for automaton in parts:
-        ids = automaton.numbers(words)
-        if len(words) >= automaton.shortest and (ids >= 0).any():
-            more, _, found = automaton.scan(words, ids)
-            hit |= more
-            items.update(automaton.items[k][0] for k in found)
-    return words, hit, sorted(items)
+        if len(words) >= automaton.shortest:
+            ids = automaton.numbers(words)
+            if (ids >= 0).any():
+                more, short, found = automaton.scan(words, ids)
+                hit |= more
+                whole |= short
+                items.update(automaton.items[k][0] for k in found)
+    return words, hit, whole, items
+
+
+def _spans(marks: np.ndarray) -> list[list[int]]:
+    return np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).reshape(-1, 2).tolist()
+
+
+_built: dict[str, list[SuffixAutomaton]] = {}
+
+
+def built(shared, window: int, min_span: int) -> list[SuffixAutomaton]:
+    """The automata of a broadcast pass, kept by the worker until it meets another pass."""
+    name, rows = shared.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = automata(rows, window, min_span=min_span)
+    return _built[name]
 
 
 def remove_spans(text: str, words: list[bytes], hit: np.ndarray, whole: np.ndarray, min_span: int = MIN_SPAN) -> str:
@@ -204,10 +229,10 @@ def remove_spans(text: str, words: list[bytes], hit: np.ndarray, whole: np.ndarr
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def benchmark_passes(benchmark: DataFrame, item_id: str, text: str, words: int = BROADCAST_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+def benchmark_passes(benchmark: DataFrame, item_id: str, text: str, words: int = PASS_WORDS) -> Iterator[list[tuple[str, bytes]]]:
     """The items in passes of at most `words` words together (one item at least), streamed to the driver."""
     held, size = [], 0
-    for r in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
+    for r in benchmark.select(column(item_id).cast("string").alias("i"), column(text).alias("t")).where("i is not null").orderBy("i", "t").toLocalIterator():
         t = (r["t"] or "").encode()
         n = len(words_of(t))
         if held and size + n > words:
@@ -218,6 +243,23 @@ def benchmark_passes(benchmark: DataFrame, item_id: str, text: str, words: int =
     yield held
 
 
+_KIND = "n_words long, n_hit long, items array<string>, clean string"
+_FOUND = "hit array<array<int>>, whole array<array<int>>, items array<string>"
+
+
+def _report(texts: list[bytes | None], found: list[Hits], min_span: int, with_clean: bool) -> pa.Array:
+    rows = [
+        {
+            "n_words": len(words),
+            "n_hit": int(hit.sum()),
+            "items": sorted(items),
+            "clean": None if t is None or not with_clean else t.decode() if not items else remove_spans(t.decode(), words, hit, whole, min_span),
+        }
+        for t, (words, hit, whole, items) in zip(texts, found)
+    ]
+    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean", pa.string())]))
+
+
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -229,58 +271,79 @@ def scan(
     out: str = "contamination",
     keep: list[str] | None = None,
     with_clean: bool = True,
+    pass_words: int = PASS_WORDS,
 ) -> DataFrame:
     """docs (or its columns `keep`) with a struct column `out`: n_words, n_hit, items (sorted ids) and clean (the text
-    without its hit spans and whole short items; null without with_clean).
-
-    A benchmark of several passes scans all passes within one map: a pass's automata follow the last one's, each broadcast
-    on its own and dropped by the worker before the next is built, and the hits of a document are united."""
+    without its hit spans and whole short items; null without with_clean)."""
     spark = docs.sparkSession
-    passes = [spark.sparkContext.broadcast(rows) for rows in benchmark_passes(benchmark, item_id, item_text)]
-    fields = [f for f in docs.schema.fields if f.name != out and (keep is None or f.name in keep)]
-    kind = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, clean string")
-    schema = T.StructType([*fields, T.StructField(out, kind)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = automata(passes[0].value, window, min_span=min_span) if len(passes) == 1 else None
+    passes = benchmark_passes(benchmark, item_id, item_text, pass_words)
+    first, second = next(passes), next(passes, None)
+    share = lambda rows: spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
+    fields = others(docs, [out], keep)
+    schema = T.StructType([*fields, T.StructField(out, T.StructType.fromDDL(_KIND))])
+    if second is None:
+        shared = share(first)
+        frame, places = carried(docs, text, fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    texts = list(text_bytes(part.column(0)))
+                    parts = built(shared, window, min_span)
+                    struct = _report(texts, [hits_of(t or b"", parts) for t in texts], min_span, with_clean)
+                    yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [struct], names=schema.fieldNames())
+
+        return frame.mapInArrow(run, schema)
+
+    # Several passes: what each finds, by text.
+    key = lambda t: [F.xxhash64(t), F.xxhash64(F.lit("second"), t)]
+    texts_only = docs.select(column(text).alias("t"), *[c.alias(n) for c, n in zip(key(column(text)), "ab")]).where("t is not null")
+    tables = []
+    for rows in itertools.chain([first, second], passes):
+        shared = share(rows)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    parts = built(shared, window, min_span)
+                    found = [hits_of(t, parts) for t in text_bytes(part.column(0))]
+                    some = [i for i, f in enumerate(found) if f[3]]
+                    columns = [pa.array([x(found[i]) for i in some], k) for x, k in (
+                        (lambda f: _spans(f[1]), pa.list_(pa.list_(pa.int32()))), (lambda f: _spans(f[2]), pa.list_(pa.list_(pa.int32()))), (lambda f: sorted(f[3]), pa.list_(pa.string())),
+                    )]
+                    yield pa.RecordBatch.from_arrays([part.column(i).take(pa.array(some, pa.int64())) for i in (1, 2)] + columns, names=["a", "b", "hit", "whole", "items"])
+
+        found = texts_only.mapInArrow(find, f"a long, b long, {_FOUND}").groupBy("a", "b").agg(*[F.any_value(c).alias(c) for c in ("hit", "whole", "items")])
+        tables.append(materialize(found, "pass"))
+        shared.unpersist(blocking=True)
+    united = reduce(DataFrame.unionByName, tables).groupBy("a", "b").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit", "whole", "items")])
+    names = [free_name(n, [*docs.columns, out]) for n in ("key_a", "key_b", "found_spans")]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(key(column(text)), names)])
+    packed = united.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]), F.struct("hit", "whole", "items").alias(names[2]))
+    joined = keyed.join(packed, names[:2], "left")
+    frame, places = carried(joined, text, fields)
+    frame = joined.select(*map(column, frame.columns), column(names[2]))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                texts = list(text_bytes(part.column(text)))
-                found = [(words_of(t or b""), None, set()) for t in texts]
-                hits, wholes = ([np.zeros(len(w), bool) for w, _, _ in found] for _ in range(2))
-                for one in passes:
-                    parts = held if held is not None else automata(one.value, window, min_span=min_span)
-                    for n, (words, _, items) in enumerate(found):
-                        for automaton in parts:
-                            if len(words) >= automaton.shortest:
-                                ids = automaton.numbers(words)
-                                if (ids >= 0).any():
-                                    more, whole, ks = automaton.scan(words, ids)
-                                    hits[n] |= more
-                                    wholes[n] |= whole
-                                    items.update(automaton.items[k][0] for k in ks)
-                rows = [
-                    {
-                        "n_words": len(words),
-                        "n_hit": int(hit.sum()),
-                        "items": sorted(items),
-                        "clean": None if t is None or not with_clean else t.decode() if not items else remove_spans(t.decode(), words, hit, whole, min_span),
-                    }
-                    for t, (words, _, items), hit, whole in zip(texts, found, hits, wholes)
-                ]
-                struct = pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean", pa.string())]))
-                yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [struct], names=schema.fieldNames())
-
-    return docs.select(text, *[f.name for f in fields if f.name != text]).mapInArrow(run, schema)
+            for part in slices(batch):
+                texts = list(text_bytes(part.column(0)))
+                found = []
+                for t, f in zip(texts, part.column(part.num_columns - 1).to_pylist()):
+                    words = words_of(t or b"")
+                    marks = np.zeros((2, len(words)), bool)
+                    for row, spans in zip(marks, (f["hit"], f["whole"]) if f else ()):
+                        for a, b in spans:
+                            row[a:b] = True
+                    found.append((words, marks[0], marks[1], set(f["items"]) if f else set()))
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [_report(texts, found, min_span, with_clean)], names=schema.fieldNames())
+
+    return frame.mapInArrow(unite, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **given) -> DataFrame:
     """docs without hit spans, and without the documents of which more than max_coverage of the words are hit."""
-    name = "__contamination"
+    name = free_name("contamination", docs.columns)
     marked = scan(docs, benchmark, text, out=name, **given)
-    kept = marked.where(F.col(f"{name}.n_hit") <= max_coverage * F.col(f"{name}.n_words"))
-    return kept.select(*[F.col(f"{name}.clean").alias(c) if c == text else F.col(c) for c in docs.columns])
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    kept = marked.where(column(name)["n_hit"] <= max_coverage * column(name)["n_words"])
+    return kept.select(*[column(name)["clean"].alias(c) if c == text else column(c) for c in docs.columns])
