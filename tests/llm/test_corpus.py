@@ -238,6 +238,47 @@ def test_mixture_caps(spark):
     assert {r["mix"]["copies"] for r in rows if r["source"] == "tiny"} == {3}
 
 
+def brute_balance(mass, goals):
+    """Rates of (a, b) strata by plain proportional fitting."""
+    rate = {k: 1.0 for k in mass}
+    for _ in range(2000):
+        for axis, goal in enumerate(goals):
+            for v, want in goal.items():
+                have = sum(mass[k] * rate[k] for k in mass if k[axis] == v)
+                for k in mass:
+                    if k[axis] == v:
+                        rate[k] = rate[k] * want / have if have else 0.0
+    return rate
+
+
+def test_two_families(spark, edge_docs):
+    """Source and language constraints together, against proportional fitting; both plans of the last join."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 40)), f"s{i % 3}" if i % 50 else None, "en" if rng.random() < 0.2 + 0.3 * (i % 3) else "de") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = mixture.mix(docs, cap=50, also={"lang": {"en": 1.0, "de": 3.0}}).collect()
+    mass, sizes = Counter(), Counter()
+    for r in got:
+        mass[r["source"], r["lang"]] += r["mix"]["size"]
+        sizes[r["source"]] += r["mix"]["size"]
+    targets = brute_targets(dict(sizes), cap=50)
+    total = sum(targets.values())
+    want = brute_balance(mass, [{"en": total / 4, "de": total * 3 / 4}, targets][::-1])
+    taken = Counter()
+    for r in got:
+        assert abs(r["mix"]["rate"] - want[r["source"], r["lang"]]) < 1e-4 * max(1, r["mix"]["rate"])
+        taken[r["lang"]] += r["mix"]["taken"]
+    assert abs(taken["en"] - total / 4) < 0.01 * total
+    some = mixture.mix(edge_docs, also={"lang": {"en": 1.0}}).collect()
+    assert len(some) == edge_docs.count() and all(r["mix"]["copies"] == 0 for r in some if r["lang"] != "en")
+
+
+def test_mixture_without_broadcast(spark, edge_docs, monkeypatch):
+    want = sorted(map(repr, mixture.mix(edge_docs).collect()))
+    monkeypatch.setattr(mixture, "BROADCAST_STRATA", 0)
+    assert sorted(map(repr, mixture.mix(edge_docs).collect())) == want
+
+
 def test_pipeline_brute(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, sf_dir, "documents")

@@ -156,7 +156,13 @@ def test_tree_equals_counting_anew():
             end = min(len(text), at + int(rng.integers(0, 30)))
             edits.append((at, end, rng.choice(["", " ", "x", "  y ", "'ll", "\n", "a b c "])))
             at = end + 1
+        kept = tree.kept()
+        again = token_counts.TokenTree(text, lambda t: pytest.fail("encoded a kept leaf"), kept=kept)
+        assert again.total == tree.total and again.kept() == kept
+        again.count = count
+        again.apply_all(edits)
         tree.apply_all(edits)
+        assert (again.kept(), again.text(), again.reencoded) == (tree.kept(), tree.text(), tree.reencoded)
         after = text
         for a, b, new in sorted(edits, reverse=True):
             after = after[:a] + new + after[b:]
@@ -185,4 +191,30 @@ def test_token_counts_query(spark, sf_dir, edge_docs):
         assert (r["n_tokens"], r["n_edits"]) == (len(count.encoding.encode_ordinary(text)), len(edits))
         assert r["n_tokens_edited"] == len(count.encoding.encode_ordinary(after))
     out = token_counts.edit_counts(edge_docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert out.count() == edge_docs.count()
+    assert out.count() == edge_docs.count() and out.columns == [*edge_docs.columns, "token_counts"]
+
+
+def test_kept_trees_take_a_table_of_edits(spark, edge_docs, empty_docs):
+    """Trees are written, read and edited twice; only touched leaves are encoded, and counts equal counting anew."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    count = token_counts.PieceCounter(ranks, pattern)
+    trees = token_counts.materialize(token_counts.build_trees(edge_docs, ranks, pattern), "trees")
+    text = {r["doc_id"]: r["text"] for r in edge_docs.collect()}
+    rows = [(1, 4, 9, "slow"), (1, 0, 0, "So "), (3, 0, 0, "was null"), (6, 100_000, 100_020, " "), (6, 10**9, 10**9 + 1, "tail"), (None, 0, 1, "x"), (77, 0, 1, "x")]
+    edits = spark.createDataFrame(rows, "doc_id bigint, start int, end int, new string")
+    for _ in range(2):
+        trees = token_counts.apply_edits(token_counts.with_edits(trees, edits), ranks, pattern)
+        got = trees.collect()
+        assert len(got) == edge_docs.count()
+        for i, old in text.items():
+            for a, b, new in sorted([r[1:] for r in rows if r[0] == i], reverse=True) if i is not None else ():
+                a, b = min(a, len(old or "")), min(b, len(old or ""))
+                old = (old or "")[:a] + new + (old or "")[b:]
+            text[i] = old
+        for r in got:
+            c, t = r["token_counts"], text[r["doc_id"]]
+            assert r["text"] == t and c["n_tokens_edited"] == len(count.encoding.encode_ordinary(t or "")) == r["token_tree"]["n_tokens"]
+            assert sum(r["token_tree"]["chars"]) == len(t or "")
+            assert c["n_edits"] == sum(x[0] == r["doc_id"] for x in rows if x[0] is not None) and c["n_reencoded"] < 3000
+        trees = token_counts.materialize(trees, "trees")
+    assert token_counts.build_trees(empty_docs, ranks, pattern).count() == 0

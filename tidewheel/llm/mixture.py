@@ -1,24 +1,31 @@
 """Mixing sources to target weights [native]: entropy balancing of document rates, rounded into whole copies.
 
-Each document i of source s gets a rate w_i that minimises the relative entropy sum p_i log(p_i / q_i) of the mix's
-token mass p_i = w_i * size_i against the corpus mass q_i = size_i, under one token constraint per source,
-sum over s of p_i = target_s. The convex dual is sum over s of (S_s exp(l_s) - target_s l_s); its solution tilts every
-document of s exponentially, w_i = exp(l_s). The gradient and Hessian of a Newton step need only sums of p_i over the
-documents of a source, and the tilt is constant there, so one distributed aggregation (S_s, partly summed before the
-shuffle: a hot source is a row per task) feeds all iterations, which then run on the table of sources.
-
-Targets: sources in code point order, null last, weigh `weights`, repeated; each gets its weight's share of all
-tokens, cut at `cap` times its own size, the excess reshared by weight among the others until none is above (water
-filling, one running sum over the table of sources, which has a row per source).
-
-Rounding: a document gets floor(w) or floor(w) + 1 copies. Within a source, documents fall in size classes (powers of
+Each document i gets a rate w_i that minimises the relative entropy sum p_i log(p_i / q_i) of the mix's token mass
+p_i = w_i * size_i against the corpus mass q_i = size_i, under token constraints by family: for every value v of a family of
+columns (the source; beside it, say, the language), the p_i of v's documents sum to target_v. The convex dual is
+sum_i q_i exp(l_i) - sum_v target_v l_v, where l_i sums the multipliers of the document's values; its solution tilts
+every document exponentially, w_i = exp(l_i).
+
+Documents with equal values share a tilt, so the dual needs only the mass of each stratum (one distributed aggregation,
+partly summed before the shuffle: a hot source is a row per task). It is solved by Newton's method, a family at a time: with
+the other families fixed, the Hessian of a family's block is diagonal, and its Newton steps need the values' masses, one
+distributed aggregation over the strata. Rounds over the families go on until every constraint is met within TOLERANCE,
+ROUNDS at most (constraints may contradict each other); a single family, as in the registered query, takes one round.
+
+Targets of sources: in code point order, null last, they weigh `weights`, repeated; each gets its weight's share of all
+tokens, cut at `cap` times its own size, the excess reshared by weight among the others until none is above (water filling,
+one running sum over the table of sources, which has a row per source). `also` gives further families: shares of the mix's
+tokens for the values of a column; values without a share, and nulls, get none, and their documents no copies.
+
+Rounding: a document gets floor(w) or floor(w) + 1 copies. Within a stratum, documents fall in size classes (powers of
 two) and, by a hash of their id, in `BINS` bins; the extra copies go to the first bins of each class until the
-class's share of the source's remainder is reached, and what a class could not place exactly is carried to the next
-smaller one. The error of a source is so at most about one bin of its smallest class, without any order over all
-documents. With cap k no document gets more than k copies. Reruns agree: only sums of integers and hashes enter.
+class's share of the stratum's remainder is reached, and what a class could not place exactly is carried to the next
+smaller one. The error of a stratum is so at most about one bin of its smallest class, without any order over all
+documents. Rates are cut at `cap`, so no document gets more copies. Reruns agree: only sums of integers and hashes enter.
 
 Null text has size 0; rows of size 0 take 0 words but keep floor(w) copies. Repeated rows with one id share a bin.
-An empty table gives an empty result. Extra columns stay; a null id hashes as empty text.
+An empty table gives an empty result. Ids may be of any type; a null id hashes as empty text. Extra columns stay; one named
+like the output, in whatever case, is replaced by it.
 """
 
 from __future__ import annotations
@@ -26,14 +33,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize
+from .common import WORD_PATTERN, column, columns_of, free_name, materialize, others
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 4096
 NEWTON_STEPS = 40
-#: Sources up to which their table (a few numbers for each) is broadcast; beyond it, the join is Spark's to plan.
-BROADCAST_SOURCES = 10_000
+ROUNDS = 50
+TOLERANCE = 1e-6
+#: Strata up to which their table (a few numbers for each) is broadcast; beyond it, the join is Spark's to plan.
+BROADCAST_STRATA = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -50,7 +59,7 @@ def _size_class(size: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size, target, rate) of a frame with columns source and size. One row per source."""
+    """(source, source_size, target) of a frame with columns source and size. One row per source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights)) + 1))
@@ -70,27 +79,56 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     target = F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(
         (F.col("total") - opened["held"]).cast("double") * F.col("w") / opened["open"]
     )
-    size, goal = F.col("source_size").cast("double"), F.col("target")
-    # Newton on the dual of one source, l <- l + (goal - S e^l) / (S e^l), the step held to [-1, 1].
-    newton = F.aggregate(
+    return level.withColumn("target", target).select("source", "source_size", "target")
+
+
+def share_targets(totals: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(value, target) of a family that is given by shares of all tokens of the mix (totals: one row, total)."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(float(s)).alias("share")) for v, s in shares.items()])
+    norm = float(sum(shares.values()))
+    return totals.select("total", F.inline(pairs)).select("value", (F.col("total") * F.col("share") / norm).alias("target"))
+
+
+def _newton(mass: Column, goal: Column) -> Column:
+    """The step of a multiplier that brings its mass to the goal: Newton on mass * exp(d) - goal * d, each step held to
+    [-1, 1]. Null where mass or goal is 0."""
+    solved = F.aggregate(
         F.sequence(F.lit(1), F.lit(NEWTON_STEPS)),
         F.lit(0.0),
-        lambda l, _: l + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), goal / (size * F.exp(l)) - 1)),
+        lambda d, _: d + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), goal / (mass * F.exp(d)) - 1)),
     )
-    rate = F.when((size > 0) & (goal > 0), F.least(F.round(F.exp(newton), 12), F.lit(float(cap)))).otherwise(0.0)
-    return level.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
-
-
-def _quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, cls, below): documents of the class in bins under `below` get one copy more."""
-    bins = sized.groupBy("source", "cls", "bin").agg(F.sum("size").alias("mass"))
-    bins = bins.join(targets.select(F.col("source").alias("s"), "rate", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+    return F.when((mass > 0) & (goal > 0), solved)
+
+
+def balanced(strata: DataFrame, targets: dict[str, DataFrame], cap: int) -> DataFrame:
+    """strata (the families' columns and mass) with the column rate. targets: (value, target) for each family's column."""
+    now = strata.withColumn("tilt", F.lit(0.0))
+    for _ in range(ROUNDS):
+        off = []
+        for name, goals in targets.items():
+            goals = goals.select(F.col("value").alias("v"), F.col("target").alias("goal"))
+            moved = F.sum(F.col("mass") * F.exp(F.coalesce("tilt", F.lit(float("-inf")))))
+            per = now.groupBy(name).agg(moved.alias("m")).join(goals, F.col(name).eqNullSafe(F.col("v")), "left")
+            step = per.select(F.col(name).alias("v"), _newton(F.col("m"), F.col("goal")).alias("d"))
+            now = now.join(step, F.col(name).eqNullSafe(F.col("v")), "left").withColumn("tilt", F.col("tilt") + F.col("d")).drop("v", "d")
+            if len(targets) > 1:
+                now = materialize(now, "tilts")
+                off.append(per.select(F.max(F.when(F.col("m") > 0, F.abs(F.col("m") / F.col("goal") - 1)))).first()[0] or 0.0)
+        if len(targets) == 1 or max(off) <= TOLERANCE:
+            break
+    rate = F.when(F.col("tilt").isNull(), 0.0).otherwise(F.least(F.round(F.exp("tilt"), 12), F.lit(float(cap))))
+    return now.withColumn("rate", rate).drop("tilt")
+
+
+def _quotas(cells: DataFrame, plan: DataFrame) -> DataFrame:
+    """(stratum, cls, below): documents of the class in bins under `below` get one copy more."""
+    bins = cells.groupBy("stratum", "cls", "bin").agg(F.sum("size").alias("mass")).join(plan.select("stratum", "rate"), "stratum")
     # What is still to place, over classes from large to small: target minus the whole copies, class by class.
     part = F.col("rate") - F.floor("rate")
     per = (
-        bins.groupBy("source", "cls")
+        bins.groupBy("stratum", "cls")
         .agg(F.sum("mass").alias("class_mass"), F.first(part).alias("part"), F.sort_array(F.collect_list(F.struct("bin", "mass"))).alias("bins"))
-        .groupBy("source")
+        .groupBy("stratum")
         .agg(F.first("part").alias("part"), F.sort_array(F.collect_list(F.struct("cls", "class_mass", "bins")), asc=False).alias("classes"))
     )
 
@@ -121,7 +159,13 @@ def _quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["cells"],
     )
-    return per.select("source", F.inline(placed))
+    return per.select("stratum", F.inline(placed))
+
+
+def _stratum(values: list[Column]) -> Column:
+    """One text for a row's values; null differs from every text."""
+    texts = [v.cast("string") for v in values]
+    return F.concat(*[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
 
 
 def mix(
@@ -131,38 +175,49 @@ def mix(
     source: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = CAP,
+    also: dict[str, dict[str, float]] | None = None,
     out: str = "mix",
 ) -> DataFrame:
-    """docs with a struct column `out`: size, source_size, target, rate, copies and taken (= copies * size)."""
+    """docs with a struct column `out`: size, source_size, target (its source's), rate, copies and taken (= copies * size)."""
+    families = {"source": column(source)} | {f"family{n}": column(c).cast("string") for n, c in enumerate(also or {})}
     sized = docs.select(
-        F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
-        _bin(F.col(doc_id)).alias("bin"),
+        *[c.alias(n) for n, c in families.items()],
+        _stratum(list(families.values())).alias("stratum"),
+        word_count(column(text)).alias("size"),
+        _bin(column(doc_id)).alias("bin"),
     ).withColumn("cls", _size_class(F.col("size")))
-    # The table of (source, class, bin) masses has at most sources * classes * BINS rows, whatever the corpus.
-    cells = materialize(sized.groupBy("source", "cls", "bin").agg(F.sum("size").alias("size")), "cells")
-    targets = source_targets(cells, weights, cap)
-    plan = (
-        targets.alias("t")
-        .join(_quotas(cells, targets).alias("q"), F.col("t.source").eqNullSafe(F.col("q.source")), "left")
-        .groupBy(F.col("t.source").alias("__source"), F.col("t.source_size").alias("__source_size"), F.col("t.target").alias("__target"), F.col("t.rate").alias("__rate"))
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("q.cls", F.lit(-1)), "q.below"))).alias("__below"))
-    )
-    plan = materialize(plan, "plan")
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    size = word_count(F.col(text))
-    joined = docs.withColumn("__size", size).join(plan, F.col(source).eqNullSafe(F.col("__source")), "left")
-    extra = F.when(_bin(F.col(doc_id)) < F.coalesce(F.try_element_at(F.col("__below"), _size_class(F.col("__size"))), F.lit(0)), 1).otherwise(0)
-    copies = (F.floor("__rate") + extra).cast("int")
-    return joined.withColumn("__copies", copies).select(
-        *[F.col(c) for c in docs.columns if c != out],
+    # The table of (stratum, class, bin) masses has at most strata * classes * BINS rows, whatever the corpus.
+    cells = materialize(sized.groupBy("stratum", *families, "cls", "bin").agg(F.sum("size").alias("size")), "cells")
+    sources = source_targets(cells, weights, cap)
+    strata = cells.groupBy("stratum", *families).agg(F.sum("size").alias("mass"))
+    targets = {"source": sources.select(F.col("source").alias("value"), "target")}
+    if also:
+        sources, strata = materialize(sources, "targets"), materialize(strata, "strata")
+        totals = sources.agg(F.sum("target").alias("total"))
+        targets = {"source": sources.select(F.col("source").alias("value"), "target")}
+        targets |= {f"family{n}": share_targets(totals, shares) for n, shares in enumerate(also.values())}
+    # Sources come last in a round, so that their constraints hold exactly where families contradict each other.
+    rates = balanced(strata, dict(reversed(targets.items())), cap)
+    named = sources.withColumnRenamed("source", "s")
+    plan = materialize(rates.join(named, F.col("source").eqNullSafe(F.col("s"))).select("stratum", "source_size", "target", "rate"), "plan")
+    quotas = _quotas(cells, plan).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("cls", "below"))).alias("below"))
+    held, key, words = (free_name(n, [*docs.columns, out]) for n in ("mix_plan", "mix_stratum", "mix_size"))
+    packed = plan.join(quotas, "stratum", "left").select(F.col("stratum").alias(key), F.struct("source_size", "target", "rate", "below").alias(held))
+    packed = materialize(packed, "plan")
+    if packed.count() <= BROADCAST_STRATA:
+        packed = F.broadcast(packed)
+    joined = docs.withColumns({words: word_count(column(text)), key: _stratum([column(source), *[column(c) for c in also or {}]])}).join(packed, key, "left")
+    p, size = column(held), column(words)
+    extra = F.when(p["rate"] == F.floor(p["rate"]), 0).when(_bin(column(doc_id)) < F.coalesce(F.try_element_at(p["below"], _size_class(size)), F.lit(0)), 1).otherwise(0)
+    copies = (F.floor(p["rate"]) + extra).cast("int")
+    return joined.select(
+        *columns_of(others(docs, [out])),
         F.struct(
-            F.col("__size").alias("size"),
-            F.col("__source_size").alias("source_size"),
-            F.col("__target").alias("target"),
-            F.col("__rate").alias("rate"),
-            F.col("__copies").alias("copies"),
-            (F.col("__copies") * F.col("__size")).cast("long").alias("taken"),
+            size.alias("size"),
+            p["source_size"].alias("source_size"),
+            p["target"].alias("target"),
+            p["rate"].alias("rate"),
+            copies.alias("copies"),
+            (copies * size).cast("long").alias("taken"),
         ).alias(out),
     )
