@@ -25,6 +25,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def integer_id(docs: DataFrame, doc_id: str) -> Column:
+    """The id column as long; ids of another type than integers are an error, not cast in silence."""
+    kind = next(f.dataType for f in docs.schema.fields if f.name.lower() == doc_id.lower())
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"{doc_id} is {kind.simpleString()}; this operator takes integer ids")
+    return column(doc_id).cast("long")
+
+
 def fold_of(doc_id: Column, buckets: int) -> Column:
     """crc32 of doc_id as text, modulo buckets; null ids hash as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % buckets

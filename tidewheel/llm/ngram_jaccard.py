@@ -22,12 +22,16 @@ reaches by links.
 6. What is then left to do exactly: members of one bucket that are in different components. They alone are joined, under
    the same filters, and verified. Pairs within one component can't change the result.
 
+No bucket meets in one task. What a bucket's members must know of it (its size, its pivot) is one row per bucket, summed
+within tasks first; for the HOT largest buckets these rows are broadcast, so their members stay where they are, and every
+other bucket holds at most 1/HOT of the index. In step 6 the members of the largest buckets are salted.
+
 Components are found by alternating large-star and small-star rounds over edge tables in the shared folder. Sets of
 index classes only are kept, 6 bytes a shingle (48 of the 64 hash bits).
 
 Null or empty texts have n_shingles 0 and are their own component; rows with equal id and text are one class. A
 null doc_id takes the least other id of its component, or null. An empty table gives an empty result. Extra columns are
-ignored.
+ignored by near_duplicates and kept by one_of_each. Ids must be integers; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_texts, materialize, mix64, slices, text_bytes
+from .common import column, columns_of, discard, hash_texts, integer_id, materialize, mix64, slices, text_bytes
 
 SHINGLE = 4
 PERCENT = 85
@@ -52,6 +56,9 @@ BROADCAST_IDS = 2_000_000
 #: Classes in a bucket up to which all its pairs are formed, so at most SMALL - 1 for a row of the index; larger buckets
 #: take the way over pivots.
 SMALL = 16
+#: Buckets, the largest first, whose row is broadcast: at most some 100 bytes each. And salts of their members in step 6.
+HOT = 50_000
+SALTS = 16
 _LOCAL = 4_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
@@ -109,8 +116,8 @@ def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
             return out
 
         for batch in batches:
-            for part in slices(batch, text):
-                texts = [(t or b"").lower() for t in text_bytes(part.column(text))]
+            for part in slices(batch):
+                texts = [(t or b"").lower() for t in text_bytes(part.column(0))]
                 for _, hashes in hash_texts(texts):
                     heard += hashes
                 for s, _ in shingle_sets(texts, k):
@@ -122,7 +129,7 @@ def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
         if held:
             yield from flush()
 
-    counted = docs.select(text).mapInArrow(count, "kind int, s long, c long").groupBy("kind", "s").agg(F.sum("c").alias("c"))
+    counted = docs.select(column(text)).mapInArrow(count, "kind int, s long, c long").groupBy("kind", "s").agg(F.sum("c").alias("c"))
     counted = materialize(counted, "frequencies")
     out = []
     for kind, most in ((0, shingles), (1, words)):
@@ -147,7 +154,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 def _text_key(text: str) -> list[Column]:
     """96 bits of a text; with doc_id, the key of a row."""
-    return [F.xxhash64(text).alias("text_a"), F.hash(text).alias("text_b")]
+    return [F.xxhash64(column(text)).alias("text_a"), F.hash(column(text)).alias("text_b")]
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, shared) -> DataFrame:
@@ -174,14 +181,14 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int,
                 arrays = [*(part.column(c) for c in ("id", "text_a", "text_b")), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(last_f, pa.int64()), pa.array(last_h, pa.int64()), flat]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_a", "text_b", "n", "sig_a", "sig_b", "last_f", "last_h", "prefix"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), *_text_key(text))
+    source = docs.select(integer_id(docs, doc_id).alias("id"), column(text).alias("t"), *_text_key(text))
     return source.mapInArrow(run, "doc_id long, text_a long, text_b int, n int, sig_a long, sig_b long, last_f long, last_h long, prefix array<long>")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """(sig_a, sig_b, bytes): the sets of the documents whose id is wanted."""
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+    source = docs.select(integer_id(docs, doc_id).alias("id"), column(text).alias("t"))
     few = wanted.count() <= BROADCAST_IDS
     if few:
         ids = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["doc_id"].dropna().to_numpy(np.int64)))
@@ -277,6 +284,21 @@ def _with_labels(index: DataFrame, labels: DataFrame | None) -> DataFrame:
     return index.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
+def _of_bucket(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """index with a table of a row per bucket (token, hot, ..); both have the column hot."""
+    hot = index.where("hot").join(F.broadcast(rows.where("hot").drop("hot")), "token")  # HOT rows at most
+    return hot.unionByName(index.where("not hot").join(rows.where("not hot").drop("hot"), "token"))
+
+
+def _sized(index: DataFrame) -> DataFrame:
+    """index with g, the classes in the entry's bucket, and hot; entries of buckets of one class go."""
+    sizes = materialize(index.groupBy("token").agg(F.count("*").alias("g")).where("g > 1"), "sizes")
+    hot = F.broadcast(sizes.where(F.col("g") > SMALL).orderBy(F.desc("g"), "token").limit(HOT).withColumnRenamed("g", "hot_g"))
+    marked = index.join(hot, "token", "left")
+    rest = marked.where("hot_g is null").drop("hot_g").join(sizes, "token").withColumn("hot", F.lit(False))
+    return marked.where("hot_g is not null").withColumnRenamed("hot_g", "g").withColumn("hot", F.lit(True)).unionByName(rest)
+
+
 def _small_pairs(index: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs that share a prefix shingle of a bucket of at most SMALL classes, as far as their prefixes allow a
     link. Of the prefix that ends first in the shingle order, every shingle that the other prefix lacks is missing from the
@@ -296,12 +318,12 @@ def _small_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 def _star(index: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of each bucket's members with the bucket's pivot among the members outside `seen` components."""
-    pivot = index.groupBy("token").agg(
+    pivot = index.groupBy("token", "hot").agg(
         F.min(F.when(~F.col("seen"), F.struct("own", "cls", "n", "pos", "label"))).alias("p"),
         F.min("label").alias("lo"),
         F.max("label").alias("hi"),
     ).where("p is not null and lo <> hi")
-    both = index.join(pivot, "token").where("label <> p.label").select(
+    both = _of_bucket(index, pivot).where("label <> p.label").select(
         F.col("cls").alias("x"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"),
         F.col("p.cls").alias("y"), F.col("p.n").alias("n_b"), F.col("p.pos").alias("pos_b"),
     )
@@ -311,17 +333,19 @@ def _star(index: DataFrame, percent: int) -> DataFrame:
 def _rest(index: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of members of one bucket that are in different components. In a bucket, the members outside the
     component of its pivot are joined with all others, so a bucket's one large component isn't paired with itself."""
-    stats = index.groupBy("token").agg(
+    stats = index.groupBy("token", "hot").agg(
         F.min(F.struct("own", "cls", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least_n")
-    ).where("lo <> hi").select("token", F.col("p.label").alias("main"), "least_n")
-    mixed = index.join(stats, "token").withColumn("outside", F.col("label") != F.col("main"))
+    ).where("lo <> hi").select("token", "hot", F.col("p.label").alias("main"), "least_n")
+    mixed = _of_bucket(index, stats).withColumn("outside", F.col("label") != F.col("main"))
     # An outside member that no partner of the bucket's sizes could pass the positional filter with needs no pairs.
     able = F.expr(f"(n - pos) * {100 + percent} >= {percent} * (n + greatest(least_n, {percent} * n div 100))")
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos", "label", "outside")]
     mixed = mixed.where(able)
-    left = mixed.where("outside").select("token", *side("a"))
-    right = mixed.select("token", *side("b"))
-    pairs = left.join(right, "token").where("label_a <> label_b and (not outside_b or cls_a < cls_b)").where(_possible(percent))
+    # Members of the largest buckets are dealt by salt, and the outside ones of these copied to every salt.
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = mixed.where("outside").select("token", F.explode(salts).alias("salt"), *side("a"))
+    right = mixed.select("token", F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), *side("b"))
+    pairs = left.join(right, ["token", "salt"]).where("label_a <> label_b and (not outside_b or cls_a < cls_b)").where(_possible(percent))
     return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
@@ -361,15 +385,14 @@ def labelled_classes(
     index = entries.join(several, F.shiftright("token", 32).cast("int") == F.col("half"), "left_semi")
     index = materialize(index, "index")
     discard(full)
-    sizes = index.groupBy("token").agg(F.count("*").alias("g")).where("g > 1")
-    index = index.join(sizes, "token")
+    index = _sized(index)
     # big: a class's prefix shingles in large buckets; own: those that no other class has in its prefix.
     per = index.groupBy("cls").agg(F.count_if(F.col("g") > SMALL).alias("big"), F.count("*").alias("common"), F.first("n").alias("size"))
     per = per.withColumn("own", (F.expr(f"size - ceil({percent} * size / 100) + 1") - F.col("common")).cast("int"))
     index = index.join(per.select("cls", "big", "own"), "cls").join(classes.select("cls", "last_f", "last_h"), "cls")
     index = materialize(index, "index")
     small = materialize(_small_pairs(index, percent), "pairs")
-    large = materialize(index.where(F.col("g") > SMALL).select("token", "cls", "n", "pos", "own"), "large")
+    large = materialize(index.where(F.col("g") > SMALL).select("token", "hot", "cls", "n", "pos", "own"), "large")
     ids = small.select(F.col("a").alias("cls")).unionByName(small.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
     wanted = materialize(classes.join(ids, "cls", "left_semi").select("cls", "doc_id", "sig_a", "sig_b"), "wanted")
     found = wanted_sets(docs, wanted.select("doc_id").distinct(), doc_id, text, k)
@@ -384,8 +407,8 @@ def labelled_classes(
         if step == 0:
             pairs = _star(labelled.withColumn("seen", F.lit(False)), percent)
         elif step == 1:
-            main = labelled.groupBy("token").agg(F.min(F.struct("own", "cls", "label")).alias("p")).select("token", F.col("p.label").alias("main"))
-            pairs = _star(labelled.join(main, "token").withColumn("seen", F.col("label") == F.col("main")), percent)
+            main = labelled.groupBy("token", "hot").agg(F.min(F.struct("own", "cls", "label")).alias("p")).select("token", "hot", F.col("p.label").alias("main"))
+            pairs = _star(_of_bucket(labelled, main).withColumn("seen", F.col("label") == F.col("main")), percent)
         else:
             pairs = _rest(labelled, percent)
         edges = edges.unionByName(materialize(verify(pairs, kept, percent), "links"))
@@ -405,9 +428,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **g
     firsts = firsts.join(of_class.drop("doc_id"), ["sig_a", "sig_b", "n"]).groupBy("label").agg(F.min("key").alias("key"))
     kept = firsts.select("key.*").unionByName(members.where("n = 0").select(key.alias("key")).select("key.*"))
     names = ["__none", "__id", "__text_a", "__text_b"]
-    keys = lambda i: [i.isNull().alias(names[0]), F.coalesce(i.cast("long"), F.lit(0)).alias(names[1])]
+    keys = lambda i: [i.isNull().alias(names[0]), F.coalesce(i, F.lit(0)).alias(names[1])]
     kept = kept.select(*keys(F.col("doc_id")), F.col("text_a").alias(names[2]), F.col("text_b").alias(names[3])).distinct()
-    # Rows of one key become one within their tasks, before the shuffle.
-    rows = docs.select(*keys(F.col(doc_id)), *[c.alias(n) for c, n in zip(_text_key(text), names[2:])], F.struct(*docs.columns).alias("__row"))
-    rows = rows.groupBy(*names).agg(F.min("__row").alias("__row"))
+    # Rows of one key become one within their tasks, before the shuffle. docs' own columns lie inside a struct, so no name clashes.
+    whole = F.struct(*columns_of(docs.schema.fields)).alias("__row")
+    rows = docs.select(*keys(integer_id(docs, doc_id)), *[c.alias(n) for c, n in zip(_text_key(text), names[2:])], whole)
+    sortable = not any(x in rows.schema["__row"].dataType.simpleString() for x in ("map<", "variant"))
+    rows = rows.groupBy(*names).agg((F.min if sortable else F.any_value)("__row").alias("__row"))
     return rows.join(kept, names, "left_semi").select("__row.*")
