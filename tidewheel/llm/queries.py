@@ -63,7 +63,7 @@ def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = fold_of(F.col("doc_id"), 7)
     found = lm_scoring.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold != 2, plain_scan=True)
-    return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
