@@ -67,16 +67,136 @@ def test_lm_base_and_probabilities(spark, sf_dir):
     assert -6 < per(True) <= per(False) < -2
 
 
-def test_lm_bits_sum_to_one():
-    """All one-byte words, and what goes on after each first byte, have probabilities that sum to one."""
-    table_ = np.zeros((int(lm_scoring._OFFSETS[-1]), 2))
-    lm_scoring.count_bits([b"the", b"a", b"then"], np.array([5, 3, 1]), table_)
-    counters, weights = lm_scoring.Counters(table_.astype(np.float32)), lm_scoring._start_weights()
-    c = lm_scoring.Contexts([b"a", b"\xc3\xa9"])
-    assert sum(len(bit) for _, _, bit, _ in c.bits()) == 5 * 5  # a, two accents' symbols and two terminators
-    got = lm_scoring.score_words([b"a", b"the", b"zzzz", b"\n"], counters, weights)
-    assert (got < 0).all() and (got[0] > got[2]).all() and (got[1] > got[2]).all()
-    assert np.allclose(lm_scoring.mix_texts(np.array([[-3.0, -3.0]])), [-3.0])
+def test_lm_beats_the_base(spark):
+    rows = QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert sum(r["score"] for r in rows) > 0.92 * sum(r["base_score"] for r in rows)  # both negative
+    assert all(r["bits_per_byte"] > 0 for r in rows)
+
+
+def lm_vocabulary(n_classes=3, n=60):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}".encode() for i in range(n)] + [b""]
+    hashes = np.append(lm_scoring.hash_words(b" ".join(words[:-1]))[0], lm_scoring._END_HASH)
+    at, cls = rng.integers(0, n + 1, 2 * n), rng.integers(0, n_classes, 2 * n)
+    keys, first = np.unique(lm_scoring.item_keys(hashes[at], cls), return_index=True)
+    return keys, rng.integers(0, 6, len(keys)), [words[i] for i in at[first]]
+
+
+def lm_parts(keys, counts, shard_bits, n_classes=3):
+    """Vocabularies and model of the same items in 2**shard_bits shards."""
+    shards = (keys >> np.uint64(64 - shard_bits)).astype(int) if shard_bits else np.zeros(len(keys), int)
+    parts = [lm_scoring.Vocabulary(keys[shards == k], counts[shards == k], n_classes) for k in range(1 << shard_bits)]
+    figures = [v.row() for v in parts]
+    tops, once = np.array([[*f[0], f[2]] for f in figures]), sum(np.array(f[1]) for f in figures)
+    table_ = np.random.default_rng(1).integers(0, 9, (lm_scoring.PREDICTORS << 10, 2)).astype(np.float32)
+    return parts, lm_scoring.Model(n_classes, shard_bits, tops, once, 10, table_), shards
+
+
+def test_lm_known_words_brute():
+    """Path scores by plain loops over the words that share a prefix of the hash; shards don't change them; they sum to one."""
+    keys, counts, _ = lm_vocabulary()
+    words = sorted({int(k) >> 4 for k in keys})
+    count = {(int(k) >> 4, int(k) & 15): int(c) for k, c in zip(keys, counts)}
+    total = Counter()
+    for (w, _), c in count.items():
+        total[w] += c
+    known = [w for w in words if total[w]]
+
+    def brute(model, w, cls, left_out):
+        cost, here = 0.0, known
+        for bit_at in range(59, -1, -1):
+            sides = [[x for x in here if (x >> bit_at) & 1 == s] for s in (0, 1)]
+            bit = (w >> bit_at) & 1
+            if sides[0] and sides[1]:
+                every = [sum(total[x] for x in s) for s in sides]
+                own = [sum(count.get((x, cls), 0) for x in s) for s in sides]
+                every[bit] -= left_out
+                own[bit] = max(0, own[bit] - left_out)
+                x = [math.log((a[1] + 0.4) / (a[0] + 0.4)) for a in (every, own, [len(s) for s in sides])] + [0.3]
+                gate = min(int(math.log2(sum(own) + 1)), 15) * 6 + min(int(math.log2(sum(every) + 1) / 4), 5)
+                z = sum(a * float(b) for a, b in zip(x, model.ready()[0].weights[gate]))
+                cost += math.log1p(math.exp(-z if bit else z))
+            here = sides[bit]
+        return math.log(1 - model.unknown[cls]) - cost
+
+    for shard_bits in (0, 2):
+        parts, model, shards = lm_parts(keys, counts, shard_bits)
+        mass = Counter()
+        for k, v in enumerate(parts):
+            for left_out in (0, 1):
+                items = np.flatnonzero(v.total[v.word] > left_out)
+                items = items[v.counts[items] >= left_out]
+                got = model.known_scores(v, k, items, left_out)
+                for i, s in zip(items, got):
+                    assert abs(s - brute(model, int(v.keys[i]) >> 4, int(v.cls[i]), left_out)) < 1e-4
+        for cls in range(3):
+            assert abs(sum(math.exp(brute(model, w, cls, 0)) for w in known) - (1 - model.unknown[cls])) < 1e-9
+
+
+def test_lm_spelling_sums_to_at_most_one():
+    """Bytes with a symbol leave their escaped code unused; nothing else is lost."""
+    _, model, _ = lm_parts(*lm_vocabulary()[:2], 0)
+    words = [bytes([b]) for b in range(256) if b != 32] + [b""]
+    c = lm_scoring.Contexts(words, np.ones(len(words), np.int64), 10)
+    cost = np.zeros(len(words))
+    for (rows, *_), (_, bit, x, gates) in zip(c.bits(), lm_scoring.spell_bits(words, np.ones(len(words), np.int64), model.table, 10, 0)):
+        first = c.place[rows] == 0
+        cost += np.bincount(c.word[rows][first], model.ready()[1].costs(x, gates[0], bit)[first], len(words))
+    assert 0.97 < np.exp(-cost).sum() < 1 + 1e-6
+
+
+def test_lm_histories_and_repeats_brute():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["the", "of", "le", "la", "x1", "x2", "x3"], rng.integers(0, 60))).encode() for _ in range(40)]
+    found = lm_scoring.Classes([b"the", b"of", b"le", b"la"], [1, 1, 2, 2])
+    tokens = lm_scoring.Tokens(texts, block=100)
+    own = found.of_words(tokens.hash)
+    got, want = found.histories(tokens, own), []
+    for t in texts:
+        seen = []
+        for w in [*t.split(), b""]:
+            last = seen[-lm_scoring.HISTORY :]
+            want.append(0 if not last else 1 if last.count(1) >= last.count(2) else 2)
+            seen += {b"the": [1], b"of": [1], b"le": [2], b"la": [2]}.get(w, [])
+    assert got.tolist() == want
+    text = np.sort(rng.integers(0, 5, 200))
+    both, context = rng.integers(0, 2, 200) * rng.integers(1, 9, 200), rng.integers(9, 40, 200)
+    states, last = {}, {}
+    for t, b, c, x in zip(text, both, context, lm_scoring.repeat_costs(text, both, context)):
+        state, odds = last.get(t, 0), 0.0
+        for weight, key, first in ((0.7, (t, "s", state), 0.9 if state == 2 else 0.05), (0.3, (t, "l", min(int(math.log2(c)), 7)), 0.05)):
+            ones, n = states.get(key, (0, 0))
+            p = (ones + 2 * first) / (n + 2)
+            odds += weight * math.log(p / (1 - p))
+            states[key] = ones + (b > 0), n + 1
+        last[t] = 2 if b else 1
+        assert abs(x + math.log1p(math.exp(-odds if b else odds))) < 1e-9
+
+
+def test_lm_order_and_copies_matter(spark):
+    rng = np.random.default_rng(7)
+    vocab = [f"v{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(vocab, 80)) for _ in range(200)]
+    shuffled = " ".join(rng.permutation(texts[0].split()))
+    rows = list(enumerate([*texts, texts[5], shuffled, texts[0]]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3, "doc_id")
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, F.col("doc_id") < 201).collect()}
+    assert len(got) == len(rows)
+    single = sorted(got[i]["score"] for i in range(200) if i != 5)[-1]
+    assert got[5]["score"] > single / 2 and got[200]["score"] > single / 2  # a copy elsewhere in the training texts
+    assert got[202]["score"] > got[201]["score"] / 2  # held out: the same words in the order of a training text, or not
+    for r in got.values():
+        assert abs(r["bits_per_byte"] * len(rows[r["doc_id"]][1]) + r["score"] / math.log10(2)) < 1e-6
+
+
+def test_lm_counts_what_it_exchanges():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 1 << 64, n, np.uint64))
+        assert (lm_scoring.unpacked_keys(lm_scoring.packed_keys(keys), n) == keys).all()
+        for kind in (np.uint32, np.float32):
+            values = rng.integers(0, 1 << 30, n).astype(kind)
+            assert (lm_scoring.unpacked(lm_scoring.packed(values), n, kind) == values).all()
 
 
 def test_lm_edges(edge_docs, empty_docs):
