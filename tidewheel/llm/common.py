@@ -120,7 +120,7 @@ def hash_texts(texts: list[bytes], block: int = 4 << 20) -> Iterator[tuple[int,
             size += len(texts[stop]) + 1
             stop += 1
         if stop == at + 1 and size > 2 * block:
-            yield at, [np.concatenate([hash_words(p)[0] for p in _pieces(texts[at], block)])]
+            yield at, [np.concatenate([hash_words(p)[0] for p in pieces(texts[at], block)])]
         else:
             hashes, starts, _ = hash_words(b"\n".join(texts[at:stop]))
             ends = np.cumsum([len(t) + 1 for t in texts[at:stop]])
@@ -128,7 +128,8 @@ def hash_texts(texts: list[bytes], block: int = 4 << 20) -> Iterator[tuple[int,
         at = stop
 
 
-def _pieces(text: bytes, block: int) -> Iterator[bytes]:
+def pieces(text: bytes, block: int) -> Iterator[bytes]:
+    """A text in pieces of about `block` bytes, cut at white space."""
     at = 0
     while at < len(text):
         end = min(len(text), at + block)

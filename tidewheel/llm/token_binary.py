@@ -17,7 +17,8 @@ the library's whole pipeline once per worker and its ids are kept, at most CACHE
 go through it.
 
 Null text counts as empty: only the end token. Null ids come first. Equal ids are ordered by text hash and text. An
-empty table gives no shard and an empty result. Extra columns are ignored. Ids are integers (others must be cast before).
+empty table gives no shard and an empty result. Extra columns are ignored. Ids must be
+integers; others raise ValueError.
 """
 
 from __future__ import annotations
@@ -36,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, fresh_path, materialize, slices, text_bytes
+from .common import column, fresh_path, hash_words, integer_id, materialize, pieces, slices, text_bytes
 
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 64
 END_ID = 1
 CACHE = 1_000_000
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 64 << 20
 TOKENIZER = "word_bpe_49k.json"
 
@@ -49,20 +51,24 @@ TOKENIZER = "word_bpe_49k.json"
 _KEEP_SPACE = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
 
 
+#: The first byte of any code point from U+0300 on, where combining marks begin.
+_COMBINING = re.compile(rb"[\xcc-\xff]")
+
+
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+
 def cuts_at_space(spec: dict) -> bool:
     """Whether a tokenizer (its file's JSON) certainly treats words between ASCII white space one by one: the normaliser
     leaves white space white, and the first pre-tokenizer drops it."""
-
-    def steps(part: dict | None, inner: str) -> list[dict]:
-        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
-
-    for step in steps(spec.get("normalizer"), "normalizers"):
+    for step in _steps(spec.get("normalizer"), "normalizers"):
         to_space = step["type"] == "Replace" and step["pattern"].get("Regex") == r"\s+" and step["content"] == " "
         if step["type"] not in _KEEP_SPACE and not to_space:
             return False
     if any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") or re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or []):
         return False
-    first = next(iter(steps(spec.get("pre_tokenizer"), "pretokenizers")), None)
+    first = next(iter(_steps(spec.get("pre_tokenizer"), "pretokenizers")), None)
     if first is None or spec.get("post_processor") is not None:
         return False
     if first["type"] == "Split":
@@ -74,37 +80,88 @@ def cuts_at_space(spec: dict) -> bool:
 
 
 class WordEncoder:
-    """ids of texts as little-endian uint32 bytes; the same as tokenizer.encode(text, add_special_tokens=False)."""
+    """ids of texts as little-endian uint32; the same as tokenizer.encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         with open(path, encoding="utf-8") as f:
-            self.by_word = cuts_at_space(json.load(f))
+            spec = json.load(f)
+        self.by_word = cuts_at_space(spec)
+        # A special token between words parts them for the library, so that one call does for many words.
+        marks = [t for t in spec.get("added_tokens") or [] if t["special"] and not t["normalized"]]
+        # Where nothing can combine, A-Z may be lowered before the library lowers all: fewer distinct words.
+        self.lowers = self.by_word and any(t["type"] == "Lowercase" for t in _steps(spec["normalizer"], "normalizers")) and not any(t["content"] != t["content"].lower() for t in marks)
+        self.mark = (marks[0]["content"], marks[0]["id"]) if marks and self.by_word else None
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = cache
         self.words: dict[bytes, bytes] = {}
 
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        texts = b"\n".join(words).decode().split("\n")
+        if self.mark is not None and not any(self.mark[0] in t for t in texts):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(texts)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[1]).tolist()
+            if len(cuts) == len(texts) - 1:
+                data = ids.tobytes()
+                return [data[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)])]
+        return self._library(texts)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text. Words are told apart by a 64-bit hash within a block of texts."""
         if not self.by_word:
-            return self._library(texts)
-        if len(self.words) >= self.cache:
-            self.words.clear()
-        known, split = self.words, [t.split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        room = self.cache - len(known)
-        extra: dict[bytes, bytes] = {}
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            (known if at + len(part) <= room else extra).update(zip(part, self._library(part)))
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+            return [np.frombuffer(x, "<u4") for x in self._library([t.decode() for t in texts])]
+        if self.lowers:
+            texts = [t if _COMBINING.search(t) else t.lower() for t in texts]
+        out, held, size = [], [], 0
+        for t in texts:
+            if len(t) > 2 * BLOCK_BYTES:
+                out += self._block(held)
+                out.append(np.concatenate([ids for part in pieces(t, BLOCK_BYTES) for ids in self._block([part])]))
+                held, size = [], 0
+                continue
+            held.append(t)
+            size += len(t)
+            if size >= BLOCK_BYTES:
+                out += self._block(held)
+                held, size = [], 0
+        return out + self._block(held)
+
+    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        joined = b"\n".join(texts)
+        hashes, starts, ends = hash_words(joined)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
+        places = order[first]
+        words = [joined[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())]
+        known = self.words
+        values = [known.get(w) for w in words]
+        fresh = [n for n, v in enumerate(values) if v is None]
+        for at in range(0, len(fresh), 2048):
+            part = fresh[at : at + 2048]
+            for n, v in zip(part, self._words([words[n] for n in part])):
+                values[n] = v
+        if len(known) + len(fresh) <= self.cache:  # once it is full its words stay: they came first, so they are the common ones
+            known.update((words[n], values[n]) for n in fresh)
+        pool = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        group = np.empty(len(order), np.int32)
+        group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+        each = sizes[group]
+        after = np.cumsum(each)
+        offsets = (np.cumsum(sizes) - sizes)[group] - (after - each)
+        ids = pool[np.repeat(offsets, each) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        cuts = np.concatenate(([0], after))[np.searchsorted(starts, bounds[:-1])]
+        return np.split(ids, cuts)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -227,7 +284,7 @@ def write_tokens(
     shards = int(max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES)))
     tie = F.xxhash64(F.col("t"))
     dealt = (
-        docs.select(column(doc_id).cast("long").alias("id"), column(text).alias("t"))
+        docs.select(integer_id(docs, doc_id).alias("id"), column(text).alias("t"))
         .withColumn("tie", tie)
         .repartitionByRange(shards, "id", "tie")
         .sortWithinPartitions("id", "tie", "t")
@@ -238,7 +295,7 @@ def write_tokens(
         shard = context.partitionId()
         name, attempt = f"{out}/shard-{shard:06d}", context.taskAttemptId()
         encoder, writer, n = None, None, 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             for part in slices(batch, "t"):
                 if writer is None and part.num_rows:
@@ -249,7 +306,7 @@ def write_tokens(
                     writer = ShardWriter(*sinks, seq_len, vocabulary=max(end_id + 1, encoder.tokenizer.get_vocab_size()))
                 texts = [t or b"" for t in text_bytes(part.column("t"))]
                 for i, ids in zip(part.column("id").to_pylist(), encoder.encode(texts)):
-                    writer.add(i, np.frombuffer(ids + end, "<u4"))
+                    writer.add(i, np.concatenate((ids, end)))
                     n += 1
         if writer is None:
             return
