@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, column, others, slices, text_bytes
+from .common import carried, column, materialize, others, slices, text_bytes
 
 ORDER = 6
 SHARED = 2
@@ -49,7 +49,7 @@ PRIORS = (1, 5, 20, 50)
 WORD_TEXTS = 3
 BACKOFF = 0.3
 SAMPLE = 3000
-CACHE = 1 << 20
+CACHE = 1 << 18
 THRESHOLD = 0.3
 _ALNUM = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -61,21 +61,24 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Grams:
-    """The grams of padded words. A gram of up to 7 bytes is a number: its bytes, the last one lowest."""
+    """The grams of padded words, order by order. A gram of up to 7 bytes is a number: its bytes, the last one lowest."""
 
     def __init__(self, words: list[bytes]):
-        data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.uint64)
-        lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-        self.word = np.repeat(np.arange(len(words)), lengths)
-        self.place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.keys = [np.zeros(len(data), np.uint64), data]  # keys[n]: the n bytes that end here
-        for n in range(1, ORDER):
-            back = np.concatenate((np.zeros(n, np.uint64), data[:-n])) if len(data) > n else np.zeros(len(data), np.uint64)
-            self.keys.append(self.keys[-1] | (back << np.uint64(8 * n)))
+        self.data = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8)
+        lengths = np.fromiter((len(w) + 2 for w in words), np.int32, len(words))
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        self.place = np.arange(len(self.data), dtype=np.int32) - np.repeat(np.cumsum(lengths, dtype=np.int32) - lengths, lengths)
 
     def at(self, order: int) -> np.ndarray:
         """Places with a gram of that order: not before the word's pad, and not the pad itself."""
-        return np.flatnonzero((self.place >= max(1, order - 1)))
+        return np.flatnonzero(self.place >= max(1, order - 1))
+
+    def keys(self, order: int, at: np.ndarray) -> np.ndarray:
+        """The `order` bytes that end at each place; places before the first byte count as zero bytes."""
+        out = np.zeros(len(at), np.uint64)
+        for n in range(order):
+            out |= np.where(at >= n, self.data[np.maximum(at - n, 0)], 0).astype(np.uint64) << np.uint64(8 * n)
+        return out
 
 
 class Sorted:
@@ -107,13 +110,12 @@ class KneserNey:
             g = pooled if order <= SHARED else own
             at = g.at(order)
             if order == ORDER:
-                grams = Sorted(g.keys[order][at], counts[g.word[at]])
+                grams = Sorted(g.keys(order, at), counts[g.word[at]])
             else:
-                # Distinct left neighbours; the start of a word is one of its own, and no gram of a pad alone occurs.
-                first = g.place[at] == order - 1
-                left = np.where(first, g.keys[order][at], g.keys[order + 1][at])
-                distinct = np.unique(np.stack([g.keys[order][at], left, first.astype(np.uint64)], 1), axis=0) if len(at) else np.zeros((0, 3), np.uint64)
-                grams = Sorted(distinct[:, 0])
+                # Distinct left neighbours; the start of a word is one of its own, which the top bit marks.
+                first = (g.place[at] == order - 1).astype(np.uint64)
+                left = np.where(first > 0, g.keys(order, at), g.keys(order + 1, at)) | (first << np.uint64(63))
+                grams = Sorted(np.unique(left) & np.uint64((1 << 8 * order) - 1))
             once, twice = int((grams.sums == 1).sum()), int((grams.sums == 2).sum())
             self.grams.append(grams)
             self.total.append(Sorted(grams.keys >> np.uint64(8), grams.sums))
@@ -180,11 +182,11 @@ class ToxicityModel:
         """Toxic less ordinary log-likelihood of each word by its letters."""
         g = Grams(words)
         at = g.at(1)
-        longest = np.minimum(g.place[at] + 1, ORDER)
-        full = np.where(longest < ORDER, g.keys[ORDER][at] & ((np.uint64(1) << (longest.astype(np.uint64) * np.uint64(8))) - np.uint64(1)), g.keys[ORDER][at])
-        distinct, first, inverse = np.unique(full | (longest.astype(np.uint64) << np.uint64(56)), return_index=True, return_inverse=True)
-        places, sizes = at[first], longest[first]
-        keys = [g.keys[n][places] for n in range(ORDER + 1)]
+        longest = np.minimum(g.place[at] + 1, ORDER).astype(np.uint64)
+        full = g.keys(ORDER, at) & ((np.uint64(1) << longest * np.uint64(8)) - np.uint64(1))
+        distinct, inverse = np.unique(full | (longest << np.uint64(56)), return_inverse=True)
+        sizes = (distinct >> np.uint64(56)).astype(np.int64)
+        keys = [distinct & np.uint64((1 << 8 * n) - 1) for n in range(ORDER + 1)]
         toxic, ordinary = (m.probabilities(keys, sizes) for m in self.models)
         return np.bincount(g.word[at], np.log(toxic / ordinary)[inverse], len(words))
 
@@ -198,17 +200,21 @@ class ToxicityModel:
     def differences(self, texts: list[bytes | None]) -> np.ndarray:
         """(letters, words, pairs) by length in words, of each text."""
         split = [words_of(t or b"") for t in texts]
-        if len(self._known) > CACHE:
-            self._known.clear()
         known, (whole, pairs, starts) = self._known, self._ready()
-        fresh = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
-            known.update(zip(part, beyond(self.letters(part), self.margin).tolist()))
+        fresh = [w for w in set().union(*split) if w not in known]
+        found: dict[bytes, float] = {}
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
+            found.update(zip(part, beyond(self.letters(part), self.margin).tolist()))
+        if len(known) + len(found) <= CACHE:  # the words that came first are the common ones, and stay
+            known.update(found)
+            found = known
+        else:
+            found = {w: known[w] if w in known else found[w] for w in set().union(*split)}
         out = np.zeros((len(texts), 3))
         for n, words in enumerate(split):
             both = sum(pairs.get(words[i] + b" " + words[i + 1], 0.0) for i in range(len(words) - 1) if words[i] in starts) if starts else 0.0
-            out[n] = sum(map(known.__getitem__, words)), sum(whole.get(w, 0.0) for w in words), both
+            out[n] = sum(map(found.__getitem__, words)), sum(whole.get(w, 0.0) for w in words), both
             out[n] /= len(words) + self.prior
         return out
 
@@ -297,7 +303,7 @@ def sampled_rows(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str,
 
 
 def counted(rows: DataFrame) -> tuple[list, list, dict]:
-    """((word, y, held, occurrences, texts), (pair, y, held, texts) of pairs in WORD_TEXTS texts or more, texts by (y, held)).
+    """((word, y, held, occurrences, texts), the same of pairs in WORD_TEXTS texts or more, texts by (y, held)).
     As many words as `sample` texts hold reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,12 +322,13 @@ def counted(rows: DataFrame) -> tuple[list, list, dict]:
                 yield pa.RecordBatch.from_arrays(arrays, names=["kind", "k", "y", "held", "c", "n"])
 
     found = rows.mapInArrow(run, "kind int, k binary, y int, held boolean, c long, n long")
-    found = found.groupBy("kind", "k", "y", "held").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    found = materialize(found.groupBy("kind", "k", "y", "held").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "counts")
     several = found.where("kind = 1").groupBy("k").agg(F.collect_list(F.struct("y", "held", "n")).alias("g"), F.sum("n").alias("n"))
     pairs = several.where(F.col("n") >= WORD_TEXTS).select("k", F.inline("g"))
-    words = [(bytes(r["k"]), r["y"], r["held"], r["c"], r["n"]) for r in found.where("kind = 0").collect()]
-    texts = {(r["y"], r["held"]): r["n"] for r in found.where("kind = 2").collect()}
-    return sorted(words), sorted((bytes(r["k"]), r["y"], r["held"], r["n"]) for r in pairs.collect()), texts
+    found = materialize(found.where("kind <> 1").unionByName(pairs.selectExpr("1 as kind", "k", "y", "held", "0L as c", "n")), "counts")
+    rows = [found.where(F.col("kind") == kind).select("k", "y", "held", "c", "n").toArrow().to_pydict() for kind in range(3)]
+    words, several = (sorted(zip(*r.values())) for r in rows[:2])
+    return words, several, {(y, held): n for _, y, held, _, n in zip(*rows[2].values())}
 
 
 def fit(rows: DataFrame | None, counts: dict[int, int], sample: int = SAMPLE) -> ToxicityModel | None:
