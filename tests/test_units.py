@@ -11,7 +11,9 @@ from tidewheel.functions.hashing import fnv1a32, sample_bucket
 from tidewheel.functions.json_schema import FieldMapper, JsonSchema, upcast_to_latest
 from tidewheel.operators import filters, fold
 from tidewheel.operators.stores import monitor_page
+from tidewheel.session import shared_path
 from tidewheel.sources import transport
+from tidewheel.streaming import stateful
 
 US = 1_000_000
 
@@ -62,20 +64,67 @@ def test_sessions_reset(rows):
         assert [o for p in parts for o in outcomes(f, p)] == outcomes(f, rows)
 
 
-def test_native_fold_equals_stream_fold(spark):
-    rows = spark.createDataFrame([(f"k{i % 7}", i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=5 * (i * 31 % 97)), i % 3 > 0) for i in range(200)], "key string, seq bigint, ts timestamp, ok boolean")
-    ttl = 20 * 3600 * US
-    one = fold.fold(rows, "key", fold.dedup_ttl(ttl))
-    split = fold.fold(rows, "key", fold.dedup_ttl(ttl), by_session=True)
-
-    def step(acc, row):
-        dup = row["t"] <= acc["until"]
-        return {"until": F.when(~dup & row["ok"], row["t"] + ttl).otherwise(acc["until"])}, F.when(dup, "duplicate").when(row["ok"], "ok").otherwise("fail")
-
-    native = fold.fold_native(rows, "key", {"until": "cast(-1 as bigint)"}, step)
-    want = sorted(map(tuple, one.collect()))
-    assert sorted(map(tuple, split.collect())) == want
-    assert sorted(map(tuple, native.select("key", "seq", "outcome").collect())) == want
+def plain_fold(definition, rows):
+    """(key, seq, outcome) by a plain loop over rows of (key, seq, t, ok)."""
+    states, out = {}, []
+    for key, seq, t, ok in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+        outcome = None
+        if t is not None:
+            states[key], outcome = definition.step(states.get(key, definition.init), t, int(ok or 0))
+        out.append((key, seq, outcome))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("kind, keys", [("bigint", [None, 2**53 + 1, 2**53, 1]), ("string", [None, "", "a", "A"]), ("double", [None, 0.5])])
+def test_fold_keys_keep_their_value(spark, kind, keys):
+    """Null, large, empty and repeated keys; null times and outcomes; batch, split and streaming forms agree."""
+    base, rows = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc), []
+    for i in range(120):
+        t = None if i % 17 == 0 else 5 * 3600 * (i * 31 % 97)
+        rows.append((keys[i % len(keys)], i, t, None if i % 13 == 0 else i % 3 > 0))
+    frame = [(k, i, None if t is None else base + datetime.timedelta(seconds=t), ok, "x") for k, i, t, ok in rows]
+    df = spark.createDataFrame(frame, f"k0 {kind}, seq bigint, ts timestamp, ok boolean, session string").repartition(3)
+    us = int(base.timestamp()) * US
+    for definition in (fold.dedup_ttl(20 * 3600 * US), fold.poison(2, 30 * 3600 * US)):
+        want = plain_fold(definition, [(k, i, None if t is None else us + t * US, ok) for k, i, t, ok in rows])
+        assert sorted(map(tuple, fold.fold(df, "k0", definition).collect()), key=repr) == want
+        assert sorted(map(tuple, fold.fold(df, "k0", definition, by_session=True).collect()), key=repr) == want
+        last = {k: o for k, i, t, ok in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1])) for kk, s, o in want if s == i and kk == k}
+        assert dict((r["k0"], r["outcome"]) for r in fold.fold(df, "k0", definition, final=True).collect()) == last
+        path = shared_path(spark, "keys")
+        df.coalesce(1).write.parquet(path)
+        stream = stateful.fold_stream(stateful.stream_table(spark, path, df.schema), "k0", definition)
+        assert sorted(map(tuple, stateful.run_to_table(stream, "keys").collect()), key=repr) == want
+
+
+def test_split_gap_spans(spark):
+    """Sessions over many spans, on both sides of every border, against a loop."""
+    times = [i * 3 for i in range(400)] + [1300 + i * 11 for i in range(200)] + [5000 + i * 700 for i in range(20)]
+    rows = [(k, i, datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=t + k * 5)) for k in range(2) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "k bigint, seq bigint, ts timestamp")
+    got = {(r["k"], r["seq"]): r["session"] for r in fold.split_gap(df, "k", "ts", "seq", 10).collect()}
+    assert len(got) == len(rows)
+    for k in range(2):
+        start = last = None
+        for i, t in enumerate(times):
+            start = t if last is None or t - last > 10 else start
+            last = t
+            assert got[k, i] - got[k, 0] == start
+
+
+def test_stream_state_expires_and_late_rows_go(spark):
+    """Two micro-batches: the second drops what lies before the watermark, and expired keys start anew."""
+    path, hour = shared_path(spark, "late"), datetime.timedelta(hours=1)
+    base = datetime.datetime(2024, 1, 1)
+    kind = "k string, seq bigint, ts timestamp, ok boolean"
+    parts = [[("a", 1, base, True), ("b", 2, base + 90 * hour, True)], [("a", 3, base + hour, True), ("a", 4, base + 91 * hour, True), ("b", 5, base + 91 * hour, True)]]
+    out = shared_path(spark, "late-out")
+    for part in parts:
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(path)
+        stream = stateful.fold_stream(stateful.stream_table(spark, path, spark.read.parquet(path).schema), "k", fold.dedup_ttl(10 * 3600 * US), delay="1 hour")
+        stream.writeStream.format("parquet").option("checkpointLocation", out + "-c").trigger(availableNow=True).start(out).awaitTermination()
+    got = {r["seq"]: r["outcome"] for r in spark.read.schema(stream.schema).parquet(out).collect()}
+    assert got == {1: "ok", 2: "ok", 4: "ok", 5: "duplicate"}
 
 
 def test_hashes(spark):
@@ -149,3 +198,62 @@ def test_transport_roundtrip(spark, tmp_path):
 
 def test_schemas(spark):
     assert all(model.schema(n).fieldNames() for n in model.STORES)
+
+
+def test_binary_wire_forms():
+    from tidewheel.functions import wire
+
+    cases = [("", "", b"", None, 0), ("id", "sé", b"\x00\xff" * 300, {"a": "1", "b" * 40: "c" * 70_000}, 2**31 - 1), ("x" * 31, "y" * 300, b"z" * 70_000, {str(i): "" for i in range(20)}, -5)]
+    for m in cases:
+        for encode, decode in ((wire.msgpack_encode, wire.msgpack_decode), (wire.proto_encode, wire.proto_decode)):
+            assert decode(encode(m)) == m
+            if len(encode(m)) > 1:
+                with pytest.raises(Exception):
+                    decode(encode(m)[:-1] + b"\xc1" * 9)
+    # Fixed bytes of both formats.
+    assert wire.msgpack_encode(("a", "b", b"c", None, 300)) == b"\x84\xa2id\xa1a\xa6source\xa1b\xa7payload\xc4\x01c\xabretry_count\xcd\x01\x2c"
+    assert wire.proto_encode(("a", "b", b"c", {"k": "v"}, 300)) == b"\x0a\x01a\x12\x01b\x1a\x06\x0a\x01k\x12\x01v\x20\xac\x02\x2a\x01c"
+
+
+def test_registries():
+    from tidewheel.functions import wire
+    from tidewheel.functions.json_schema import SchemaRegistry
+
+    registry = SchemaRegistry()
+    registry.register(JsonSchema(1, "user"))
+    registry.register(JsonSchema(2, "user"), FieldMapper(1, 2))
+    assert registry.names() == ["user"] and registry.versions("user") == [1, 2] and registry.latest("user").version == 2 and registry.latest("x") is None
+    for bad in (JsonSchema(2, "user"), JsonSchema(0, "user"), JsonSchema(1)):
+        with pytest.raises(ValueError):
+            registry.register(bad)
+    codecs = wire.CodecRegistry()
+    assert codecs.must_get(None) is wire.JSON and codecs.must_get("text/plain") is wire.JSON and codecs.get("text/plain") is None
+    codecs.register(wire.Codec("text/plain", wire.JSON.encode, wire.JSON.decode))
+    assert codecs.get("text/plain").content_type == "text/plain"
+
+
+def test_property_names_with_dots(spark):
+    schema = JsonSchema(1, "x", ("a.b",), {"a.b": "number", "it's": "string"})
+    cases = {'{"a.b":1}': True, '{"a.b":"1"}': False, '{"a":{"b":1}}': False, '{"a.b":2,"it\'s":"x"}': True, '{"a.b":2,"it\'s":3}': False}
+    got = spark.createDataFrame([(c,) for c in cases], "p string").select("p", schema.valid(F.col("p")).alias("v")).collect()
+    assert {r["p"]: r["v"] for r in got} == cases
+
+
+def test_ring_lookup_equals_search(spark):
+    from tidewheel.operators.routing import consistent_partition, consistent_partition_of
+
+    keys = [f"k{i}" for i in range(500)] + ["", "é"]
+    for n, replicas in ((1, 1), (3, 5), (40, 100)):
+        rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", consistent_partition(F.col("k"), n, replicas).alias("p")).collect()
+        assert all(r["p"] == consistent_partition_of(r["k"], n, replicas) for r in rows)
+
+
+def test_stream_once_keeps_marks_between_batches(spark):
+    path = shared_path(spark, "once-test")
+    kind = "id string, seq bigint, ok boolean"
+    for rows in ([("a", 1, True), ("a", 2, True), ("b", 3, False), ("", 4, True)], [("a", 5, True), ("b", 6, True), ("", 7, True), (None, 8, True)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = stateful.stream_table(spark, f"{path}/in", spark.read.parquet(f"{path}/in").schema)
+        query = stateful.once(stream, lambda batch: batch, "id", ("seq",), f"{path}/out", f"{path}/marks", f"{path}/checkpoint")
+        got = stateful.finish(query, spark, f"{path}/out", kind)
+    assert sorted(r["seq"] for r in got.collect()) == [1, 3, 4, 6, 7, 8]

@@ -15,6 +15,11 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _path(key: str) -> str:
+    """The path of one key, dots included."""
+    return f'$["{key}"]' if "'" in key else f"$['{key}']"
+
+
 @dataclass(frozen=True)
 class JsonSchema:
     """Required keys, and the JSON type of properties. Unknown type names accept everything."""
@@ -41,7 +46,7 @@ class JsonSchema:
             out = out.when(~F.array_contains(keys, key), F.lit(f"missing required field: {key}"))
         for key, want in self.properties.items():
             if want in _KINDS:
-                got = F.schema_of_variant(F.variant_get(parsed, f"$.{key}", "variant"))
+                got = F.schema_of_variant(F.variant_get(parsed, _path(key), "variant"))
                 fits = F.coalesce(F.regexp_extract(got, r"^([A-Z]+)", 1).isin(*_KINDS[want]), F.lit(False))
                 out = out.when(F.array_contains(keys, key) & ~fits, F.lit(f"field {key} must be {want}"))
         return out
@@ -100,15 +105,17 @@ def upcast_to_latest(payload: Column, version: Column, steps: list[FieldMapper])
     return out, F.when((version < 1) | (version > latest), F.lit("unknown version")).otherwise(error)
 
 
-def encode_envelope(version: Column, event: Column, payload: Column, metadata: Column | None = None) -> Column:
-    fields = [version.alias("version"), event.alias("event"), F.try_parse_json(payload).alias("payload")]
+def encode_envelope(version: Column, topic: Column, payload: Column, metadata: Column | None = None, name_key: str = "topic") -> Column:
+    """JSON of version, the topic's name under `name_key`, payload and metadata."""
+    fields = [version.alias("version"), topic.alias(name_key), F.try_parse_json(payload).alias("payload")]
     return F.to_json(F.struct(*fields, *([metadata.alias("metadata")] if metadata is not None else [])))
 
 
-def decode_envelope(data: Column) -> Column:
-    """struct(version, event, payload); null for what is no envelope."""
-    got = F.from_json(data, "version int, event string, payload variant")
-    return F.when(got["version"].isNotNull() & got["payload"].isNotNull(), F.struct(got["version"].alias("version"), got["event"].alias("event"), F.to_json(got["payload"]).alias("payload")))
+def decode_envelope(data: Column, name_key: str = "topic") -> Column:
+    """struct(version, topic, payload); null for what is no envelope."""
+    got = F.from_json(data, f"version int, `{name_key}` string, payload variant")
+    parts = F.struct(got["version"].alias("version"), got[name_key].alias("topic"), F.to_json(got["payload"]).alias("payload"))
+    return F.when(got["version"].isNotNull() & got["payload"].isNotNull(), parts)
 
 
 def versioned_decode(data: Column, steps: list[FieldMapper], latest: JsonSchema) -> Column:
@@ -149,3 +156,55 @@ def content_route(metadata: Column, known: tuple[str, ...] = ("application/json"
     """decode, or dead_letter for a content type without a codec; a missing type is JSON."""
     kind = F.coalesce(F.try_element_at(metadata, F.lit("Content-Type")), F.lit("application/json"))
     return F.when(kind.isin(*known), "decode").otherwise("dead_letter")
+
+
+def versioned_encode(payload: Column, topic: Column, schema: JsonSchema | None) -> Column:
+    """The stored form: an envelope of the schema's version, or the payload as it is without a schema."""
+    return payload if schema is None else encode_envelope(F.lit(schema.version), topic, payload)
+
+
+def decode_raw(data: Column) -> Column:
+    """struct(payload, version) as stored: nothing is upcast or validated; what is no envelope has no version."""
+    got = decode_envelope(data)
+    return F.struct(F.coalesce(got["payload"], data).alias("payload"), got["version"].alias("version"))
+
+
+def validate_and_upcast(payload: Column, version: Column, schemas: list[JsonSchema], steps: list[FieldMapper]) -> Column:
+    """struct(payload, error): the payload must be valid for the schema of its own version, and is then brought to the last."""
+    error = F.lit("unknown version")
+    for schema in schemas:
+        error = F.when(version == schema.version, schema.error(payload)).otherwise(error)
+    out, missing = upcast_to_latest(payload, version, steps)
+    return _let(F.coalesce(error, missing), lambda e: F.struct(F.when(e.isNull(), out).alias("payload"), e.alias("error")))
+
+
+class SchemaRegistry:
+    """Schemas by name and version, and the steps between versions."""
+
+    def __init__(self) -> None:
+        self._schemas: dict[str, dict[int, JsonSchema]] = {}
+        self._steps: dict[str, list[FieldMapper]] = {}
+
+    def register(self, schema: JsonSchema, *steps: FieldMapper) -> None:
+        if not schema.name or schema.version < 1:
+            raise ValueError("a schema has a name and a version from 1 on")
+        if schema.version in self._schemas.setdefault(schema.name, {}):
+            raise ValueError(f"{schema.name} has version {schema.version} already")
+        self._schemas[schema.name][schema.version] = schema
+        self._steps.setdefault(schema.name, []).extend(steps)
+
+    def get(self, name: str, version: int) -> JsonSchema:
+        return self._schemas[name][version]
+
+    def latest(self, name: str) -> JsonSchema | None:
+        versions = self._schemas.get(name)
+        return versions[max(versions)] if versions else None
+
+    def versions(self, name: str) -> list[int]:
+        return sorted(self._schemas.get(name, {}))
+
+    def names(self) -> list[str]:
+        return sorted(self._schemas)
+
+    def upcast(self, name: str, payload: Column, version: Column) -> tuple[Column, Column]:
+        return upcast_to_latest(payload, version, self._steps[name])

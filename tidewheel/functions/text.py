@@ -23,9 +23,9 @@ def sanitize(name: Column) -> Column:
 
 
 def full_name(name: Column) -> Column:
-    """struct(bus, event, valid) of `bus://event`."""
-    bus, event = F.regexp_extract(name, r"^(.*?)://(.*)$", 1), F.regexp_extract(name, r"^(.*?)://(.*)$", 2)
-    return F.struct(bus.alias("bus"), event.alias("event"), ((bus != "") & (event != "")).alias("valid"))
+    """struct(bus, topic, valid) of `bus://topic`."""
+    bus, topic = F.regexp_extract(name, r"^(.*?)://(.*)$", 1), F.regexp_extract(name, r"^(.*?)://(.*)$", 2)
+    return F.struct(bus.alias("bus"), topic.alias("topic"), ((bus != "") & (topic != "")).alias("valid"))
 
 
 def backoff_ms(attempt: Column, base: int = 100, cap: int = 5_000, jitter: float = 0.3) -> Column:
@@ -48,3 +48,9 @@ def worst_status(status: Column) -> Column:
     rank = F.when(status == "unhealthy", 2).when(status == "degraded", 1).otherwise(0)
     worst = F.max(rank)
     return F.when(worst == 2, "unhealthy").when(worst == 1, "degraded").otherwise("healthy")
+
+
+def rfc3339(text: Column) -> Column:
+    """The UTC time of an RFC 3339 text, null for what is none."""
+    fits = text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$")
+    return F.when(fits, F.try_to_timestamp(F.upper(F.regexp_replace(text, " ", "T"))))

@@ -69,6 +69,7 @@ class DlqFilter:
     end_time: str | datetime | None = None
     error: str | None = None
     case_sensitive: bool = False
+    error_is_pattern: bool = False
     max_retries: int = 0
     source: str | None = None
     exclude_retried: bool = False
@@ -76,13 +77,16 @@ class DlqFilter:
     offset: int = 0
 
     def predicate(self) -> Column:
-        """created_at in [start, end], both ends included; error holds a literal text."""
+        """created_at in [start, end], both ends included; error holds a literal text, or matches
+        a pattern."""
         parts = [F.col(c) == v for c in ("event_name", "source") if (v := getattr(self, c))]
         if self.start_time:
             parts.append(F.col("created_at") >= _at(self.start_time))
         if self.end_time:
             parts.append(F.col("created_at") <= _at(self.end_time))
-        if self.error:
+        if self.error and self.error_is_pattern:
+            parts.append(F.col("error").rlike(self.error if self.case_sensitive else f"(?i){self.error}"))
+        elif self.error:
             column, want = (F.col("error"), self.error) if self.case_sensitive else (F.lower("error"), self.error.lower())
             parts.append(column.contains(want))
         if self.max_retries:

@@ -6,10 +6,12 @@ with one state at a time, so a key of any length takes constant memory and no gr
 `streaming.stateful` keeps the same state per key in the state store.
 
 Folds with a reset gap (a pause after which the state is as good as new) can have their keys split at such pauses:
-`split_gap` numbers the sessions of a key by a window, and the fold then runs on (key, session), which spreads one hot
-key over many tasks. It is exact for the folds that set `gap_us`.
+`split_gap` finds them by spans of time, so that no task holds all of a key, and the fold then runs on (key, session). It is
+exact for the folds that set `gap_us`.
 
-Times are microseconds. Rows are ordered by (ts, seq); equal ones keep seq order. A null key is a key of its own.
+Times are microseconds. Rows are ordered by (ts, seq); rows without a time come first, change nothing and have no outcome.
+A null key is a key of its own, and so is NaN. Keys of any type keep their value; extra columns are ignored. A null `ok`
+counts as a failure.
 """
 
 from __future__ import annotations
@@ -18,13 +20,19 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import column, free_name
+
 Step = Callable[[tuple, int, bool], tuple[tuple, Any]]
 HOUR = 3_600_000_000
+#: Gaps in a span of split_gap.
+SPAN = 64
+#: What `ok` is for a row that isn't a delivery but an operator's release of the key.
+RELEASE = 2
 
 
 @dataclass(frozen=True)
@@ -54,9 +62,11 @@ def dedup_ttl(ttl_us: int, inclusive: bool = True, claim_on_check: bool = False)
 
 def poison(threshold: int = 5, quarantine_us: int = HOUR, inclusive: bool = True) -> Fold:
     """skip while quarantined; a failure counts and quarantines from the threshold on; a success clears the count. The
-    count outlives the quarantine, so the first failure after it quarantines again."""
+    count outlives the quarantine, so the first failure after it quarantines again. A release clears both."""
 
     def step(state, t, ok):
+        if ok == RELEASE:
+            return (0, None), "released"
         failures, until = state
         if until is not None and (t <= until if inclusive else t < until):
             return state, "skip"
@@ -68,6 +78,17 @@ def poison(threshold: int = 5, quarantine_us: int = HOUR, inclusive: bool = True
     return Fold((0, None), step)
 
 
+def poison_until(threshold: int = 5, quarantine_us: int = HOUR, inclusive: bool = True) -> Fold:
+    """The end of the quarantine that the key is in after each row, in microseconds; null without one."""
+    inner = poison(threshold, quarantine_us, inclusive)
+
+    def step(state, t, ok):
+        state, _ = inner.step(state, t, ok)
+        return state, state[1]
+
+    return Fold(inner.init, step, "bigint")
+
+
 def circuit_breaker(failures: int = 5, successes: int = 2, timeout_us: int = 30_000_000) -> Fold:
     """closed opens at so many failures in a row; open rejects until more than timeout has passed, then one is let
     through half-open; so many successes there close it, a failure opens it again."""
@@ -123,6 +144,39 @@ def sliding_window(limit: int, window_us: int) -> Fold:
     return Fold(([],), step, gap_us=window_us)
 
 
+def sliding_window_remaining(limit: int, window_us: int) -> Fold:
+    """What the window allows after each row, 0 at least."""
+    inner = sliding_window(limit, window_us)
+
+    def step(state, t, ok):
+        state, _ = inner.step(state, t, ok)
+        return state, max(0, limit - len(state[0]))
+
+    return Fold(inner.init, step, "bigint", inner.gap_us)
+
+
+def sliding_window_delay(limit: int, window_us: int) -> Fold:
+    """What a reservation waits: nothing while the window allows it, else the window's share of one row."""
+    inner = sliding_window(limit, window_us)
+
+    def step(state, t, ok):
+        state, outcome = inner.step(state, t, ok)
+        return state, 0 if outcome == "allow" else window_us // limit
+
+    return Fold(inner.init, step, "bigint", inner.gap_us)
+
+
+def token_bucket_delay(burst: int, us_per_token: int) -> Fold:
+    """How long after each row the bucket has a whole token again."""
+    inner = token_bucket(burst, us_per_token)
+
+    def step(state, t, ok):
+        state, _ = inner.step(state, t, ok)
+        return state, max(0, us_per_token - state[0])
+
+    return Fold(inner.init, step, "bigint", inner.gap_us)
+
+
 def token_bucket(burst: int, us_per_token: int) -> Fold:
     """A full bucket at first; whole microseconds of credit, so no rounding enters."""
 
@@ -154,12 +208,30 @@ def micro_batches(size: int, timeout_us: int) -> Fold:
     return Fold((0, 0, None), step, "bigint")
 
 
-def split_gap(rows: DataFrame, key: str, ts: str, seq: str, gap_us: int, out: str = "__session") -> DataFrame:
-    """rows with a number of the key's session: a pause of more than the gap starts a new one."""
-    w = Window.partitionBy(key).orderBy(ts, seq)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    fresh = (us - F.lag(us).over(w) > gap_us).cast("int")
-    return rows.withColumn("__fresh", F.coalesce(fresh, F.lit(0))).withColumn(out, F.sum("__fresh").over(w)).drop("__fresh")
+def split_gap(rows: DataFrame, key: str, ts: str, seq: str, gap_us: int, out: str = "session") -> DataFrame:
+    """rows with the start (microseconds) of the key's session: a pause of more than the gap starts a new one.
+
+    A key's time is cut in spans of SPAN gaps. Within a span, a window finds pauses and session starts; what a span must know
+    of the ones before (their last time, the session then open) comes from a table with a row per key and span. A span
+    without rows is longer than the gap, so only the span just before can hold the last row of the same session."""
+    names = {n: free_name(n, rows.columns) for n in ("us", "span", "open", "fresh", "k", "s", "last", "carry")}
+    us, span, open_, fresh = (column(names[n]) for n in ("us", "span", "open", "fresh"))
+    spanned = rows.withColumn(names["us"], F.unix_micros(column(ts).cast("timestamp")))
+    spanned = spanned.withColumn(names["span"], F.floor(us / (SPAN * gap_us)).cast("bigint"))
+    within = Window.partitionBy(column(key), span).orderBy(us, column(seq))
+    ends = spanned.groupBy(column(key).alias(names["k"]), (span + 1).alias(names["s"])).agg(F.max(us).alias(names["last"]))
+    same = (column(key).eqNullSafe(column(names["k"]))) & (span == column(names["s"]))
+    known = spanned.join(ends, same, "left").drop(names["k"], names["s"])
+    before = F.coalesce(F.lag(us).over(within), column(names["last"]))
+    marked = known.withColumn(names["fresh"], F.when(before.isNull() | (us - before > gap_us), us))
+    marked = marked.withColumn(names["open"], F.last(fresh, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy(column(key).alias(names["k"]), span.alias(names["s"])).agg(F.max(fresh).alias(names["last"]))
+    carried = F.last(column(names["last"]), ignorenulls=True).over(
+        Window.partitionBy(column(names["k"])).orderBy(column(names["s"])).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    spans = spans.select(names["k"], names["s"], carried.alias(names["carry"]))
+    joined = marked.drop(names["last"]).join(spans, same, "left")
+    return joined.select(*[column(c) for c in rows.columns if c != out], F.coalesce(open_, column(names["carry"])).alias(out))
 
 
 def fold(
@@ -171,48 +243,70 @@ def fold(
     ok: str | None = "ok",
     out: str = "outcome",
     by_session: bool = False,
+    release: str | None = None,
+    final: bool = False,
 ) -> DataFrame:
-    """rows' key, seq and outcome. by_session: split keys at the fold's reset gap first."""
-    names = [key, seq]
+    """rows' key, seq and outcome. by_session: split keys at the fold's reset gap first. release: a boolean column that marks
+    rows which release their key instead of being delivered. final: only each key's last row (not with by_session)."""
+    session = free_name("session", rows.columns)
     if by_session and definition.gap_us is not None:
-        rows = split_gap(rows, key, ts, seq, definition.gap_us)
-        keys = [key, "__session"]
+        rows = split_gap(rows, key, ts, seq, definition.gap_us, session)
+        keys = [key, session]
     else:
         keys = [key]
-    slim = rows.select(
-        *keys, seq, F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"), (F.col(ok) if ok else F.lit(True)).alias("__ok")
-    ).repartition(*keys).sortWithinPartitions(*keys, "__t", seq)
+    code = F.coalesce(column(ok).cast("int"), F.lit(0)) if ok else F.lit(1)
+    if release:
+        code = F.when(column(release), RELEASE).otherwise(code)
+    named = [column(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    slim = rows.select(*named, column(seq).alias("seq"), F.unix_micros(column(ts).cast("timestamp")).alias("t"), code.alias("ok"))
+    slim = slim.repartition(*[f"k{i}" for i in range(len(keys))]).sortWithinPartitions(*[f"k{i}" for i in range(len(keys))], "t", "seq")
     kind = {f.name: f for f in rows.schema.fields}
     schema = T.StructType([kind[key], kind[seq], T.StructField(out, T._parse_datatype_string(definition.out_type))])
     init, step, width = definition.init, definition.step, len(keys)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = object(), None
-        for pdf in frames:
-            results = []
-            for row in zip(*[pdf[k].tolist() for k in keys], pdf["__t"].tolist(), pdf["__ok"].tolist()):
-                if row[:width] != last:
-                    last, state = row[:width], init
-                state, outcome = step(state, row[width], bool(row[width + 1]))
+    outcome_type = pa.int64() if definition.out_type == "bigint" else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, kept, kinds = None, init, None, ()
+        for batch in batches:
+            kinds = (batch.column(0).type, batch.column(width).type, outcome_type)
+            results, ends = [], []
+            columns = [c.to_pylist() for c in batch.columns]
+            for *now, at, t, good in zip(*columns):
+                plain = ["nan" if x != x else x for x in now]
+                if plain != last:
+                    if kept is not None:
+                        ends.append(kept)
+                    last, state = plain, init
+                outcome = None
+                if t is not None:
+                    state, outcome = step(state, t, good)
+                kept = (now[0], at, outcome)
                 results.append(outcome)
-            yield pd.DataFrame({key: pdf[key], seq: pdf[seq], out: results})
-
-    return slim.mapInPandas(run, schema)
-
-
-def fold_native(rows: DataFrame, key: str, state: dict[str, str], step: Callable, ts: str = "ts", seq: str = "seq", ok: str = "ok", out: str = "outcome") -> DataFrame:
-    """The JVM form for many keys with short groups: `step(acc, row)` gives the struct of the next state with `out` in it,
-    over the key's sorted rows. It gathers a key's rows, so it is for groups that are known to be short."""
-    packed = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(seq).alias("seq"), F.col(ok).alias("ok"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(packed)).alias("rows"))
-    fields = F.struct(*[F.expr(v).alias(k) for k, v in state.items()], F.array().cast("array<struct<seq:bigint,outcome:string>>").alias("outs"))
-
-    def body(acc, row):
-        nxt, outcome = step(acc, row)
-        return F.struct(*[nxt[k].alias(k) for k in state], F.array_append(acc["outs"], F.struct(row["seq"].alias("seq"), outcome.alias("outcome"))).alias("outs"))
-
-    done = grouped.select(key, F.aggregate("rows", fields, body, lambda acc: acc["outs"]).alias("outs"))
-    return done.select(key, F.inline("outs")).withColumnRenamed("seq", seq).withColumnRenamed("outcome", out)
+            if final:
+                arrays = [pa.array(c, k) for c, k in zip(zip(*ends) if ends else ((),) * 3, kinds)]
+            else:
+                arrays = [batch.column(0), batch.column(width), pa.array(results, outcome_type)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+        if final and kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(kept, kinds)], names=schema.fieldNames())
+
+    return slim.mapInArrow(run, schema)
+
+
+def idempotent(rows: DataFrame, key: str, definition: Fold, **given) -> DataFrame:
+    """A deduplicating fold as a stage: rows without an id (null or empty) pass, each with its own outcome."""
+    named = F.coalesce(column(key).cast("string"), F.lit("")) != ""
+    ts, seq, ok, out = (given.get(n, d) for n, d in (("ts", "ts"), ("seq", "seq"), ("ok", "ok"), ("out", "outcome")))
+    passed = rows.where(~named).select(column(key), column(seq), F.when(column(ok) if ok else F.lit(True), "ok").otherwise("fail").alias(out))
+    return fold(rows.where(named), key, definition, **given).unionByName(passed)
+
+
+def quarantined(rows: DataFrame, key: str, threshold: int, quarantine_us: int, as_of: str, limit: int = 100, **given) -> DataFrame:
+    """(key, quarantined_at) of the keys whose quarantine holds at as_of, newest first, by the poison fold's own state."""
+    state = fold(rows, key, poison_until(threshold, quarantine_us), out="until", final=True, **given)
+    now = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    active = state.where(F.col("until") > now).select(column(key), F.timestamp_micros(F.col("until") - quarantine_us).cast("timestamp_ntz").alias("quarantined_at"))
+    return active.orderBy(F.desc("quarantined_at"), column(key)).limit(limit)
 
 
 def batches_by_size(rows: DataFrame, size: int, key: str | None = None, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fold import Fold, dedup_ttl, fold, poison
+from .stores import monitor_record
 
 
 def chained(poisoned: Fold | None, dedup: Fold | None) -> Fold:
@@ -38,11 +39,25 @@ def handle(deliveries: DataFrame, key: str = "message_id", threshold: int = 5, q
     return out.withColumn("monitor_status", F.when(F.col("outcome") == "fail", "retrying").otherwise("completed"))
 
 
-def gated(events: DataFrame, schemas: DataFrame, stores: dict[str, bool]) -> DataFrame:
-    """Which stages run for each event: the loaded schema's flags, else those with a configured store."""
-    joined = events.join(schemas.withColumnRenamed("name", "event_name"), "event_name", "left")
+def monitored(deliveries: DataFrame, handled: DataFrame, key: str = "message_id") -> DataFrame:
+    """The monitor's records of a handled stream: each delivery is first recorded as pending and then updated to completed,
+    retrying or failed by its outcome; the latest state of each stays. handled: what `handle` gives."""
+    pending = deliveries.select(
+        F.col(key).alias("event_id"), F.col("seq").cast("string").alias("subscription_id"), F.lit("broadcast").alias("delivery_mode"), "event_name",
+        F.col("ts").alias("started_at"), F.lit("pending").alias("status"), F.lit(0).alias("step"),
+    )
+    done = handled.select(
+        F.col(key).alias("event_id"), F.col("seq").cast("string").alias("subscription_id"), F.lit("broadcast").alias("delivery_mode"),
+        F.lit(None).cast("string").alias("event_name"), F.lit(None).cast("timestamp_ntz").alias("started_at"), F.col("monitor_status").alias("status"), F.lit(1).alias("step"),
+    )
+    return monitor_record(pending.unionByName(done), version="step")
+
+
+def gated(messages: DataFrame, schemas: DataFrame, stores: dict[str, bool]) -> DataFrame:
+    """Which stages run for each message: the topic's loaded schema's flags, else those with a configured store."""
+    joined = messages.join(schemas.withColumnRenamed("name", "event_name"), "event_name", "left")
     loaded = F.col("version").isNotNull()
     return joined.select(
-        *events.columns,
+        *messages.columns,
         *[F.when(loaded, F.col(f"enable_{s}")).otherwise(F.lit(stores.get(s, False))).alias(f"run_{s}") for s in ("monitor", "idempotency", "poison")],
     )

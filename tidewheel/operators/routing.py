@@ -10,21 +10,55 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import crc32_text, fnv1a32
 
-#: Subscribers are a dimension of the deployment, not of the data; beyond this many rows they are joined, not broadcast.
-MAX_BROADCAST_SUBSCRIBERS = 100_000
-
-
-def _dimension(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_SUBSCRIBERS + 1).count() <= MAX_BROADCAST_SUBSCRIBERS else rows
 
 
 def route_broadcast(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
     """Every broadcast subscriber gets every message: an array of the subscribers is exploded onto each message."""
     subs = subscribers.where("mode = 'broadcast'").agg(F.array_sort(F.collect_list("subscription_id")).alias("__subs"))
-    joined = messages.join(F.broadcast(subs))  # one row
+    joined = messages.join(subs)  # one row, which Spark broadcasts if it is small
     return joined.withColumn("subscription_id", F.explode("__subs")).drop("__subs")
 
 
+def route_by_topic(messages: DataFrame, subscriptions: DataFrame, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
+    """(id, event_name, subscription_id, worker_group): each message goes to the subscriptions of its own topic (event_name):
+    to every broadcast one, and to one worker of each group, in turn by the topic's own count of messages. subscriptions:
+    event_name, subscription_id, mode, worker_group and optionally available; a worker that isn't available is passed over for
+    the next in the group's order, and a group without any gets no row (see drops)."""
+    has = subscriptions if "available" in subscriptions.columns else subscriptions.withColumn("available", F.lit(True))
+    wide = messages.select("id", "event_name", *[c for c in order if c not in ("id", "event_name")])
+    everyone = has.where("mode = 'broadcast' and available").select("event_name", "subscription_id")
+    all_of = wide.join(everyone, "event_name").select("id", "event_name", "subscription_id", F.lit("").alias("worker_group"))
+    groups = has.where("mode = 'worker_pool'").groupBy("event_name", "worker_group").agg(
+        F.array_sort(F.collect_list(F.struct("subscription_id", "available"))).alias("workers")
+    )
+    topics = groups.groupBy("event_name").agg(F.array_sort(F.collect_list(F.struct("worker_group", "workers"))).alias("groups"))
+    # Numbers over all messages in topic order; a topic's own count starts at its least number.
+    ranked = numbered(wide, ("event_name", *order), "n")
+    firsts = ranked.groupBy("event_name").agg(F.min("n").alias("first"))
+    out = ranked.join(firsts.join(topics, "event_name"), "event_name").select(
+        "id", "event_name", (F.col("n") - F.col("first")).alias("m"), "groups", F.posexplode("groups").alias("g", "group")
+    )
+    at = ((F.col("m") * F.size("groups") + F.col("g") + 1) % F.size("group.workers")).cast("int")
+    turned = F.concat(F.slice("group.workers", at + 1, F.size("group.workers")), F.slice("group.workers", F.lit(1), at))
+    first = F.get(F.filter(turned, lambda w: w["available"]), F.lit(0))
+    one_of = out.select("id", "event_name", first["subscription_id"].alias("subscription_id"), F.col("group.worker_group").alias("worker_group"))
+    return all_of.unionByName(one_of.where("subscription_id is not null"))
+
+
+def drops(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """messages with the reason why they reach nobody: no_subscribers, or unavailable where no subscription can take any;
+    null for those that are delivered."""
+    has = subscriptions if "available" in subscriptions.columns else subscriptions.withColumn("available", F.lit(True))
+    topics = has.groupBy("event_name").agg(F.max("available").alias("takes"))
+    joined = messages.join(topics, "event_name", "left")
+    return joined.withColumn("dropped_reason", F.when(F.col("takes").isNull(), "no_subscribers").when(~F.col("takes"), "unavailable")).drop("takes")
+
+
+def counters(messages: DataFrame) -> DataFrame:
+    """Messages by topic and outcome, of what drops gives."""
+    return messages.groupBy("event_name", F.coalesce("dropped_reason", F.lit("delivered")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 def numbered(messages: DataFrame, order: tuple[str, ...] = ("ts", "id"), name: str = "n") -> DataFrame:
     """messages with a number from 1 in their order, without sorting all rows in one task: rows are dealt by range, and
     each range's offset comes from a table of counts, a row per range."""
@@ -42,7 +76,7 @@ def route_worker_pool(messages: DataFrame, subscribers: DataFrame, order: tuple[
     (from 0) is number (m * G + g) mod its size, g from 1 and workers by id."""
     groups = subscribers.where("mode = 'worker_pool'").groupBy("worker_group").agg(F.array_sort(F.collect_list("subscription_id")).alias("workers"))
     table = groups.agg(F.array_sort(F.collect_list(F.struct("worker_group", "workers"))).alias("__groups"))
-    joined = numbered(messages, order, "__n").join(F.broadcast(table))  # one row
+    joined = numbered(messages, order, "__n").join(table)  # one row, which Spark broadcasts if it is small
     out = joined.select("*", F.posexplode("__groups").alias("__g", "__group"))
     at = ((F.col("__n") - 1) * F.size("__groups") + F.col("__g") + 1) % F.size("__group.workers")
     return out.withColumn("worker_group", F.col("__group.worker_group")).withColumn("subscription_id", F.get(F.col("__group.workers"), at.cast("int"))).drop("__n", "__groups", "__g", "__group")
@@ -66,13 +100,13 @@ def max_age(messages: DataFrame, as_of: str, interval: str) -> DataFrame:
 
 
 def latest_only(messages: DataFrame, key: str = "event_name") -> DataFrame:
-    """The most recent message of each event, ties to the greatest id."""
+    """The most recent message of each topic, ties to the greatest id."""
     rest = [c for c in messages.columns if c != key]
     return messages.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "id")).alias("r")).select(key, "r.*")
 
 
 def retention(messages: DataFrame, as_of: str, interval: str | None = None, max_len: int | None = None) -> DataFrame:
-    """A trimmed stream: at most max_len last messages of each event, none older than interval."""
+    """A trimmed stream: at most max_len last messages of each topic, none older than interval."""
     out = max_age(messages, as_of, interval) if interval else messages
     if max_len is None:
         return out
@@ -95,27 +129,20 @@ def ring(n: int, replicas: int = 100) -> list[tuple[int, int]]:
 
 
 def consistent_partition(key: Column, n: int, replicas: int = 100) -> Column:
-    """The owner of the first ring point at or after the key's hash, or of the first of all: a search by halves over
-    the ring as a literal, n * replicas points."""
+    """The owner of the first ring point at or after the key's hash, or of the first of all. The hash's upper bits pick a
+    stretch of the ring (n * replicas points as a literal), which holds few points; the first fitting one of them is taken."""
     if n <= 0:
         return F.lit(0)
     points = ring(n, replicas)
-    hashes, owners = F.array(*[F.lit(h).cast("bigint") for h, _ in points]), F.array(*[F.lit(o) for _, o in points])
+    bits = min(16, max(1, len(points).bit_length()))
+    starts = [bisect_left(points, (b << (32 - bits), -1)) for b in range((1 << bits) + 1)]
+    most = max(b - a for a, b in zip(starts, starts[1:])) + 1
+    # After the last point the first owner comes again, at a hash beyond all.
+    packed = F.array(*[F.lit((h << 24) | o) for h, o in [*points, (1 << 32, points[0][1])]])
     h = crc32_text(key)
-    steps = max(1, len(points).bit_length())
-    low = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(points)).alias("hi")),
-        lambda s, _: F.when(
-            s["lo"] < s["hi"],
-            F.when(
-                F.get(hashes, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < h,
-                F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi")),
-            ).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))),
-        ).otherwise(s),
-        lambda s: F.when(s["lo"] == len(points), 0).otherwise(s["lo"]),
-    )
-    return F.get(owners, low)
+    at = F.get(F.array(*map(F.lit, starts)), F.shiftright(h, 32 - bits).cast("int"))
+    found = F.filter(F.slice(packed, at + 1, most), lambda p: F.shiftright(p, 24) >= h)
+    return F.get(found, F.lit(0)).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
 
 
 def consistent_partition_of(key: str, n: int, replicas: int = 100) -> int:
@@ -145,11 +172,18 @@ def orphans(pending: DataFrame, me: str, min_idle_ms: int) -> DataFrame:
     return pending.where((F.col("idle_ms") >= min_idle_ms) & (F.col("consumer") != me))
 
 
-def consumer_lag(messages: DataFrame, positions: DataFrame) -> DataFrame:
-    """Per (event, group): messages after the group's position, the oldest of them, and how many it holds unacknowledged.
-    The per-event table of groups is joined to the messages, so a hot event is split by AQE."""
-    joined = messages.join(positions, "event_name", "left")
+def consumer_lag(messages: DataFrame, positions: DataFrame, unacked: DataFrame | None = None) -> DataFrame:
+    """Per (topic, group): messages after the group's position, the oldest of them, and with unacked (event_name,
+    consumer_group, id) how many the group holds unacknowledged. A topic without groups has its length under a null group.
+    A topic's messages are counted by position first: only distinct positions of a topic are compared with its groups."""
+    at = messages.groupBy("event_name", "ts").agg(F.count("*").alias("n"))
+    joined = at.join(positions, "event_name", "left")
     behind = F.coalesce(F.col("ts") > F.col("position"), F.lit(True))
-    return joined.groupBy("event_name", "consumer_group").agg(
-        F.count_if(behind).alias("lag"), F.min(F.when(behind, F.col("ts"))).alias("oldest_pending")
+    out = joined.groupBy("event_name", "consumer_group").agg(
+        F.coalesce(F.sum(F.when(behind, F.col("n"))), F.lit(0)).alias("lag"), F.min(F.when(behind, F.col("ts"))).alias("oldest_pending")
     )
+    if unacked is None:
+        return out
+    held = unacked.groupBy("event_name", F.col("consumer_group").alias("held_by")).agg(F.count("*").alias("pending"))
+    both = out.join(held.withColumnRenamed("event_name", "held_of"), (F.col("event_name") == F.col("held_of")) & F.col("consumer_group").eqNullSafe(F.col("held_by")), "left")
+    return both.select(*out.columns, F.coalesce("pending", F.lit(0)).alias("pending"))

@@ -105,6 +105,19 @@ def dlq_store(failed: DataFrame, dlq_id: Column, error: Column, source: Column,
     )
 
 
+def dlq_result(stored: Column) -> Column:
+    """ack once the dead letter is stored, else nack: the message comes again."""
+    return F.when(F.coalesce(stored, F.lit(False)), "ack").otherwise("nack")
+
+
+def dlq_stats_from_counts(rows: DataFrame) -> DataFrame:
+    """Statistics of a store that can only count: all rows, and those left without the retried."""
+    from .filters import DlqFilter
+
+    left = F.count_if(DlqFilter(exclude_retried=True).predicate())
+    return rows.agg(F.count("*").alias("total"), left.alias("pending"), (F.count("*") - left).alias("retried"))
+
+
 def dlq_stats(rows: DataFrame) -> DataFrame:
     retried = F.count("retried_at")
     return rows.agg(
@@ -154,6 +167,38 @@ def outbox_pending(rows: DataFrame, limit: int = 100) -> DataFrame:
     return rows.where("status = 'pending'").orderBy("created_at", "id").limit(limit)
 
 
+def outbox_insert(rows: DataFrame, messages: DataFrame, as_of: str) -> DataFrame:
+    """The new pending rows of messages (event_name, id, ts): ids go on from the greatest, in (ts, id) order."""
+    from .routing import numbered
+
+    base = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))  # one row
+    new = numbered(messages.select("event_name", F.col("id").alias("event_id"), "ts"), ("ts", "event_id"), "n").join(F.broadcast(base))
+    return new.select(
+        (F.col("base") + F.col("n")).alias("id"), "event_name", "event_id", F.lit("pending").alias("status"), F.lit(0).alias("retry_count"),
+        at(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("claimed_at"), F.lit(None).cast("timestamp_ntz").alias("published_at"),
+    )
+
+
+def outbox_claim(rows: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
+    """The oldest pending rows in their next state: processing, claimed now."""
+    return outbox_pending(rows, limit).withColumns({"status": F.lit("processing"), "claimed_at": at(as_of)})
+
+
+def outbox_after_claim(rows: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
+    """The whole table after a claim: `limit` claimed ids are broadcast."""
+    claimed = F.broadcast(outbox_pending(rows, limit).select("id", F.lit(True).alias("claimed_now")))
+    joined = rows.join(claimed, "id", "left")
+    new = {"status": F.lit("processing"), "claimed_at": at(as_of)}
+    return joined.withColumns({c: F.when(F.col("claimed_now"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("claimed_now")
+
+
+def outbox_take(rows: DataFrame, me: str, limit: int = 100) -> DataFrame:
+    """What a relay reads: its own unfinished rows first, then new ones, each oldest first."""
+    own = (F.col("status") == "processing") & (F.col("consumer") == me)
+    ranked = rows.where(own | (F.col("status") == "pending")).withColumn("turn", F.when(own, 0).otherwise(1))
+    return ranked.orderBy("turn", "created_at", "id").limit(limit)
+
+
 def outbox_relay_step(rows: DataFrame, publish_ok: Column, as_of: str, limit: int = 100) -> DataFrame:
     """The rows of a relay step in their next state: published, or failed with one retry more."""
     step = outbox_pending(rows, limit).withColumn("ok", publish_ok)
@@ -206,6 +251,15 @@ def sched_after_tick(rows: DataFrame, as_of: str, publish_ok: Column, limit: int
     return rows.join(done, "id", "left_anti")
 
 
+def sched_add(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """rows with new messages; one that is there already, by id, stays as it is."""
+    return rows.unionByName(new.select(*rows.columns).dropDuplicates(["id"]).join(rows.select("id"), "id", "left_anti"))
+
+
+def sched_get(rows: DataFrame, message_id: str) -> DataFrame:
+    return rows.where(F.col("id") == message_id)
+
+
 def sched_cancel(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("id"), "id", "left_anti")
 
@@ -243,6 +297,14 @@ def saga_resume(sagas: DataFrame) -> DataFrame:
     return sagas.withColumn("current_step", F.when(again, 0).otherwise(F.col("current_step"))).withColumn("status", F.when(again, "pending").otherwise(F.col("status")))
 
 
+def saga_rerun(sagas: DataFrame, steps: DataFrame) -> DataFrame:
+    """Failed and compensated sagas run again from step 0 over `steps` (with the outcomes of now); the others stay. sagas: as
+    saga_execute gives them."""
+    again = sagas.where(F.col("status").isin("failed", "compensated")).select("saga_id")
+    rerun = saga_execute(steps.join(again, "saga_id", "left_semi"))
+    return sagas.where(~F.col("status").isin("failed", "compensated")).unionByName(rerun.select(*sagas.columns))
+
+
 def saga_list(sagas: DataFrame, f: SagaFilter) -> DataFrame:
     out = sagas.where(f.predicate()).orderBy(F.desc("started_at"), F.desc("id"))
     return out.limit(f.limit) if f.limit else out
@@ -256,6 +318,16 @@ def saga_counts(sagas: DataFrame) -> DataFrame:
     return domain.join(found, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def saga_counts_by(sagas: DataFrame, *by: str) -> DataFrame:
+    """Sagas by name, or by name and status."""
+    return sagas.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+def saga_delete(sagas: DataFrame, ids: DataFrame) -> DataFrame:
+    """What stays without the sagas of these ids."""
+    return sagas.join(ids.select("id"), "id", "left_anti")
+
+
 def saga_stats(sagas: DataFrame) -> DataFrame:
     active = F.col("status").isin("pending", "running", "compensating")
     return sagas.agg(
@@ -295,3 +367,52 @@ def checkpoint_resume(subscribers: DataFrame, checkpoints: DataFrame) -> DataFra
     """Where a subscriber starts: at its checkpoint, or with the latest message where it has none."""
     got = subscribers.join(checkpoints, "subscriber_id", "left")
     return got.select("subscriber_id", F.when(F.col("position").isNull(), "latest").otherwise("timestamp").alias("start_from"), "position")
+
+
+def schema_changes(attempts: DataFrame) -> DataFrame:
+    """What a watcher sees: every accepted set with the version before it (null for the first)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("name").orderBy("ts", "seq")
+    accepted = schema_set_history(attempts).where("accepted")
+    return accepted.withColumn("previous", F.lag("version").over(w))
+
+
+def schema_list(schemas: DataFrame) -> DataFrame:
+    return schemas.orderBy("name")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't in gone: deletes of schemas, checkpoints and marks."""
+    return rows.join(gone.select(key), key, "left_anti")
+
+
+def keys_of(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of a store, in order: names, versions, subscribers."""
+    return rows.select(key).distinct().orderBy(key)
+
+
+def checkpoint_info(positions: DataFrame) -> DataFrame:
+    """Of each subscriber how often it saved, its first and last arrival, and the furthest position."""
+    return positions.groupBy("subscriber_id").agg(
+        F.count("*").alias("saves"), F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival"), F.max("position").alias("furthest")
+    )
+
+
+# Marks of processed messages
+
+
+def mark_processed(marks: DataFrame, new: DataFrame) -> DataFrame:
+    """(message_id, processed_at, expires_at): the last mark of each message, each with its own time to live."""
+    both = marks.unionByName(new.select(*marks.columns))
+    return both.groupBy("message_id").agg(F.max_by(F.struct("processed_at", "expires_at"), "processed_at").alias("m")).select("message_id", "m.*")
+
+
+def duplicates(messages: DataFrame, marks: DataFrame, as_of: str) -> DataFrame:
+    """The messages with a mark that holds at as_of, its last moment included."""
+    return messages.join(marks.where(F.col("expires_at") >= at(as_of)).select("message_id"), "message_id", "left_semi")
+
+
+def expire(rows: DataFrame, as_of: str, column: str = "expires_at") -> DataFrame:
+    """What stays after rows that expired before as_of go."""
+    return rows.where(~F.coalesce(F.col(column) < at(as_of), F.lit(False)))

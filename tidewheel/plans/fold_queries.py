@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..derive import VIEWS, view
 from ..operators import fold as O
+from ..operators.filters import MonitorFilter
 from ..operators.pipeline import handle
+from ..session import shared_path
 from ..streaming import stateful
 
 HOUR = 3_600_000_000
@@ -127,11 +129,49 @@ ORACLE_SQL["handle_pipeline"] = _simple(
 ).replace("o AS outcome FROM r", "o AS outcome, CASE WHEN o = 'fail' THEN 'retrying' ELSE 'completed' END AS monitor_status FROM r")
 QUERIES["handle_pipeline"] = lambda spark, d: handle(view(spark, d, "deliveries"), threshold=2, quarantine_us=2 * DAY, ttl_us=DAY)
 
-ORACLE_SQL["quarantined"] = f"""SELECT message_id, quarantined_at FROM (SELECT *, row_number() OVER (ORDER BY quarantined_at DESC, message_id) AS rn FROM (SELECT message_id, max(ts) AS quarantined_at FROM ({VIEWS["deliveries"]}) WHERE NOT ok GROUP BY 1)
- WHERE quarantined_at + INTERVAL '2' DAY > TIMESTAMP '2024-01-31') WHERE rn <= 100"""
-QUERIES["quarantined"] = (
-    lambda spark, d: view(spark, d, "deliveries").where("not ok").groupBy("message_id").agg(F.max("ts").alias("quarantined_at"))
-    .where("quarantined_at + INTERVAL '2' DAY > TIMESTAMP_NTZ '2024-01-31 00:00:00'").orderBy(F.desc("quarantined_at"), "message_id").limit(100)
+_POISON = _simple(
+    "message_id", "0 AS p_f, -1::BIGINT AS p_q",
+    f"""CASE WHEN {{release}} THEN 0 WHEN t <= p_q THEN p_f WHEN ok THEN 0 ELSE p_f + 1 END AS f,
+ CASE WHEN {{release}} THEN -1 WHEN t > p_q AND NOT ok AND p_f + 1 >= 2 THEN t + {2 * DAY} ELSE p_q END AS q,
+ CASE WHEN {{release}} THEN 'released' WHEN t <= p_q THEN 'skip' WHEN ok THEN 'ok' ELSE 'fail' END AS o""",
+    "r.f AS p_f, r.q AS p_q",
+)
+QUERIES["quarantined"] = lambda spark, d: O.quarantined(view(spark, d, "deliveries"), "message_id", 2, 2 * DAY, "2024-01-29 00:00:00")
+ORACLE_SQL["quarantined"] = _POISON.replace("{release}", "false").replace(
+    "SELECT k AS message_id, seq, o AS outcome FROM r",
+    f"""SELECT message_id, make_timestamp(q - {2 * DAY}) AS quarantined_at FROM (SELECT k AS message_id, arg_max(q, rn) AS q FROM r GROUP BY 1)
+WHERE q > epoch_us(TIMESTAMP '2024-01-29') ORDER BY q DESC, message_id LIMIT 100""",
+)
+QUERIES["poison_release"] = lambda spark, d: O.fold(
+    view(spark, d, "deliveries").withColumn("freed", F.expr("seq % 13 = 0")), "message_id", O.poison(2, 2 * DAY), release="freed"
+)
+ORACLE_SQL["poison_release"] = _POISON.replace("{release}", "seq % 13 = 0")
+QUERIES["fold_poison_exclusive"] = lambda spark, d: O.fold(view(spark, d, "deliveries"), "message_id", O.poison(2, 2 * DAY, inclusive=False))
+ORACLE_SQL["fold_poison_exclusive"] = _POISON.replace("{release}", "false").replace("t <= p_q", "t < p_q").replace("t > p_q", "t >= p_q")
+
+
+def _some_without_id(rows):
+    return rows.withColumn("message_id", F.expr("CASE WHEN seq % 10 = 0 THEN '' ELSE message_id END"))
+
+
+QUERIES["idempotency_without_id"] = lambda spark, d: O.idempotent(_some_without_id(view(spark, d, "deliveries")), "message_id", O.dedup_ttl(2 * DAY))
+ORACLE_SQL["idempotency_without_id"] = (
+    _dedup_sql("t <= p_q", False).replace(f"deliveries AS ({VIEWS['deliveries']})", f"deliveries AS (SELECT * FROM ({VIEWS['deliveries']}) WHERE seq % 10 <> 0)")
+    + f" UNION ALL SELECT '' AS message_id, seq, CASE WHEN ok THEN 'ok' ELSE 'fail' END AS outcome FROM ({VIEWS['deliveries']}) WHERE seq % 10 = 0"
+)
+_SLIDE = f"CASE WHEN len({_KEPT}) >= 3 THEN {_KEPT} ELSE list_append({_KEPT}, t) END"
+add(
+    "limiter_remaining_sliding", "subscriber", O.sliding_window_remaining(3, DAY),
+    _simple("subscriber", "[]::BIGINT[] AS p_l", f"{_SLIDE} AS l, greatest(0, 3 - len({_SLIDE}))::BIGINT AS o", "r.l AS p_l"),
+)
+add(
+    "limiter_delay_sliding", "subscriber", O.sliding_window_delay(3, DAY),
+    _simple("subscriber", "[]::BIGINT[] AS p_l", f"{_SLIDE} AS l, CASE WHEN len({_KEPT}) >= 3 THEN {DAY // 3} ELSE 0 END::BIGINT AS o", "r.l AS p_l"),
+)
+_AFTER = f"({_LEVEL} - CASE WHEN {_LEVEL} >= {_UNIT} THEN {_UNIT} ELSE 0 END)"
+add(
+    "limiter_delay_bucket", "subscriber", O.token_bucket_delay(3, _UNIT),
+    _simple("subscriber", "0::BIGINT AS p_v, NULL::BIGINT AS p_t", f"{_AFTER} AS v, t AS lt, greatest(0, {_UNIT} - {_AFTER})::BIGINT AS o", "r.v AS p_v, r.lt AS p_t"),
 )
 
 
@@ -156,7 +196,46 @@ for _name, _batch, _key, _def in (
     QUERIES[_name] = _streamed(_key, _def)
     ORACLE_SQL[_name] = ORACLE_SQL[_batch]
 
-QUERIES["stream_tail"] = lambda spark, d: stateful.run_to_table(
-    _deliveries_stream(spark, d).where("ts >= TIMESTAMP_NTZ '2024-01-25 00:00:00' and event_type = 'error'").select("seq", "ts"), "tail"
+QUERIES["stream_dedup_expiring"] = lambda spark, d: stateful.run_to_table(
+    stateful.fold_stream(_deliveries_stream(spark, d), "message_id", O.dedup_ttl(2 * DAY), delay="1 hour"), "folded"
 )
+ORACLE_SQL["stream_dedup_expiring"] = ORACLE_SQL["fold_idempotency"]
+
+
+def _tail(spark, sf_dir):
+    entries = _deliveries_stream(spark, sf_dir).withColumnsRenamed({"ts": "started_at", "event_type": "event_name"})
+    found = stateful.tail(entries, MonitorFilter(event_name="error").predicate(), "2024-01-25 00:00:00")
+    return stateful.run_to_table(found.select("seq", F.col("started_at").alias("ts")), "tail")
+
+
+QUERIES["stream_tail"] = _tail
 ORACLE_SQL["stream_tail"] = f"SELECT seq, ts FROM ({VIEWS['deliveries']}) WHERE ts >= TIMESTAMP '2024-01-25' AND event_name = 'error'"
+QUERIES["stream_first_seen"] = lambda spark, d: stateful.run_to_table(
+    stateful.first_seen_stream(_deliveries_stream(spark, d), "message_id", "40 days").select("message_id"), "seen"
+)
+ORACLE_SQL["stream_first_seen"] = f"SELECT DISTINCT message_id FROM ({VIEWS['deliveries']})"
+
+
+def _relayed(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    rows = stateful.stream_table(spark, f"{sf_dir}/orders.parque[t]", schema)
+    pending = rows.selectExpr("o_orderkey as id", "case o_orderstatus when 'O' then 'pending' else 'other' end as status", "cast(o_orderkey % 4 as int) as retry_count")
+    path = shared_path(spark, "relay")
+    query = stateful.relay(pending, lambda batch: batch.withColumn("ok", F.col("id") % 7 != 0), path, f"{path}-checkpoint")
+    return stateful.finish(query, spark, path, "id bigint, status string, retry_count int")
+
+
+QUERIES["stream_relay"] = _relayed
+ORACLE_SQL["stream_relay"] = f"""SELECT id, CASE WHEN id % 7 <> 0 THEN 'published' ELSE 'failed' END AS status, retry_count + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS retry_count
+ FROM ({VIEWS["event_outbox"]}) WHERE status = 'pending'"""
+
+
+def _once(spark, sf_dir):
+    path = shared_path(spark, "once")
+    rows = _deliveries_stream(spark, sf_dir).select("message_id", "seq", "ts", F.lit(True).alias("ok"))
+    query = stateful.once(rows, lambda batch: batch, "message_id", ("ts", "seq"), f"{path}/out", f"{path}/marks", f"{path}/checkpoint")
+    return stateful.finish(query, spark, f"{path}/out", "message_id string, seq bigint")
+
+
+QUERIES["stream_once"] = _once
+ORACLE_SQL["stream_once"] = f"SELECT message_id, arg_min(seq, (ts, seq)) AS seq FROM ({VIEWS['deliveries']}) GROUP BY 1"

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..derive import view, with_views
 from ..functions import text as X
-from ..functions.json_schema import FieldMapper, JsonSchema, content_route, decode_envelope, decode_wire, encode_envelope, encode_wire, upcast_to_latest, versioned_decode
+from ..functions.json_schema import (
+    FieldMapper, JsonSchema, decode_envelope, decode_raw, decode_wire, encode_envelope, encode_wire, upcast_to_latest, validate_and_upcast, versioned_decode, versioned_encode,
+)
+from ..functions.wire import MSGPACK, PROTO, CodecRegistry
 from ..operators import routing as R
 
 QUERIES: dict = {}
@@ -39,9 +42,9 @@ def _(m, s):
     return R.route_worker_pool(m, s).select("id", "worker_group", "subscription_id")
 
 
-@query("route_mixed", ("messages", "subscribers"), f"WITH {_POOL} SELECT subscription_id, worker_group, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT id, '', subscription_id FROM messages CROSS JOIN subscribers WHERE mode = 'broadcast') GROUP BY 1, 2")
+@query("route_mixed", ("messages", "subscribers"), f"WITH {_POOL} SELECT id, worker_group, subscription_id FROM p UNION ALL SELECT id, '' AS worker_group, subscription_id FROM messages CROSS JOIN subscribers WHERE mode = 'broadcast'")
 def _(m, s):
-    return R.route_mixed(m, s).groupBy("subscription_id", "worker_group").agg(F.count("*").alias("n"))
+    return R.route_mixed(m, s).select("id", "worker_group", "subscription_id")
 
 
 @query("start_from_timestamp", ("messages",), "SELECT id, ts FROM messages WHERE ts >= TIMESTAMP '2024-01-20'")
@@ -119,11 +122,46 @@ def _(m):
     return R.consumer_lag(m, groups.withColumn("position", F.when(F.col("consumer_group") == "g1", F.lit("2024-01-15").cast("timestamp_ntz"))))
 
 
-@query("dropped_by_reason", ("messages", "subscribers"), "SELECT event_name, CASE WHEN event_name IN ('view', 'click') THEN 'delivered' ELSE 'no_subscribers' END AS reason, count(*) AS n FROM messages GROUP BY 1, 2")
-def _(m, s):
-    named = s.where("mode = 'broadcast'").select(F.when(F.col("subscription_id") == "b1", "view").otherwise("click").alias("event_name")).distinct()
-    left = m.join(named.withColumn("has", F.lit(True)), "event_name", "left")
-    return left.groupBy("event_name", F.when(F.col("has"), "delivered").otherwise("no_subscribers").alias("reason")).agg(F.count("*").alias("n"))
+_SUBSCRIPTIONS = """VALUES ('view', 'b1', 'broadcast', '', true), ('view', 'w1', 'worker_pool', 'A', true), ('view', 'w2', 'worker_pool', 'A', false), ('view', 'w3', 'worker_pool', 'A', true),
+ ('view', 'v1', 'worker_pool', 'B', true), ('click', 'b2', 'broadcast', '', true), ('click', 'w1', 'worker_pool', 'A', true), ('click', 'w3', 'worker_pool', 'A', true), ('error', 'w9', 'worker_pool', 'C', false)"""
+_SUBS_SQL = f"s AS (SELECT * FROM ({_SUBSCRIPTIONS}) AS t(event_name, subscription_id, mode, worker_group, available))"
+
+
+def _subscriptions(m):
+    return m.sparkSession.sql(f"SELECT * FROM ({_SUBSCRIPTIONS}) AS t(event_name, subscription_id, mode, worker_group, available)")
+
+
+@query("route_by_topic", ("messages",), f"""WITH {_SUBS_SQL},
+g AS (SELECT event_name, worker_group, list(subscription_id ORDER BY subscription_id) AS ws, list(available ORDER BY subscription_id) AS av,
+  row_number() OVER (PARTITION BY event_name ORDER BY worker_group) AS g, count(*) OVER (PARTITION BY event_name) AS gs FROM s WHERE mode = 'worker_pool' GROUP BY 1, 2),
+m AS (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY ts, id) - 1 AS n FROM messages),
+o AS (SELECT id, m.event_name, worker_group, ws, av, CAST((n * gs + g) % len(ws) AS INT) AS k FROM m JOIN g ON m.event_name = g.event_name),
+c AS (SELECT id, event_name, worker_group, list_filter(list_transform(range(len(ws)), lambda i: CASE WHEN av[(k + i) % len(ws) + 1] THEN ws[(k + i) % len(ws) + 1] END), lambda x: x IS NOT NULL) AS ok FROM o)
+SELECT id, event_name, ok[1] AS subscription_id, worker_group FROM c WHERE len(ok) > 0
+UNION ALL SELECT id, m.event_name, subscription_id, '' AS worker_group FROM messages m JOIN s ON m.event_name = s.event_name WHERE mode = 'broadcast' AND available""")
+def _(m):
+    return R.route_by_topic(m, _subscriptions(m))
+
+
+@query("drops", ("messages",), "SELECT id, CASE WHEN event_name IN ('view', 'click') THEN NULL WHEN event_name = 'error' THEN 'unavailable' ELSE 'no_subscribers' END AS dropped_reason FROM messages")
+def _(m):
+    return R.drops(m, _subscriptions(m)).select("id", "dropped_reason")
+
+
+@query("dropped_by_reason", ("messages",), "SELECT event_name, CASE WHEN event_name IN ('view', 'click') THEN 'delivered' WHEN event_name = 'error' THEN 'unavailable' ELSE 'no_subscribers' END AS reason, count(*) AS n FROM messages GROUP BY 1, 2")
+def _(m):
+    return R.counters(R.drops(m, _subscriptions(m)))
+
+
+@query("consumer_lag_pending", ("messages",), """WITH p(event_name, consumer_group, position) AS (VALUES ('view', 'g1', TIMESTAMP '2024-01-10'), ('view', 'g2', TIMESTAMP '2024-01-20'), ('click', 'g1', NULL::TIMESTAMP)),
+j AS (SELECT m.event_name, m.ts, consumer_group, position FROM messages m LEFT JOIN p ON m.event_name = p.event_name),
+l AS (SELECT event_name, consumer_group, count(*) FILTER (WHERE position IS NULL OR ts > position)::BIGINT AS lag, min(ts) FILTER (WHERE position IS NULL OR ts > position) AS oldest_pending FROM j GROUP BY 1, 2),
+u AS (SELECT event_name, 'g1' AS consumer_group, count(*) AS pending FROM messages WHERE seq % 7 = 0 GROUP BY 1)
+SELECT l.event_name, l.consumer_group, lag, oldest_pending, coalesce(pending, 0) AS pending FROM l LEFT JOIN u ON l.event_name = u.event_name AND l.consumer_group = u.consumer_group""")
+def _(m):
+    rows = [("view", "g1", "2024-01-10"), ("view", "g2", "2024-01-20"), ("click", "g1", None)]
+    positions = m.sparkSession.createDataFrame(rows, "event_name string, consumer_group string, position string").withColumn("position", F.col("position").cast("timestamp_ntz"))
+    return R.consumer_lag(m, positions, m.where("seq % 7 = 0").select("event_name", F.lit("g1").alias("consumer_group"), "id"))
 
 
 @query("health_rollup", ("messages",), """SELECT source, CASE max(CASE WHEN retry_count = 5 THEN 2 WHEN retry_count >= 3 THEN 1 ELSE 0 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'healthy' END AS status
@@ -134,7 +172,7 @@ def _(m):
     return rows.groupBy(F.col("event_name").alias("source")).agg(X.worst_status(status).alias("status"))
 
 
-@query("full_name", ("messages",), "SELECT seq, CASE seq % 3 WHEN 0 THEN 'bus-1' ELSE '' END AS bus, CASE seq % 3 WHEN 2 THEN '' ELSE CASE seq % 3 WHEN 0 THEN event_name ELSE 'x' END END AS event, seq % 3 = 0 AS valid FROM messages")
+@query("full_name", ("messages",), "SELECT seq, CASE seq % 3 WHEN 0 THEN 'bus-1' ELSE '' END AS bus, CASE seq % 3 WHEN 2 THEN '' ELSE CASE seq % 3 WHEN 0 THEN event_name ELSE 'x' END END AS topic, seq % 3 = 0 AS valid FROM messages")
 def _(m):
     name = F.when(F.col("seq") % 3 == 0, F.concat("source", F.lit("://"), "event_name")).when(F.col("seq") % 3 == 1, F.lit("://x")).otherwise(F.lit("plain"))
     return m.select("seq", X.full_name(name).alias("f")).select("seq", "f.*")
@@ -168,11 +206,11 @@ def _(e):
     return e.select("event_id", _SCHEMA.error(F.col("payload")).alias("error"))
 
 
-@query("envelope_decode", ("envelopes",), """SELECT event_id, version, 'user' AS event, CASE version WHEN 1 THEN payload WHEN 2 THEN concat('{"email":"u@x.io","name":"', json_extract_string(payload, '$.name'), '"}')
+@query("envelope_decode", ("envelopes",), """SELECT event_id, version, 'user' AS topic, CASE version WHEN 1 THEN payload WHEN 2 THEN concat('{"email":"u@x.io","name":"', json_extract_string(payload, '$.name'), '"}')
  ELSE concat('{"email":"u@x.io","fullName":"', json_extract_string(payload, '$.fullName'), '"}') END AS payload FROM envelopes""")
 def _(e):
     packed = e.select("event_id", encode_envelope(F.col("version"), F.lit("user"), F.col("payload")).alias("data"))
-    return packed.select("event_id", decode_envelope(F.col("data")).alias("d")).select("event_id", "d.version", "d.event", "d.payload")
+    return packed.select("event_id", decode_envelope(F.col("data")).alias("d")).select("event_id", "d.version", "d.topic", "d.payload")
 
 
 @query("wire_roundtrip", ("messages",), "SELECT id, source, payload, retry_count FROM messages")
@@ -181,17 +219,77 @@ def _(m):
     return m.select(decode_wire(data).alias("d")).select("d.id", "d.source", F.col("d.payload").cast("string").alias("payload"), "d.retry_count")
 
 
-@query("wire_decode_errors", ("messages",), "SELECT count(*) FILTER (WHERE seq % 10 <> 0) AS good, count(*) FILTER (WHERE seq % 10 = 0) AS bad FROM messages")
+@query("wire_decode_errors", ("messages",), "SELECT seq, seq % 10 <> 0 AS good FROM messages")
+def _(m):
+    from ..sources.transport import decoded
+
+    wire = encode_wire(F.col("id"), F.col("source"), F.col("payload").cast("binary"), F.col("retry_count"))
+    data = F.when(F.col("seq") % 10 == 0, F.concat(F.lit("{not json "), F.col("seq").cast("string"))).otherwise(wire)
+    good, bad = decoded(m.select("event_name", "ts", data.alias("data")))
+    ids = good.select(F.substring("id", 5, 20).cast("bigint").alias("seq"), F.lit(True).alias("good"))
+    return ids.unionByName(bad.where("metadata['X-Decode-Error'] is not null").select(F.substring("data", 11, 20).cast("bigint").alias("seq"), F.lit(False).alias("good")))
+
+
+def _typed(m):
+    kind = F.element_at(F.array(*map(F.lit, ("application/json", "", "text/plain"))), (F.col("seq") % 3 + 1).cast("int"))
+    empty = F.create_map().cast("map<string,string>")
+    return m.withColumn("metadata", F.when(kind == "", empty).otherwise(F.create_map(F.lit("Content-Type"), kind)))
+
+
+@query("content_type_route", ("messages",), "SELECT seq, CASE WHEN seq % 3 = 2 THEN 'dead_letter' ELSE 'decode' END AS route FROM messages")
 def _(m):
-    data = F.when(F.col("seq") % 10 == 0, F.lit("{not json")).otherwise(encode_wire(F.col("id"), F.col("source"), F.col("payload").cast("binary"), F.col("retry_count")))
-    got = m.select(decode_wire(data).alias("d"))
-    return got.agg(F.count("d").alias("good"), F.count_if(F.col("d").isNull()).alias("bad"))
+    from ..sources.transport import split_by_content
 
+    good, bad = split_by_content(_typed(m), F.col("metadata"))
+    return good.select("seq", F.lit("decode").alias("route")).unionByName(bad.select("seq", F.lit("dead_letter").alias("route")))
 
-@query("content_type_route", ("messages",), "SELECT CASE WHEN seq % 3 = 2 THEN 'dead_letter' ELSE 'decode' END AS route, count(*) AS n FROM messages GROUP BY 1")
+
+@query("content_type_set", ("messages",), "SELECT seq, 'application/msgpack' AS kind, CASE WHEN seq % 3 = 1 THEN 1 ELSE 2 END AS entries FROM messages")
+def _(m):
+    from ..functions.wire import with_content_type
+
+    own = F.when(F.col("seq") % 3 != 1, F.create_map(F.lit("trace"), F.col("id"))).otherwise(F.create_map(F.lit("Content-Type"), F.lit("text/plain")))
+    found = m.select("seq", with_content_type(own, "application/msgpack").alias("d"))
+    return found.select("seq", F.col("d")["Content-Type"].alias("kind"), F.size("d").alias("entries"))
+
+
+def _through(codec):
+    def run(m):
+        sent = _typed(m).select("id", "source", "payload", "metadata", "retry_count")
+        got = codec.decode(codec.encode(sent, "data").select("data"), "data", "m").select("m.*")
+        return got.select("id", "source", F.col("payload").cast("string").alias("payload"), F.coalesce(F.col("metadata")["Content-Type"], F.lit("")).alias("kind"), "retry_count")
+
+    return run
+
+
+_THROUGH = "SELECT id, source, payload, CASE seq % 3 WHEN 0 THEN 'application/json' WHEN 1 THEN '' ELSE 'text/plain' END AS kind, retry_count FROM messages"
+query("wire_msgpack", ("messages",), _THROUGH)(_through(MSGPACK))
+query("wire_proto", ("messages",), _THROUGH)(_through(PROTO))
+
+
+@query("codec_dispatch", ("messages",), "SELECT id, CASE seq % 4 WHEN 3 THEN 'unknown content type' ELSE '' END AS dead_reason FROM messages")
+def _(m):
+    registry = CodecRegistry()
+    parts = []
+    for n, codec in enumerate((registry.must_get(None), registry.must_get("application/msgpack"), registry.must_get("application/x-protobuf"), registry.must_get("text/plain"))):
+        kind = codec.content_type if n < 3 else "text/plain"
+        own = m.where(F.col("seq") % 4 == n).withColumn("metadata", F.create_map(F.lit("Content-Type"), F.lit(kind)))
+        parts.append(codec.encode(own.select("id", "source", "payload", "metadata", "retry_count"), "data").select("id", "metadata", "data"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    good, bad = registry.decode(rows)
+    return good.select("m.id", F.lit("").alias("dead_reason")).unionByName(bad.select("id", "dead_reason"))
+
+
+@query("kafka_dead_letters", ("messages",), """SELECT CASE WHEN seq % 10 = 0 THEN concat('evt.', event_name, '.dlt') ELSE concat('evt.', event_name) END AS topic, id, seq % 10 <> 0 AS good FROM messages""")
 def _(m):
-    kind = F.when(F.col("seq") % 3 == 0, F.create_map(F.lit("Content-Type"), F.lit("application/json"))).when(F.col("seq") % 3 == 1, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("Content-Type"), F.lit("text/plain")))
-    return m.groupBy(content_route(kind).alias("route")).agg(F.count("*").alias("n"))
+    from ..sources.transport import from_kafka, kafka_frame
+
+    sent = kafka_frame(m.select("id", "event_name", "source", "payload", "retry_count", "ts"))
+    broken = F.substring(F.col("key").cast("string"), 5, 20).cast("bigint") % 10 == 0
+    read = sent.select("topic", F.when(broken, F.concat(F.lit("!"), F.col("key").cast("string")).cast("binary")).otherwise(F.col("value")).alias("value"), F.lit("2024-01-31").cast("timestamp").alias("timestamp"))
+    good, dead = from_kafka(read)
+    alive = good.select(F.concat(F.lit("evt."), F.col("event_name")).alias("topic"), "id", F.lit(True).alias("good"))
+    return alive.unionByName(dead.where("size(headers) = 3").select("topic", F.substring(F.col("value").cast("string"), 2, 20).alias("id"), F.lit(False).alias("good")))
 
 
 _LATEST = JsonSchema(3, "user", ("fullName", "email"), {"fullName": "string", "email": "string"})
@@ -213,9 +311,46 @@ def _(m):
     return gated(m.select("id", "event_name"), schemas, {"monitor": True}).select("id", "run_monitor", "run_poison")
 
 
-@query("outbox_routing", ("messages",), "SELECT CASE WHEN seq % 4 = 0 THEN 'outbox' ELSE 'transport' END AS target, count(*) AS n FROM messages GROUP BY 1")
+@query("outbox_routing", ("messages",), "SELECT id, CASE WHEN seq % 4 = 0 THEN 'outbox' ELSE 'transport' END AS target FROM messages")
 def _(m):
     from ..sources.transport import outbox_split
 
     inside, outside = outbox_split(m, F.col("seq") % 4 == 0)
-    return inside.agg(F.lit("outbox").alias("target"), F.count("*").alias("n")).unionByName(outside.agg(F.lit("transport").alias("target"), F.count("*").alias("n")))
+    return inside.select("id", F.lit("outbox").alias("target")).unionByName(outside.select("id", F.lit("transport").alias("target")))
+
+
+@query("versioned_encode", ("envelopes",), """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 2 END AS version, CASE version WHEN 2 THEN concat('{"email":"u@x.io","name":"', json_extract_string(payload, '$.name'), '"}') ELSE payload END AS payload
+ FROM envelopes WHERE version <> 3""")
+def _(e):
+    rows = e.where("version <> 3")
+    data = F.when(F.col("event_id") % 2 == 0, versioned_encode(F.col("payload"), F.lit("user"), _SCHEMA)).otherwise(versioned_encode(F.col("payload"), F.lit("user"), None))
+    raw = rows.select("event_id", F.col("version").alias("v"), decode_raw(data).alias("d"))
+    # Spark keeps an envelope's keys in order; what is no envelope stays as it was written.
+    sorted_ = F.when(F.col("v") == 2, F.to_json(F.try_parse_json("d.payload"))).otherwise(F.col("d.payload"))
+    return raw.select("event_id", "d.version", sorted_.alias("payload"))
+
+
+@query("validate_and_upcast", ("envelopes",), """SELECT event_id, CASE WHEN version = 3 THEN NULL WHEN event_id % 5 = 0 THEN NULL WHEN version = 1 THEN concat('{"email":"unknown@example.com","fullName":"', json_extract_string(payload, '$.name'), '"}')
+ ELSE concat('{"email":"u@x.io","fullName":"', json_extract_string(payload, '$.name'), '"}') END AS payload,
+ CASE WHEN version = 3 THEN 'unknown version' WHEN event_id % 5 = 0 THEN 'invalid json' END AS error FROM envelopes""")
+def _(e):
+    schemas = [JsonSchema(1, "user", ("name",), {"name": "string"}), JsonSchema(2, "user", ("name", "email"), {"name": "string", "email": "string"})]
+    payload = F.when((F.col("event_id") % 5 == 0) & (F.col("version") < 3), F.lit("{broken")).otherwise(F.col("payload"))
+    return e.select("event_id", validate_and_upcast(payload, F.col("version"), schemas, _STEPS).alias("d")).select("event_id", "d.payload", "d.error")
+
+
+@query("rfc3339", ("messages",), "SELECT id, CASE WHEN seq % 5 = 0 THEN NULL ELSE date_trunc('second', ts) END AS at FROM messages")
+def _(m):
+    text = F.when(F.col("seq") % 5 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return m.select("id", X.rfc3339(text).cast("timestamp_ntz").alias("at"))
+
+
+_RING = ", ".join(f"({h}, {o})" for h, o in R.ring(8))
+ORACLE_SQL["part_consistent"] = with_views(
+    f"""WITH ring(h, owner) AS (VALUES {_RING}),
+c AS (SELECT id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(id, ''), lambda ch: unicode(ch)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS h FROM messages),
+l AS (SELECT id, (SELECT min(ring.h) FROM ring WHERE ring.h >= c.h) AS h FROM c)
+SELECT id, CAST(owner AS INT) AS partition FROM l JOIN ring ON ring.h = coalesce(l.h, (SELECT min(h) FROM ring))""",
+    "messages",
+)

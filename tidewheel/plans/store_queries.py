@@ -308,3 +308,154 @@ def _(p):
 def _(p):
     saved = S.checkpoint_latest(p.where("cast(subscriber_id as int) % 3 <> 0"))
     return S.checkpoint_resume(p.select("subscriber_id").distinct(), saved)
+
+
+# Inserts, claims and the other changes of state
+
+
+@query("outbox_insert", ("event_outbox", "messages"), """SELECT (SELECT max(id) FROM event_outbox) + row_number() OVER (ORDER BY ts, id) AS id, event_name, id AS event_id, 'pending' AS status,
+ 0 AS retry_count, TIMESTAMP '1998-06-01' AS created_at FROM messages WHERE event_name = 'purchase'""")
+def _(o, m):
+    new = S.outbox_insert(o, m.where("event_name = 'purchase'"), ORDERS_AS_OF)
+    return new.select("id", "event_name", "event_id", "status", "retry_count", "created_at")
+
+
+_CLAIMED = "SELECT id FROM event_outbox WHERE status = 'pending' ORDER BY created_at, id LIMIT 100"
+
+
+@query("outbox_claim", ("event_outbox",), f"SELECT id, event_id, 'processing' AS status, TIMESTAMP '1998-06-01' AS claimed_at FROM event_outbox WHERE id IN ({_CLAIMED})")
+def _(o):
+    return S.outbox_claim(o, ORDERS_AS_OF).select("id", "event_id", "status", "claimed_at")
+
+
+@query("outbox_after_claim", ("event_outbox",), f"""SELECT id, CASE WHEN id IN ({_CLAIMED}) THEN 'processing' ELSE status END AS status,
+ CASE WHEN id IN ({_CLAIMED}) THEN TIMESTAMP '1998-06-01' ELSE claimed_at END AS claimed_at FROM event_outbox""")
+def _(o):
+    return S.outbox_after_claim(o, ORDERS_AS_OF).select("id", "status", "claimed_at")
+
+
+@query("outbox_take", ("event_outbox",), """SELECT id, status, created_at FROM event_outbox WHERE status = 'pending' OR (status = 'processing' AND id % 3 = 1)
+ ORDER BY CASE status WHEN 'processing' THEN 0 ELSE 1 END, created_at, id LIMIT 80""")
+def _(o):
+    claimed = o.withColumn("consumer", F.concat(F.lit("relay-"), (F.col("id") % 3).cast("string")))
+    return S.outbox_take(claimed, "relay-1", 80).select("id", "status", "created_at")
+
+
+@query("dlq_store", ("messages",), """SELECT concat('dlq-', id) AS id, event_name, id AS original_id, error, retry_count, 'svc-x' AS source, TIMESTAMP '2024-01-31' AS created_at,
+ CASE WHEN seq % 5 = 0 THEN 'nack' ELSE 'ack' END AS result FROM (SELECT *, concat('boom: ', id) AS error FROM messages WHERE event_name = 'error')""")
+def _(m):
+    failed = m.where("event_name = 'error'")
+    rows = S.dlq_store(failed, F.concat(F.lit("dlq-"), F.col("id")), F.concat(F.lit("boom: "), F.col("id")), F.lit("svc-x"), EVENTS_AS_OF)
+    stored = F.substring("original_id", 5, 20).cast("bigint") % 5 != 0
+    return rows.select("id", "event_name", "original_id", "error", "retry_count", "source", "created_at", S.dlq_result(stored).alias("result"))
+
+
+@query("dlq_stats_from_counts", ("event_dlq",), "SELECT count(*) AS total, count(*) - count(retried_at) AS pending, count(retried_at) AS retried FROM event_dlq")
+def _(q):
+    return S.dlq_stats_from_counts(q)
+
+
+@query("dlq_error_pattern", ("event_dlq",), "SELECT id, error FROM event_dlq WHERE regexp_matches(error, '^(?i)TIMEOUT.*[0-4]$')")
+def _(q):
+    return q.where(DlqFilter(error="^TIMEOUT.*[0-4]$", error_is_pattern=True).predicate()).select("id", "error")
+
+
+@query("sched_add", ("scheduled_messages",), """SELECT id, event_name, scheduled_at FROM scheduled_messages UNION ALL
+ SELECT concat('new-', id) AS id, event_name, scheduled_at + INTERVAL '1' DAY AS scheduled_at FROM scheduled_messages WHERE ends_with(id, '3')""")
+def _(s):
+    again = s.where(F.col("id").endswith("3"))
+    new = again.withColumn("id", F.concat(F.lit("new-"), F.col("id"))).withColumn("scheduled_at", F.expr("scheduled_at + INTERVAL '1' DAY"))
+    return S.sched_add(s, new.unionByName(again)).select("id", "event_name", "scheduled_at")
+
+
+@query("sched_get", ("scheduled_messages",), "SELECT id, event_name, scheduled_at FROM scheduled_messages WHERE id = 'sch-7'")
+def _(s):
+    return S.sched_get(s, "sch-7").select("id", "event_name", "scheduled_at")
+
+
+_RERUN_SQL = _SAGA_SQL.replace("saga_steps", "now_steps").replace("sagas AS", "again AS").replace("f AS (", "f2 AS (").replace("FROM f JOIN", "FROM f2 JOIN").replace("f.saga_id", "f2.saga_id")
+_RERUN_SQL = _RERUN_SQL.replace("d AS (SELECT", "d2 AS (SELECT").replace("FROM d)", "FROM d2)").removeprefix("WITH ")
+
+
+@query("saga_reexecute", ("saga_steps",), f"""{_SAGA_SQL}, now_steps AS (SELECT saga_id, step_no, step_name, exec_ok OR step_no % 2 = 1 AS exec_ok, compensate_ok FROM saga_steps), {_RERUN_SQL}
+SELECT * FROM sagas WHERE status = 'completed' UNION ALL SELECT a.* FROM again a JOIN sagas s ON a.saga_id = s.saga_id WHERE s.status <> 'completed'""")
+def _(s):
+    return S.saga_rerun(S.saga_execute(s), s.withColumn("exec_ok", F.expr("exec_ok or step_no % 2 = 1")))
+
+
+@query("saga_counts_by_name", ("saga_steps",), f"{_SAGAS} SELECT name, status, count(*) AS n FROM (SELECT status, concat('saga', CAST(substring(id, 6) AS BIGINT) % 3) AS name FROM st) GROUP BY 1, 2")
+def _(s):
+    named = _sagas(s).withColumn("name", F.concat(F.lit("saga"), (F.substring("id", 6, 20).cast("bigint") % 3).cast("string")))
+    return S.saga_counts_by(named, "name", "status")
+
+
+@query("saga_delete", ("saga_steps",), f"{_SAGAS} SELECT id, status FROM st WHERE status <> 'failed'")
+def _(s):
+    sagas = _sagas(s)
+    return S.saga_delete(sagas, sagas.where("status = 'failed'")).select("id", "status")
+
+
+@query("saga_delete_older", ("saga_steps",), f"{_SAGAS} SELECT id, started_at FROM st WHERE started_at >= TIMESTAMP '1998-06-01' - INTERVAL '45' DAY")
+def _(s):
+    return S.delete_older_than(_sagas(s), "started_at", ORDERS_AS_OF, "'45' DAY").select("id", "started_at")
+
+
+_ACCEPTED = """SELECT name, seq, ts, version FROM (SELECT *, version >= coalesce(max(version) OVER (PARTITION BY name ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS accepted
+ FROM schema_sets WHERE version >= 1 AND name <> '') WHERE accepted"""
+
+
+@query("schema_changes", ("schema_sets",), f"SELECT name, seq, version, lag(version) OVER (PARTITION BY name ORDER BY ts, seq) AS previous FROM ({_ACCEPTED})")
+def _(s):
+    return S.schema_changes(s).select("name", "seq", "version", "previous")
+
+
+@query("schema_list", ("schema_sets",), "SELECT name, max(version) AS version FROM schema_sets WHERE version >= 1 AND name <> 'click' GROUP BY 1 ORDER BY 1")
+def _(s):
+    gone = s.where("name = 'click'").select("name").distinct()
+    return S.schema_list(S.without(S.schema_latest(s), gone, "name"))
+
+
+@query("known_names", ("messages",), "SELECT DISTINCT event_name FROM messages ORDER BY 1")
+def _(m):
+    return S.keys_of(m, "event_name")
+
+
+@query("checkpoint_info", ("positions",), "SELECT subscriber_id, count(*) AS saves, min(arrival) AS first_arrival, max(arrival) AS last_arrival, max(position) AS furthest FROM positions GROUP BY 1")
+def _(p):
+    return S.checkpoint_info(p)
+
+
+@query("checkpoint_delete", ("positions",), "SELECT subscriber_id, arg_max(position, arrival) AS position FROM positions WHERE CAST(subscriber_id AS INT) % 4 <> 2 GROUP BY 1")
+def _(p):
+    return S.without(S.checkpoint_latest(p), p.where("cast(subscriber_id as int) % 4 = 2").select("subscriber_id").distinct(), "subscriber_id")
+
+
+_MARKS = """SELECT message_id, max(ts) AS processed_at, max(ts) + CASE WHEN starts_with(message_id, '1') THEN INTERVAL '2' DAY ELSE INTERVAL '8' DAY END AS expires_at FROM deliveries WHERE ok GROUP BY 1"""
+
+
+def _marks(d):
+    made = d.where("ok").select("message_id", F.col("ts").alias("processed_at"), F.expr("ts + CASE WHEN startswith(message_id, '1') THEN INTERVAL '2' DAY ELSE INTERVAL '8' DAY END").alias("expires_at"))
+    return S.mark_processed(made.where("false"), made)
+
+
+@query("marks_by_own_ttl", ("deliveries",), _MARKS)
+def _(d):
+    return _marks(d)
+
+
+@query("marks_duplicates", ("deliveries",), f"SELECT seq, message_id FROM deliveries WHERE message_id IN (SELECT message_id FROM ({_MARKS}) WHERE expires_at >= TIMESTAMP '2024-01-30')")
+def _(d):
+    return S.duplicates(d, _marks(d), "2024-01-30 00:00:00").select("seq", "message_id")
+
+
+@query("marks_expire", ("deliveries",), f"SELECT message_id, expires_at FROM ({_MARKS}) WHERE expires_at >= TIMESTAMP '2024-01-30'")
+def _(d):
+    return S.expire(_marks(d), "2024-01-30 00:00:00").select("message_id", "expires_at")
+
+
+@query("monitor_stage", ("deliveries",), "SELECT message_id AS event_id, CAST(seq AS STRING) AS subscription_id, event_name, ts AS started_at, CASE WHEN ok THEN 'completed' ELSE 'retrying' END AS status FROM deliveries")
+def _(d):
+    from ..operators.pipeline import monitored
+
+    handled = d.select("message_id", "seq", F.when(F.col("ok"), "completed").otherwise("retrying").alias("monitor_status"))
+    return monitored(d, handled).select("event_id", "subscription_id", "event_name", "started_at", "status")

@@ -1,7 +1,12 @@
-"""Streaming forms of the folds, the tail of the monitor, and the outbox relay.
+"""Streaming forms of the folds, the tail of the monitor, deduplication windows, transactional handling and the outbox relay.
 
 A fold's state is kept per key as JSON text in the state store. Within a micro-batch a key's rows are sorted by event
-time, so with rows that arrive in order the outcomes equal those of the batch form."""
+time, so with rows that arrive in order the outcomes equal those of the batch form. A key's rows of one micro-batch are
+gathered to be sorted; `max_files` of stream_table bounds a micro-batch.
+
+With a watermark delay, rows later than the watermark are dropped, and the state of folds that forget after a pause
+(`gap_us`) is removed once the watermark is past that pause, so the store holds the keys of the last gap and not all there
+ever were. Folds without a gap keep their state."""
 
 from __future__ import annotations
 
@@ -10,34 +15,49 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..operators.fold import Fold
-from ..session import shared_path
-
-
-def fold_stream(rows: DataFrame, key: str, definition: Fold, ts: str = "ts", seq: str = "seq", ok: str | None = "ok", out: str = "outcome") -> DataFrame:
-    """key, seq and outcome of an unbounded frame."""
-    init, step, kind = definition.init, definition.step, definition.out_type
-    slim = rows.select(
-        F.col(key).cast("string").alias(key), F.col(seq).cast("bigint").alias(seq),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), (F.col(ok) if ok else F.lit(True)).alias("ok"),
-    )
+from ..session import column, shared_path
+
+
+def fold_stream(
+    rows: DataFrame, key: str, definition: Fold, ts: str = "ts", seq: str = "seq", ok: str | None = "ok", out: str = "outcome", delay: str | None = None
+) -> DataFrame:
+    """key, seq and outcome of an unbounded frame. delay: the watermark's, such as '1 hour'; without it no row is late and
+    no state expires."""
+    init, step, kind, gap = definition.init, definition.step, definition.out_type, definition.gap_us
+    expires = delay is not None and gap is not None
+    code = F.coalesce(column(ok).cast("int"), F.lit(0)) if ok else F.lit(1)
+    slim = rows.select(column(key).alias("k"), column(seq).cast("bigint").alias("seq"), column(ts).cast("timestamp").alias("at"), code.alias("ok"))
+    if delay is not None:
+        slim = slim.withWatermark("at", delay)
+    key_kind = slim.schema["k"].dataType.simpleString()
+    slim = slim.withColumn("t", F.unix_micros("at"))
 
     def run(keys: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = tuple(json.loads(state.get[0])) if state.exists else init
-        pdf = pd.concat(list(frames)).sort_values(["t", seq], kind="stable")
-        results = []
+        pdf = pd.concat(list(frames)).sort_values(["t", "seq"], kind="stable", na_position="first")
+        results, last = [], None
         for t, good in zip(pdf["t"].tolist(), pdf["ok"].tolist()):
-            now, outcome = step(now, t, bool(good))
+            outcome = None
+            if t == t:  # a row without a time changes nothing
+                last = int(t)
+                now, outcome = step(now, last, int(good))
             results.append(outcome)
         state.update((json.dumps(now),))
-        yield pd.DataFrame({key: keys[0], seq: pdf[seq].to_numpy(), out: results})
+        if expires and last is not None:
+            state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [keys[0]] * len(pdf), seq: pdf["seq"].to_numpy(), out: results})
 
-    return slim.groupBy(key).applyInPandasWithState(run, f"{key} string, {seq} bigint, {out} {kind}", "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    return slim.groupBy("k").applyInPandasWithState(run, f"`{key}` {key_kind}, `{seq}` bigint, `{out}` {kind}", "state string", "append", timeout)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -49,20 +69,43 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def stream_table(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """New files of a table as a stream: a change stream of its inserts, whose resume token is the checkpoint."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def first_seen_stream(rows: DataFrame, key: str, delay: str, ts: str = "ts") -> DataFrame:
-    """The native window of deduplication: the first row of a key within the watermark's delay."""
-    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    """The native window of deduplication: one row of a key within the watermark's delay."""
+    return rows.withColumn(ts, column(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def tail(entries: DataFrame, predicate, since: str) -> DataFrame:
+def tail(entries: DataFrame, predicate: Column, since: str) -> DataFrame:
     """New entries from a time on that match a filter: an incremental scan, without state."""
     return entries.where(F.col("started_at") >= F.lit(since).cast("timestamp_ntz")).where(predicate)
 
 
+def once(rows: DataFrame, handler: Callable[[DataFrame], DataFrame], key: str, order: tuple[str, ...], out_path: str, marks_path: str, checkpoint: str):
+    """Transactional handling: of each micro-batch the first row of every id without a mark is handled, and results and
+    marks are written under the batch's number, so a repeated batch replaces its own rows and sees only earlier marks. Rows
+    without an id are handled each; rows for which the handler gives no `ok` leave no mark and may come again."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        named = batch.where(F.coalesce(column(key).cast("string"), F.lit("")) != "")
+        firsts = named.groupBy(column(key)).agg(F.min_by(F.struct(*[column(c) for c in named.columns if c != key]), F.struct(*map(column, order))).alias("r")).select(column(key), "r.*")
+        kind = f"`{key}` {batch.schema[key].dataType.simpleString()}, batch bigint"
+        marks = spark.read.schema(kind).parquet(marks_path).where(F.col("batch") < number) if number else None
+        fresh = firsts.join(marks, key, "left_anti") if marks is not None else firsts
+        passed = batch.where(F.coalesce(column(key).cast("string"), F.lit("")) == "")
+        done = handler(fresh.select(*map(column, batch.columns)).unionByName(passed))
+        done.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        kept = spark.read.schema(done.schema).parquet(f"{out_path}/batch={number}").where("ok")
+        kept.where(F.coalesce(column(key).cast("string"), F.lit("")) != "").select(key).write.mode("overwrite").parquet(f"{marks_path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def relay(pending: DataFrame, publish: Callable[[DataFrame], DataFrame], status_path: str, checkpoint: str):
     """An outbox relay: every micro-batch of pending rows is published, and its status rows are written under the batch's
     number, so that a repeated batch replaces its own rows. publish gives the rows with a boolean `ok`."""
@@ -76,3 +119,10 @@ def relay(pending: DataFrame, publish: Callable[[DataFrame], DataFrame], status_
         rows.write.mode("overwrite").parquet(f"{status_path}/batch={number}")
 
     return pending.where("status = 'pending'").writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finish(query, spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that a batch-numbered writer has put under path."""
+    query.awaitTermination()
+    kind = StructType.fromDDL(schema)
+    return spark.read.schema(kind).parquet(path).select(*kind.fieldNames())
