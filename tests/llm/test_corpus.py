@@ -139,9 +139,9 @@ def test_lm_spelling_sums_to_at_most_one():
     words = [bytes([b]) for b in range(256) if b != 32] + [b""]
     c = lm_scoring.Contexts(words, np.ones(len(words), np.int64), 10)
     cost = np.zeros(len(words))
-    for (rows, *_), (_, bit, x, gates) in zip(c.bits(), lm_scoring.spell_bits(words, np.ones(len(words), np.int64), model.table, 10, 0)):
+    for (rows, *_), (_, bit, x, gate) in zip(c.bits(), lm_scoring.spell_bits(words, np.ones(len(words), np.int64), model.table, 10, 0)):
         first = c.place[rows] == 0
-        cost += np.bincount(c.word[rows][first], model.ready()[1].costs(x, gates[0], bit)[first], len(words))
+        cost += np.bincount(c.word[rows][first], model.ready()[1].costs(x, gate, bit)[first], len(words))
     assert 0.97 < np.exp(-cost).sum() < 1 + 1e-6
 
 
@@ -410,7 +410,7 @@ def test_pipeline_brute(spark, sf_dir):
     before = table(spark, sf_dir, "documents").collect()
     language, single, clean, mixed = after
     assert len(language) >= 0.98 * len(before)
-    groups = {d: c for d, _, c in brute_components([(r["doc_id"], r["text"]) for r in language])}
+    groups = {d: c for d, _, c in brute_components([(r["doc_id"], r["text"]) for r in language], 80, 5)}
     assert sorted(r["doc_id"] for r in single) == sorted(set(groups.values()))
     items = [(str(r["item_id"]), r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
     hits = {r["doc_id"]: brute_hits(r["text"], items) for r in single}

@@ -48,10 +48,11 @@ def columns_of(fields: list[T.StructField]) -> list[Column]:
     return [column(f.name) for f in fields]
 
 
-def carried(docs: DataFrame, text: str, fields: list[T.StructField]) -> tuple[DataFrame, list[int]]:
-    """(text and the fields, text first and each column once; the fields' places in that)."""
+def carried(docs: DataFrame, text: str, fields: list[T.StructField], *more: Column) -> tuple[DataFrame, list[int]]:
+    """(text, the fields, each column once, and more, under plain names; the fields' places in that)."""
     names = [text, *[f.name for f in fields if f.name != text]]
-    return docs.select(*map(column, names)), [names.index(f.name) for f in fields]
+    columns = [*map(column, names), *more]  # maps over Arrow take no names with dots
+    return docs.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), [names.index(f.name) for f in fields]
 
 
 def text_bytes(texts: pa.Array) -> Iterator[bytes | None]:

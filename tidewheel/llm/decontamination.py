@@ -321,8 +321,7 @@ def scan(
     keyed = docs.select("*", *[c.alias(n) for c, n in zip(key(column(text)), names)])
     packed = united.select(F.col("a").alias(names[0]), F.col("b").alias(names[1]), F.struct("hit", "whole", "items").alias(names[2]))
     joined = keyed.join(packed, names[:2], "left")
-    frame, places = carried(joined, text, fields)
-    frame = joined.select(*map(column, frame.columns), column(names[2]))
+    frame, places = carried(joined, text, fields, column(names[2]))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

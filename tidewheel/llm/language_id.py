@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, column, free_name, others, slices, text_bytes
+from .common import carried, column, others, slices, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -208,9 +208,7 @@ def detect(
     shared = docs.sparkSession.sparkContext.broadcast(net)
     fields = others(docs, [pred, score], keep)
     schema = T.StructType([*fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
-    frame, places = carried(docs, text, fields)
-    letters = F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False))
-    frame = frame.withColumn(free_name("letters", frame.columns), letters)
+    frame, places = carried(docs, text, fields, F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
