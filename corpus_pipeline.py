@@ -10,35 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm import decontamination, language_id, mixture, ngram_jaccard, token_binary
-from tidewheel.llm.common import fold_of, materialize, table
+from tidewheel.llm.common import column, fold_of, free_name, materialize, table
 from tidewheel.llm.queries import tokenizer_path
 
 #: Least probability of the predicted language with which a document stays.
 MIN_LANGUAGE_SCORE = 0.3
+#: Near duplicates of the stage: shingles of five words, linked from a similarity of 0.8 on.
+SHINGLE, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; lang becomes the predicted one."""
-    found = language_id.detect(docs, fold_of(F.col("doc_id"), 4) != 2, pred="__lang", score="__score")
-    kept = found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*[F.col("__lang").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    """Documents without a recognised language go (so also null and empty texts, and those without a letter); lang becomes
+    the predicted one."""
+    pred, score = (free_name(n, docs.columns) for n in ("lang_found", "lang_score"))
+    found = language_id.detect(docs, fold_of(F.col("doc_id"), 4) != 2, pred=pred, score=score)
+    kept = found.where((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE))
+    return kept.select(*[F.col(pred).alias(c) if c == "lang" else column(c) for c in docs.columns])
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays."""
-    return ngram_jaccard.one_of_each(docs)
+    return ngram_jaccard.one_of_each(docs, k=SHINGLE, percent=PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly benchmark go. n_chars follows the text."""
     kept = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    size = F.char_length("text").cast("long")
+    return kept.select(*[size.alias(c) if c == "n_chars" else column(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands in the mix as often as it has copies."""
-    found = mixture.mix(docs, out="__mix").where("__mix.copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*docs.columns)
+    plan, copy = (free_name(n, docs.columns) for n in ("mix_of", "mix_copy"))
+    found = mixture.mix(docs, out=plan).where(F.col(plan)["copies"] > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(plan)["copies"]))).select(*map(column, docs.columns))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
