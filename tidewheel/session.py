@@ -42,8 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, under the application's own folder there."""
+    return f"{shared_dir(spark)}/tidewheel/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Deletes all that this application has put in the shared folder. Frames that still read from it end here."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewheel/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def column(name: str) -> Column:
