@@ -51,6 +51,57 @@ def test_windows_cover_every_byte():
         assert (owner == 0).sum() >= 1 and sizes[owner == 0].sum() >= n
 
 
+def plain_probabilities(net, windows):
+    """The network by plain loops over windows, positions and filters."""
+    out = []
+    for w in windows:
+        hidden = []
+        for t in net.tables:
+            for f in range(t.shape[2]):
+                sums = [sum(float(t[k, w[i + k], f]) for k in range(len(t))) for i in range(len(w) - len(t) + 1)]
+                hidden.append(max(0.0, max(sums)))
+        z = [sum(h * float(net.dense[i, j]) for i, h in enumerate(hidden)) + float(net.bias[j]) for j in range(len(net.langs))]
+        e = np.exp(np.array(z) - max(z))
+        out.append(e / e.sum())
+    return np.array(out)
+
+
+def test_network_equals_plain_loops():
+    rng = np.random.default_rng(8)
+    net = language_id.ByteConvNet(["a", "b", "c"], filters=3)
+    windows = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
+    windows[3, 40:] = 0
+    assert np.allclose(net.probabilities(windows), plain_probabilities(net, windows), atol=1e-5)
+
+
+def test_training_step_follows_the_numeric_gradient():
+    """Adam's first step moves each weight by the rate against the sign of its gradient."""
+    rng = np.random.default_rng(9)
+    windows, labels = rng.integers(97, 105, (12, language_id.WINDOW)).astype(np.uint8), rng.integers(0, 2, 12)
+
+    def loss(net):
+        p = net.probabilities(windows)
+        return -np.log(p[np.arange(12), labels]).mean() + 0.5e-4 * float((net.dense**2).sum())
+
+    before, after = language_id.ByteConvNet(["a", "b"], filters=2), language_id.ByteConvNet(["a", "b"], filters=2)
+    after.train(windows, labels, epochs=1, rate=0.01)
+    checked = 0
+    for n, (p, q) in enumerate(zip(before.params(), after.params())):
+        flat, moved = p.reshape(-1), (q - p).reshape(-1)
+        for i in np.argsort(-np.abs(moved), kind="stable")[:6]:
+            old, h, values = flat[i], 2e-2, []
+            for x in (old + h, old - h):
+                flat[i] = x
+                before._cached = None
+                values.append(loss(before))
+            flat[i] = old
+            slope = (values[0] - values[1]) / (2 * h)
+            if abs(slope) > 2e-3:
+                assert np.sign(slope) == -np.sign(moved[i]), (n, i)
+                checked += 1
+    assert checked >= 8
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -104,6 +155,77 @@ def test_kneser_ney_sums_to_one():
         assert abs(sum(m.probability(context, bytes([b])) for b in range(256)) - 1) < 1e-9
 
 
+def plain_kneser_ney(words, shared, context, byte):
+    """Interpolated Kneser-Ney by plain counting; context starts with a word's pad."""
+
+    def counts(order):
+        out = Counter()
+        if order == toxicity.ORDER:
+            for w, c in words.items():
+                p = b" " + w + b" "
+                for i in range(max(1, order - 1), len(p)):
+                    out[p[i - order + 1 : i + 1]] += c
+            return out
+        seen = set()
+        for w in shared if order <= toxicity.SHARED else words:
+            p = b" " + w + b" "
+            for i in range(max(1, order - 1), len(p)):
+                seen.add((p[i - order + 1 : i + 1], p[i - order : i - order + 1] if i >= order else None))
+        for gram, _ in seen:
+            out[gram] += 1
+        return out
+
+    p = 1 / 256
+    for order in range(1, min(toxicity.ORDER, len(context) + 1) + 1):
+        grams, h = counts(order), context[len(context) - order + 1 :]
+        under = [c for g, c in grams.items() if g[:-1] == h]
+        if not under:
+            break
+        once, twice = sum(c == 1 for c in grams.values()), sum(c == 2 for c in grams.values())
+        d = min(0.95, max(0.3, once / (once + 2 * twice))) if once else 0.5
+        p = (max(grams[h + byte] - d, 0) + d * len(under) * p) / sum(under)
+    return p
+
+
+def test_kneser_ney_brute():
+    own, every = Counter({b"abc": 3, b"abdabd": 2, b"xbc": 1, b"bananas": 4}), Counter({b"abc": 5, b"abdabd": 2, b"xbc": 1, b"bananas": 4, b"zzz": 1})
+    m = toxicity.KneserNey(own, every)
+    for word in (b" abdabd ", b" banana", b" xbcq", b" zzzz", b" bananasban"):
+        for i in range(1, len(word)):
+            got, want = m.probability(word[:i], word[i : i + 1]), plain_kneser_ney(own, every, word[:i], word[i : i + 1])
+            assert abs(got - want) < 1e-6, (word, i)
+
+
+def test_toxicity_score_by_parts():
+    """A score from the letters, words and pairs of a text, one by one."""
+    toxic, ordinary = Counter({b"awful": 5, b"swine": 4, b"you": 3}), Counter({b"you": 9, b"house": 7, b"river": 6})
+    model = toxicity.ToxicityModel(toxic, ordinary, {b"swine": 2.5, b"house": -1.5, b"you": 0.2}, {b"you swine": 3.0})
+    model.margin, model.word_margin, model.prior, model.slopes, model.offset = 1.0, 0.5, 5, np.array([0.7, 1.1, 0.4]), -2.0
+    model._reset()
+    cut = lambda x, m: np.sign(x) * max(abs(x) - m, 0)
+    for text in (b"You SWINE, you swine!", b"the house by the river", b"", None, b"swinelike"):
+        words = toxicity.words_of(text or b"")
+        letters = 0.0
+        for w in words:
+            p = b" " + w + b" "
+            letters += cut(sum(np.log(model.models[0].probability(p[:i], p[i : i + 1]) / model.models[1].probability(p[:i], p[i : i + 1])) for i in range(1, len(p))), 1.0)
+        whole = sum(cut(model.words.get(w, 0.0), 0.5) for w in words)
+        both = sum(cut(model.pairs.get(a + b" " + b, 0.0), 0.5) for a, b in zip(words, words[1:]))
+        z = (0.7 * letters + 1.1 * whole + 0.4 * both) / (len(words) + 5) - 2.0
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Labelled texts count whole, however long: what marks the toxic ones stands at their end."""
+    rng = np.random.default_rng(6)
+    vocab = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(vocab, 4000)) + (" vile filth vile filth" if i % 2 else ""), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "vile filth"), (101, "word1 word2")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, F.lit(True)).collect()}
+    assert got[100] > 0.5 > got[101]
+
+
 def test_cascade_is_exact():
     keys = [f"host{i}.example".encode() for i in range(5000)]
     listed, others = keys[::7], [k for i, k in enumerate(keys) if i % 7]
