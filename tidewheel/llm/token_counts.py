@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import carried, column, free_name, materialize, others, slices, text_bytes
 
 LEAF_CUTS = 32
-CACHE = 1_000_000
+CACHE = 300_000
 RANKS = "byte_bpe_50k.tiktoken"
 _CUT = re.compile(r"(?<=\S)(?=\s)")
 Edit = tuple[int, int, str]
@@ -59,9 +59,9 @@ class PieceCounter:
         for piece in self.split(text):
             n = known.get(piece)
             if n is None:
-                if len(known) >= self.cache:
-                    known.clear()
-                n = known[piece] = len(self.encoding.encode_ordinary(piece))
+                n = len(self.encoding.encode_ordinary(piece))
+                if len(known) < self.cache:  # the pre-tokens that came first are the common ones, and stay
+                    known[piece] = n
             total += n
         return total
 
@@ -244,7 +244,7 @@ def apply_edits(
     fields = others(trees, [out, edits], keep)
     schema = T.StructType([*fields, T.StructField(out, T.StructType([T.StructField(n, T.LongType()) for n in COUNTS]))])
     names = [text, tree, edits, *[f.name for f in fields if f.name not in (text, tree)]]
-    places = [names.index(f.name) for f in fields]
+    frame, places = trees.select(*[column(n).alias(f"c{i}") for i, n in enumerate(names)]), [names.index(f.name) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter_of(ranks_path, pattern)
@@ -263,7 +263,7 @@ def apply_edits(
                 new = {0: lambda: pa.array(texts, pa.string()), 1: lambda: _tree_array(made)}
                 yield pa.RecordBatch.from_arrays([new[i]() if i in new else part.column(i) for i in places] + [struct], names=schema.fieldNames())
 
-    return trees.select(*map(column, names)).mapInArrow(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def edit_counts(
