@@ -168,6 +168,14 @@ def pending_replay(delivered: DataFrame, acked: DataFrame) -> DataFrame:
     return left.groupBy("id").agg(F.count("*").alias("retry_count"), F.max("ts").alias("last_ts"))
 
 
+def redelivery(pending: DataFrame, ack_wait_ms: int, max_deliver: int) -> DataFrame:
+    """What becomes of unacknowledged messages (id, idle_ms, deliveries): they wait for their acknowledgement, are delivered
+    again, or are given up after max_deliver deliveries (0: never)."""
+    spent = (F.lit(max_deliver) > 0) & (F.col("deliveries") >= max_deliver)
+    action = F.when(F.col("idle_ms") < ack_wait_ms, "wait").when(spent, "give_up").otherwise("redeliver")
+    return pending.withColumn("action", action)
+
+
 def orphans(pending: DataFrame, me: str, min_idle_ms: int) -> DataFrame:
     return pending.where((F.col("idle_ms") >= min_idle_ms) & (F.col("consumer") != me))
 

@@ -113,6 +113,20 @@ def _(m):
     return R.orphans(pending, "c1", 864_000_000).select("id")
 
 
+@query("redelivery", ("messages",), """SELECT id, CASE WHEN 1706659200000 - epoch_ms(ts) < 864000000 THEN 'wait' WHEN retry_count >= 4 THEN 'give_up' ELSE 'redeliver' END AS action FROM messages""")
+def _(m):
+    idle = F.lit(1706659200000) - F.unix_millis(F.col("ts").cast("timestamp"))
+    return R.redelivery(m.select("id", idle.alias("idle_ms"), F.col("retry_count").alias("deliveries")), 864_000_000, 4).select("id", "action")
+
+
+@query("new_ids", ("messages",), "SELECT seq, CASE WHEN seq % 3 = 0 THEN 36 ELSE length(id) END AS size FROM messages")
+def _(m):
+    from ..sources.transport import new_id
+
+    given = F.when(F.col("seq") % 6 == 0, "").when(F.col("seq") % 3 == 0, F.lit(None)).otherwise(F.col("id"))
+    return m.select("seq", F.length(new_id(given)).alias("size"))
+
+
 @query("consumer_lag", ("messages",), """WITH pos AS (SELECT event_name, unnest(['g1', 'g2']) AS consumer_group FROM (SELECT DISTINCT event_name FROM messages)),
  q AS (SELECT *, CASE WHEN consumer_group = 'g1' THEN TIMESTAMP '2024-01-15' END AS position FROM pos)
  SELECT m.event_name, consumer_group, count(*) FILTER (WHERE position IS NULL OR ts > position) AS lag, min(ts) FILTER (WHERE position IS NULL OR ts > position) AS oldest_pending

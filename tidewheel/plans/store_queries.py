@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..derive import view, with_views
 from ..operators import stores as S
-from ..operators.filters import DlqFilter, MonitorFilter, SagaFilter, ScheduleFilter, encode_cursor
+from ..operators.filters import DlqFilter, MonitorFilter, SagaFilter, ScheduleFilter, delete_age, encode_cursor, monitor_filter_from_query
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "1998-06-01 00:00:00"
@@ -459,3 +459,34 @@ def _(d):
 
     handled = d.select("message_id", "seq", F.when(F.col("ok"), "completed").otherwise("retrying").alias("monitor_status"))
     return monitored(d, handled).select("event_id", "subscription_id", "event_name", "started_at", "status")
+
+
+@query("monitor_http_query", ("monitor_entries",), f"""SELECT {_ENTRY} FROM monitor_entries WHERE event_name = 'error' AND status IN ('failed', 'retrying') AND coalesce(error, '') <> ''
+ AND started_at >= TIMESTAMP '2024-01-08' AND duration_ms >= 15 ORDER BY started_at DESC, event_id DESC, subscription_id DESC LIMIT 100""")
+def _(m):
+    asked = {"event_name": "error", "status": "failed,retrying", "has_error": "true", "start_time": "2024-01-08T00:00:00Z", "min_duration": "15ms", "limit": "many", "order": "desc"}
+    return S.monitor_list(m, monitor_filter_from_query(asked))
+
+
+@query("monitor_guarded_delete", ("monitor_entries",), "SELECT event_id, subscription_id FROM monitor_entries WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL '90' HOUR")
+def _(m):
+    hours = int(delete_age("90h").total_seconds() // 3600)
+    return S.delete_older_than(m, "started_at", EVENTS_AS_OF, f"'{hours}' HOUR").select("event_id", "subscription_id")
+
+
+def _upserted(spark, sf_dir):
+    from ..session import shared_path
+    from ..sources.tables import latest, write_changes
+
+    path = shared_path(spark, "upsert")
+    rows = view(spark, sf_dir, "deliveries").select("message_id", "seq", "ok", F.expr("seq % 11 = 0").alias("deleted"))
+    for batch in range(2):
+        write_changes(rows.where(F.col("seq") % 2 == batch), path, batch)
+    write_changes(rows.where("seq % 2 = 1"), path, 1)  # a repeated batch
+    return latest(spark, path, rows.schema, ("message_id",), "seq").select("message_id", "seq", "ok")
+
+
+QUERIES["store_upsert"] = _upserted
+ORACLE_SQL["store_upsert"] = with_views(
+    """SELECT message_id, r.seq AS seq, r.ok AS ok FROM (SELECT message_id, arg_max({'seq': seq, 'ok': ok, 'gone': seq % 11 = 0}, (seq % 2, seq)) AS r FROM deliveries GROUP BY 1) WHERE NOT r.gone""", "deliveries"
+)
