@@ -10,8 +10,9 @@ reaches by links.
 2. Shingles are ordered rare first: by how common their words are, from the WORDS most frequent words; the FREQUENT
    most frequent shingles, counted within tasks and merged, come last; then by hash. Any fixed order gives exact
    results; only the cost depends on it.
-3. A class's prefix is so long that linked classes share a prefix shingle. Prefix shingles of one class only are
-   dropped after counting; what is left, the index, is small.
+3. A class's prefix is so long that linked classes share a prefix shingle. Prefix shingles of one class only are dropped
+   after counting; what is left, the index, is small. The FREQUENT shingles aren't counted by one key each in one task:
+   they are known to be shared, and their buckets' sizes are summed within tasks first.
 4. A bucket holds the classes that share a prefix shingle. In buckets of at most SMALL classes all pairs are formed,
    made distinct, and held against what their whole prefixes allow; few but true near copies pass. They are verified once
    each: length and suffix filters, then the exact intersection.
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, columns_of, discard, hash_texts, integer_id, materialize, mix64, slices, text_bytes
@@ -60,6 +61,7 @@ SMALL = 16
 HOT = 50_000
 SALTS = 16
 _LOCAL = 4_000_000
+_FREQUENT_RANK = 1000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -144,7 +146,7 @@ def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
 def _rank(s: np.ndarray, common: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The rare-first rank: by commonness of words, and the shingles known as frequent after all others."""
     level = _looked_up(s, known)
-    return np.where(level > 0, 1000 + level, common)
+    return np.where(level > 0, _FREQUENT_RANK + level, common)
 
 
 def _signature(s: np.ndarray) -> tuple[int, int]:
@@ -158,14 +160,14 @@ def _text_key(text: str) -> list[Column]:
 
 
 def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, shared) -> DataFrame:
-    """(doc_id, text_a, text_b, n, sig_a, sig_b, last_f, last_h, prefix): the text's hashes, prefix in rare-first order, and
-    the rank of its last shingle."""
+    """(doc_id, text_a, text_b, n, sig_a, sig_b, last_f, last_h, rare, prefix): the text's hashes, prefix in rare-first order, how
+    many of it come before the frequent shingles, and the rank of its last shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, words = shared.value
         for batch in batches:
             for part in slices(batch, "t"):
-                sizes, one, two, prefixes, last_f, last_h = [], [], [], [], [], []
+                sizes, one, two, prefixes, last_f, last_h, rare = ([] for _ in range(7))
                 for s, common in shingle_sets(list(text_bytes(part.column("t"))), k, words):
                     a, b = _signature(s)
                     sizes.append(len(s))
@@ -174,15 +176,16 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int,
                     f = _rank(s, common, known)
                     order = np.lexsort((s, f))[: prefix_length(len(s), percent)] if len(s) else np.zeros(0, np.int64)
                     prefixes.append(s[order].view(np.int64))
+                    rare.append(int((f[order] < _FREQUENT_RANK).sum()))
                     last_f.append(int(f[order[-1]]) if len(s) else 0)
                     last_h.append(int((s[order[-1]] ^ np.uint64(1 << 63)).view(np.int64)) if len(s) else 0)
                 offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-                arrays = [*(part.column(c) for c in ("id", "text_a", "text_b")), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(last_f, pa.int64()), pa.array(last_h, pa.int64()), flat]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_a", "text_b", "n", "sig_a", "sig_b", "last_f", "last_h", "prefix"])
+                arrays = [*(part.column(c) for c in ("id", "text_a", "text_b")), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(last_f, pa.int64()), pa.array(last_h, pa.int64()), pa.array(rare, pa.int32()), flat]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_a", "text_b", "n", "sig_a", "sig_b", "last_f", "last_h", "rare", "prefix"])
 
     source = docs.select(integer_id(docs, doc_id).alias("id"), column(text).alias("t"), *_text_key(text))
-    return source.mapInArrow(run, "doc_id long, text_a long, text_b int, n int, sig_a long, sig_b long, last_f long, last_h long, prefix array<long>")
+    return source.mapInArrow(run, "doc_id long, text_a long, text_b int, n int, sig_a long, sig_b long, last_f long, last_h long, rare int, prefix array<long>")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -290,13 +293,21 @@ def _of_bucket(index: DataFrame, rows: DataFrame) -> DataFrame:
     return hot.unionByName(index.where("not hot").join(rows.where("not hot").drop("hot"), "token"))
 
 
-def _sized(index: DataFrame) -> DataFrame:
-    """index with g, the classes in the entry's bucket, and hot; entries of buckets of one class go."""
-    sizes = materialize(index.groupBy("token").agg(F.count("*").alias("g")).where("g > 1"), "sizes")
+def _index(full: DataFrame) -> DataFrame:
+    """(token, cls, pos, g, hot): the prefix shingles that several classes have, with their number. A shingle that isn't
+    frequent has few classes, and they meet in a window; those of the frequent ones stay where they are."""
+    entries = full.select("cls", "rare", F.posexplode("prefix").alias("pos", "token")).select("token", "cls", "pos", (F.col("pos") >= F.col("rare")).alias("frequent"))
+    alone = entries.where("not frequent").drop("frequent").withColumn("g", F.count("*").over(Window.partitionBy("token"))).where("g > 1")
+    common = materialize(entries.where("frequent").drop("frequent"), "common")
+    sizes = materialize(common.groupBy("token").agg(F.count("*").alias("g")).where("g > 1"), "sizes")
     hot = F.broadcast(sizes.where(F.col("g") > SMALL).orderBy(F.desc("g"), "token").limit(HOT).withColumnRenamed("g", "hot_g"))
-    marked = index.join(hot, "token", "left")
+    marked = common.join(hot, "token", "left")
     rest = marked.where("hot_g is null").drop("hot_g").join(sizes, "token").withColumn("hot", F.lit(False))
-    return marked.where("hot_g is not null").withColumnRenamed("hot_g", "g").withColumn("hot", F.lit(True)).unionByName(rest)
+    return (
+        marked.where("hot_g is not null").withColumnRenamed("hot_g", "g").withColumn("hot", F.lit(True))
+        .unionByName(rest)
+        .unionByName(alone.withColumn("hot", F.lit(False)))
+    )
 
 
 def _small_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -371,25 +382,19 @@ def labelled_classes(
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequencies(docs, text, k, frequent, WORDS))
     sets = materialize(document_sets(docs, doc_id, text, k, percent, shared), "sets")
-    same = [F.first(c).alias(c) for c in ("last_f", "last_h", "prefix")]
+    same = [F.first(c).alias(c) for c in ("last_f", "last_h", "rare", "prefix")]
     classes = sets.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("doc_id"), *same)
     full = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     members = materialize(sets.select("doc_id", "text_a", "text_b", "n", "sig_a", "sig_b"), "members")
-    classes = materialize(full.drop("prefix"), "classes")
+    classes = materialize(full.drop("prefix", "rare"), "classes")
     discard(sets)
 
-    # Counted by half of the hash, so that less is moved; a shingle whose half is shared by chance stays and does no harm.
-    entries = full.select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
-    half = entries.select(F.shiftright("token", 32).cast("int").alias("half"))
-    several = half.groupBy("half").agg(F.count("*").alias("g")).where("g > 1").select("half")
-    index = entries.join(several, F.shiftright("token", 32).cast("int") == F.col("half"), "left_semi")
-    index = materialize(index, "index")
+    index = materialize(_index(full), "index")
     discard(full)
-    index = _sized(index)
     # big: a class's prefix shingles in large buckets; own: those that no other class has in its prefix.
-    per = index.groupBy("cls").agg(F.count_if(F.col("g") > SMALL).alias("big"), F.count("*").alias("common"), F.first("n").alias("size"))
-    per = per.withColumn("own", (F.expr(f"size - ceil({percent} * size / 100) + 1") - F.col("common")).cast("int"))
-    index = index.join(per.select("cls", "big", "own"), "cls").join(classes.select("cls", "last_f", "last_h"), "cls")
+    per = index.groupBy("cls").agg(F.count_if(F.col("g") > SMALL).alias("big"), F.count("*").alias("common")).join(classes.select("cls", "n", "last_f", "last_h"), "cls")
+    per = per.withColumn("own", (F.expr(f"n - ceil({percent} * n / 100) + 1") - F.col("common")).cast("int")).drop("common")
+    index = index.join(per, "cls")
     index = materialize(index, "index")
     small = materialize(_small_pairs(index, percent), "pairs")
     large = materialize(index.where(F.col("g") > SMALL).select("token", "hot", "cls", "n", "pos", "own"), "large")
