@@ -296,12 +296,28 @@ def test_near_duplicates_brute(spark, monkeypatch):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_components(rows)
-    for small in (16, 2):  # all pairs of small buckets; pivots and the rest
+    for small, ids, hot in ((16, 2_000_000, 50_000), (2, 0, 50_000), (2, 2_000_000, 1)):  # all pairs of small buckets; pivots and the rest; both sides of every size
         monkeypatch.setattr(ngram_jaccard, "SMALL", small)
+        monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", ids)
+        monkeypatch.setattr(ngram_jaccard, "HOT", hot)
         got = sorted(map(tuple, ngram_jaccard.near_duplicates(docs).collect()), key=repr)
         assert got == want
 
 
+def test_all_links_brute(spark):
+    rows = [*near_copies(), (900, "a b"), (900, "a b"), (None, "only here and now"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[j : j + 4]) for j in range(len(words) - 3)} if len(words) >= 4 else ({tuple(words)} if words else set()))
+    want = []
+    for i, (doc_id, _) in enumerate(rows):
+        linked = [j for j in range(len(rows)) if j != i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        want.append((doc_id, len(sets[i]), len(linked)))
+    assert sorted(map(tuple, ngram_jaccard.link_counts(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_near_duplicate_edges(spark, edge_docs, empty_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     assert sorted(map(tuple, ngram_jaccard.near_duplicates(edge_docs).collect()), key=repr) == brute_components(rows)

@@ -62,6 +62,7 @@ HOT = 50_000
 SALTS = 16
 _LOCAL = 4_000_000
 _FREQUENT_RANK = 1000
+_NO_BUCKET = 1 << 62
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -310,11 +311,11 @@ def _index(full: DataFrame) -> DataFrame:
     )
 
 
-def _small_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs that share a prefix shingle of a bucket of at most SMALL classes, as far as their prefixes allow a
+def _small_pairs(index: DataFrame, percent: int, most: int) -> DataFrame:
+    """Distinct pairs that share a prefix shingle of a bucket of at most `most` classes, as far as their prefixes allow a
     link. Of the prefix that ends first in the shingle order, every shingle that the other prefix lacks is missing from the
     other set, so the intersection is at most the set less those. Shared shingles of larger buckets count as common."""
-    small = index.where(F.col("g") <= SMALL)
+    small = index.where(F.col("g") <= most)
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "big", "last_f", "last_h")]
     both = small.select("token", *side("a")).join(small.select("token", *side("b")), "token").where("cls_a < cls_b")
     both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -369,18 +370,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def labelled_classes(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    k: int = SHINGLE,
-    percent: int = PERCENT,
-    frequent: int = FREQUENT,
-) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_a, text_b, n, sig_a, sig_b), a row per row of docs, and (sig_a, sig_b, n, doc_id, label), a row per
-    class with its least doc_id; classes of one component have one label. Rows without shingles have no class."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequencies(docs, text, k, frequent, WORDS))
+def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, frequent: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, index): a row per row of docs, per class with its least doc_id, and per shared prefix shingle of a
+    class; buckets of more than `small` classes count as large."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs, text, k, frequent, WORDS))
     sets = materialize(document_sets(docs, doc_id, text, k, percent, shared), "sets")
     same = [F.first(c).alias(c) for c in ("last_f", "last_h", "rare", "prefix")]
     classes = sets.where("n > 0").groupBy("sig_a", "sig_b", "n").agg(F.min("doc_id").alias("doc_id"), *same)
@@ -388,22 +381,37 @@ def labelled_classes(
     members = materialize(sets.select("doc_id", "text_a", "text_b", "n", "sig_a", "sig_b"), "members")
     classes = materialize(full.drop("prefix", "rare"), "classes")
     discard(sets)
-
     index = materialize(_index(full), "index")
     discard(full)
     # big: a class's prefix shingles in large buckets; own: those that no other class has in its prefix.
-    per = index.groupBy("cls").agg(F.count_if(F.col("g") > SMALL).alias("big"), F.count("*").alias("common")).join(classes.select("cls", "n", "last_f", "last_h"), "cls")
+    per = index.groupBy("cls").agg(F.count_if(F.col("g") > small).alias("big"), F.count("*").alias("common")).join(classes.select("cls", "n", "last_f", "last_h"), "cls")
     per = per.withColumn("own", (F.expr(f"n - ceil({percent} * n / 100) + 1") - F.col("common")).cast("int")).drop("common")
-    index = index.join(per, "cls")
-    index = materialize(index, "index")
-    small = materialize(_small_pairs(index, percent), "pairs")
-    large = materialize(index.where(F.col("g") > SMALL).select("token", "hot", "cls", "n", "pos", "own"), "large")
-    ids = small.select(F.col("a").alias("cls")).unionByName(small.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
-    wanted = materialize(classes.join(ids, "cls", "left_semi").select("cls", "doc_id", "sig_a", "sig_b"), "wanted")
+    return members, classes, materialize(index.join(per, "cls"), "index")
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """(cls, s) of the classes in ids (cls)."""
+    wanted = materialize(classes.join(ids.distinct(), "cls", "left_semi").select("cls", "doc_id", "sig_a", "sig_b"), "wanted")
     found = wanted_sets(docs, wanted.select("doc_id").distinct(), doc_id, text, k)
     kept = found.join(wanted.select("cls", "sig_a", "sig_b"), ["sig_a", "sig_b"]).groupBy("cls").agg(F.first("s").alias("s"))
-    kept = materialize(kept, "kept")
+    return materialize(kept, "kept")
 
+
+def labelled_classes(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    k: int = SHINGLE,
+    percent: int = PERCENT,
+    frequent: int = FREQUENT,
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_a, text_b, n, sig_a, sig_b), a row per row of docs, and (sig_a, sig_b, n, doc_id, label), a row per
+    class with its least doc_id; classes of one component have one label. Rows without shingles have no class."""
+    members, classes, index = _prepared(docs, doc_id, text, k, percent, frequent, SMALL)
+    small = materialize(_small_pairs(index, percent, SMALL), "pairs")
+    large = materialize(index.where(F.col("g") > SMALL).select("token", "hot", "cls", "n", "pos", "own"), "large")
+    ids = small.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(large.select("cls"))
+    kept = _sets_of(docs, classes, ids, doc_id, text, k)
     edges = materialize(verify(small, kept, percent), "links")
     labels = materialize(components(edges), "labels")
     some = large.limit(1).count() > 0
@@ -423,6 +431,28 @@ def labelled_classes(
     return members, of_class.select("sig_a", "sig_b", "n", "doc_id", F.coalesce("label", "cls").alias("label"))
 
 
+def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, cls), a row per row of docs (cls null without shingles), and (a, b), a < b, all pairs of classes
+    that link. Nothing is skipped here, so a group of g different near copies costs its g * g pairs; near_duplicates, which needs
+    components only, costs g."""
+    members, classes, index = _prepared(docs, doc_id, text, k, percent, frequent, _NO_BUCKET)
+    pairs = materialize(_small_pairs(index, percent, _NO_BUCKET), "pairs")
+    kept = _sets_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")), doc_id, text, k)
+    links = materialize(verify(pairs, kept, percent), "links")
+    joined = members.join(classes.select("sig_a", "sig_b", F.col("n").alias("n_set"), "cls"), ["sig_a", "sig_b"], "left").where("n_set is null or n = n_set")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls"), links
+
+
+def link_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **given) -> DataFrame:
+    """(doc_id, n_shingles, n_links), a row per row of docs: how many other rows it links with, copies included."""
+    members, links = class_links(docs, doc_id, text, **given)
+    sizes = members.where("cls is not null").groupBy("cls").agg(F.count("*").alias("size"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, F.col("b") == F.col("cls")).groupBy(F.col("a").alias("of")).agg(F.sum("size").alias("others"))
+    per = sizes.join(others, F.col("cls") == F.col("of"), "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(per, "cls", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **given) -> DataFrame:
     """docs without the rows that another of their component stands for: the row with the least doc_id stays (null is the
     last), of equal ids the first by the text's hashes. Components are those of texts, so unlinked texts all stay, whether
