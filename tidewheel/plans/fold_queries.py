@@ -65,7 +65,8 @@ add(
         f"""CASE WHEN {_REJ} THEN 1 WHEN ok AND {_MODE} = 2 THEN CASE WHEN CASE WHEN p_m = 1 THEN 0 ELSE p_g END + 1 >= 2 THEN 0 ELSE 2 END WHEN ok THEN 0
  WHEN {_MODE} = 2 OR p_f + 1 >= 2 THEN 1 ELSE 0 END AS m,
  CASE WHEN {_REJ} THEN p_f WHEN ok AND {_MODE} = 2 AND CASE WHEN p_m = 1 THEN 0 ELSE p_g END + 1 < 2 THEN p_f WHEN ok THEN 0 ELSE p_f + 1 END AS f,
- CASE WHEN {_REJ} THEN p_g WHEN ok AND {_MODE} = 2 AND CASE WHEN p_m = 1 THEN 0 ELSE p_g END + 1 < 2 THEN CASE WHEN p_m = 1 THEN 0 ELSE p_g END + 1 ELSE 0 END AS g,
+ CASE WHEN {_REJ} THEN p_g WHEN ok AND {_MODE} = 2 AND CASE WHEN p_m = 1 THEN 0 ELSE p_g END + 1 < 2 THEN CASE
+  WHEN p_m = 1 THEN 0 ELSE p_g END + 1 ELSE 0 END AS g,
  CASE WHEN {_REJ} OR ok THEN p_s ELSE t END AS s, CASE WHEN {_REJ} THEN 'rejected' WHEN ok THEN 'ok' ELSE 'fail' END AS o""",
         "r.m AS p_m, r.f AS p_f, r.g AS p_g, r.s AS p_s",
     ),

@@ -42,7 +42,14 @@ def _(m, s):
     return R.route_worker_pool(m, s).select("id", "worker_group", "subscription_id")
 
 
-@query("route_mixed", ("messages", "subscribers"), f"WITH {_POOL} SELECT id, worker_group, subscription_id FROM p UNION ALL SELECT id, '' AS worker_group, subscription_id FROM messages CROSS JOIN subscribers WHERE mode = 'broadcast'")
+@query(
+    "route_mixed",
+    ("messages", "subscribers"),
+    f"""
+WITH {_POOL} SELECT id, worker_group, subscription_id FROM p UNION ALL SELECT id, '' AS worker_group, subscription_id
+  FROM messages CROSS JOIN subscribers WHERE mode = 'broadcast'
+""",
+)
 def _(m, s):
     return R.route_mixed(m, s).select("id", "worker_group", "subscription_id")
 
@@ -67,12 +74,26 @@ def _(m):
     return R.latest_only(m.select("event_name", "id", "ts"))
 
 
-@query("retention", ("messages",), "SELECT event_name, id FROM (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY ts DESC, id DESC) AS rn FROM messages WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL '20' DAY) WHERE rn <= 300")
+@query(
+    "retention",
+    ("messages",),
+    """
+SELECT event_name, id FROM (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY ts DESC, id DESC) AS rn FROM messages
+  WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL '20' DAY) WHERE rn <= 300
+""",
+)
 def _(m):
     return R.retention(m, "2024-01-31 00:00:00", "'20' DAY", 300).select("event_name", "id")
 
 
-@query("part_fnv", ("messages",), "SELECT id, CAST(list_reduce([2166136261::HUGEINT] || list_transform(string_split(id, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296) % 16 AS INT) AS partition FROM messages")
+@query(
+    "part_fnv",
+    ("messages",),
+    """
+SELECT id, CAST(list_reduce([2166136261::HUGEINT] || list_transform(string_split(id, ''), lambda c: unicode(c)::HUGEINT), lambda h, c: (xor(h::BIGINT, c::BIGINT)::HUGEINT * 16777619) % 4294967296) % 16 AS INT) AS partition
+  FROM messages
+""",
+)
 def _(m):
     return m.select("id", R.hash_partition(F.col("id"), 16).alias("partition"))
 
@@ -87,7 +108,14 @@ def _(m):
     return m.select("id", R.consistent_partition(F.col("id"), 8).alias("partition"))
 
 
-@query("classify_results", ("deliveries",), "SELECT seq, CASE WHEN seq % 5 = 0 THEN 'ack' WHEN seq % 5 = 1 THEN 'nack' WHEN seq % 5 = 2 THEN 'reject' WHEN seq % 5 = 3 THEN 'defer' ELSE 'defer' END AS result FROM deliveries")
+@query(
+    "classify_results",
+    ("deliveries",),
+    """
+SELECT seq, CASE WHEN seq % 5 = 0 THEN 'ack' WHEN seq % 5 = 1 THEN 'nack' WHEN seq % 5 = 2 THEN 'reject'
+  WHEN seq % 5 = 3 THEN 'defer' ELSE 'defer' END AS result FROM deliveries
+""",
+)
 def _(d):
     error = F.when(F.col("seq") % 5 == 0, F.lit(None)).when(F.col("seq") % 5 == 1, "nack").when(F.col("seq") % 5 == 2, "reject").when(F.col("seq") % 5 == 3, "defer").otherwise("disk full")
     return d.select("seq", R.classify(error).alias("result"))
@@ -100,7 +128,14 @@ def _(m):
     return m.select("id", R.retry_policy(result, F.col("retry_count"), F.lit(3)).alias("action"))
 
 
-@query("pending_replay", ("messages",), "SELECT id, count(*) AS retry_count FROM (SELECT id, seq FROM messages UNION ALL SELECT id, seq FROM messages WHERE seq % 2 = 0) WHERE seq % 3 <> 0 GROUP BY 1")
+@query(
+    "pending_replay",
+    ("messages",),
+    """
+SELECT id, count(*) AS retry_count FROM (SELECT id, seq FROM messages UNION ALL SELECT id, seq FROM messages WHERE seq % 2 = 0)
+  WHERE seq % 3 <> 0 GROUP BY 1
+""",
+)
 def _(m):
     delivered = m.unionByName(m.where("seq % 2 = 0"))
     return R.pending_replay(delivered, m.where("seq % 3 = 0")).select("id", "retry_count")
@@ -129,7 +164,8 @@ def _(m):
 
 @query("consumer_lag", ("messages",), """WITH pos AS (SELECT event_name, unnest(['g1', 'g2']) AS consumer_group FROM (SELECT DISTINCT event_name FROM messages)),
  q AS (SELECT *, CASE WHEN consumer_group = 'g1' THEN TIMESTAMP '2024-01-15' END AS position FROM pos)
- SELECT m.event_name, consumer_group, count(*) FILTER (WHERE position IS NULL OR ts > position) AS lag, min(ts) FILTER (WHERE position IS NULL OR ts > position) AS oldest_pending
+ SELECT m.event_name, consumer_group, count(*) FILTER (WHERE position IS NULL OR ts > position) AS lag,
+  min(ts) FILTER (WHERE position IS NULL OR ts > position) AS oldest_pending
  FROM messages m JOIN q ON m.event_name = q.event_name GROUP BY 1, 2""")
 def _(m):
     groups = m.select("event_name").distinct().withColumn("consumer_group", F.explode(F.array(F.lit("g1"), F.lit("g2"))))
@@ -147,29 +183,46 @@ def _subscriptions(m):
 
 @query("route_by_topic", ("messages",), f"""WITH {_SUBS_SQL},
 g AS (SELECT event_name, worker_group, list(subscription_id ORDER BY subscription_id) AS ws, list(available ORDER BY subscription_id) AS av,
-  row_number() OVER (PARTITION BY event_name ORDER BY worker_group) AS g, count(*) OVER (PARTITION BY event_name) AS gs FROM s WHERE mode = 'worker_pool' GROUP BY 1, 2),
+  row_number() OVER (PARTITION BY event_name ORDER BY worker_group) AS g, count(*) OVER (PARTITION BY event_name) AS gs FROM s
+  WHERE mode = 'worker_pool' GROUP BY 1, 2),
 m AS (SELECT *, row_number() OVER (PARTITION BY event_name ORDER BY ts, id) - 1 AS n FROM messages),
 o AS (SELECT id, m.event_name, worker_group, ws, av, CAST((n * gs + g) % len(ws) AS INT) AS k FROM m JOIN g ON m.event_name = g.event_name),
-c AS (SELECT id, event_name, worker_group, list_filter(list_transform(range(len(ws)), lambda i: CASE WHEN av[(k + i) % len(ws) + 1] THEN ws[(k + i) % len(ws) + 1] END), lambda x: x IS NOT NULL) AS ok FROM o)
+c AS (SELECT id, event_name, worker_group, list_filter(list_transform(range(len(ws)), lambda i: CASE
+  WHEN av[(k + i) % len(ws) + 1] THEN ws[(k + i) % len(ws) + 1] END), lambda x: x IS NOT NULL) AS ok FROM o)
 SELECT id, event_name, ok[1] AS subscription_id, worker_group FROM c WHERE len(ok) > 0
 UNION ALL SELECT id, m.event_name, subscription_id, '' AS worker_group FROM messages m JOIN s ON m.event_name = s.event_name WHERE mode = 'broadcast' AND available""")
 def _(m):
     return R.route_by_topic(m, _subscriptions(m))
 
 
-@query("drops", ("messages",), "SELECT id, CASE WHEN event_name IN ('view', 'click') THEN NULL WHEN event_name = 'error' THEN 'unavailable' ELSE 'no_subscribers' END AS dropped_reason FROM messages")
+@query(
+    "drops",
+    ("messages",),
+    """
+SELECT id, CASE WHEN event_name IN ('view', 'click') THEN NULL WHEN event_name = 'error' THEN 'unavailable'
+  ELSE 'no_subscribers' END AS dropped_reason FROM messages
+""",
+)
 def _(m):
     return R.drops(m, _subscriptions(m)).select("id", "dropped_reason")
 
 
-@query("dropped_by_reason", ("messages",), "SELECT event_name, CASE WHEN event_name IN ('view', 'click') THEN 'delivered' WHEN event_name = 'error' THEN 'unavailable' ELSE 'no_subscribers' END AS reason, count(*) AS n FROM messages GROUP BY 1, 2")
+@query(
+    "dropped_by_reason",
+    ("messages",),
+    """
+SELECT event_name, CASE WHEN event_name IN ('view', 'click') THEN 'delivered' WHEN event_name = 'error' THEN 'unavailable'
+  ELSE 'no_subscribers' END AS reason, count(*) AS n FROM messages GROUP BY 1, 2
+""",
+)
 def _(m):
     return R.counters(R.drops(m, _subscriptions(m)))
 
 
 @query("consumer_lag_pending", ("messages",), """WITH p(event_name, consumer_group, position) AS (VALUES ('view', 'g1', TIMESTAMP '2024-01-10'), ('view', 'g2', TIMESTAMP '2024-01-20'), ('click', 'g1', NULL::TIMESTAMP)),
 j AS (SELECT m.event_name, m.ts, consumer_group, position FROM messages m LEFT JOIN p ON m.event_name = p.event_name),
-l AS (SELECT event_name, consumer_group, count(*) FILTER (WHERE position IS NULL OR ts > position)::BIGINT AS lag, min(ts) FILTER (WHERE position IS NULL OR ts > position) AS oldest_pending FROM j GROUP BY 1, 2),
+l AS (SELECT event_name, consumer_group, count(*) FILTER (WHERE position IS NULL OR ts > position)::BIGINT AS lag,
+  min(ts) FILTER (WHERE position IS NULL OR ts > position) AS oldest_pending FROM j GROUP BY 1, 2),
 u AS (SELECT event_name, 'g1' AS consumer_group, count(*) AS pending FROM messages WHERE seq % 7 = 0 GROUP BY 1)
 SELECT l.event_name, l.consumer_group, lag, oldest_pending, coalesce(pending, 0) AS pending FROM l LEFT JOIN u ON l.event_name = u.event_name AND l.consumer_group = u.consumer_group""")
 def _(m):
@@ -186,7 +239,14 @@ def _(m):
     return rows.groupBy(F.col("event_name").alias("source")).agg(X.worst_status(status).alias("status"))
 
 
-@query("full_name", ("messages",), "SELECT seq, CASE seq % 3 WHEN 0 THEN 'bus-1' ELSE '' END AS bus, CASE seq % 3 WHEN 2 THEN '' ELSE CASE seq % 3 WHEN 0 THEN event_name ELSE 'x' END END AS topic, seq % 3 = 0 AS valid FROM messages")
+@query(
+    "full_name",
+    ("messages",),
+    """
+SELECT seq, CASE seq % 3 WHEN 0 THEN 'bus-1' ELSE '' END AS bus, CASE seq % 3 WHEN 2 THEN '' ELSE CASE seq % 3
+  WHEN 0 THEN event_name ELSE 'x' END END AS topic, seq % 3 = 0 AS valid FROM messages
+""",
+)
 def _(m):
     name = F.when(F.col("seq") % 3 == 0, F.concat("source", F.lit("://"), "event_name")).when(F.col("seq") % 3 == 1, F.lit("://x")).otherwise(F.lit("plain"))
     return m.select("seq", X.full_name(name).alias("f")).select("seq", "f.*")
@@ -197,7 +257,14 @@ def _(m):
     return m.select("id", X.sanitize(F.col("payload")).alias("safe"))
 
 
-@query("backoff", ("messages",), "SELECT id, least(100.0 * pow(2, retry_count), 1000.0) AS delay, least(100.0 * pow(2, retry_count), 1000.0) * 0.7 AS low FROM messages")
+@query(
+    "backoff",
+    ("messages",),
+    """
+SELECT id, least(100.0 * pow(2, retry_count), 1000.0) AS delay, least(100.0 * pow(2, retry_count), 1000.0) * 0.7 AS low
+  FROM messages
+""",
+)
 def _(m):
     return m.select("id", X.backoff_ms(F.col("retry_count"), 100, 1000).alias("b")).select("id", "b.delay", "b.low")
 
@@ -215,7 +282,14 @@ def _(e):
 _SCHEMA = JsonSchema(2, "user", ("name", "email"), {"name": "string", "email": "string", "age": "number"})
 
 
-@query("json_validate", ("envelopes",), "SELECT event_id, CASE WHEN version = 2 THEN NULL WHEN version = 1 THEN 'missing required field: email' ELSE 'missing required field: name' END AS error FROM envelopes")
+@query(
+    "json_validate",
+    ("envelopes",),
+    """
+SELECT event_id, CASE WHEN version = 2 THEN NULL WHEN version = 1 THEN 'missing required field: email'
+  ELSE 'missing required field: name' END AS error FROM envelopes
+""",
+)
 def _(e):
     return e.select("event_id", _SCHEMA.error(F.col("payload")).alias("error"))
 
@@ -258,7 +332,13 @@ def _(m):
     return good.select("seq", F.lit("decode").alias("route")).unionByName(bad.select("seq", F.lit("dead_letter").alias("route")))
 
 
-@query("content_type_set", ("messages",), "SELECT seq, 'application/msgpack' AS kind, CASE WHEN seq % 3 = 1 THEN 1 ELSE 2 END AS entries FROM messages")
+@query(
+    "content_type_set",
+    ("messages",),
+    """
+SELECT seq, 'application/msgpack' AS kind, CASE WHEN seq % 3 = 1 THEN 1 ELSE 2 END AS entries FROM messages
+""",
+)
 def _(m):
     from ..functions.wire import with_content_type
 
@@ -310,7 +390,8 @@ _LATEST = JsonSchema(3, "user", ("fullName", "email"), {"fullName": "string", "e
 
 
 @query("versioned_decode", ("envelopes",), """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN payload WHEN version = 1 THEN concat('{"email":"unknown@example.com","fullName":"', json_extract_string(payload, '$.name'), '"}')
- ELSE concat('{"email":"u@x.io","fullName":"', coalesce(json_extract_string(payload, '$.name'), json_extract_string(payload, '$.fullName')), '"}') END AS payload,
+
+  ELSE concat('{"email":"u@x.io","fullName":"', coalesce(json_extract_string(payload, '$.name'), json_extract_string(payload, '$.fullName')), '"}') END AS payload,
  CASE WHEN event_id % 5 <> 0 THEN 3 END AS version, CAST(NULL AS VARCHAR) AS error FROM envelopes""")
 def _(e):
     data = F.when(F.col("event_id") % 5 == 0, F.col("payload")).otherwise(encode_envelope(F.col("version"), F.lit("user"), F.col("payload")))
@@ -363,7 +444,8 @@ _RING = ", ".join(f"({h}, {o})" for h, o in R.ring(8))
 ORACLE_SQL["part_consistent"] = with_views(
     f"""WITH ring(h, owner) AS (VALUES {_RING}),
 c AS (SELECT id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(id, ''), lambda ch: unicode(ch)::BIGINT),
-  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS h FROM messages),
+  lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384)
+  ELSE x // 2 END)), 4294967295) AS h FROM messages),
 l AS (SELECT id, (SELECT min(ring.h) FROM ring WHERE ring.h >= c.h) AS h FROM c)
 SELECT id, CAST(owner AS INT) AS partition FROM l JOIN ring ON ring.h = coalesce(l.h, (SELECT min(h) FROM ring))""",
     "messages",

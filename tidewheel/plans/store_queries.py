@@ -31,12 +31,25 @@ _LISTED_SQL = (
 )
 
 
-@query("monitor_list", ("monitor_entries",), f"SELECT {_ENTRY} FROM monitor_entries WHERE {_LISTED_SQL} ORDER BY started_at, event_id, subscription_id LIMIT 100")
+@query(
+    "monitor_list",
+    ("monitor_entries",),
+    f"""
+SELECT {_ENTRY} FROM monitor_entries WHERE {_LISTED_SQL} ORDER BY started_at, event_id, subscription_id LIMIT 100
+""",
+)
 def _(m):
     return S.monitor_list(m, _LISTED)
 
 
-@query("monitor_list_desc", ("monitor_entries",), f"SELECT {_ENTRY} FROM monitor_entries WHERE delivery_mode = 'broadcast' AND duration_ms >= 20 ORDER BY started_at DESC, event_id DESC, subscription_id DESC LIMIT 50")
+@query(
+    "monitor_list_desc",
+    ("monitor_entries",),
+    f"""
+SELECT {_ENTRY} FROM monitor_entries WHERE delivery_mode = 'broadcast' AND duration_ms >= 20
+  ORDER BY started_at DESC, event_id DESC, subscription_id DESC LIMIT 50
+""",
+)
 def _(m):
     return S.monitor_list(m, MonitorFilter(delivery_mode="broadcast", min_duration_ms=20, limit=50, descending=True))
 
@@ -55,7 +68,13 @@ ORACLE_SQL["monitor_page2"] = with_views(
 )
 
 
-@query("monitor_count", ("monitor_entries",), "SELECT count(*) AS n FROM monitor_entries WHERE coalesce(error, '') = '' AND started_at < TIMESTAMP '2024-01-20'")
+@query(
+    "monitor_count",
+    ("monitor_entries",),
+    """
+SELECT count(*) AS n FROM monitor_entries WHERE coalesce(error, '') = '' AND started_at < TIMESTAMP '2024-01-20'
+""",
+)
 def _(m):
     return m.where(MonitorFilter(has_error=False, end_time="2024-01-20 00:00:00").predicate()).agg(F.count("*").alias("n"))
 
@@ -73,7 +92,8 @@ def _(m):
 _UPSERT = """SELECT event_id, subscription_id, arg_min(event_name, seq) AS event_name, arg_min(started_at, seq) AS started_at,
  arg_max(status, seq) AS status, arg_max(coalesce(error, ''), seq) AS error, arg_max(retry_count, seq) AS retry_count FROM
  (SELECT message_id AS event_id, CASE WHEN seq % 3 = 0 THEN '' ELSE 'sub-1' END AS subscription_id, event_name, ts AS started_at,
-  CASE WHEN ok THEN 'completed' ELSE 'retrying' END AS status, CASE WHEN ok THEN NULL ELSE 'boom' END AS error, CAST(seq % 4 AS INT) AS retry_count, seq FROM deliveries)
+  CASE WHEN ok THEN 'completed' ELSE 'retrying' END AS status, CASE WHEN ok THEN NULL
+  ELSE 'boom' END AS error, CAST(seq % 4 AS INT) AS retry_count, seq FROM deliveries)
  GROUP BY event_id, subscription_id"""
 
 
@@ -93,12 +113,25 @@ def _(m):
     return S.monitor_update_status(m, "evt-42", "", "completed", None, 100, EVENTS_AS_OF).select("event_id", "subscription_id", "status", "error", "duration_ms")
 
 
-@query("monitor_sampled", ("monitor_entries",), "SELECT event_id, subscription_id FROM monitor_entries WHERE list_reduce([0] || list_transform(string_split(event_id, ''), lambda c: unicode(c)), lambda h, c: (h * 31 + c) % 1000) < 250")
+@query(
+    "monitor_sampled",
+    ("monitor_entries",),
+    """
+SELECT event_id, subscription_id FROM monitor_entries
+  WHERE list_reduce([0] || list_transform(string_split(event_id, ''), lambda c: unicode(c)), lambda h, c: (h * 31 + c) % 1000) < 250
+""",
+)
 def _(m):
     return S.monitor_sampled(m, 0.25).select("event_id", "subscription_id")
 
 
-@query("monitor_retention", ("monitor_entries",), "SELECT event_id, subscription_id, started_at FROM monitor_entries WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL '10' DAY")
+@query(
+    "monitor_retention",
+    ("monitor_entries",),
+    """
+SELECT event_id, subscription_id, started_at FROM monitor_entries WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL '10' DAY
+""",
+)
 def _(m):
     return S.delete_older_than(m, "started_at", EVENTS_AS_OF, "'10' DAY").select("event_id", "subscription_id", "started_at")
 
@@ -128,7 +161,14 @@ def _(q):
     return q.where(DlqFilter(error="VALIDATION").predicate()).select("id", "error")
 
 
-@query("dlq_stats", ("event_dlq",), "SELECT count(*) AS total, count(retried_at) AS retried, count(*) - count(retried_at) AS pending, min(created_at) AS oldest, max(created_at) AS newest FROM event_dlq")
+@query(
+    "dlq_stats",
+    ("event_dlq",),
+    """
+SELECT count(*) AS total, count(retried_at) AS retried, count(*) - count(retried_at) AS pending, min(created_at) AS oldest,
+  max(created_at) AS newest FROM event_dlq
+""",
+)
 def _(q):
     return S.dlq_stats(q)
 
@@ -138,7 +178,14 @@ def _(q):
     return S.dlq_by_event(q)
 
 
-@query("dlq_by_error_type", ("event_dlq",), "SELECT CASE WHEN instr(error, ':') > 1 THEN split_part(error, ':', 1) ELSE error END AS error_type, count(*) AS n FROM event_dlq GROUP BY 1")
+@query(
+    "dlq_by_error_type",
+    ("event_dlq",),
+    """
+SELECT CASE WHEN instr(error, ':') > 1 THEN split_part(error, ':', 1) ELSE error END AS error_type, count(*) AS n FROM event_dlq
+  GROUP BY 1
+""",
+)
 def _(q):
     return S.dlq_by_error_type(q)
 
@@ -150,7 +197,14 @@ def _(q):
     return out.select("id", "event_name", "source", "payload", *[F.col("metadata")[k].alias(k) for k in ("dlq_replay", "dlq_message_id", "dlq_original_error")])
 
 
-@query("dlq_mark_retried", ("event_dlq",), "SELECT id, CASE WHEN event_name = 'order.created' AND retried_at IS NULL THEN TIMESTAMP '2024-01-31' ELSE retried_at END AS retried_at FROM event_dlq")
+@query(
+    "dlq_mark_retried",
+    ("event_dlq",),
+    """
+SELECT id, CASE WHEN event_name = 'order.created' AND retried_at IS NULL THEN TIMESTAMP '2024-01-31'
+  ELSE retried_at END AS retried_at FROM event_dlq
+""",
+)
 def _(q):
     hit = DlqFilter(event_name="order.created", exclude_retried=True).predicate()
     return S.dlq_mark_retried(q, hit, EVENTS_AS_OF).select("id", "retried_at")
@@ -161,7 +215,13 @@ def _(q):
     return S.dlq_increment_retry(q, F.col("source") == "svc-1").select("id", "retry_count")
 
 
-@query("dlq_delete_by_filter", ("event_dlq",), "SELECT id, created_at FROM event_dlq WHERE NOT (source = 'svc-2' AND created_at <= TIMESTAMP '2024-01-15')")
+@query(
+    "dlq_delete_by_filter",
+    ("event_dlq",),
+    """
+SELECT id, created_at FROM event_dlq WHERE NOT (source = 'svc-2' AND created_at <= TIMESTAMP '2024-01-15')
+""",
+)
 def _(q):
     return S.dlq_delete(q, DlqFilter(source="svc-2", end_time="2024-01-15 00:00:00")).select("id", "created_at")
 
@@ -176,7 +236,13 @@ def _(q):
     return S.keep_last(q, 200).select("id", "created_at")
 
 
-@query("outbox_pending", ("event_outbox",), "SELECT id, event_id, status, created_at FROM event_outbox WHERE status = 'pending' ORDER BY created_at, id LIMIT 100")
+@query(
+    "outbox_pending",
+    ("event_outbox",),
+    """
+SELECT id, event_id, status, created_at FROM event_outbox WHERE status = 'pending' ORDER BY created_at, id LIMIT 100
+""",
+)
 def _(o):
     return S.outbox_pending(o).select("id", "event_id", "status", "created_at")
 
@@ -191,17 +257,37 @@ def _(o):
 _STUCK = "status = 'processing' AND claimed_at < TIMESTAMP '1998-06-01' - INTERVAL '5' MINUTE"
 
 
-@query("outbox_recover_stuck", ("event_outbox",), f"SELECT id, CASE WHEN {_STUCK} THEN 'pending' ELSE status END AS status, CASE WHEN {_STUCK} THEN NULL ELSE claimed_at END AS claimed_at FROM event_outbox")
+@query(
+    "outbox_recover_stuck",
+    ("event_outbox",),
+    f"""
+SELECT id, CASE WHEN {_STUCK} THEN 'pending' ELSE status END AS status, CASE WHEN {_STUCK} THEN NULL
+  ELSE claimed_at END AS claimed_at FROM event_outbox
+""",
+)
 def _(o):
     return S.outbox_recover_stuck(o, ORDERS_AS_OF).select("id", "status", "claimed_at")
 
 
-@query("outbox_retry_failed", ("event_outbox",), "SELECT id, CASE WHEN status = 'failed' AND retry_count < 2 THEN 'pending' ELSE status END AS status FROM event_outbox")
+@query(
+    "outbox_retry_failed",
+    ("event_outbox",),
+    """
+SELECT id, CASE WHEN status = 'failed' AND retry_count < 2 THEN 'pending' ELSE status END AS status FROM event_outbox
+""",
+)
 def _(o):
     return S.outbox_retry_failed(o, 2).select("id", "status")
 
 
-@query("outbox_cleanup", ("event_outbox",), "SELECT id, status, published_at FROM event_outbox WHERE NOT (status = 'published' AND coalesce(published_at < TIMESTAMP '1998-06-01' - INTERVAL '30' DAY, false))")
+@query(
+    "outbox_cleanup",
+    ("event_outbox",),
+    """
+SELECT id, status, published_at FROM event_outbox WHERE NOT (status = 'published'
+  AND coalesce(published_at < TIMESTAMP '1998-06-01' - INTERVAL '30' DAY, false))
+""",
+)
 def _(o):
     return S.outbox_cleanup(o, ORDERS_AS_OF, "'30' DAY").select("id", "status", "published_at")
 
@@ -214,7 +300,14 @@ def _(o):
 _DUE = "SELECT * FROM scheduled_messages WHERE scheduled_at <= TIMESTAMP '1998-06-01' ORDER BY scheduled_at, id LIMIT 100"
 
 
-@query("sched_due", ("scheduled_messages",), f"SELECT id, event_name, 'scheduler' AS source, id AS scheduled_message_id, strftime(scheduled_at, '%Y-%m-%dT%H:%M:%SZ') AS scheduled_at_text, scheduled_at FROM ({_DUE})")
+@query(
+    "sched_due",
+    ("scheduled_messages",),
+    f"""
+SELECT id, event_name, 'scheduler' AS source, id AS scheduled_message_id, strftime(scheduled_at, '%Y-%m-%dT%H:%M:%SZ') AS scheduled_at_text, scheduled_at
+  FROM ({_DUE})
+""",
+)
 def _(s):
     return S.sched_due(s, ORDERS_AS_OF)
 
@@ -225,26 +318,57 @@ def _(s):
     return S.sched_list(s, ScheduleFilter("order.o", "1998-07-01 00:00:00", "1998-09-01 00:00:00", 60)).select("id", "event_name", "scheduled_at")
 
 
-@query("sched_after_tick", ("scheduled_messages",), f"SELECT id, scheduled_at FROM scheduled_messages WHERE id NOT IN (SELECT id FROM ({_DUE}) WHERE NOT ends_with(id, '7'))")
+@query(
+    "sched_after_tick",
+    ("scheduled_messages",),
+    f"""
+SELECT id, scheduled_at FROM scheduled_messages WHERE id NOT IN (SELECT id FROM ({_DUE}) WHERE NOT ends_with(id, '7'))
+""",
+)
 def _(s):
     return S.sched_after_tick(s, ORDERS_AS_OF, ~F.col("id").endswith("7")).select("id", "scheduled_at")
 
 
-@query("sched_cancel", ("scheduled_messages", "event_outbox"), "SELECT id, scheduled_at FROM scheduled_messages WHERE id NOT IN (SELECT concat('sch-', CAST(id AS STRING)) FROM event_outbox WHERE status = 'failed')")
+@query(
+    "sched_cancel",
+    ("scheduled_messages", "event_outbox"),
+    """
+SELECT id, scheduled_at FROM scheduled_messages WHERE id NOT IN (SELECT concat('sch-', CAST(id AS STRING)) FROM event_outbox
+  WHERE status = 'failed')
+""",
+)
 def _(s, o):
     return S.sched_cancel(s, o.where("status = 'failed'").select(F.concat(F.lit("sch-"), F.col("id").cast("string")).alias("id"))).select("id", "scheduled_at")
 
 
-@query("sched_counts", ("scheduled_messages",), "SELECT event_name, count(*) AS n, count(*) FILTER (WHERE scheduled_at <= TIMESTAMP '1998-06-01') AS due FROM scheduled_messages GROUP BY 1")
+@query(
+    "sched_counts",
+    ("scheduled_messages",),
+    """
+SELECT event_name, count(*) AS n, count(*) FILTER (WHERE scheduled_at <= TIMESTAMP '1998-06-01') AS due FROM scheduled_messages
+  GROUP BY 1
+""",
+)
 def _(s):
     return S.sched_counts(s, ORDERS_AS_OF)
 
 
-_SAGA_SQL = """WITH f AS (SELECT saga_id, min(CASE WHEN NOT exec_ok THEN step_no END) AS failed_step FROM saga_steps GROUP BY 1),
-d AS (SELECT f.saga_id, failed_step, list(step_name ORDER BY step_no) FILTER (WHERE failed_step IS NULL OR step_no < failed_step) AS done,
-  bool_or(NOT compensate_ok) FILTER (WHERE failed_step IS NULL OR step_no < failed_step) AS broken FROM f JOIN saga_steps s ON f.saga_id = s.saga_id GROUP BY 1, 2),
-sagas AS (SELECT saga_id, CASE WHEN failed_step IS NULL THEN 'completed' WHEN broken THEN 'failed' ELSE 'compensated' END AS status, len(done)::INT AS current_step,
-  array_to_string(done, ',') AS completed_steps, CASE WHEN failed_step IS NULL THEN '' ELSE array_to_string(list_reverse(done), ',') END AS compensation_order FROM d)"""
+def _saga_sql(steps: str = "saga_steps", first: str = "f", done: str = "d", out: str = "sagas") -> str:
+    """Table expressions of the execution of sagas over a table of steps."""
+    inside = "failed_step IS NULL OR step_no < failed_step"
+    return f"""{first} AS (SELECT saga_id, min(CASE WHEN NOT exec_ok THEN step_no END) AS failed_step FROM {steps} GROUP BY 1),
+{done} AS (
+  SELECT {first}.saga_id, failed_step, list(step_name ORDER BY step_no) FILTER (WHERE {inside}) AS done,
+         bool_or(NOT compensate_ok) FILTER (WHERE {inside}) AS broken
+  FROM {first} JOIN {steps} s ON {first}.saga_id = s.saga_id GROUP BY 1, 2),
+{out} AS (
+  SELECT saga_id, CASE WHEN failed_step IS NULL THEN 'completed' WHEN broken THEN 'failed' ELSE 'compensated' END AS status,
+         len(done)::INT AS current_step, array_to_string(done, ',') AS completed_steps,
+         CASE WHEN failed_step IS NULL THEN '' ELSE array_to_string(list_reverse(done), ',') END AS compensation_order
+  FROM {done})"""
+
+
+_SAGA_SQL = f"WITH {_saga_sql()}"
 
 
 @query("saga_execute", ("saga_steps",), f"{_SAGA_SQL} SELECT * FROM sagas")
@@ -261,12 +385,27 @@ def _sagas(steps):
 _SAGAS = _SAGA_SQL + ", st AS (SELECT saga_id AS id, 'order' AS name, status, current_step, TIMESTAMP '1998-06-01' - to_days(CAST(CAST(substring(saga_id, 6) AS BIGINT) % 90 AS INT)) AS started_at FROM sagas)"
 
 
-@query("saga_list", ("saga_steps",), f"{_SAGAS} SELECT id, status, started_at FROM st WHERE name = 'order' AND status IN ('failed', 'compensated') ORDER BY started_at DESC, id DESC LIMIT 50")
+@query(
+    "saga_list",
+    ("saga_steps",),
+    f"""
+{_SAGAS} SELECT id, status, started_at FROM st WHERE name = 'order' AND status IN ('failed', 'compensated')
+  ORDER BY started_at DESC, id DESC LIMIT 50
+""",
+)
 def _(s):
     return S.saga_list(_sagas(s), SagaFilter("order", ("failed", "compensated"), 50)).select("id", "status", "started_at")
 
 
-@query("saga_counts", ("saga_steps",), f"{_SAGAS} SELECT u.status, count(id) AS n FROM (SELECT unnest(['pending', 'running', 'completed', 'failed', 'compensating', 'compensated']) AS status) u LEFT JOIN st ON u.status = st.status GROUP BY 1")
+@query(
+    "saga_counts",
+    ("saga_steps",),
+    f"""
+{_SAGAS} SELECT u.status, count(id) AS n
+  FROM (SELECT unnest(['pending', 'running', 'completed', 'failed', 'compensating', 'compensated']) AS status) u LEFT
+  JOIN st ON u.status = st.status GROUP BY 1
+""",
+)
 def _(s):
     return S.saga_counts(_sagas(s))
 
@@ -277,12 +416,25 @@ def _(s):
     return S.saga_stats(_sagas(s))
 
 
-@query("saga_cleanup", ("saga_steps",), f"{_SAGAS} SELECT id, status FROM st WHERE NOT (status = 'completed' AND started_at < TIMESTAMP '1998-06-01' - INTERVAL '30' DAY)")
+@query(
+    "saga_cleanup",
+    ("saga_steps",),
+    f"""
+{_SAGAS} SELECT id, status FROM st WHERE NOT (status = 'completed' AND started_at < TIMESTAMP '1998-06-01' - INTERVAL '30' DAY)
+""",
+)
 def _(s):
     return S.saga_cleanup(_sagas(s), ORDERS_AS_OF, "'30' DAY").select("id", "status")
 
 
-@query("saga_resume", ("saga_steps",), f"{_SAGAS} SELECT id, CASE WHEN status IN ('failed', 'compensated') THEN 'pending' ELSE status END AS status, CASE WHEN status IN ('failed', 'compensated') THEN 0 ELSE current_step END AS current_step FROM st")
+@query(
+    "saga_resume",
+    ("saga_steps",),
+    f"""
+{_SAGAS} SELECT id, CASE WHEN status IN ('failed', 'compensated') THEN 'pending' ELSE status END AS status, CASE
+  WHEN status IN ('failed', 'compensated') THEN 0 ELSE current_step END AS current_step FROM st
+""",
+)
 def _(s):
     return S.saga_resume(_sagas(s)).select("id", "status", "current_step")
 
@@ -323,7 +475,13 @@ def _(o, m):
 _CLAIMED = "SELECT id FROM event_outbox WHERE status = 'pending' ORDER BY created_at, id LIMIT 100"
 
 
-@query("outbox_claim", ("event_outbox",), f"SELECT id, event_id, 'processing' AS status, TIMESTAMP '1998-06-01' AS claimed_at FROM event_outbox WHERE id IN ({_CLAIMED})")
+@query(
+    "outbox_claim",
+    ("event_outbox",),
+    f"""
+SELECT id, event_id, 'processing' AS status, TIMESTAMP '1998-06-01' AS claimed_at FROM event_outbox WHERE id IN ({_CLAIMED})
+""",
+)
 def _(o):
     return S.outbox_claim(o, ORDERS_AS_OF).select("id", "event_id", "status", "claimed_at")
 
@@ -350,7 +508,13 @@ def _(m):
     return rows.select("id", "event_name", "original_id", "error", "retry_count", "source", "created_at", S.dlq_result(stored).alias("result"))
 
 
-@query("dlq_stats_from_counts", ("event_dlq",), "SELECT count(*) AS total, count(*) - count(retried_at) AS pending, count(retried_at) AS retried FROM event_dlq")
+@query(
+    "dlq_stats_from_counts",
+    ("event_dlq",),
+    """
+SELECT count(*) AS total, count(*) - count(retried_at) AS pending, count(retried_at) AS retried FROM event_dlq
+""",
+)
 def _(q):
     return S.dlq_stats_from_counts(q)
 
@@ -373,17 +537,20 @@ def _(s):
     return S.sched_get(s, "sch-7").select("id", "event_name", "scheduled_at")
 
 
-_RERUN_SQL = _SAGA_SQL.replace("saga_steps", "now_steps").replace("sagas AS", "again AS").replace("f AS (", "f2 AS (").replace("FROM f JOIN", "FROM f2 JOIN").replace("f.saga_id", "f2.saga_id")
-_RERUN_SQL = _RERUN_SQL.replace("d AS (SELECT", "d2 AS (SELECT").replace("FROM d)", "FROM d2)").removeprefix("WITH ")
-
-
-@query("saga_reexecute", ("saga_steps",), f"""{_SAGA_SQL}, now_steps AS (SELECT saga_id, step_no, step_name, exec_ok OR step_no % 2 = 1 AS exec_ok, compensate_ok FROM saga_steps), {_RERUN_SQL}
+@query("saga_reexecute", ("saga_steps",), f"""{_SAGA_SQL}, now_steps AS (SELECT saga_id, step_no, step_name, exec_ok OR step_no % 2 = 1 AS exec_ok, compensate_ok FROM saga_steps), {_saga_sql("now_steps", "f2", "d2", "again")}
 SELECT * FROM sagas WHERE status = 'completed' UNION ALL SELECT a.* FROM again a JOIN sagas s ON a.saga_id = s.saga_id WHERE s.status <> 'completed'""")
 def _(s):
     return S.saga_rerun(S.saga_execute(s), s.withColumn("exec_ok", F.expr("exec_ok or step_no % 2 = 1")))
 
 
-@query("saga_counts_by_name", ("saga_steps",), f"{_SAGAS} SELECT name, status, count(*) AS n FROM (SELECT status, concat('saga', CAST(substring(id, 6) AS BIGINT) % 3) AS name FROM st) GROUP BY 1, 2")
+@query(
+    "saga_counts_by_name",
+    ("saga_steps",),
+    f"""
+{_SAGAS} SELECT name, status, count(*) AS n FROM (SELECT status, concat('saga', CAST(substring(id, 6) AS BIGINT) % 3) AS name
+  FROM st) GROUP BY 1, 2
+""",
+)
 def _(s):
     named = _sagas(s).withColumn("name", F.concat(F.lit("saga"), (F.substring("id", 6, 20).cast("bigint") % 3).cast("string")))
     return S.saga_counts_by(named, "name", "status")
@@ -404,12 +571,24 @@ _ACCEPTED = """SELECT name, seq, ts, version FROM (SELECT *, version >= coalesce
  FROM schema_sets WHERE version >= 1 AND name <> '') WHERE accepted"""
 
 
-@query("schema_changes", ("schema_sets",), f"SELECT name, seq, version, lag(version) OVER (PARTITION BY name ORDER BY ts, seq) AS previous FROM ({_ACCEPTED})")
+@query(
+    "schema_changes",
+    ("schema_sets",),
+    f"""
+SELECT name, seq, version, lag(version) OVER (PARTITION BY name ORDER BY ts, seq) AS previous FROM ({_ACCEPTED})
+""",
+)
 def _(s):
     return S.schema_changes(s).select("name", "seq", "version", "previous")
 
 
-@query("schema_list", ("schema_sets",), "SELECT name, max(version) AS version FROM schema_sets WHERE version >= 1 AND name <> 'click' GROUP BY 1 ORDER BY 1")
+@query(
+    "schema_list",
+    ("schema_sets",),
+    """
+SELECT name, max(version) AS version FROM schema_sets WHERE version >= 1 AND name <> 'click' GROUP BY 1 ORDER BY 1
+""",
+)
 def _(s):
     gone = s.where("name = 'click'").select("name").distinct()
     return S.schema_list(S.without(S.schema_latest(s), gone, "name"))
@@ -420,12 +599,25 @@ def _(m):
     return S.keys_of(m, "event_name")
 
 
-@query("checkpoint_info", ("positions",), "SELECT subscriber_id, count(*) AS saves, min(arrival) AS first_arrival, max(arrival) AS last_arrival, max(position) AS furthest FROM positions GROUP BY 1")
+@query(
+    "checkpoint_info",
+    ("positions",),
+    """
+SELECT subscriber_id, count(*) AS saves, min(arrival) AS first_arrival, max(arrival) AS last_arrival, max(position) AS furthest
+  FROM positions GROUP BY 1
+""",
+)
 def _(p):
     return S.checkpoint_info(p)
 
 
-@query("checkpoint_delete", ("positions",), "SELECT subscriber_id, arg_max(position, arrival) AS position FROM positions WHERE CAST(subscriber_id AS INT) % 4 <> 2 GROUP BY 1")
+@query(
+    "checkpoint_delete",
+    ("positions",),
+    """
+SELECT subscriber_id, arg_max(position, arrival) AS position FROM positions WHERE CAST(subscriber_id AS INT) % 4 <> 2 GROUP BY 1
+""",
+)
 def _(p):
     return S.without(S.checkpoint_latest(p), p.where("cast(subscriber_id as int) % 4 = 2").select("subscriber_id").distinct(), "subscriber_id")
 
@@ -443,7 +635,14 @@ def _(d):
     return _marks(d)
 
 
-@query("marks_duplicates", ("deliveries",), f"SELECT seq, message_id FROM deliveries WHERE message_id IN (SELECT message_id FROM ({_MARKS}) WHERE expires_at >= TIMESTAMP '2024-01-30')")
+@query(
+    "marks_duplicates",
+    ("deliveries",),
+    f"""
+SELECT seq, message_id FROM deliveries WHERE message_id IN (SELECT message_id FROM ({_MARKS})
+  WHERE expires_at >= TIMESTAMP '2024-01-30')
+""",
+)
 def _(d):
     return S.duplicates(d, _marks(d), "2024-01-30 00:00:00").select("seq", "message_id")
 
@@ -453,7 +652,14 @@ def _(d):
     return S.expire(_marks(d), "2024-01-30 00:00:00").select("message_id", "expires_at")
 
 
-@query("monitor_stage", ("deliveries",), "SELECT message_id AS event_id, CAST(seq AS STRING) AS subscription_id, event_name, ts AS started_at, CASE WHEN ok THEN 'completed' ELSE 'retrying' END AS status FROM deliveries")
+@query(
+    "monitor_stage",
+    ("deliveries",),
+    """
+SELECT message_id AS event_id, CAST(seq AS STRING) AS subscription_id, event_name, ts AS started_at, CASE
+  WHEN ok THEN 'completed' ELSE 'retrying' END AS status FROM deliveries
+""",
+)
 def _(d):
     from ..operators.pipeline import monitored
 
@@ -468,7 +674,13 @@ def _(m):
     return S.monitor_list(m, monitor_filter_from_query(asked))
 
 
-@query("monitor_guarded_delete", ("monitor_entries",), "SELECT event_id, subscription_id FROM monitor_entries WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL '90' HOUR")
+@query(
+    "monitor_guarded_delete",
+    ("monitor_entries",),
+    """
+SELECT event_id, subscription_id FROM monitor_entries WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL '90' HOUR
+""",
+)
 def _(m):
     hours = int(delete_age("90h").total_seconds() // 3600)
     return S.delete_older_than(m, "started_at", EVENTS_AS_OF, f"'{hours}' HOUR").select("event_id", "subscription_id")
