@@ -311,9 +311,9 @@ def quarantined(rows: DataFrame, key: str, threshold: int, quarantine_us: int, a
 
 def batches_by_size(rows: DataFrame, size: int, key: str | None = None, order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
     """Closed form for batches by size only."""
-    from .routing import numbered
+    from .routing import before_each, numbered
 
     if key is None:
         return numbered(rows, order, "__n").withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("bigint")).drop("__n")
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    counted = before_each(rows, key, order, F.lit(1), "sum", "__n")
+    return counted.withColumn("batch", F.floor(F.coalesce("__n", F.lit(0)) / size).cast("bigint")).drop("__n")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import crc32_text, fnv1a32
+from ..session import free_name
 
 
 
@@ -59,16 +60,39 @@ def counters(messages: DataFrame) -> DataFrame:
     return messages.groupBy("event_name", F.coalesce("dropped_reason", F.lit("delivered")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def _dealt(rows: DataFrame, *order: str) -> tuple[DataFrame, str]:
+    """rows in as many ranges of an order as there are shuffle partitions, and the column with the range's number. A fixed number
+    of ranges isn't merged at run time, so every use of the frame sees the same ones."""
+    part = free_name("range", rows.columns)
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id()), part
+
+
 def numbered(messages: DataFrame, order: tuple[str, ...] = ("ts", "id"), name: str = "n") -> DataFrame:
     """messages with a number from 1 in their order, without sorting all rows in one task: rows are dealt by range, and
     each range's offset comes from a table of counts, a row per range."""
-    dealt = messages.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    within = Window.partitionBy("__part").orderBy(*order)
-    local = dealt.withColumn("__rn", F.row_number().over(within)).withColumn("__first", F.min(F.struct(*order)).over(Window.partitionBy("__part")))
-    counts = local.groupBy("__first").agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).select("__first", "__o")
-    return local.join(F.broadcast(offsets), "__first").withColumn(name, F.col("__o") + F.col("__rn")).drop("__part", "__rn", "__first", "__o")
+    dealt, part = _dealt(messages, *order)
+    rank, count, offset = (free_name(n, [*messages.columns, part, name]) for n in ("rank", "count", "offset"))
+    local = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    counts = dealt.groupBy(part).agg(F.count("*").alias(count))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(offset))
+    return local.join(F.broadcast(offsets), part).withColumn(name, F.col(offset) + F.col(rank)).drop(part, rank, offset)
+
+
+def before_each(rows: DataFrame, key: str, order: tuple[str, ...], value: Column, how: str, name: str) -> DataFrame:
+    """rows with the maximum or the sum (how: max, sum) of value over the key's earlier rows, null for the first. A hot key
+    is spread over ranges; what a range must know of the ones before is a row per range and key."""
+    aggregate = {"max": F.max, "sum": F.sum}[how]
+    dealt, part = _dealt(rows, key, *order)
+    own, end, carry, k, p = (free_name(n, [*rows.columns, part, name]) for n in ("own", "end", "carry", "of_key", "of_range"))
+    within = Window.partitionBy(part, key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn(own, aggregate(value).over(within))
+    ends = dealt.groupBy(F.col(part).alias(p), F.col(key).alias(k)).agg(aggregate(value).alias(end))
+    carried = ends.withColumn(carry, aggregate(end).over(Window.partitionBy(k).orderBy(p).rowsBetween(Window.unboundedPreceding, -1))).drop(end)
+    joined = local.join(carried, (F.col(part) == F.col(p)) & F.col(key).eqNullSafe(F.col(k)))
+    both = F.greatest(own, carry) if how == "max" else F.when(F.col(own).isNotNull() | F.col(carry).isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0)))
+    return joined.withColumn(name, both).select(*rows.columns, name)
 
 
 def route_worker_pool(messages: DataFrame, subscribers: DataFrame, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:

@@ -346,12 +346,11 @@ def saga_cleanup(sagas: DataFrame, as_of: str, interval: str) -> DataFrame:
 
 def schema_set_history(attempts: DataFrame) -> DataFrame:
     """Every valid attempt (version 1 or more) with whether it is accepted: no lower than any valid one before. The
-    running maximum of accepted versions is that of all valid ones, so a window does it."""
-    from pyspark.sql import Window
+    running maximum of accepted versions is that of all valid ones, so no fold is needed."""
+    from .routing import before_each
 
-    w = Window.partitionBy("name").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    valid = attempts.where("version >= 1 and name <> ''")
-    return valid.withColumn("accepted", F.col("version") >= F.coalesce(F.max("version").over(w), F.lit(0)))
+    valid = before_each(attempts.where("version >= 1 and name <> ''"), "name", ("ts", "seq"), F.col("version"), "max", "highest")
+    return valid.withColumn("accepted", F.col("version") >= F.coalesce("highest", F.lit(0))).drop("highest")
 
 
 def schema_latest(attempts: DataFrame) -> DataFrame:
@@ -370,12 +369,11 @@ def checkpoint_resume(subscribers: DataFrame, checkpoints: DataFrame) -> DataFra
 
 
 def schema_changes(attempts: DataFrame) -> DataFrame:
-    """What a watcher sees: every accepted set with the version before it (null for the first)."""
-    from pyspark.sql import Window
+    """What a watcher sees: every accepted set with the version before it (null for the first), which is the highest."""
+    from .routing import before_each
 
-    w = Window.partitionBy("name").orderBy("ts", "seq")
     accepted = schema_set_history(attempts).where("accepted")
-    return accepted.withColumn("previous", F.lag("version").over(w))
+    return before_each(accepted, "name", ("ts", "seq"), F.col("version"), "max", "previous")
 
 
 def schema_list(schemas: DataFrame) -> DataFrame:

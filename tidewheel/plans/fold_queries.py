@@ -120,6 +120,9 @@ add(
 QUERIES["batch_by_size"] = lambda spark, d: O.batches_by_size(view(spark, d, "deliveries"), 100).select("seq", "batch")
 ORACLE_SQL["batch_by_size"] = f"WITH deliveries AS ({VIEWS['deliveries']}) SELECT seq, (row_number() OVER (ORDER BY ts, seq) - 1) // 100 AS batch FROM deliveries"
 
+QUERIES["batch_by_size_keyed"] = lambda spark, d: O.batches_by_size(view(spark, d, "deliveries"), 7, "subscriber").select("seq", "batch")
+ORACLE_SQL["batch_by_size_keyed"] = f"SELECT seq, (row_number() OVER (PARTITION BY subscriber ORDER BY ts, seq) - 1) // 7 AS batch FROM ({VIEWS['deliveries']})"
+
 _BLOCK = "(t <= p_q)"
 _DUP = "(t <= p_d)"
 ORACLE_SQL["handle_pipeline"] = _simple(
