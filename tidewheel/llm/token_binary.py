@@ -42,7 +42,7 @@ from .common import column, fresh_path, hash_words, integer_id, materialize, pie
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 64
 END_ID = 1
-CACHE = 1_000_000
+CACHE = 2_000_000
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 64 << 20
 TOKENIZER = "word_bpe_49k.json"
@@ -96,7 +96,11 @@ class WordEncoder:
         self.mark = (marks[0]["content"], marks[0]["id"]) if marks and self.by_word else None
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = cache
-        self.words: dict[bytes, bytes] = {}
+        # Known words as sorted arrays, some 20 bytes each: hash, a second hash, and where their ids lie in the pool.
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.offsets, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pool = np.zeros(0, self.kind)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -113,7 +117,8 @@ class WordEncoder:
         return self._library(texts)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text. Words are told apart by a 64-bit hash within a block of texts."""
+        """The ids of each text. Words are told apart by a 64-bit hash within a block of texts, and by a CRC besides from block
+        to block."""
         if not self.by_word:
             return [np.frombuffer(x, "<u4") for x in self._library([t.decode() for t in texts])]
         if self.lowers:
@@ -142,23 +147,36 @@ class WordEncoder:
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
         places = order[first]
         words = [joined[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist())]
-        known = self.words
-        values = [known.get(w) for w in words]
-        fresh = [n for n, v in enumerate(values) if v is None]
-        for at in range(0, len(fresh), 2048):
-            part = fresh[at : at + 2048]
-            for n, v in zip(part, self._words([words[n] for n in part])):
-                values[n] = v
-        if len(known) + len(fresh) <= self.cache:  # once it is full its words stay: they came first, so they are the common ones
-            known.update((words[n], values[n]) for n in fresh)
-        pool = np.frombuffer(b"".join(values), "<u4")
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        keys = hashes[places]
+        checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, keys), max(len(self.hashes) - 1, 0))
+        held = self.hashes[at] == keys if len(self.hashes) else np.zeros(len(keys), bool)
+        known = held & (self.checks[at] == checks) if len(self.hashes) else held
+        fresh = np.flatnonzero(~known)
+        values: list[bytes] = []
+        for n in range(0, len(fresh), 2048):
+            values += self._words([words[i] for i in fresh[n : n + 2048].tolist()])
+        new_sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        pool = np.concatenate((self.pool, np.frombuffer(b"".join(values), "<u4").astype(self.kind)))
+        new_offsets = len(self.pool) + np.cumsum(new_sizes, dtype=np.int64) - new_sizes
+        sizes, offsets_of = np.empty(len(keys), np.int32), np.empty(len(keys), np.int64)
+        sizes[fresh], offsets_of[fresh] = new_sizes, new_offsets
+        some = np.flatnonzero(known)
+        sizes[some], offsets_of[some] = self.sizes[at[some]], self.offsets[at[some]]
+        if len(self.hashes) + len(fresh) <= self.cache:  # once it is full its words stay: they came first, so they are the common ones
+            add = fresh[~held[fresh]]
+            merged = np.concatenate((self.hashes, keys[add]))
+            by_hash = np.argsort(merged)
+            self.hashes = merged[by_hash]
+            for name, more in (("checks", checks[add]), ("offsets", offsets_of[add]), ("sizes", sizes[add])):
+                setattr(self, name, np.concatenate((getattr(self, name), more))[by_hash])
+            self.pool = pool
         group = np.empty(len(order), np.int32)
         group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
         each = sizes[group]
-        after = np.cumsum(each)
-        offsets = (np.cumsum(sizes) - sizes)[group] - (after - each)
-        ids = pool[np.repeat(offsets, each) + np.arange(after[-1] if len(after) else 0)]
+        after = np.cumsum(each, dtype=np.int64)
+        offsets = offsets_of[group] - (after - each)
+        ids = pool[np.repeat(offsets, each) + np.arange(after[-1] if len(after) else 0)].astype("<u4")
         bounds = np.cumsum([len(t) + 1 for t in texts])
         cuts = np.concatenate(([0], after))[np.searchsorted(starts, bounds[:-1])]
         return np.split(ids, cuts)
