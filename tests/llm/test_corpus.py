@@ -51,6 +51,32 @@ def test_token_edges(spark, edge_docs, empty_docs):
     assert token_binary.read_tokens(spark, empty).count() == 0
 
 
+def test_encoder_equals_the_library():
+    """Three short forms of every code point up to U+2FFFF, random mixtures of odd ones, and special tokens' own texts."""
+    encoder, tk = token_binary.WordEncoder(TOKENIZER, cache=50_000), Tokenizer.from_file(TOKENIZER)
+    assert encoder.by_word
+    texts = [f for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 for f in (chr(c), f"a{chr(c)}B1", f"{chr(c)}'s {chr(c)} x")]
+    rng = np.random.default_rng(11)
+    odd = list("aAéÉİıŁßſǅƏƁΣσς'’.,!|<>-_09 \t\n\u00a0\u0301\u0327\u0345\u1e9e\u2028ﬁ中🙂") + ["<|endoftext|>", "<|startoftext|>", "'s", "'re"]
+    texts += ["".join(rng.choice(odd, rng.integers(0, 30))) for _ in range(20_000)] + ["", "x" * 5000, "word " * 3000]
+    for at in range(0, len(texts), 25_000):
+        part = texts[at : at + 25_000]
+        got = encoder.encode([t.encode() for t in part])
+        for t, g, w in zip(part, got, tk.encode_batch(part, add_special_tokens=False), strict=True):
+            assert g.tolist() == w.ids, t
+    long = " ".join(texts[-20_000:])[: 12 << 20] * 2
+    assert np.array_equal(encoder.encode([long.encode()])[0], tk.encode(long, add_special_tokens=False).ids)
+
+
+def test_another_tokenizer_gives_its_own_ids(spark, edge_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_binary.WordEncoder(path).by_word
+    rows = token_binary.read_tokens(spark, token_binary.write_tokens(edge_docs, path, end_id=7), digest=False).collect()
+    tk = Tokenizer.from_file(path)
+    want = Counter((r["doc_id"], tuple(tk.encode(r["text"] or "", add_special_tokens=False).ids + [7])) for r in edge_docs.collect())
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == want
+
+
 def test_lm_base_and_probabilities(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
     token = lambda t: t.encode().lower().split() + [b"\n"]
