@@ -190,32 +190,46 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int,
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(sig_a, sig_b, bytes): the sets of the documents whose id is wanted."""
+    """(cls, s): the sets of the wanted classes (cls, doc_id, sig_a, sig_b), a row for each document with that id and set."""
     spark = docs.sparkSession
     source = docs.select(integer_id(docs, doc_id).alias("id"), column(text).alias("t"))
     few = wanted.count() <= BROADCAST_IDS
     if few:
-        ids = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["doc_id"].dropna().to_numpy(np.int64)))
+        rows = wanted.select("cls", "doc_id", "sig_a", "sig_b").toArrow()
+        order = np.lexsort((rows["sig_b"].to_numpy(), rows["sig_a"].to_numpy()))
+        table = [rows[c].to_numpy()[order] for c in ("sig_a", "sig_b", "cls")]
+        shared = spark.sparkContext.broadcast((np.unique(rows["doc_id"].drop_null().to_numpy()), *table))
     else:
-        ids = None
-        source = source.join(wanted.withColumnRenamed("doc_id", "id").hint("shuffle_hash"), "id", "left_semi").unionByName(source.where("id is null"))
+        shared = None
+        ids = wanted.select(F.col("doc_id").alias("id")).distinct()
+        source = source.join(ids.hint("shuffle_hash"), "id", "left_semi").unionByName(source.where("id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if ids is not None:
-                column = batch.column("id")
-                batch = batch.filter(pa.compute.or_(pa.compute.is_null(column), pa.compute.is_in(column, value_set=pa.array(ids.value))))
+            if shared is not None:
+                ids, sig_a, sig_b, cls = shared.value
+                row_ids = batch.column("id")
+                batch = batch.filter(pa.compute.or_(pa.compute.is_null(row_ids), pa.compute.is_in(row_ids, value_set=pa.array(ids))))
             for part in slices(batch, "t"):
-                one, two, sets = [], [], []
+                found = []
                 for s, _ in shingle_sets(list(text_bytes(part.column("t"))), k):
                     a, b = _signature(s)
-                    one.append(a)
-                    two.append(b)
-                    low = (s & _LOW48).astype("<u8")
-                    sets.append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.binary())], names=["sig_a", "sig_b", "s"])
-
-    return source.mapInArrow(run, "sig_a long, sig_b long, s binary")
+                    at = -1
+                    if shared is not None:
+                        at = int(np.searchsorted(sig_a, a))
+                        while at < len(sig_a) and sig_a[at] == a and sig_b[at] != b:
+                            at += 1
+                        if at == len(sig_a) or sig_a[at] != a:
+                            continue
+                    low = (s & _LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                    found.append((int(cls[at]) if at >= 0 else None, a, b, low))
+                columns = zip(*found) if found else ((),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),))], names=["cls", "sig_a", "sig_b", "s"])
+
+    sets = source.mapInArrow(run, "cls long, sig_a long, sig_b long, s binary")
+    if few:
+        return sets.select("cls", "s")
+    return sets.drop("cls").join(wanted.select("cls", "sig_a", "sig_b"), ["sig_a", "sig_b"]).select("cls", "s")
 
 
 def unpack48(data: bytes) -> np.ndarray:
@@ -392,9 +406,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, fre
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """(cls, s) of the classes in ids (cls)."""
     wanted = materialize(classes.join(ids.distinct(), "cls", "left_semi").select("cls", "doc_id", "sig_a", "sig_b"), "wanted")
-    found = wanted_sets(docs, wanted.select("doc_id").distinct(), doc_id, text, k)
-    kept = found.join(wanted.select("cls", "sig_a", "sig_b"), ["sig_a", "sig_b"]).groupBy("cls").agg(F.first("s").alias("s"))
-    return materialize(kept, "kept")
+    return materialize(wanted_sets(docs, wanted, doc_id, text, k).groupBy("cls").agg(F.first("s").alias("s")), "kept")
 
 
 def labelled_classes(
@@ -424,7 +436,8 @@ def labelled_classes(
             pairs = _star(_of_bucket(labelled, main).withColumn("seen", F.col("label") == F.col("main")), percent)
         else:
             pairs = _rest(labelled, percent)
-        edges = edges.unionByName(materialize(verify(pairs, kept, percent), "links"))
+        # As a table the pairs have a known size: if they are few, the sets stay where they are.
+        edges = edges.unionByName(materialize(verify(materialize(pairs, "pairs"), kept, percent), "links"))
         labels = materialize(components(edges), "labels")
 
     of_class = classes.select("cls", "sig_a", "sig_b", "n", "doc_id").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
