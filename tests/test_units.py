@@ -196,8 +196,42 @@ def test_transport_roundtrip(spark, tmp_path):
     assert bad.count() == 0
 
 
-def test_schemas(spark):
-    assert all(model.schema(n).fieldNames() for n in model.STORES)
+def test_store_schemas_hold_their_rows(spark):
+    """Every store's schema takes an empty table through a write and a read."""
+    for name in model.STORES:
+        kind, path = model.schema(name), shared_path(spark, name)
+        spark.createDataFrame([], kind).write.parquet(path)
+        assert spark.read.parquet(path).schema.fieldNames() == kind.fieldNames()
+
+
+def test_upserts_from_a_stream(spark):
+    from tidewheel.sources import tables
+
+    path, kind = shared_path(spark, "upserts"), model.schema("event_idempotency")
+    at = lambda n: datetime.datetime(2024, 1, n)
+    for rows in ([("a", at(1), at(2)), ("b", at(1), at(3)), (None, at(1), at(1))], [("a", at(5), at(6)), ("c", at(4), None)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = stateful.stream_table(spark, f"{path}/in", kind, max_files=1)
+        tables.upsert_stream(stream, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    got = tables.compact(spark, f"{path}/log", kind, ("message_id",), "processed_at", f"{path}/table")
+    assert {r["message_id"]: r["expires_at"] for r in got.collect()} == {"a": at(6), "b": at(3), "c": None, None: at(1)}
+
+
+def test_before_each_over_hot_keys(spark):
+    from tidewheel.operators.routing import before_each, numbered
+
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", i * 37 % 1000, i, i % 11 if i % 5 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, id bigint, v bigint").repartition(5)
+    seen, want = {}, {"max": {}, "sum": {}}
+    for k, ts, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        past = [x for x in seen.setdefault(k, []) if x is not None]
+        want["max"][i], want["sum"][i] = max(past, default=None), sum(past) if past else None
+        seen[k].append(v)
+    for how in ("max", "sum"):
+        got = before_each(df, "k", ("ts", "id"), F.col("v"), how, "before").collect()
+        assert {r["id"]: r["before"] for r in got} == want[how]
+    order = [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+    assert {r["id"]: r["n"] for r in numbered(df).collect()} == {i: n + 1 for n, i in enumerate(order)}
 
 
 def test_binary_wire_forms():
@@ -257,3 +291,21 @@ def test_stream_once_keeps_marks_between_batches(spark):
         query = stateful.once(stream, lambda batch: batch, "id", ("seq",), f"{path}/out", f"{path}/marks", f"{path}/checkpoint")
         got = stateful.finish(query, spark, f"{path}/out", kind)
     assert sorted(r["seq"] for r in got.collect()) == [1, 3, 4, 6, 7, 8]
+
+
+def test_shared_folder_can_be_cleared():
+    """In a process of its own, as it ends every frame of the session."""
+    import subprocess
+    import sys
+
+    code = """
+import os
+from tidewheel.session import build_session, drop_shared, shared_path
+spark = build_session("clear", **{"spark.master": "local[1]", "spark.ui.enabled": "false"})
+path = shared_path(spark, "x")
+spark.range(3).write.parquet(path)
+assert os.path.isdir(path)
+drop_shared(spark)
+assert not os.path.exists(os.path.dirname(path))
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rpartition("/tests/")[0], timeout=120)

@@ -17,14 +17,6 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _recursive(key: str, seed: str, step: str, cols: str) -> str:
-    """seed: the state after the first row, from e; step: after the next one, from r and e; o is the outcome."""
-    return f"""WITH RECURSIVE deliveries AS ({VIEWS["deliveries"]}),
-e AS (SELECT {key} AS k, epoch_us(ts) AS t, seq, ok, row_number() OVER (PARTITION BY {key} ORDER BY ts, seq) AS rn FROM deliveries),
-r AS (SELECT k, rn, seq, {seed} FROM e WHERE rn = 1 UNION ALL {step})
-SELECT k AS {key}, seq, o AS outcome FROM r"""
-
-
 def _simple(key: str, first: str, nxt: str, names: str) -> str:
     """A step that sees the last state (p_ columns) beside the row; the first row sees the initial one."""
     return f"""WITH RECURSIVE deliveries AS ({VIEWS["deliveries"]}),

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.json_schema import content_route, decode_wire, encode_wire
 from ..functions.wire import JSON, Codec
@@ -43,11 +42,6 @@ def decoded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def subscribe_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
-
-
 def split_by_content(rows: DataFrame, metadata: Column) -> tuple[DataFrame, DataFrame]:
     """(decodable, dead letters) by content type."""
     routed = rows.withColumn("__route", content_route(metadata))
