@@ -185,6 +185,9 @@ def test_lm_histories_and_repeats_brute():
             want.append(0 if not last else 1 if last.count(1) >= last.count(2) else 2)
             seen += {b"the": [1], b"of": [1], b"le": [2], b"la": [2]}.get(w, [])
     assert got.tolist() == want
+    whole, cut = lm_scoring.Tokens([*texts, b" ".join(texts)]), lm_scoring.Tokens([*texts, b" ".join(texts)], block=64)
+    assert (whole.hash == cut.hash).all() and (whole.owner == cut.owner).all()
+    assert whole.words(np.arange(len(whole.hash))) == cut.words(np.arange(len(cut.hash))) == [w for t in [*texts, b" ".join(texts)] for w in [*t.split(), b""]]
     text = np.sort(rng.integers(0, 5, 200))
     both, context = rng.integers(0, 2, 200) * rng.integers(1, 9, 200), rng.integers(9, 40, 200)
     states, last = {}, {}

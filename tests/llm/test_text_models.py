@@ -196,14 +196,19 @@ def test_kneser_ney_brute():
             assert abs(got - want) < 1e-6, (word, i)
 
 
-def test_toxicity_score_by_parts():
+def test_toxicity_score_by_parts(monkeypatch):
     """A score from the letters, words and pairs of a text, one by one."""
     toxic, ordinary = Counter({b"awful": 5, b"swine": 4, b"you": 3}), Counter({b"you": 9, b"house": 7, b"river": 6})
     model = toxicity.ToxicityModel(toxic, ordinary, {b"swine": 2.5, b"house": -1.5, b"you": 0.2}, {b"you swine": 3.0})
     model.margin, model.word_margin, model.prior, model.slopes, model.offset = 1.0, 0.5, 5, np.array([0.7, 1.1, 0.4]), -2.0
     model._reset()
     cut = lambda x, m: np.sign(x) * max(abs(x) - m, 0)
-    for text in (b"You SWINE, you swine!", b"the house by the river", b"", None, b"swinelike"):
+    long = b"you swine, house " * 40
+    for block in (1 << 22, 50):  # a long text is taken in pieces, also where a pair lies on a seam
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+        every = [b"a river", long, None, b"swine"]
+        assert np.allclose(model.scores(every), [model.scores([t])[0] for t in every])
+    for text in (b"You SWINE, you swine!", b"the house by the river", b"", None, b"swinelike", long):
         words = toxicity.words_of(text or b"")
         letters = 0.0
         for w in words:
