@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, column, materialize, others, slices, text_bytes
+from .common import carried, column, hash_words, materialize, others, pieces, slices, text_bytes
 
 ORDER = 6
 SHARED = 2
@@ -49,7 +50,8 @@ PRIORS = (1, 5, 20, 50)
 WORD_TEXTS = 3
 BACKOFF = 0.3
 SAMPLE = 3000
-CACHE = 1 << 18
+CACHE = 1 << 21
+BLOCK_BYTES = 4 << 20
 THRESHOLD = 0.3
 _ALNUM = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -172,11 +174,11 @@ class ToxicityModel:
         self._reset()
 
     def _reset(self) -> None:
-        self._known: dict[bytes, float] = {}
+        self._known = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0)
         self._whole: tuple[dict, dict, set] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}, "_whole": None}
+        return self.__dict__ | {"_known": (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0)), "_whole": None}
 
     def letters(self, words: list[bytes]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each word by its letters."""
@@ -199,23 +201,62 @@ class ToxicityModel:
 
     def differences(self, texts: list[bytes | None]) -> np.ndarray:
         """(letters, words, pairs) by length in words, of each text."""
-        split = [words_of(t or b"") for t in texts]
-        known, (whole, pairs, starts) = self._known, self._ready()
-        fresh = [w for w in set().union(*split) if w not in known]
-        found: dict[bytes, float] = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            found.update(zip(part, beyond(self.letters(part), self.margin).tolist()))
-        if len(known) + len(found) <= CACHE:  # the words that came first are the common ones, and stay
-            known.update(found)
-            found = known
-        else:
-            found = {w: known[w] if w in known else found[w] for w in set().union(*split)}
-        out = np.zeros((len(texts), 3))
-        for n, words in enumerate(split):
-            both = sum(pairs.get(words[i] + b" " + words[i + 1], 0.0) for i in range(len(words) - 1) if words[i] in starts) if starts else 0.0
-            out[n] = sum(map(found.__getitem__, words)), sum(whole.get(w, 0.0) for w in words), both
-            out[n] /= len(words) + self.prior
+        sums, at, size = np.zeros((len(texts), 4)), 0, 0
+        for n, t in enumerate(texts):
+            size += len(t or b"")
+            if len(t or b"") > 2 * BLOCK_BYTES:
+                parts = list(pieces(t.translate(_ALNUM), BLOCK_BYTES))
+                sums[at:n] = self._block([(t or b"").translate(_ALNUM) for t in texts[at:n]]) if n > at else 0
+                sums[n] = sum(self._block([p])[0] for p in parts)
+                seams = [(a.split()[-1:], b.split()[:1]) for a, b in zip(parts, parts[1:])]
+                sums[n, 2] += sum(self._ready()[1].get(a[0] + b" " + b[0], 0.0) for a, b in seams if a and b)
+                at, size = n + 1, 0
+            elif size >= BLOCK_BYTES or n == len(texts) - 1:
+                sums[at : n + 1] = self._block([(t or b"").translate(_ALNUM) for t in texts[at : n + 1]])
+                at, size = n + 1, 0
+        return sums[:, :3] / (sums[:, 3] + self.prior)[:, None]
+
+    def _block(self, texts: list[bytes]) -> np.ndarray:
+        """(letters, words, pairs, length) of each text, not normalised."""
+        whole, pairs, starts = self._ready()
+        joined = b"\n".join(texts)
+        hashes, begins, ends = hash_words(joined)
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, side="right")
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
+        keys = ordered[first]
+        words = [joined[a:b] for a, b in zip(begins[order[first]].tolist(), ends[order[first]].tolist())]
+        group = np.empty(len(order), np.int32)
+        group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+        letters = self._letters_of(keys, words)
+        plain = np.array([whole.get(w, 0.0) for w in words])
+        sums = [np.bincount(owner, x[group], len(texts)) if len(group) else np.zeros(len(texts)) for x in (letters, plain)]
+        both = np.zeros(len(texts))
+        opens = np.array([w in starts for w in words], bool)
+        for i in np.flatnonzero(opens[group][:-1]).tolist() if len(group) else ():
+            if owner[i] == owner[i + 1]:
+                both[owner[i]] += pairs.get(words[group[i]] + b" " + words[group[i + 1]], 0.0)
+        return np.stack([*sums, both, np.bincount(owner, minlength=len(texts))], 1)
+
+    def _letters_of(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """What each word's letters add at the margin chosen; keys: the words' hashes, ascending. Known words are kept as sorted
+        arrays (hash, a second hash, value), at most CACHE of them."""
+        checks = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        known, known_checks, values = self._known
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        held = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        same = held & (known_checks[at] == checks) if len(known) else held
+        out, fresh = np.zeros(len(keys)), np.flatnonzero(~same)
+        out[same] = values[at[same]]
+        for n in range(0, len(fresh), 20_000):
+            part = fresh[n : n + 20_000]
+            out[part] = beyond(self.letters([words[i] for i in part.tolist()]), self.margin)
+        if len(known) + len(fresh) <= CACHE:  # the words that came first are the common ones, and stay
+            add = fresh[~held[fresh]]
+            merged = np.concatenate((known, keys[add]))
+            by_hash = np.argsort(merged)
+            self._known = merged[by_hash], np.concatenate((known_checks, checks[add]))[by_hash], np.concatenate((values, out[add]))[by_hash]
         return out
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
