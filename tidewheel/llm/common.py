@@ -91,6 +91,7 @@ _BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _PLACE = _RANDOM.integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STRETCH = 1 << 18
 
 
 def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,15 +101,19 @@ def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_IS_SPACE[b]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    value = _BYTE[b[inside]] * _PLACE[place & 255]
-    if lengths.max() > 256:
-        value *= (place >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
-    return mix64(np.add.reduceat(value, first) + lengths.astype(np.uint64)), starts, ends
+    out = np.empty(len(starts), np.uint64)
+    # In stretches of words, so that the eight bytes that each byte takes here stay few.
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(b), _STRETCH)), len(starts)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        lengths = ends[i:j] - starts[i:j]
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+        at = slice(starts[i], ends[j - 1])
+        value = _BYTE[b[at][inside[at]]] * _PLACE[place & 255]
+        if lengths.max() > 256:
+            value *= (place >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
+        out[i:j] = np.add.reduceat(value, first) + lengths.astype(np.uint64)
+    return mix64(out), starts, ends
 
 
 def hash_texts(texts: list[bytes], block: int = 4 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
