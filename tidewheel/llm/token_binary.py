@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.routing import before_each
 from .common import column, fresh_path, hash_words, integer_id, materialize, pieces, slices, text_bytes
 
 SEQ_LEN = 2048
@@ -44,7 +45,7 @@ SEQS_PER_BATCH = 64
 END_ID = 1
 CACHE = 2_000_000
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 #: Steps of a tokenizer's file that keep white space where it is.
@@ -346,15 +347,13 @@ def write_tokens(
 def read_tokens(spark: SparkSession, manifest: DataFrame, digest: bool = True) -> DataFrame:
     """The documents of the shards, read back: doc_id, start (tokens before it), n_tokens, ids_crc32 and, without
     `digest`, ids (array of long)."""
-    rows = manifest.orderBy("shard").collect()  # some 100 bytes for each SHARD_BYTES of text
-    before, parts = 0, []
-    for r in rows:
-        parts.append((r["path"], before))
-        before += r["n_tokens"]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest else ", ids array<long>")
-    if not parts:
+    shards = manifest.count()
+    if not shards:
         return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame(parts, "path string, base long").repartition(len(parts), "path")
+    # The tokens before each shard, as a running sum over ranges of shards: the manifest grows with the corpus too.
+    based = before_each(manifest.withColumn("every", F.lit(0)), "every", ("shard",), F.col("n_tokens"), "sum", "base")
+    listed = based.select("path", F.coalesce("base", F.lit(0)).alias("base")).repartition(shards, "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
