@@ -18,10 +18,18 @@ MIN_LANGUAGE_SCORE = 0.3
 #: Near duplicates of the stage: shingles of five words, linked from a similarity of 0.8 on.
 SHINGLE, PERCENT = 5, 80
 
+#: Rows of an Arrow batch in this pipeline: texts are long, and every task holds a batch on both sides.
+BATCH_ROWS = 2000
+
+
+def _batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go (so also null and empty texts, and those without a letter); lang becomes
     the predicted one."""
+    _batches(spark)
     pred, score = (free_name(n, docs.columns) for n in ("lang_found", "lang_score"))
     found = language_id.detect(docs, fold_of(F.col("doc_id"), 4) != 2, pred=pred, score=score)
     kept = found.where((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE))
@@ -30,11 +38,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays."""
+    _batches(spark)
     return ngram_jaccard.one_of_each(docs, k=SHINGLE, percent=PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly benchmark go. n_chars follows the text."""
+    _batches(spark)
     kept = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     size = F.char_length("text").cast("long")
     return kept.select(*[size.alias(c) if c == "n_chars" else column(c) for c in docs.columns])
@@ -49,6 +59,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token files; a row per document as read back from them."""
+    _batches(spark)
     return token_binary.read_tokens(spark, token_binary.write_tokens(docs, tokenizer_path(token_binary.TOKENIZER)))
 
 
