@@ -329,6 +329,7 @@ def test_near_duplicates_brute(spark, monkeypatch):
         monkeypatch.setattr(ngram_jaccard, "SMALL", small)
         monkeypatch.setattr(ngram_jaccard, "BROADCAST_IDS", ids)
         monkeypatch.setattr(ngram_jaccard, "HOT", hot)
+        monkeypatch.setattr(ngram_jaccard, "BROADCAST_PAIRS", ids // 2)
         got = sorted(map(tuple, ngram_jaccard.near_duplicates(docs).collect()), key=repr)
         assert got == want
 

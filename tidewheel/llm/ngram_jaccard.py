@@ -54,13 +54,15 @@ FREQUENT = 200_000
 WORDS = 65_536
 #: Class ids up to which they are broadcast to pick the texts whose sets are kept; beyond it, a join does it.
 BROADCAST_IDS = 2_000_000
+#: Pairs up to which they are broadcast to the sets to be verified: 16 bytes each.
+BROADCAST_PAIRS = 1_000_000
 #: Classes in a bucket up to which all its pairs are formed, so at most SMALL - 1 for a row of the index; larger buckets
 #: take the way over pivots.
 SMALL = 16
 #: Buckets, the largest first, whose row is broadcast: at most some 100 bytes each. And salts of their members in step 6.
 HOT = 50_000
 SALTS = 16
-_LOCAL = 4_000_000
+_LOCAL = 1_500_000
 _FREQUENT_RANK = 1000
 _NO_BUCKET = 1 << 62
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -105,14 +107,14 @@ def prefix_length(n: np.ndarray | int, percent: int):
 
 def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
     """((frequent shingles, level), (frequent words, level)), hashes ascending and levels as logarithms of counts. A task
-    counts over runs of _LOCAL shingles and gives those that a run has three times or more, and words found 16 times."""
+    counts over runs of _LOCAL shingles and gives those that a run has twice or more, and words found 8 times."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, heard, size = [], [], 0
 
         def flush():
             out = []
-            for kind, parts, least in ((0, held, 3), (1, heard, 16)):
+            for kind, parts, least in ((0, held, 2), (1, heard, 8)):
                 values, counts = np.unique(np.concatenate(parts), return_counts=True)
                 many = counts >= least
                 out.append(pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), kind, np.int32)), pa.array(values[many].view(np.int64)), pa.array(counts[many])], names=["kind", "s", "c"]))
@@ -134,11 +136,23 @@ def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
 
     counted = docs.select(column(text)).mapInArrow(count, "kind int, s long, c long").groupBy("kind", "s").agg(F.sum("c").alias("c"))
     counted = materialize(counted, "frequencies")
+    # The most frequent ones by a histogram of counts (sixteen bins a power of two), so that no more rows than asked for reach
+    # the driver; the bin that would go beyond is left out.
+    bin_ = F.floor(F.log2("c") * 16).cast("int")
+    heights: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
+    for r in counted.groupBy("kind", bin_.alias("bin")).agg(F.count("*").alias("n")).collect():
+        heights[r["kind"]].append((r["bin"], r["n"]))
     out = []
     for kind, most in ((0, shingles), (1, words)):
-        rows = counted.where(F.col("kind") == kind).orderBy(F.desc("c"), "s").limit(most).toPandas()
-        keys = rows["s"].to_numpy(np.int64).view(np.uint64)
-        levels = np.log2(rows["c"].to_numpy(np.float64)).astype(np.int64)
+        least, taken = 1 << 30, 0
+        for at, n in sorted(heights[kind], reverse=True):
+            taken += n
+            if taken > most:
+                break
+            least = at
+        rows = counted.where((F.col("kind") == kind) & (bin_ >= least)).select("s", "c").toArrow()
+        keys = rows["s"].to_numpy().view(np.uint64)
+        levels = np.log2(rows["c"].to_numpy().astype(np.float64)).astype(np.int64)
         order = np.argsort(keys)
         out.append((keys[order], levels[order]))
     return tuple(out)
@@ -253,9 +267,16 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of distinct pairs (a, b) of classes."""
-    one = pairs.join(sets.withColumnsRenamed({"cls": "b", "s": "s_b"}), "b")
-    both = one.join(sets.withColumnsRenamed({"cls": "a", "s": "s_a"}), "a").select("a", "b", "s_a", "s_b")
+    """The linked ones of distinct pairs (a, b) of classes, a written table. Pairs that are few are broadcast to the sets, so only
+    the pairs' own sets move; otherwise both meet by class."""
+    if pairs.count() <= BROADCAST_PAIRS:
+        few = F.broadcast(pairs)
+        one = few.join(sets.withColumnsRenamed({"cls": "a", "s": "s_a"}), "a")
+        two = few.join(sets.withColumnsRenamed({"cls": "b", "s": "s_b"}), "b")
+        both = one.join(two.hint("shuffle_hash"), ["a", "b"]).select("a", "b", "s_a", "s_b")
+    else:
+        one = pairs.join(sets.withColumnsRenamed({"cls": "b", "s": "s_b"}), "b")
+        both = one.join(sets.withColumnsRenamed({"cls": "a", "s": "s_a"}), "a").select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,7 +457,6 @@ def labelled_classes(
             pairs = _star(_of_bucket(labelled, main).withColumn("seen", F.col("label") == F.col("main")), percent)
         else:
             pairs = _rest(labelled, percent)
-        # As a table the pairs have a known size: if they are few, the sets stay where they are.
         edges = edges.unionByName(materialize(verify(materialize(pairs, "pairs"), kept, percent), "links"))
         labels = materialize(components(edges), "labels")
 
