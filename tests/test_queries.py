@@ -46,3 +46,13 @@ def test_consistent_partition(spark, sf_dir):
 
     for r in catalog.QUERIES["part_consistent"](spark, sf_dir).limit(200).collect():
         assert r["partition"] == consistent_partition_of(r["id"], 8)
+
+
+def test_outbox_insert_on_more_rows(spark):
+    con = duckdb.connect()
+    for t in ("events", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    got = catalog.QUERIES["outbox_insert"](spark, "/root/testdata/sf0.01")
+    found = con.execute(catalog.ORACLE_SQL["outbox_insert"])
+    names = [d[0] for d in found.description]
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, found.fetchall())

@@ -234,6 +234,22 @@ def test_before_each_over_hot_keys(spark):
     assert {r["id"]: r["n"] for r in numbered(df).collect()} == {i: n + 1 for n, i in enumerate(order)}
 
 
+def test_numbers_beyond_a_sample(spark):
+    """Ranges are the same in every use of the frame, also where rows are too many to be seen whole and uses differ in columns."""
+    from tidewheel.operators.routing import before_each, numbered
+    from tidewheel.operators.stores import outbox_insert
+
+    n = 20_000
+    df = spark.range(n, numPartitions=3).selectExpr("concat('e', id) AS id", "id * 7919 % 20011 AS ts", "'x' AS event_name", "'p' AS payload", "encode('k', 'utf-8') AS key")
+    place = {f"e{i}": k + 1 for k, i in enumerate(sorted(range(n), key=lambda i: i * 7919 % 20011))}
+    assert {r["id"]: r["n"] for r in numbered(df).collect()} == place
+    assert {r["id"]: r["n"] for r in numbered(df).select("id", "n").collect()} == place
+    summed = before_each(df, "key", ("ts",), F.lit(1), "sum", "before").collect()
+    assert {r["id"]: (r["before"] or 0) + 1 for r in summed} == place
+    new = outbox_insert(spark.createDataFrame([(5,)], "id bigint"), df, "2024-01-01 00:00:00")
+    assert {r["event_id"]: r["id"] - 5 for r in new.collect()} == place
+
+
 def test_binary_wire_forms():
     from tidewheel.functions import wire
 

@@ -60,12 +60,29 @@ def counters(messages: DataFrame) -> DataFrame:
     return messages.groupBy("event_name", F.coalesce("dropped_reason", F.lit("delivered")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: Rows of a sample for each range that rows are dealt in.
+_SAMPLED = 50
+
+
 def _dealt(rows: DataFrame, *order: str) -> tuple[DataFrame, str]:
-    """rows in as many ranges of an order as there are shuffle partitions, and the column with the range's number. A fixed number
-    of ranges isn't merged at run time, so every use of the frame sees the same ones."""
+    """rows with a column of their range in an order, of as many ranges as there are shuffle partitions, and its name. The bounds
+    are taken from a sample beforehand and are literals: every use of the frame sees the same ranges, whatever columns it needs.
+    (repartitionByRange takes a sample of its own, and so other ranges, in every use that Spark doesn't plan alike.)"""
     part = free_name("range", rows.columns)
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(ranges, *order).withColumn(part, F.spark_partition_id()), part
+    keys = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+    fraction = ranges * _SAMPLED / max(1, keys.count())
+    sample = (keys.sample(fraction, 77) if fraction < 1 else keys).orderBy(*keys.columns).collect()  # about `ranges` * _SAMPLED rows
+    bounds = [tuple(sample[i * len(sample) // ranges]) for i in range(1, ranges)] if sample else []
+    if not bounds:
+        return rows.withColumn(part, F.lit(0)), part
+    kinds = [f.dataType for f in keys.schema.fields]
+    table = F.sort_array(F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, keys.columns)]) for b in bounds]))
+    key = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)])
+    # The number of bounds up to the key, by binary search.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
+    return rows.withColumn(part, found), part
 
 
 def numbered(messages: DataFrame, order: tuple[str, ...] = ("ts", "id"), name: str = "n") -> DataFrame:
