@@ -171,6 +171,29 @@ def test_lm_spelling_sums_to_at_most_one():
     assert 0.97 < np.exp(-cost).sum() < 1 + 1e-6
 
 
+def test_lm_spelling_learns_within_a_text():
+    """Spelled scores by plain loops: a text's own weights start at 0 and take a step after each of its words."""
+    _, model, _ = lm_parts(*lm_vocabulary()[:2], 0)
+    rng = np.random.default_rng(4)
+    sizes = [1, 30, 7]
+    words = [bytes(rng.choice(list(b"abxyz\xc4#"), rng.integers(0, 9)).tolist()) for _ in range(sum(sizes))]
+    texts, classes, left_out = np.repeat([3, 4, 9], sizes), rng.integers(0, 3, len(words)), rng.integers(0, 2, len(words))
+    got = model.spelled_scores(words, classes, texts, left_out)
+    own, weights, frozen = {}, model.ready()[1].weights, []
+    for i, w in enumerate(words):
+        mine, step, cost, plain = own.setdefault(texts[i], np.zeros(lm_scoring.PREDICTORS + 1)), 0, 0.0, 0.0
+        for _, bits, xs, gates in lm_scoring.spell_bits([w], classes[i : i + 1], model.table, 10, int(left_out[i])):
+            for bit, x, gate in zip(bits, xs.astype(float), gates):
+                z, z0 = float(x @ (weights[gate] + mine)), float(x @ weights[gate])
+                cost, plain = cost + math.log1p(math.exp(-z if bit else z)), plain + math.log1p(math.exp(-z0 if bit else z0))
+                step = step + (bit - 1 / (1 + math.exp(-z))) * x
+        own[texts[i]] = mine + lm_scoring.TEXT_RATE * step
+        frozen.append(math.log(model.unknown[classes[i]]) - plain)
+        assert abs(got[i] - (math.log(model.unknown[classes[i]]) - cost)) < 1e-3
+    assert abs(got[0] - frozen[0]) < 1e-3 and max(abs(got[1:31] - frozen[1:31])) > 0.01
+    assert len(model.spelled_scores([], classes[:0], texts[:0], left_out[:0])) == 0
+
+
 def test_lm_histories_and_repeats_brute():
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(["the", "of", "le", "la", "x1", "x2", "x3"], rng.integers(0, 60))).encode() for _ in range(40)]
