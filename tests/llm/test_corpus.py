@@ -2,7 +2,9 @@
 
 import itertools
 import math
+import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewheel.llm import decontamination, lm_scoring, mixture, ngram_jaccard, token_binary
-from tidewheel.llm.common import table
+from tidewheel.llm.common import giving_back, table
 from tidewheel.llm.queries import QUERIES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +70,35 @@ def test_encoder_equals_the_library():
     assert np.array_equal(encoder.encode([long.encode()])[0], tk.encode(long, add_special_tokens=False).ids)
 
 
+def test_encoder_memory_follows_its_block():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}".encode() for i in range(3000)])
+    texts = [b" ".join(words[rng.integers(0, 3000, 400)]) for _ in range(3000)]
+    encoder = token_binary.WordEncoder(TOKENIZER)
+    encoder.encode(texts[:50])
+    tracemalloc.start()
+    ids = encoder.encode(texts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(ids) == len(texts) and peak - sum(x.nbytes for x in ids) < 40 << 20
+
+
+def test_tasks_give_freed_memory_back():
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    def run(batches):
+        held = [np.ones(8000) for _ in range(2000)]  # below what is mapped apart, so that the heap keeps it
+        kept.append(held[-1])
+        before.append(resident())
+        yield from batches
+
+    kept, before = [], []
+    assert list(giving_back(run)(iter("ab"))) == ["a", "b"]
+    assert before[0] - resident() > 64 << 20
+
+
 def test_another_tokenizer_gives_its_own_ids(spark, edge_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert not token_binary.WordEncoder(path).by_word

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, column, free_name, materialize, others, slices, text_bytes
+from .common import carried, column, free_name, giving_back, materialize, others, slices, text_bytes
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -293,7 +293,7 @@ def scan(
                     struct = _report(texts, [hits_of(t or b"", parts) for t in texts], min_span, with_clean)
                     yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [struct], names=schema.fieldNames())
 
-        return frame.mapInArrow(run, schema)
+        return frame.mapInArrow(giving_back(run), schema)
 
     # Several passes: what each finds, by text.
     key = lambda t: [F.xxhash64(t), F.xxhash64(F.lit("second"), t)]
@@ -313,7 +313,7 @@ def scan(
                     )]
                     yield pa.RecordBatch.from_arrays([part.column(i).take(pa.array(some, pa.int64())) for i in (1, 2)] + columns, names=["a", "b", "hit", "whole", "items"])
 
-        found = texts_only.mapInArrow(find, f"a long, b long, {_FOUND}").groupBy("a", "b").agg(*[F.any_value(c).alias(c) for c in ("hit", "whole", "items")])
+        found = texts_only.mapInArrow(giving_back(find), f"a long, b long, {_FOUND}").groupBy("a", "b").agg(*[F.any_value(c).alias(c) for c in ("hit", "whole", "items")])
         tables.append(materialize(found, "pass"))
         shared.unpersist(blocking=True)
     united = reduce(DataFrame.unionByName, tables).groupBy("a", "b").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit", "whole", "items")])
@@ -337,7 +337,7 @@ def scan(
                     found.append((words, marks[0], marks[1], set(f["items"]) if f else set()))
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + [_report(texts, found, min_span, with_clean)], names=schema.fieldNames())
 
-    return frame.mapInArrow(unite, schema)
+    return frame.mapInArrow(giving_back(unite), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **given) -> DataFrame:

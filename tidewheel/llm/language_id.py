@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, column, others, slices, text_bytes
+from .common import carried, column, giving_back, others, slices, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -224,4 +224,4 @@ def detect(
                 arrays = [part.column(i) for i in places] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(giving_back(run), schema)

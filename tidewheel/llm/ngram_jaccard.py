@@ -45,7 +45,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, columns_of, discard, hash_texts, integer_id, materialize, mix64, slices, text_bytes
+from .common import column, columns_of, discard, giving_back, hash_texts, integer_id, materialize, mix64, slices, text_bytes
 
 SHINGLE = 4
 PERCENT = 85
@@ -134,7 +134,7 @@ def frequencies(docs: DataFrame, text: str, k: int, shingles: int, words: int):
         if held:
             yield from flush()
 
-    counted = docs.select(column(text)).mapInArrow(count, "kind int, s long, c long").groupBy("kind", "s").agg(F.sum("c").alias("c"))
+    counted = docs.select(column(text)).mapInArrow(giving_back(count), "kind int, s long, c long").groupBy("kind", "s").agg(F.sum("c").alias("c"))
     counted = materialize(counted, "frequencies")
     # The most frequent ones by a histogram of counts (sixteen bins a power of two), so that no more rows than asked for reach
     # the driver; the bin that would go beyond is left out.
@@ -200,7 +200,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, k: int, percent: int,
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_a", "text_b", "n", "sig_a", "sig_b", "last_f", "last_h", "rare", "prefix"])
 
     source = docs.select(integer_id(docs, doc_id).alias("id"), column(text).alias("t"), *_text_key(text))
-    return source.mapInArrow(run, "doc_id long, text_a long, text_b int, n int, sig_a long, sig_b long, last_f long, last_h long, rare int, prefix array<long>")
+    return source.mapInArrow(giving_back(run), "doc_id long, text_a long, text_b int, n int, sig_a long, sig_b long, last_f long, last_h long, rare int, prefix array<long>")
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -240,7 +240,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: i
                 columns = zip(*found) if found else ((),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.binary(),))], names=["cls", "sig_a", "sig_b", "s"])
 
-    sets = source.mapInArrow(run, "cls long, sig_a long, sig_b long, s binary")
+    sets = source.mapInArrow(giving_back(run), "cls long, sig_a long, sig_b long, s binary")
     if few:
         return sets.select("cls", "s")
     return sets.drop("cls").join(wanted.select("cls", "sig_a", "sig_b"), ["sig_a", "sig_b"]).select("cls", "s")
@@ -284,7 +284,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([links(unpack48(p), unpack48(q), percent) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

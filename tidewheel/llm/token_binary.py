@@ -38,13 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.routing import before_each
-from .common import column, fresh_path, hash_words, integer_id, materialize, pieces, slices, text_bytes
+from .common import column, fresh_path, giving_back, hash_words, integer_id, materialize, pieces, slices, text_bytes
 
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 64
 END_ID = 1
 CACHE = 2_000_000
-BLOCK_BYTES = 4 << 20
+#: Text hashed and encoded at once; a worker takes some 25 times as much for it.
+BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20
 TOKENIZER = "word_bpe_49k.json"
 
@@ -167,7 +168,7 @@ class WordEncoder:
         if len(self.hashes) + len(fresh) <= self.cache:  # once it is full its words stay: they came first, so they are the common ones
             add = fresh[~held[fresh]]
             merged = np.concatenate((self.hashes, keys[add]))
-            by_hash = np.argsort(merged)
+            by_hash = np.argsort(merged, kind="stable")  # two sorted runs, merged
             self.hashes = merged[by_hash]
             for name, more in (("checks", checks[add]), ("offsets", offsets_of[add]), ("sizes", sizes[add])):
                 setattr(self, name, np.concatenate((getattr(self, name), more))[by_hash])
@@ -341,7 +342,7 @@ def write_tokens(
         columns = [[shard], [name + ".arrow"], [n], [writer.total]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "path", "n_docs", "n_tokens"])
 
-    return materialize(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "manifest")
+    return materialize(dealt.mapInArrow(giving_back(write), "shard long, path string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, digest: bool = True) -> DataFrame:
@@ -372,4 +373,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, digest: bool = True) -
                         arrays.append(pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ([] if digest else ["ids"]))
 
-    return listed.mapInArrow(read, schema)
+    return listed.mapInArrow(giving_back(read), schema)
