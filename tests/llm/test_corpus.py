@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -202,6 +203,48 @@ def test_lm_spelling_sums_to_at_most_one():
     assert 0.97 < np.exp(-cost).sum() < 1 + 1e-6
 
 
+def test_lm_spelling_inputs_by_plain_counts_at_little_cost():
+    """Inputs and gates by the formula, in less CPU time than a small multiple of what their logarithms take alone."""
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.choice(list(b"abxyzet\xc4#"), rng.integers(0, 12)).tolist()) for _ in range(5000)]
+    classes, left_out = rng.integers(0, 3, len(words)), rng.integers(0, 2, len(words))
+    counts = rng.integers(0, 3, (lm_scoring.PREDICTORS << 16, 2)) * rng.choice([1, 7, 1 << 14], (lm_scoring.PREDICTORS << 16, 2))
+    counts = counts.astype(np.float32)
+    c = lm_scoring.Contexts(words, classes, 16)
+    for (rows, _, bit, at), (of, bit_, x, gate) in zip(c.bits(), lm_scoring.spell_bits(words, classes, counts, 16, left_out), strict=True):
+        assert (of == c.word[rows]).all() and (bit == bit_).all() and (x[:, -1] == np.float32(0.3)).all()
+        out, levels = left_out[of], []
+        for n, a in enumerate(at):
+            zero, one = (np.maximum(counts[a, b].astype(float) - out * (bit == b), 0) for b in (0, 1))
+            assert np.abs(x[:, n] - np.log((one + lm_scoring.PRIOR) / (zero + lm_scoring.PRIOR))).max() < 1e-5
+            levels.append(np.minimum(np.floor(np.log2(one + zero + 1)), 15))
+        assert (gate == levels[len(lm_scoring.ORDERS) - 1] * 16 + levels[1]).all()
+
+    def cpu(run):
+        times = []
+        for _ in range(5):
+            began = time.thread_time()
+            run()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    bits = sum(len(bit) for _, _, bit, _ in c.bits())
+    values = rng.random(bits * lm_scoring.PREDICTORS) + 0.1
+    inputs = cpu(lambda: [0 for _ in lm_scoring.spell_bits(words, classes, counts, 16, left_out)]) - cpu(lambda: [0 for _ in lm_scoring.Contexts(words, classes, 16).bits()])
+    assert inputs < 13 * cpu(lambda: np.log(values))
+
+
+def test_lm_tokens_know_their_texts_and_words():
+    texts = [b"", b"a bb", b" ", b"ccc", b"", b"d a \t e", b""]
+    for block in (1, 4, 1 << 20):
+        tokens = lm_scoring.Tokens(texts, block=block)
+        assert tokens.owner.tolist() == [0, 1, 1, 1, 2, 3, 3, 4, 5, 5, 5, 5, 6]
+        order = np.random.default_rng(1).permutation(len(tokens.hash))
+        words = [w for t in texts for w in [*t.split(), b""]]
+        assert tokens.words(order) == [words[i] for i in order]
+        assert tokens.words(order[:0]) == []
+
+
 def test_lm_spelling_learns_within_a_text():
     """Spelled scores by plain loops: a text's own weights start at 0 and take a step after each of its words."""
     _, model, _ = lm_parts(*lm_vocabulary()[:2], 0)
