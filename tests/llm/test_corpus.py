@@ -245,6 +245,34 @@ def test_lm_tokens_know_their_texts_and_words():
         assert tokens.words(order[:0]) == []
 
 
+def test_lm_parts_follow_texts(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "_PART", 5)
+    for text in ([], [3], [0] * 17, [0, 0, 1, 1, 1, 1, 1, 1, 1, 4, 4, 5, 6, 7, 8, 9, 9], list(range(20))):
+        text = np.array(text, np.int32)
+        parts = list(lm_scoring.text_parts(text))
+        assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(text)))
+        assert all(p.start == 0 or text[p.start - 1] != text[p.start] for p in parts)
+    rng = np.random.default_rng(8)
+    text, both, context = np.sort(rng.integers(0, 9, 60)), rng.integers(0, 2, 60), rng.integers(1, 50, 60)
+    parts = [lm_scoring.repeat_costs(text[p], both[p], context[p]) for p in lm_scoring.text_parts(text)]
+    assert len(parts) > 3 and np.allclose(np.concatenate(parts), lm_scoring.repeat_costs(text, both, context), rtol=0, atol=1e-12)
+
+
+def test_lm_tokens_and_keys_take_little_memory():
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}".encode() for i in range(3000)])
+    texts = [b" ".join(words[rng.integers(0, 3000, 400)]) for _ in range(3000)]
+    classes = lm_scoring.Classes([b"w1", b"w2"], [1, 2])
+    tracemalloc.start()
+    tokens = lm_scoring.Tokens(texts)
+    own = classes.of_words(tokens.hash)
+    keys = lm_scoring.context_keys(tokens, lm_scoring.context_places(tokens, own), 30)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    held = sum(a.nbytes for a in (tokens.hash, tokens.owner, own, keys, *tokens.starts, *tokens.ends)) + sum(map(len, tokens.blocks))
+    assert peak < 1.7 * held
+
+
 def test_lm_spelling_learns_within_a_text():
     """Spelled scores by plain loops: a text's own weights start at 0 and take a step after each of its words."""
     _, model, _ = lm_parts(*lm_vocabulary()[:2], 0)
