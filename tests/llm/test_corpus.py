@@ -8,9 +8,11 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -273,6 +275,41 @@ def test_lm_tokens_and_keys_take_little_memory():
     assert peak < 1.7 * held
 
 
+def test_lm_a_run_is_freed_before_the_next(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "RUN_BYTES", 1 << 20)
+    monkeypatch.setattr(lm_scoring, "_chunk", lambda run: run)
+    rng = np.random.default_rng(10)
+    words = np.array([f"w{i}" for i in range(9000)])
+    texts = [" ".join(words[rng.integers(0, 9000, 400)]) for _ in range(460)]  # a run
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": texts, "learn": [True] * len(texts)})
+    maps = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    scan = lm_scoring.run_keys(maps, SimpleNamespace(value=lm_scoring.Classes([b"w1", b"w2"], [1, 2])), 0, 30)
+
+    def peak(runs):
+        tracemalloc.start()
+        chunks = {c for out in scan(iter([batch] * runs)) for c in out.column("chunk").to_pylist()}
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(chunks) >= runs
+        return most
+
+    peak(1)
+    assert peak(4) < 1.1 * peak(1)
+
+
+def test_lm_spelled_words_take_little_memory():
+    rng = np.random.default_rng(11)
+    model = lm_parts(*lm_vocabulary()[:2], 0)[1]
+    words = [bytes(rng.choice(list(b"abxyz"), 9).tolist()) for _ in range(20_000)]
+    texts, zero = np.repeat(np.arange(200), 100), np.zeros(len(words), np.int64)
+    model.ready()
+    tracemalloc.start()
+    model.spelled_scores(words, zero, texts, zero)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 24 << 20
+
+
 def test_lm_spelling_learns_within_a_text():
     """Spelled scores by plain loops: a text's own weights start at 0 and take a step after each of its words."""
     _, model, _ = lm_parts(*lm_vocabulary()[:2], 0)
