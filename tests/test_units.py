@@ -127,6 +127,24 @@ def test_stream_state_expires_and_late_rows_go(spark):
     assert got == {1: "ok", 2: "ok", 4: "ok", 5: "duplicate"}
 
 
+def test_stream_state_of_a_key_outlives_an_earlier_row(spark):
+    """A row that comes out of order doesn't bring the end of its key's state forward; keys of one bucket end each by itself."""
+    path, hour, base = shared_path(spark, "early"), datetime.timedelta(hours=1), datetime.datetime(2024, 1, 1)
+    out = shared_path(spark, "early-out")
+    parts = [
+        [("a", 1, 10), ("c", 2, 8)], [("a", 3, 6), ("b", 4, 22)], [("a", 5, 19), ("c", 6, 19)], [("a", 7, 21), ("b", 8, 60)], [("b", 9, 61), ("a", 10, 58)],
+    ]
+    for part in parts:
+        rows = [(k, seq, base + h * hour, True) for k, seq, h in part]
+        spark.createDataFrame(rows, "k string, seq bigint, ts timestamp, ok boolean").coalesce(1).write.mode("append").parquet(path)
+        stream = stateful.fold_stream(stateful.stream_table(spark, path, spark.read.parquet(path).schema), "k", fold.dedup_ttl(10 * 3600 * US), delay="5 hours", buckets=1)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", out + "-c").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    got = {r["seq"]: r["outcome"] for r in spark.read.schema(stream.schema).parquet(out).collect()}
+    assert got == {1: "ok", 2: "ok", 3: "duplicate", 4: "ok", 5: "duplicate", 6: "ok", 7: "ok", 8: "ok", 9: "duplicate", 10: "ok"}
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
 def test_hashes(spark):
     def fnv(s):
         h = 2166136261

@@ -1,10 +1,12 @@
 """Streaming forms of the folds, the tail of the monitor, deduplication windows, transactional handling and the outbox relay.
 
-A fold's state is kept per key as JSON text in the state store. Within a micro-batch a key's rows are sorted by event
-time, so with rows that arrive in order the outcomes equal those of the batch form. A key's rows of one micro-batch are
-gathered to be sorted; `max_files` of stream_table bounds a micro-batch.
+A fold's states are kept in the state store as JSON text, those of a bucket of keys together, since a call of Python for each
+key costs milliseconds and a key in a call microseconds. Within a micro-batch a bucket's rows are sorted by event time, so with
+rows that arrive in order the outcomes equal those of the batch form. A bucket's rows of one micro-batch are gathered to be
+sorted; `max_files` of stream_table bounds a micro-batch. A micro-batch rewrites the states of each bucket that it touches: with
+very many keys and small micro-batches, give more `buckets`. Their number belongs to the checkpoint.
 
-With a watermark delay, rows later than the watermark are dropped, and the state of folds that forget after a pause
+With a watermark delay, rows later than the watermark are dropped, and the state of a key whose fold forgets after a pause
 (`gap_us`) is removed once the watermark is past that pause, so the store holds the keys of the last gap and not all there
 ever were. Folds without a gap keep their state."""
 
@@ -14,50 +16,103 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, StringType, StructType, TimestampType
 
 from ..operators.fold import Fold
 from ..session import column, shared_path
 
+#: Buckets of keys in the state store.
+BUCKETS = 4096
+#: Bits for what a row lacks. So no null and no float comes into pandas.
+NO_SEQ, NO_TIME, NO_KEY = 1, 2, 4
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _as_text(key: Column, kind: DataType) -> Column:
+    """A key's value as text, one text a value; -0.0 is 0.0."""
+    if isinstance(kind, StringType):
+        return key
+    if isinstance(kind, BinaryType):
+        return F.hex(key)
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(key).cast("string")
+    if isinstance(kind, (FloatType, DoubleType)):
+        return (key + F.lit(0).cast(kind)).cast("string")
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.to_json(F.struct(key.alias("k")), _JSON)
+    return key.cast("string")
+
+
+def _from_text(text: Column, kind: DataType) -> Column:
+    if isinstance(kind, BinaryType):
+        return F.unhex(text)
+    if isinstance(kind, TimestampType):
+        return F.timestamp_micros(text.cast("bigint"))
+    if isinstance(kind, (ArrayType, StructType)):
+        return F.from_json(text, StructType().add("k", kind), _JSON)["k"]
+    return text.cast(kind)
+
 
 def fold_stream(
-    rows: DataFrame, key: str, definition: Fold, ts: str = "ts", seq: str = "seq", ok: str | None = "ok", out: str = "outcome", delay: str | None = None
+    rows: DataFrame,
+    key: str,
+    definition: Fold,
+    ts: str = "ts",
+    seq: str = "seq",
+    ok: str | None = "ok",
+    out: str = "outcome",
+    delay: str | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """key, seq and outcome of an unbounded frame. delay: the watermark's, such as '1 hour'; without it no row is late and
     no state expires."""
     init, step, kind, gap = definition.init, definition.step, definition.out_type, definition.gap_us
     expires = delay is not None and gap is not None
+    key_kind = rows.select(column(key)).schema[0].dataType
     code = F.coalesce(column(ok).cast("int"), F.lit(0)) if ok else F.lit(1)
-    slim = rows.select(column(key).alias("k"), column(seq).cast("bigint").alias("seq"), column(ts).cast("timestamp").alias("at"), code.alias("ok"))
+    slim = rows.select(_as_text(column(key), key_kind).alias("k"), column(seq).cast("bigint").alias("seq"), column(ts).cast("timestamp").alias("at"), code.alias("ok"))
     if delay is not None:
         slim = slim.withWatermark("at", delay)
-    key_kind = slim.schema["k"].dataType.simpleString()
-    slim = slim.withColumn("t", F.unix_micros("at"))
-
-    def run(keys: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    lacks = sum((F.when(F.col(name).isNull(), bit).otherwise(0) for name, bit in (("seq", NO_SEQ), ("at", NO_TIME), ("k", NO_KEY))), F.lit(0))
+    slim = slim.select(
+        F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.coalesce("k", F.lit("")).alias("k"), F.coalesce("seq", F.lit(-(2**63))).alias("seq"), F.coalesce(F.unix_micros("at"), F.lit(-(2**63))).alias("t"), "ok", lacks.alias("lacks"),
+        *(["at"] if delay is not None else []),
+    )
+
+    def run(_: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {k: (tuple(now), last) for k, now, last in json.loads(state.get[0])} if state.exists else {}
+        if not state.hasTimedOut:
+            pdf, new = pd.concat([f[["k", "seq", "t", "ok", "lacks"]] for f in frames], ignore_index=True), (init, None)
+            times, numbers, good, lack = (pdf[c].to_numpy() for c in ("t", "seq", "ok", "lacks"))
+            keys = [None if x & NO_KEY else k for k, x in zip(pdf["k"].tolist(), lack.tolist())]
+            order, results = np.lexsort((numbers, times)), [None] * len(pdf)
+            order = order[(lack[order] & NO_TIME) == 0]  # a row without a time changes nothing
+            for i, t, g in zip(order.tolist(), times[order].tolist(), good[order].tolist()):
+                now, last = known.get(keys[i], new)
+                now, results[i] = step(now, t, g)
+                known[keys[i]] = now, t if last is None or t > last else last
+            numbers = pd.arrays.IntegerArray(numbers.copy(), (lack & NO_SEQ) > 0)
+            yield pd.DataFrame({"k": pd.Series(keys, dtype=object), "seq": numbers, "outcome": pd.Series(results, dtype=object)})
+        if expires:
+            mark = state.getCurrentWatermarkMs()
+            ends = {k: (last + gap) // 1000 + 1 for k, (_, last) in known.items()}
+            known = {k: v for k, v in known.items() if ends[k] >= mark}
+        if known:
+            state.update((json.dumps([(k, *v) for k, v in known.items()]),))
+            if expires:
+                state.setTimeoutTimestamp(max(min(ends[k] for k in known), mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        now = tuple(json.loads(state.get[0])) if state.exists else init
-        pdf = pd.concat(list(frames)).sort_values(["t", "seq"], kind="stable", na_position="first")
-        results, last = [], None
-        for t, good in zip(pdf["t"].tolist(), pdf["ok"].tolist()):
-            outcome = None
-            if t == t:  # a row without a time changes nothing
-                last = int(t)
-                now, outcome = step(now, last, int(good))
-            results.append(outcome)
-        state.update((json.dumps(now),))
-        if expires and last is not None:
-            state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [keys[0]] * len(pdf), seq: pdf["seq"].to_numpy(), out: results})
 
     timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
-    return slim.groupBy("k").applyInPandasWithState(run, f"`{key}` {key_kind}, `{seq}` bigint, `{out}` {kind}", "state string", "append", timeout)
+    folded = slim.groupBy("bucket").applyInPandasWithState(run, f"k string, seq bigint, outcome {kind}", "state string", "append", timeout)
+    return folded.select(_from_text(F.col("k"), key_kind).alias(key), F.col("seq").alias(seq), F.col("outcome").alias(out))
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
