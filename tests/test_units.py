@@ -145,6 +145,21 @@ def test_stream_state_of_a_key_outlives_an_earlier_row(spark):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
 
 
+@pytest.mark.parametrize("definition", [fold.dedup_ttl(20 * 3600 * US)])
+def test_stream_states_are_few(spark, definition):
+    """5,000 keys have at most BUCKETS values in the state store, and each its own state from one micro-batch to the next."""
+    path, out = shared_path(spark, "many"), shared_path(spark, "many-out")
+    rows = spark.range(15000).selectExpr("concat('k', id % 5000) as k", "id as seq", "timestamp_seconds(1704067200 + id * 7) as ts", "id % 3 > 0 as ok")
+    for part in ("seq < 7500", "seq >= 7500"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+        stream = stateful.fold_stream(stateful.stream_table(spark, path, rows.schema), "k", definition)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", out + "-c").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= stateful.BUCKETS
+    got = spark.read.schema(stream.schema).parquet(out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold.fold(rows, "k", definition).collect()))
+
+
 def test_hashes(spark):
     def fnv(s):
         h = 2166136261
