@@ -145,7 +145,7 @@ def test_stream_state_of_a_key_outlives_an_earlier_row(spark):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
 
 
-@pytest.mark.parametrize("definition", [fold.dedup_ttl(20 * 3600 * US)])
+@pytest.mark.parametrize("definition", [fold.dedup_ttl(20 * 3600 * US), fold.poison(2, 30 * 3600 * US)])
 def test_stream_states_are_few(spark, definition):
     """5,000 keys have at most BUCKETS values in the state store, and each its own state from one micro-batch to the next."""
     path, out = shared_path(spark, "many"), shared_path(spark, "many-out")
@@ -160,6 +160,23 @@ def test_stream_states_are_few(spark, definition):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold.fold(rows, "k", definition).collect()))
 
 
+def test_stream_keys_of_every_type(spark):
+    """Keys of one bucket keep their type and value, and numbers of rows stay exact beside null ones."""
+    big = 2**53 + 1
+    rows = spark.sql(f"""SELECT named_struct('a', i % 3, 'b', IF(i % 3 = 0, NULL, 'x"y')) AS s, array(CAST(i % 2 AS DOUBLE), NULL) AS l, unhex(concat('FF0', i % 4)) AS b,
+ CASE i % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN 0.1D WHEN 2 THEN 0D END AS d, timestamp_micros(1704067200123456 + i % 3) AS t, date'2024-01-01' + CAST(i % 3 AS INT) AS y,
+ CAST(i % 3 AS DECIMAL(20, 7)) AS n, i % 2 = 0 AS o, IF(i = 5, NULL, {big} + i) AS seq, timestamp_seconds(1704067200 + i) AS ts, i % 3 > 0 AS ok FROM (SELECT explode(sequence(0L, 59L)) AS i)""")
+    path = shared_path(spark, "kinds")
+    rows.coalesce(1).write.parquet(path)
+    definition = fold.poison(2, 7 * US)
+    for key in ("s", "l", "b", "d", "t", "y", "n", "o"):
+        stream = stateful.fold_stream(stateful.stream_table(spark, path, rows.schema), key, definition, buckets=1)
+        got = stateful.run_to_table(stream, "kinds")
+        want = fold.fold(rows, key, definition)
+        assert got.schema[key].dataType == want.schema[key].dataType
+        assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r)) for r in want.collect()), key
+
+
 def test_hashes(spark):
     def fnv(s):
         h = 2166136261
